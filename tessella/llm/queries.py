@@ -6,16 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality
+from . import bpe, decontam, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_sharding": sharding.op3_sharding,
+        "op5_bpe": bpe.op5_bpe,
+        "op6_decontamination": decontam.op6_decontamination,
         "op9_quality_rules": quality.op9_quality_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op6_decontamination": decontam.ORACLE_OP6,
         "op9_quality_rules": quality.oracle_op9(),
     }
