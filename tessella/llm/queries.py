@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, quality, sharding
+from . import bpe, decontam, neardup, quality, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_near_duplicates": neardup.op2_near_duplicates,
         "op3_sharding": sharding.op3_sharding,
         "op5_bpe": bpe.op5_bpe,
         "op6_decontamination": decontam.op6_decontamination,
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_near_duplicates": neardup.ORACLE_OP2,
         "op6_decontamination": decontam.ORACLE_OP6,
         "op9_quality_rules": quality.oracle_op9(),
     }
