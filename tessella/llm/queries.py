@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, neardup, quality, sharding
+from . import bpe, decontam, neardup, quality, sharding, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_near_duplicates": neardup.op2_near_duplicates,
         "op3_sharding": sharding.op3_sharding,
         "op5_bpe": bpe.op5_bpe,
