@@ -20,6 +20,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import batches
 
@@ -168,7 +169,7 @@ def encode(docs: DataFrame, spec: bytes, columns: dict[str, str], text: str = "t
             arrays = [pa.array(found[n], kinds[columns[n]][1]) for n in columns]
             yield pa.RecordBatch.from_arrays([*batch.columns, *arrays], names=[*batch.schema.names, *columns])
 
-    schema = docs.schema
+    schema = T.StructType(list(docs.schema.fields))
     for name, kind in columns.items():
         schema = schema.add(name, kinds[kind][0])
     return docs.mapInArrow(run, schema)
