@@ -7,9 +7,10 @@ equal in two sketches with probability near the Jaccard similarity. Bands of reg
 documents into one bucket; the likelihood of the joint register counts estimates their similarity; a
 link counts only after the full sets confirm it.
 
-Equal sets are one node from the start. In a bucket each member is set against one centre (chosen by
-hash, another one in each band), so a bucket of k makes k - 1 pairs. Members of a bucket that are still
-in different components after that meet in a second pass, each pair of them, so a bucket loses no link.
+Equal sets are one node from the start. In a bucket each member is set against one centre, the member
+that shares most buckets with others, so a bucket of k makes k - 1 pairs and these link nearly all there
+is. Members of a bucket that are in different components after that meet block by block in a second
+pass, which gives out links only, so a bucket loses no link and no table of its pairs is ever made.
 
 Edges: null, empty and blank texts have an empty set and are linked with nothing; fewer than three
 words are one shingle; repeated rows are copies; rows that share a doc_id count as one document; a row
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WordHash, batches, materialise, mix, shingles, words_of
@@ -118,7 +119,7 @@ def shingle_sets(docs: DataFrame, text: str, ident: str, width: int = 3) -> Data
 
 
 def banded(nodes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(bucket, node): one row for each band of each node; a bucket is the hash of a band's registers."""
+    """(bucket, band, node): one row for each band of each node; a bucket is the hash of a band's registers."""
 
     @F.pandas_udf("array<long>")
     def buckets(registers: pd.Series) -> pd.Series:
@@ -131,14 +132,14 @@ def banded(nodes: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
             out[:, k] = h
         return pd.Series(list(out.view(np.int64)))
 
-    return nodes.select("node", F.explode(buckets("registers")).alias("bucket"))
+    return nodes.select("node", F.posexplode(buckets("registers")).alias("band", "bucket"))
 
 
 def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, ident: str, percent: int, width: int) -> DataFrame:
     """Pairs (a, b) whose full sets have 100 * intersection >= percent * union.
 
     First the sizes and the likelihood estimate rule out pairs that can't be links: an estimate of 120
-    registers has a standard error of 0.033 at 0.85, and 0.25 below is more than seven of these.
+    registers has a standard error of 0.033 at 0.85, and 0.2 below is six of these.
     Sets are read again for the documents that are left only.
     """
     side = lambda c: nodes.select(F.col("node").alias(c), F.col("registers").alias(f"r{c}"), F.col("n_shingles").alias(f"n{c}"))
@@ -149,7 +150,7 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id
         return pd.Series(likely_jaccard(one(ra), one(rb), na.to_numpy(float), nb.to_numpy(float)))
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
-    likely = materialise(sized.where(estimate("ra", "rb", "na", "nb") >= percent / 100 - 0.25).select("a", "b", "na", "nb"), "likely")
+    likely = materialise(sized.where(estimate("ra", "rb", "na", "nb") >= percent / 100 - 0.2).select("a", "b", "na", "nb"), "likely")
     wanted = likely.select(F.col("a").alias(ident)).union(likely.select(F.col("b").alias(ident))).distinct()
     sets = materialise(shingle_sets(docs.select(ident, text).join(wanted, ident, "left_semi"), text, ident, width).distinct(), "sets")
     # A centre of many pairs: its pairs are dealt to parts of at most 500, its set is copied to each part.
@@ -170,40 +171,73 @@ def near_duplicates(docs: DataFrame, text: str = "text", ident: str = "doc_id",
     sets = materialise(sets, "sets")  # one row for each different set, named by its smallest doc_id
     nodes = sets.dropDuplicates(["node", "set_key"])
     buckets = banded(nodes)
-    crowd = materialise(buckets.withColumn("members", F.count("*").over(Window.partitionBy("bucket"))).where("members > 1").drop("members"), "crowd")
-    # The member with the smallest hash of (node, bucket) is the centre of its bucket.
-    order = F.struct(F.xxhash64("node", "bucket").alias("h"), F.col("node").alias("n"))
-    centre = crowd.groupBy("bucket").agg(F.min(order).alias("c")).select("bucket", F.col("c.n").alias("centre"))
+    sizes = buckets.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    crowd = materialise(buckets.join(sizes, "bucket"), "crowd")
+    weights = crowd.groupBy("node").agg(F.sum("members").alias("weight"))
+    # Struct order: largest weight, then smallest node.
+    centre = crowd.join(weights, "node").groupBy("bucket").agg(F.max(F.struct("weight", (-F.col("node")).alias("n"))).alias("c")).select("bucket", (-F.col("c.n")).alias("centre"))
     pairs = materialise(crowd.join(centre, "bucket").where("node <> centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     links = materialise(confirmed(pairs, nodes, docs, text, ident, percent, width), "links")
-    # Rows that share a doc_id are one document: their different sets are tied.
     named = components(links)
-    again = _rest(crowd, pairs, named)
-    if again.limit(1).count():
-        links = materialise(links.unionByName(confirmed(again, nodes, docs, text, ident, percent, width)), "links")
-        named = components(links)
+    more = materialise(_rest(crowd, named, nodes, docs, text, ident, percent, width), "more")
+    if more.limit(1).count():
+        named = components(links.unionByName(more))
     final = sets.join(named, sets.node == named.node, "left").select("set_key", F.coalesce("component", sets.node).alias("component"))
     # Copies of one text by the million share a set_key: such keys go to every task (under 2000 of them, as each
     # has over 1/2000 of the rows), the others meet their rows in a shuffle.
     return _labelled(rows, final, named)
 
 
-def _rest(crowd: DataFrame, tried: DataFrame, named: DataFrame) -> DataFrame:
-    """Pairs within a bucket that the centres have left in different components, without those tried.
+BLOCK = 256
+
+
+def _rest(crowd: DataFrame, named: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, ident: str, percent: int, width: int) -> DataFrame:
+    """Links within buckets between members that the centres have left in different components.
 
     The component with most members of a bucket needs no pairs of its own: each other member meets all
-    members of other components. Buckets of one component give none. A member's partners are dealt to
-    parts of at most 1000.
+    members of other components, in blocks of 256 by 256, each a task's group. Buckets of one component
+    have none. A pair is looked at in the first band it shares only; size and likelihood first, then the
+    full sets.
     """
     of = crowd.join(named, "node", "left").withColumn("component", F.coalesce("component", "node"))
     counts = of.groupBy("bucket", "component").agg(F.count("*").alias("n"))
-    split = counts.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("n").alias("members"), F.max(F.struct("n", F.col("component").alias("main"))).alias("top")).where("kinds > 1 and members > 2")
-    open_ = materialise(of.join(split.select("bucket", F.col("top.main").alias("main"), F.ceil(F.col("members") / 1000).cast("int").alias("parts")), "bucket"), "open")
-    right = open_.withColumn("part", F.pmod(F.xxhash64("node"), "parts").cast("int")).select("bucket", "part", F.col("node").alias("v"), F.col("component").alias("cv"))
-    left = open_.where("component <> main").select("bucket", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("node").alias("u"), F.col("component").alias("cu"))
-    met = left.join(right, ["bucket", "part"]).where("cu <> cv").select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
-    seen = tried.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    return materialise(met.join(seen, ["a", "b"], "left_anti"), "rest")
+    split = counts.groupBy("bucket").agg(F.count("*").alias("kinds"), F.sum("n").alias("members"), F.max(F.struct("n", F.col("component").alias("main"))).alias("top"))
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    split = split.where("kinds > 1 and members > 2").select("bucket", F.col("top.main").alias("main"), blocks(F.col("members")).alias("wide"), blocks(F.col("members") - F.col("top.n")).alias("tall"))
+    open_ = materialise(of.join(split, "bucket").select("bucket", "band", "node", "component", "main", "wide", "tall"), "open")
+    wanted = open_.select(F.col("node").alias(ident)).distinct()
+    sets = shingle_sets(docs.select(ident, text).join(wanted, ident, "left_semi"), text, ident, width).distinct()
+    full = open_.join(nodes.select("node", "registers").join(sets, "node"), "node")
+    place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    cols = ["bucket", "band", "node", "component", "registers", "shingles"]
+    left = full.where("component <> main").select(*cols, place("tall").alias("row"), cells("wide").alias("col"), F.lit(True).alias("left"))
+    right = full.select(*cols, place("wide").alias("col"), cells("tall").alias("row"), F.lit(False).alias("left"))
+    kind = docs.schema[ident].dataType.simpleString()
+
+    def met(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        a, b = pdf[pdf.left], pdf[~pdf.left]
+        if len(a) and len(b):
+            band = int(pdf.band.iloc[0])
+            rb = np.frombuffer(b"".join(b.registers), np.uint16).reshape(len(b), -1)
+            cb, nb, sb = b.component.to_numpy(), b.node.to_numpy(), b.shingles.to_list()
+            size = np.array([len(s) for s in sb], float)
+            for node, comp, reg, own in zip(a.node, a.component, a.registers, a.shingles, strict=True):
+                ra = np.frombuffer(reg, np.uint16)
+                same = (rb == ra).reshape(len(rb), -1, ROWS).all(2)
+                n = float(len(own))
+                ok = (cb != comp) & (same.argmax(1) == band) & (100 * np.minimum(size, n) >= percent * np.maximum(size, n))
+                at = np.flatnonzero(ok)
+                if len(at):
+                    at = at[likely_jaccard(np.broadcast_to(ra, rb[at].shape), rb[at], np.full(len(at), n), size[at], 20) >= percent / 100 - 0.2]
+                for k in at:
+                    i = len(np.intersect1d(own, sb[k], assume_unique=True))
+                    if 100 * i >= percent * (n + size[k] - i):
+                        out.append((node, nb[k]))
+        return pd.DataFrame(out, columns=["a", "b"])
+
+    return left.unionByName(right).groupBy("bucket", "row", "col").applyInPandas(met, f"a {kind}, b {kind}").distinct()
 
 
 def _labelled(rows: DataFrame, final: DataFrame, named: DataFrame) -> DataFrame:
