@@ -106,3 +106,12 @@ def collect_bounded(df: DataFrame, rows: int, what: str) -> list:
     if len(out) > rows:
         raise ValueError(f"{what} has more than {rows} rows")
     return out
+
+
+def having(docs: DataFrame, ids: DataFrame, ident: str, small: int = 2_000_000) -> DataFrame:
+    """Rows of docs whose `ident` is in ids (one column of that name, distinct and written).
+
+    Up to `small` ids are sent to the tasks, so whole texts need not be shuffled; more ids than that meet
+    the rows in a shuffle.
+    """
+    return docs.join(F.broadcast(ids) if ids.limit(small + 1).count() <= small else ids.hint("merge"), ident, "left_semi")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, batches, materialise, mix, shingles, words_of
+from .common import WordHash, batches, having, materialise, mix, shingles, words_of
 from .graph import components
 
 BASE = 1.001  # registers on so fine a scale collide by chance once in a thousand
@@ -151,8 +151,8 @@ def confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, text: str, id
 
     sized = pairs.join(side("a"), "a").join(side("b"), "b").where(f"100 * least(na, nb) >= {percent} * greatest(na, nb)")
     likely = materialise(sized.where(estimate("ra", "rb", "na", "nb") >= percent / 100 - 0.2).select("a", "b", "na", "nb"), "likely")
-    wanted = likely.select(F.col("a").alias(ident)).union(likely.select(F.col("b").alias(ident))).distinct()
-    sets = materialise(shingle_sets(docs.select(ident, text).join(wanted, ident, "left_semi"), text, ident, width).distinct(), "sets")
+    wanted = materialise(likely.select(F.col("a").alias(ident)).union(likely.select(F.col("b").alias(ident))).distinct(), "wanted")
+    sets = materialise(shingle_sets(having(docs.select(ident, text), wanted, ident), text, ident, width).distinct(), "sets")
     # A centre of many pairs: its pairs are dealt to parts of at most 500, its set is copied to each part.
     sizes = likely.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("parts"))
     left = sets.join(sizes, sets.node == sizes.a).select("a", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("shingles").alias("sa"))
@@ -205,8 +205,8 @@ def _rest(crowd: DataFrame, named: DataFrame, nodes: DataFrame, docs: DataFrame,
     blocks = lambda n: F.ceil(n / BLOCK).cast("int")
     split = split.where("kinds > 1 and members > 2").select("bucket", F.col("top.main").alias("main"), blocks(F.col("members")).alias("wide"), blocks(F.col("members") - F.col("top.n")).alias("tall"))
     open_ = materialise(of.join(split, "bucket").select("bucket", "band", "node", "component", "main", "wide", "tall"), "open")
-    wanted = open_.select(F.col("node").alias(ident)).distinct()
-    sets = shingle_sets(docs.select(ident, text).join(wanted, ident, "left_semi"), text, ident, width).distinct()
+    wanted = materialise(open_.select(F.col("node").alias(ident)).distinct(), "wanted")
+    sets = shingle_sets(having(docs.select(ident, text), wanted, ident), text, ident, width).distinct()
     full = open_.join(nodes.select("node", "registers").join(sets, "node"), "node")
     place = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
     cells = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
