@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, neardup, quality, sharding, toxicity
+from . import bpe, decontam, neardup, ngram, pages, passages, quality, sharding, toxicity, urls
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -14,9 +14,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_toxicity": toxicity.op1_toxicity,
         "op2_near_duplicates": neardup.op2_near_duplicates,
         "op3_sharding": sharding.op3_sharding,
+        "op4_repeated_passages": passages.op4_repeated_passages,
         "op5_bpe": bpe.op5_bpe,
         "op6_decontamination": decontam.op6_decontamination,
+        "op7_html_text": pages.op7_html_text,
+        "op8_url_filter": urls.op8_url_filter,
         "op9_quality_rules": quality.op9_quality_rules,
+        "op10_lm_score": ngram.op10_lm_score,
     }
 
 
