@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from .plans import catalog, chunking, graph, retrieval, store  # noqa: F401  (each registers its queries)
+from .plans.registry import QUERIES, SQL
+from .streaming import queries as streams  # noqa: F401
+
 
 def queries() -> dict:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict:
-    return {}
+    return dict(SQL)
