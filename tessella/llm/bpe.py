@@ -150,7 +150,7 @@ def encode(docs: DataFrame, spec: bytes, columns: dict[str, str], text: str = "t
     if clash:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # a vocabulary file: fixed, about 1.5 MB
-    kinds = {"ids": ("array<int>", pa.list_(pa.int32())), "n_tokens": ("long", pa.int64()), "ids_sha256": ("string", pa.string()), "decoded": ("string", pa.string()), "decoded_sha256": ("string", pa.string())}
+    kinds = {"ids": (T.ArrayType(T.IntegerType()), pa.list_(pa.int32())), "n_tokens": (T.LongType(), pa.int64())} | {k: (T.StringType(), pa.string()) for k in ("ids_sha256", "decoded", "decoded_sha256")}
     decodes = any(k.startswith("decoded") for k in columns.values())
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
