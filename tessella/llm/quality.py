@@ -80,6 +80,9 @@ def _band(value: Column, good: Column, bad: Column) -> Column:
     return F.when(value.isNull(), 0).when(bad, -1).when(good, 1).otherwise(0)
 
 
+RULES = ("symbols", "dup_lines", "repeats", "capitals", "letters", "marks", "bare_words", "closed_lines", "word_length")
+
+
 def rules() -> dict[str, Column]:
     """Name -> vote. Bounds leave a gap in which a rule abstains."""
     share = lambda a, b: F.col(a) / F.when(F.col(b) > 0, F.col(b))
@@ -128,7 +131,7 @@ def fit(voted: DataFrame, rounds: int = 12, prior: float = 0.85, start: tuple[fl
     accuracies on small tables. A rule may miss most bad texts (`bad_bounds`) but rarely hits good ones
     (`good_bounds`); the prior stays in 0.5-0.98.
     """
-    names = list(rules())
+    names = list(RULES)
     patterns = materialise(voted.groupBy([f"v_{n}" for n in names]).count().coalesce(1), "patterns")
     model = LabelModel(prior, dict.fromkeys(names, start[0]), dict.fromkeys(names, start[1]))
 
@@ -178,7 +181,7 @@ def oracle_op9() -> str:
 
 
 def _oracle(rounds: int) -> str:
-    names = list(rules())
+    names = list(RULES)
     bands = {
         "symbols": "case when word_chars=0 then 0 when n_symbols/word_chars>0.08 then -1 when n_symbols/word_chars<=0.03 then 1 else 0 end",
         "dup_lines": "case when n_lines=0 then 0 when n_dup_lines/n_lines>0.4 then -1 when n_dup_lines/n_lines<=0.15 then 1 else 0 end",
