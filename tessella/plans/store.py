@@ -1,0 +1,116 @@
+"""Chunk-store changes, set operations and incremental work."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from .base import chunks, table
+from .registry import query
+from .retrieval import CHUNKS
+
+
+def upsert(store: DataFrame, new: DataFrame, key: str, version: str) -> DataFrame:
+    """Rows of both tables; of one key the row with the largest version stays."""
+    both = store.unionByName(new, allowMissingColumns=True)
+    return both.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(version)))).where("_r = 1").drop("_r")
+
+
+@query("chunk_upsert", """with a as (select doc_id, source kb, 1 v from documents), b as (select doc_id, 'moved' kb, 2 v from documents where doc_id%3=0 union all select doc_id+1000000, 'new', 2 from documents where doc_id%10=0)
+select doc_id, arg_max(kb, v) kb, max(v)::int v from (select * from a union all select * from b) group by 1""")
+def chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    store = d.select("doc_id", F.col("source").alias("kb"), F.lit(1).alias("v"))
+    new = d.where("doc_id % 3 = 0").select("doc_id", F.lit("moved").alias("kb"), F.lit(2).alias("v")).unionByName(d.where("doc_id % 10 = 0").select((F.col("doc_id") + 1000000).alias("doc_id"), F.lit("new").alias("kb"), F.lit(2).alias("v")))
+    return upsert(store, new, "doc_id", "v")
+
+
+@query("chunk_update", """select doc_id, case when lang='fr' then 'edited' else source end source, array_to_string(case when lang='fr' then list_append(list_filter([lang, source], lambda x: x<>'fr'), 'checked') else [lang, source] end, ',') tags from documents""")
+def chunk_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that fit get a new scalar, lose an element of an array and gain another."""
+    hit, tags = F.col("lang") == "fr", F.array("lang", "source")
+    new = F.array_append(F.array_remove(tags, "fr"), F.lit("checked"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.when(hit, "edited").otherwise(F.col("source")).alias("source"), F.array_join(F.when(hit, new).otherwise(tags), ",").alias("tags"))
+
+
+@query("chunk_delete", "select doc_id, lang from documents where not (lang='de' and n_chars<500) and doc_id not in (select doc_id from labels where quality=0)")
+def chunk_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").where(~((F.col("lang") == "de") & (F.col("n_chars") < 500)))
+    return d.join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id", "left_anti").select("doc_id", "lang")
+
+
+@query("get_by_key", "select doc_id, source, 'documents' as origin from documents where doc_id=17 union all select conv_id, role, 'conversations' from conversations where conv_id=17")
+def get_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "documents").where("doc_id = 17").select("doc_id", "source", F.lit("documents").alias("origin"))
+    return a.unionByName(table(spark, sf_dir, "conversations").where("conv_id = 17").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("source"), F.lit("conversations").alias("origin")))
+
+
+@query("batch_append", """select doc_id, case when trim(coalesce(text,''))='' then 'blank' when n_chars<20 then 'short' when lang not in ('en','fr','de','es') then 'language' end reason,
+ case when trim(coalesce(text,''))<>'' and n_chars>=20 then md5(text||doc_id::varchar) end id from documents""")
+def batch_append(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each row has a reason to be rejected or an id."""
+    reason = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "blank").when(F.col("n_chars") < 20, "short").when(~F.col("lang").isin("en", "fr", "de", "es"), "language")
+    return table(spark, sf_dir, "documents").select("doc_id", reason.alias("reason"), F.when(reason.isNull(), F.md5(F.concat("text", F.col("doc_id").cast("string")))).alias("id"))
+
+
+@query("markdown_export", "select n_regionkey, '|'||string_agg(n_nationkey::varchar||'|'||n_name, '|' order by n_nationkey)||'|' as row from nation group by 1")
+def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cells = F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat_ws("|", "n_nationkey", "n_name").alias("c"))))
+    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("|"), F.array_join(F.transform(cells, lambda x: x["c"]), "|"), F.lit("|")).alias("row"))
+
+
+@query("reuse_by_digest", """with t as (select o_orderkey, md5(o_custkey::varchar||o_orderpriority) digest, o_orderstatus from orders)
+select o_orderkey, digest, digest in (select digest from t where o_orderstatus='F') reused from t where o_orderstatus<>'F'""")
+def reuse_by_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tasks whose digest was done before are reused, the rest run."""
+    t = table(spark, sf_dir, "orders").select("o_orderkey", F.md5(F.concat(F.col("o_custkey").cast("string"), "o_orderpriority")).alias("digest"), "o_orderstatus")
+    done, todo = t.where("o_orderstatus = 'F'").select("digest").distinct(), t.where("o_orderstatus <> 'F'").select("o_orderkey", "digest")
+    return todo.join(done, "digest", "left_semi").withColumn("reused", F.lit(True)).unionByName(todo.join(done, "digest", "left_anti").withColumn("reused", F.lit(False))).select("o_orderkey", "digest", "reused")
+
+
+@query("multi_index_union", "select * from (select doc_id id, n_chars score, 'en' part from documents where lang='en' union all select doc_id, n_chars, 'fr' from documents where lang='fr') order by score desc, id limit 50")
+def multi_index_union(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda x: table(spark, sf_dir, "documents").where(F.col("lang") == x).select(F.col("doc_id").alias("id"), F.col("n_chars").alias("score"), F.lit(x).alias("part"))
+    return part("en").unionByName(part("fr")).orderBy(F.desc("score"), "id").limit(50)
+
+
+@query("filter_intersection", "select doc_id from documents where lang='en' intersect select doc_id from labels where quality=1")
+def filter_intersection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id").intersect(table(spark, sf_dir, "labels").where("quality = 1").select("doc_id"))
+
+
+@query("graph_change_set", """with a as (select l_partkey p, l_suppkey s, sum(l_quantity) w from lineitem where l_orderkey%2=0 group by 1,2), b as (select l_partkey p, l_suppkey s, sum(l_quantity) w from lineitem where l_orderkey%3=0 group by 1,2)
+select coalesce(a.p,b.p) p, coalesce(a.s,b.s) s, case when a.p is null then 'added' when b.p is null then 'removed' else 'updated' end as change from a full join b on a.p=b.p and a.s=b.s where a.w is distinct from b.w""")
+def graph_change_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    edges = lambda m, w: table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % m == 0).groupBy(F.col("l_partkey").alias("p"), F.col("l_suppkey").alias("s")).agg(F.sum("l_quantity").alias(w))
+    both = edges(2, "wa").join(edges(3, "wb"), ["p", "s"], "full_outer").where(~F.col("wa").eqNullSafe(F.col("wb")))
+    return both.select("p", "s", F.when(F.col("wa").isNull(), "added").when(F.col("wb").isNull(), "removed").otherwise("updated").alias("change"))
+
+
+@query("search_merge", "select doc_id, 1 origin from documents where lang='en' union all select doc_id, 2 from labels where doc_id not in (select doc_id from documents where lang='en')")
+def search_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lit(1).alias("origin"))
+    return a.unionByName(table(spark, sf_dir, "labels").join(a, "doc_id", "left_anti").select("doc_id", F.lit(2).alias("origin")))
+
+
+@query("distinct_counts", "select lang, count(distinct source) sources, count(distinct md5(text)) texts from documents group by 1")
+def distinct_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.countDistinct("source").alias("sources"), F.countDistinct(F.md5("text")).alias("texts"))
+
+
+@query("chunk_listing", "with recursive " + CHUNKS.lstrip() + " select doc_id, pos::int pos, length(content)::bigint size from (select *, row_number() over (partition by doc_id order by pos) r from chunks) where r<=1024")
+def chunk_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    w = Window.partitionBy("doc_id").orderBy("pos")
+    return chunks(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 1024").select("doc_id", "pos", F.length("content").cast("long").alias("size"))
+
+
+@query("child_to_parent", """with h as (select l_orderkey q, l_partkey child, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_partkey, l_linenumber) rank from lineitem where l_orderkey<500),
+m as (select *, case when child%4=0 then null else child//10 end parent from h), r as (select *, row_number() over (partition by q, parent order by rank) k from m)
+select q, rank::int rank, child, case when parent is not null and k=1 then 'parent'||parent else 'child'||child end as shown from r""")
+def child_to_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A parent stands in for its first hit; later siblings and children without parent stay."""
+    w = Window.partitionBy("q").orderBy(F.desc("l_extendedprice"), "child", "l_linenumber")
+    h = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("child"), "l_extendedprice", "l_linenumber").withColumn("rank", F.row_number().over(w))
+    m = h.withColumn("parent", F.when(F.col("child") % 4 != 0, F.floor(F.col("child") / 10)))
+    k = F.row_number().over(Window.partitionBy("q", "parent").orderBy("rank"))
+    return m.withColumn("k", k).select("q", "rank", "child", F.when(F.col("parent").isNotNull() & (F.col("k") == 1), F.concat(F.lit("parent"), "parent")).otherwise(F.concat(F.lit("child"), "child")).alias("shown"))

@@ -1,0 +1,81 @@
+"""Streaming versions: each query runs a stream over files to its end and gives the result as a table."""
+
+from __future__ import annotations
+
+import os
+import tempfile
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..plans.registry import query
+
+
+def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, one file or a folder of them, as a stream of files; event times get a time zone, as watermarks ask."""
+    schema = spark.read.parquet(f"{sf_dir}/{name}.parquet").schema
+    rows = spark.readStream.schema(schema).option("maxFilesPerTrigger", 4).parquet(f"{sf_dir}/{name}.parquet*")
+    return rows.withColumns({f.name: F.col(f.name).cast("timestamp") for f in schema if f.dataType.typeName() == "timestamp_ntz"})
+
+
+def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
+    """Run to the end of the input; every batch is a folder of its own in the shared folder, so a repeated
+    batch overwrites itself. In complete and update mode the caller picks the last state of a key."""
+    spark = stream.sparkSession
+    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'tessella-scratch')}").rstrip("/")
+    base = f"{root}/stream-{uuid.uuid4().hex[:12]}"
+
+    def keep(batch: DataFrame, epoch: int) -> None:
+        batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{base}/rows/e{epoch}")
+
+    run = stream.writeStream.outputMode(mode).foreachBatch(keep).option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+    run.awaitTermination()
+    return spark.read.option("recursiveFileLookup", "true").parquet(f"{base}/rows")
+
+
+@query("stream_daily_usage", "select date_trunc('day', ts)::timestamp as day, count(*) n, round(sum(value),2) tokens from events group by 1")
+def stream_daily_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = source(spark, sf_dir, "events").withWatermark("ts", "31 days").groupBy(F.window("ts", "1 day")).agg(F.count("*").alias("n"), F.sum("value").alias("tokens"))
+    rows = drained(e.select(F.col("window.start").alias("day"), "n", "tokens"), "update")
+    last = rows.groupBy("day").agg(F.max(F.struct("_epoch", "n", "tokens")).alias("r"))
+    return last.select("day", "r.n", F.round("r.tokens", 2).alias("tokens"))
+
+
+@query("stream_counters", "select user_id, event_type, count(*) n from events group by 1,2")
+def stream_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = drained(source(spark, sf_dir, "events").groupBy("user_id", "event_type").agg(F.count("*").alias("n")), "update")
+    return rows.groupBy("user_id", "event_type").agg(F.max(F.struct("_epoch", "n")).alias("r")).select("user_id", "event_type", "r.n")
+
+
+@query("stream_dedup", "select user_id, event_type, min(ts) first from events group by 1,2")
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A digest counts once. Within the watermark all its repeats are known; the first time is that of the earliest."""
+    digest = F.md5(F.concat_ws(":", "user_id", "event_type"))
+    e = source(spark, sf_dir, "events").withColumn("digest", digest).withWatermark("ts", "60 days").groupBy("digest", "user_id", "event_type").agg(F.min("ts").alias("first"))
+    rows = drained(e, "update")
+    return rows.groupBy("user_id", "event_type").agg(F.min("first").alias("first"))
+
+
+@query("stream_cancel", "select event_id, user_id from events where user_id not in (select c_custkey from customer where c_custkey%3=0)")
+def stream_cancel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    gone = spark.read.parquet(f"{sf_dir}/customer.parquet").where("c_custkey % 3 = 0").select(F.col("c_custkey").alias("user_id"))
+    return drained(source(spark, sf_dir, "events").select("event_id", "user_id").join(gone, "user_id", "left_anti")).select("event_id", "user_id")
+
+
+@query("stream_ingest", r"select doc_id, count(*) n from (select doc_id, unnest(string_split(coalesce(text,''), chr(10))) l from documents) where trim(l)<>'' group by 1")
+def stream_ingest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents to line chunks as they arrive; a repeated batch writes the same rows again."""
+    d = source(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "l")).where(F.trim("l") != "")
+    rows = drained(d.select("doc_id", "pos", F.md5("l").alias("id")))
+    return rows.dropDuplicates(["doc_id", "pos"]).groupBy("doc_id").agg(F.count("*").alias("n"))
+
+
+@query("stream_liveness", """with x as (select user_id, ts, case when ts-lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end f from events), y as (select *, sum(f) over (partition by user_id order by ts rows unbounded preceding) s from x)
+select user_id, min(ts) first, count(*) beats from y group by user_id, s""")
+def stream_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sessions of a worker: a gap of six hours or more ends one."""
+    e = source(spark, sf_dir, "events").withWatermark("ts", "60 days").groupBy("user_id", F.session_window("ts", "6 hours").alias("w")).agg(F.count("*").alias("beats"))
+    rows = drained(e.select("user_id", F.col("w.start").alias("first"), "beats"), "complete")
+    last = rows.agg(F.max("_epoch").alias("_epoch"))
+    return rows.join(F.broadcast(last), "_epoch").select("user_id", "first", "beats")
