@@ -2,7 +2,7 @@
 
 Level 1 holds the words: the sorted 64-bit hashes of all training words, so that a word's number is its
 rank, with exact counts. Level 2 holds, for each word, its successors: an Elias-Fano sequence of
-pointers (monotone) to the first successor, an Elias-Fano sequence of the successors (made monotone by
+pointers (monotone) to the first successor of each word number, an Elias-Fano sequence of the successors (made monotone by
 the context's place), and a quantised log probability for each. A bigram is found by searching for the
 word within the range of its context. Levels are files that tasks map into memory.
 
@@ -284,12 +284,14 @@ def train(docs: DataFrame, chosen, text: str = "text", mass: int = 4_000_000) ->
         both = [unpacked(d, n) for d, n in zip(pdf.data, pdf.n, strict=True)]
         keys, c = grouped(np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]))
         u, w = keys // lm.size, keys % lm.size
-        contexts, first = np.unique(u, return_index=True)
-        place = np.repeat(np.arange(len(contexts)), np.diff(np.append(first, len(keys)))).astype(np.uint64)
+        low, high = int(u[0]), int(u[-1])
+        pointers = np.concatenate(([0], np.cumsum(np.bincount((u - np.uint64(low)).astype(np.int64), minlength=high - low + 1))))
         cu, cw = lm.counts(u.astype(np.int64)), lm.counts(w.astype(np.int64))
         p = (c + KAPPA * (cw + 1) / (lm.n + lm.v + 1)) / (cu + KAPPA)
         arrays = {"codes": np.minimum(65535, np.round(-np.log10(p) * STEP)).astype(np.uint16)}
-        for name, values, universe in (("contexts", contexts, int(lm.size)), ("pointers", np.append(first, len(keys)), len(keys) + 1), ("successors", place * lm.size + w, len(contexts) * int(lm.size))):
+        arrays["range"] = np.array([low, high])
+        place = u - np.uint64(low)  # makes the successors of all contexts one monotone sequence
+        for name, values, universe in (("pointers", pointers, len(keys) + 1), ("successors", place * lm.size + w, (high - low + 1) * int(lm.size))):
             arrays |= {f"{name}.{k}": a for k, a in EliasFano.encode(values, universe).items()}
         save(folder, f"pairs-{part}", arrays)
         return pd.DataFrame({"part": [part], "n": [len(keys)]})
@@ -355,7 +357,7 @@ class Trie:
     def part(self, k: int) -> dict:
         if k not in self.open:
             raw = mapped(self.model["folder"], f"pairs-{k}")
-            self.open[k] = {"codes": raw["codes"]} | {name: EliasFano({x: raw[f"{name}.{x}"] for x in ("words", "ranks", "lows", "low")}) for name in ("contexts", "pointers", "successors")}
+            self.open[k] = {"codes": raw["codes"], "range": raw["range"]} | {name: EliasFano({x: raw[f"{name}.{x}"] for x in ("words", "ranks", "lows", "low")}) for name in ("pointers", "successors")}
         return self.open[k]
 
     def search(self, ef: EliasFano, low: np.ndarray, high: np.ndarray, target: np.ndarray) -> np.ndarray:
@@ -381,16 +383,11 @@ class Trie:
                 continue
             at = np.flatnonzero(part == k)
             level = self.part(int(k))
-            ctx, ptr, nxt = level["contexts"], level["pointers"], level["successors"]
-            contexts, back = np.unique(u[at], return_inverse=True)
-            c = self.search(ctx, np.zeros(len(contexts), np.int64), np.full(len(contexts), ctx.n), contexts.astype(np.uint64))
-            inside = np.minimum(c, ctx.n - 1)
-            hit = (c < ctx.n) & (ctx.get(inside) == contexts.astype(np.uint64))
-            first, last = ptr.get(inside).astype(np.int64), ptr.get(inside + 1).astype(np.int64)
-            ok = np.flatnonzero(hit[back])
-            at, row = at[ok], inside[back[ok]]
-            target = row.astype(np.uint64) * self.size + w[at]
-            lo, hi = first[back[ok]], last[back[ok]]
+            ptr, nxt, (low, high) = level["pointers"], level["successors"], level["range"].tolist()
+            at = at[(u[at] >= low) & (u[at] <= high)]
+            contexts, back = np.unique(u[at] - low, return_inverse=True)
+            lo, hi = ptr.get(contexts).astype(np.int64)[back], ptr.get(contexts + 1).astype(np.int64)[back]
+            target = (u[at] - low).astype(np.uint64) * self.size + w[at]
             s = self.search(nxt, lo, hi, target)
             known = np.flatnonzero(s < hi)
             known = known[nxt.get(s[known]) == target[known]]
@@ -416,7 +413,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", ident: str = "doc_id
             at = 0
             while at < len(texts):
                 tokens, held, first = [], 0, at
-                while at < len(texts) and (held < 1_000_000 or not tokens):
+                while at < len(texts) and (held < 1_500_000 or not tokens):
                     tokens.append(hashed_tokens(words, texts[at]))
                     held += len(tokens[-1])
                     at += 1
