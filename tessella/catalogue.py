@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import catalog, chunking, graph, retrieval, scalars, store  # noqa: F401  (each registers its queries)
+from .plans import catalog, chunking, graph, hybrid, retrieval, scalars, store  # noqa: F401  (each registers its queries)
 from .plans.registry import QUERIES, SQL
 from .streaming import queries as streams  # noqa: F401
 
