@@ -115,3 +115,8 @@ def having(docs: DataFrame, ids: DataFrame, ident: str, small: int = 2_000_000)
     the rows in a shuffle.
     """
     return docs.join(F.broadcast(ids) if ids.limit(small + 1).count() <= small else ids.hint("merge"), ident, "left_semi")
+
+
+def lacking(docs: DataFrame, ids: DataFrame, ident: str, small: int = 2_000_000) -> DataFrame:
+    """Rows of docs whose `ident` is null or not in ids; the ids travel as in `having`."""
+    return docs.join(F.broadcast(ids) if ids.limit(small + 1).count() <= small else ids.hint("merge"), ident, "left_anti")

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, batches, having, materialise, mix, shingles, words_of
+from .common import WordHash, batches, having, lacking, materialise, mix, shingles, words_of
 from .graph import components
 
 BASE = 1.001  # registers on so fine a scale collide by chance once in a thousand
@@ -259,9 +259,12 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: the one with the smallest doc_id. Rows that are
     repeated in full stay once; texts without words and rows without doc_id are linked with nothing and stay."""
-    kept = near_duplicates(docs).where("kept").select("doc_id").distinct()
-    named = docs.where("doc_id is not null").dropDuplicates(["doc_id", "text"]).join(kept, "doc_id", "left_semi").select(docs.columns)
-    return named.unionByName(docs.where("doc_id is null"))
+    found = materialise(near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("kept").alias("kept")), "found")
+    gone = materialise(found.where("not kept or rows > 1").select("doc_id"), "gone")
+    twice = materialise(found.where("kept and rows > 1").select("doc_id"), "twice")
+    # Texts are shuffled only where one doc_id has several rows.
+    single = lacking(docs, gone, "doc_id").select(docs.columns)
+    return single.unionByName(having(docs, twice, "doc_id").select(docs.columns).dropDuplicates(["doc_id", "text"]))
 
 
 ORACLE_OP2 = r"""
