@@ -28,11 +28,11 @@ def _candidates(spark: SparkSession, sf_dir: str):
 
 
 @query("weighted_fusion", BENCH + POSTED + VEC + """
-select query_id, doc_id, pos, fused from (select *, row_number() over (partition by query_id order by fused desc, doc_id, pos) r from (select query_id, doc_id, pos, round(0.05*score+0.95*cosine,4) fused from cand)) where r<=10""")
+select query_id, doc_id, pos, fused from (select *, row_number() over (partition by query_id order by fused desc, doc_id, pos) r from (select query_id, doc_id, pos, round(0.05*score+0.95*cosine,6) fused from cand)) where r<=10""")
 def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First stage: text match is the filter, the vector carries most of the weight."""
     c, _ = _candidates(spark, sf_dir)
-    fused = c.withColumn("fused", F.round(0.05 * F.col("score") + 0.95 * F.col("cosine"), 4))
+    fused = c.withColumn("fused", F.round(0.05 * F.col("score") + 0.95 * F.col("cosine"), 6))
     return search.top_k(fused, ["doc_id", "pos"], 10, "fused").select("query_id", "doc_id", "pos", "fused")
 
 

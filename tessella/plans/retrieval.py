@@ -141,13 +141,13 @@ def knn_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hits.groupBy("query_id").agg(F.round(F.avg(F.when(F.col("label") == F.col("ql"), 1.0).otherwise(0.0)), 4).alias("precision_at_10"))
 
 
-@query("title_blend", "select a.vec_id, round(0.1*b.embedding[1]::double+0.9*a.embedding[1]::double,5) first, len(a.embedding) dim from embeddings a join embeddings b on b.vec_id=a.label")
+@query("title_blend", "select a.vec_id, round(0.1*b.embedding[1]::double+0.9*a.embedding[1]::double,5)+0.0 as first, len(a.embedding) dim from embeddings a join embeddings b on b.vec_id=a.label")
 def title_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weighted mean of a title vector (here the label's vector) and a content vector."""
     e = table(spark, sf_dir, "embeddings")
     titles = F.broadcast(e.where("vec_id < 10").select(F.col("vec_id").alias("label"), F.col("embedding").alias("title")))  # ten labels
     both = e.join(titles, "label").withColumn("v", F.zip_with("title", "embedding", lambda t, c: 0.1 * t.cast("double") + 0.9 * c.cast("double")))
-    return both.select("vec_id", F.round(F.get("v", F.lit(0)), 5).alias("first"), F.size("v").cast("long").alias("dim"))
+    return both.select("vec_id", (F.round(F.get("v", F.lit(0)), 5) + F.lit(0.0)).alias("first"), F.size("v").cast("long").alias("dim"))
 
 
 @query("highlight", r"""with s as (select doc_id, unnest(string_split(coalesce(text,''),'.')) s, generate_subscripts(string_split(coalesce(text,''),'.'),1) i from documents)

@@ -1,6 +1,7 @@
 """Every query with a SQL twin gives the twin's rows on the smallest tables."""
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tessella import catalogue
@@ -19,7 +20,7 @@ def duck():
 
 def rows(df):
     df = df[sorted(df.columns)]
-    cell = lambda x: "null" if x is None or x != x else str(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
+    cell = lambda x: "null" if pd.isna(x) else str(float(x)) if isinstance(x, (int, float)) and not isinstance(x, bool) else str(x)
     return sorted(tuple(cell(x) for x in r) for r in df.astype(object).itertuples(index=False))
 
 
