@@ -5,9 +5,10 @@ all passages of at least `least` words by their minimum: a node (l, c, r) stands
 begins in [l, c] and ends in [c, r], all with the hash at c as signature. There are about 2n / least
 nodes, so a text of n words gives few rows. Windows with one signature are brought together; each meets
 the first one of its group and, where that leads to no passage, the previous one, so a group of k makes at
-most 2k pairs. A pair of documents
-is verified if windows of at least two hash functions overlap in it; verification aligns the shingles
-and keeps spans of at least `least` words with Jaccard similarity of 0.8 or more.
+most 2k pairs. A pair of documents is verified if windows of at least two hash functions overlap in it, of
+either kind. Windows whose centre lies in no span after that meet all others with their shingle in blocks
+of 4096; such a pair is verified if the words around the two centres share half a passage. Verification aligns
+the shingles and keeps spans of at least `least` words with Jaccard similarity of 0.8 or more.
 
 The later document (larger doc_id) holds the repeat, the earlier one is its source.
 
@@ -27,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import WordHash, batches, having, materialise, mix, shingles, words_of
+from .common import WordHash, batches, having, materialise, mix, partitions, shingles, words_of
 from .decontam import cut_words, merged
 
 WIDTH, LEAST, HASHES, SIMILAR = 5, 50, 6, 0.8
@@ -84,11 +85,11 @@ def _interval(place):
 
 
 def matched(found: DataFrame) -> DataFrame:
-    """(doc_id, place, first, before): windows that share their signature, with the first and the previous window of it."""
+    """(value, doc_id, place, first, before): windows that share their signature, with the first and the previous window of it."""
     order = Window.partitionBy("value").orderBy("doc_id", "place")
     first = F.first(F.struct("doc_id", "place")).over(order.rowsBetween(Window.unboundedPreceding, 0))
     met = found.withColumn("first", first).withColumn("before", F.lag(F.struct("doc_id", "place")).over(order)).where("before is not null")
-    return met.select("doc_id", "place", F.col("first.doc_id").alias("first"), F.col("before.doc_id").alias("before")).where("first < doc_id")
+    return met.select("value", "doc_id", "place", F.col("first.doc_id").alias("first"), F.col("before.doc_id").alias("before")).where("first < doc_id")
 
 
 def candidates(links: DataFrame) -> DataFrame:
@@ -157,18 +158,157 @@ def repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id", least: i
     pairs = materialise(candidates(met.select(F.col("first").alias("a"), F.col("doc_id").alias("b"), "place")), "pairs")
     spans = materialise(verified(pairs, docs, text, ident, least), "spans")
     # Where a first one is of no use (it shares less than a passage), windows that lie in no span yet turn to the previous one.
-    centre = F.shiftright(F.col("place").bitwiseAND((1 << 60) - 1), 28)
-    other = met.where("before <> first and before < doc_id").withColumn("c", centre)
-    held = spans.select(F.col("doc_id").alias("d"), "start", "end").distinct()
-    free = other.join(held, (F.col("doc_id") == F.col("d")) & (F.col("c") >= F.col("start")) & (F.col("c") < F.col("end")), "left_anti")
-    again = candidates(free.select(F.col("before").alias("a"), F.col("doc_id").alias("b"), "place"))
-    again = materialise(again.join(pairs, ["a", "b"], "left_anti"), "again")
+    free = _free(met.where("before <> first and before < doc_id"), spans)
+    asked = free.select(F.col("before").alias("a"), F.col("doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
+    asked = materialise(asked, "asked")
+    # Both kinds of link of such a pair count together.
+    links = [met.select(F.col(k).alias("a"), F.col("doc_id").alias("b"), "place") for k in ("first", "before")]
+    again = materialise(candidates(links[0].unionByName(links[1]).join(asked, ["a", "b"], "left_semi")), "again")
     if again.limit(1).count():
-        spans = spans.unionByName(verified(again, docs, text, ident, least))
+        spans = materialise(spans.unionByName(verified(again, docs, text, ident, least)), "spans")
+    rest = materialise(_rest(met, spans, docs, text, ident, least).join(pairs.unionByName(again), ["a", "b"], "left_anti"), "rest")
+    if rest.limit(1).count():
+        spans = spans.unionByName(verified(rest, docs, text, ident, least))
     one = spans.groupBy("doc_id", "text_key", "start", "end").agg(F.min(F.struct("source_doc_id", "source_start", "source_end", "similarity")).alias("m"))
     return one.select("doc_id", "text_key", "start", "end", "m.*")
 
 
+def _free(met: DataFrame, spans: DataFrame) -> DataFrame:
+    """Windows whose centre lies in no span of their document."""
+    held = spans.select(F.col("doc_id").alias("d"), "start", "end").distinct()
+    c = F.shiftright(F.col("place").bitwiseAND((1 << 60) - 1), 28)
+    return met.withColumn("c", c).join(held, (F.col("doc_id") == F.col("d")) & (F.col("c") >= F.col("start")) & (F.col("c") < F.col("end")), "left_anti").drop("c")
+
+
+BLOCK = 4096
+
+
+def _unmix(x: np.ndarray) -> np.ndarray:
+    """Inverse of mix."""
+    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
+    x = x * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
+    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
+    x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
+    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+
+
+def _rest(met: DataFrame, spans: DataFrame, docs: DataFrame, text: str, ident: str, least: int) -> DataFrame:
+    """(a, b), a < b: what the first and the previous window of a signature have left out.
+
+    Each centre that lies in no span meets all earlier documents' centres with its shingle, whatever their
+    hash function, in blocks of 4096 by 4096. A passage of `least` words over a centre lies within that many
+    words of it on either side: a pair is given out if these surroundings share half the shingles of such a
+    passage, so a frequent line alone makes no pair. The first window of a signature has met all others.
+    """
+    wide = least - WIDTH + 1
+
+    @F.pandas_udf("long")
+    def shingle(value: pd.Series, place: pd.Series) -> pd.Series:
+        return pd.Series((_unmix(value.to_numpy().view(np.uint64)) ^ _SEEDS[place.to_numpy() >> 60]).view(np.int64))
+
+    centre = F.shiftright(F.col("place").bitwiseAND((1 << 60) - 1), 28).cast("int")
+    one = lambda w: w.select(shingle("value", "place").alias("key"), "doc_id", centre.alias("at"))
+    both = one(_free(met, spans)).withColumn("free", F.lit(1)).unionByName(one(met).withColumn("free", F.lit(0)))
+    both = materialise(both.groupBy("key", "doc_id", "at").agg(F.max("free").alias("free")), "centres")
+    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    sizes = both.groupBy("key").agg(F.count("*").alias("n"), F.sum("free").alias("m"), F.min("doc_id").alias("least"), F.max(F.when(F.col("free") == 1, F.col("doc_id"))).alias("most"))
+    sizes = sizes.where("least < most").select("key", blocks(F.col("n")).alias("wide"), blocks(F.col("m")).alias("tall"))
+    crowd = both.join(sizes, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "wide", "tall", "free")).alias("marks"))
+    crowd = materialise(crowd, "crowd")
+    wanted = materialise(crowd.select(F.col("doc_id").alias(ident)), "wanted")
+    source = having(docs.select(F.col(ident).cast("long").alias(ident), text), wanted, ident)
+    kind = pa.schema([("key", pa.int64()), ("row", pa.int32()), ("col", pa.int32()), ("doc_id", pa.int64()), ("side", pa.int32()), ("near", pa.list_(pa.int32()))])
+
+    def around(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words = WordHash()
+        for batch, ids, texts in batches(frames, "doc_id", "body"):
+            marks = batch.column(batch.schema.get_field_index("marks"))
+            rows: list[tuple] = []
+            for k, (doc, t) in enumerate(zip(ids, texts, strict=True)):
+                base = shingles(words.of(words_of(t)), WIDTH)
+                short = (base >> np.uint64(32)).astype(np.uint32).view(np.int32)
+                salt = int(mix(np.array([doc], np.int64).view(np.uint64))[0] >> np.uint64(1))
+                for key, at, n_wide, n_tall, free in zip(*(x.to_pylist() for x in marks[k].values.flatten()), strict=True):
+                    if at >= len(base) or int(base[at].view(np.int64)) != key:
+                        continue  # rows that share a doc_id: centres of this text only
+                    near = np.unique(short[max(0, at - wide + 1) : at + wide])
+                    if len(near) < wide // 2:
+                        continue
+                    cells = {(j, salt % n_wide): 1 for j in range(n_tall)}  # side 1: met, 2: meets, 3: both
+                    if free:
+                        for j in range(n_wide):
+                            cells[salt % n_tall, j] = cells.get((salt % n_tall, j), 0) | 2
+                    rows += [(key, r, c, doc, side, near) for (r, c), side in cells.items()]
+                if len(rows) >= 2000 or k == len(ids) - 1:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), kind, strict=True)] if rows else [pa.array([], f.type) for f in kind], schema=kind)
+                    rows = []
+
+    near = source.select(F.col(ident).alias("k"), F.col(text).alias("body")).join(crowd, F.col("k") == F.col("doc_id")).select("doc_id", "body", "marks")
+    near = near.mapInArrow(around, "key long, row int, col int, doc_id long, side int, near array<int>")
+
+    def meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        last = None
+        for batch in frames:
+            if not batch.num_rows:
+                continue
+            cell = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
+            cut = np.flatnonzero((cell != cell[-1]).any(1))
+            at = int(cut[-1]) + 1 if len(cut) else 0  # the cell that the batch ends in begins here
+            if at or (last is not None and (cell[0] != last).any()):
+                yield shared(held + [batch.slice(0, at)], wide // 2)
+                held = []
+            held.append(batch.slice(at))
+            last = cell[-1]
+        if held:
+            yield shared(held, wide // 2)
+
+    dealt = near.repartition(partitions(docs.sparkSession), "key", "row", "col").sortWithinPartitions("key", "row", "col")
+    return dealt.mapInArrow(meet, "a long, b long").distinct()
+
+
+def shared(parts: list[pa.RecordBatch], least: int) -> pa.RecordBatch:
+    """(a, b), a < b, of the rows (key, row, col, doc_id, side, near) of whole cells: b meets a, and both have `least` shingles of near in common."""
+    table = pa.Table.from_batches(parts).combine_chunks()
+    key, row, col, doc, side = (table.column(k).to_numpy() for k in range(5))
+    n = len(key)
+    out: list[np.ndarray] = []
+    if n:
+        cell = np.concatenate(([0], np.cumsum((np.diff(key) != 0) | (np.diff(row) != 0) | (np.diff(col) != 0))))
+        near = table.column(5).combine_chunks()
+        near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
+        flat, owner = near.flatten().to_numpy(), np.repeat(np.arange(n), near.value_lengths().to_numpy())
+        order = np.lexsort((flat, cell[owner]))
+        owner, flat = owner[order], flat[order]
+        begin = np.concatenate(([0], np.flatnonzero((np.diff(flat) != 0) | (np.diff(cell[owner]) != 0)) + 1))
+        size = np.diff(np.append(begin, len(flat)))
+        # Rows of a posting list: for each entry of a row that meets others, all rows with its shingle.
+        start, length = np.repeat(begin, size), np.repeat(size, size)
+        mine = np.flatnonzero((side[owner] & 2 > 0) & (length > 1))
+        mine = mine[np.argsort(owner[mine], kind="stable")]
+        ends = np.cumsum(length[mine])
+        at = 0
+        while at < len(mine):
+            # As many whole rows as make four million entries, one row at least.
+            done = int(ends[at - 1]) if at else 0
+            to = int(np.searchsorted(ends, done + 4_000_000, "right"))
+            if to < len(mine):
+                to = int(np.searchsorted(owner[mine], owner[mine[to]], "left"))
+            if to <= at:
+                to = int(np.searchsorted(owner[mine], owner[mine[at]], "right"))
+            some = mine[at:to]
+            much = length[some]
+            entry = np.repeat(start[some], much) + np.arange(int(much.sum())) - np.repeat(np.cumsum(much) - much, much)
+            b, a = np.repeat(owner[some], much), owner[entry]
+            ok = (doc[a] < doc[b]) & (side[a] & 1 > 0)
+            pair, times = np.unique(b[ok] * n + a[ok], return_counts=True)
+            pair = pair[times >= least]
+            out.append(np.unique(np.stack([doc[pair % n], doc[pair // n]], 1), axis=0))
+            at = to
+    found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+
+
 def verified(pairs: DataFrame, docs: DataFrame, text: str, ident: str, least: int) -> DataFrame:
     """Spans of the pairs (a, b) that the alignment of their shingles confirms."""
     wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")

@@ -149,6 +149,34 @@ def test_planted_passages_are_found_and_clean_ones_left(spark):
     assert left[2].split() == texts[2][:30] and left[1].split() == texts[1] and left[5].split() == texts[5]
 
 
+def crowded():
+    """Texts whose lines stand in many documents; each planted pair alone has its four lines in one row."""
+    rng = np.random.default_rng(3)
+    fresh = lambda n: [f"v{x}" for x in rng.integers(0, 10**9, n)]
+    frequent, texts, planted = [fresh(15) for _ in range(8)], {}, set()
+    for i in range(120):
+        texts[i] = sum((fresh(30) + frequent[k] for k in rng.permutation(8)), fresh(20))
+    for i in range(20):
+        block = sum((frequent[k] for k in rng.permutation(8)[:4]), [])
+        a, b = 10 + i, 60 + 2 * i
+        texts[a], texts[b] = texts[a] + fresh(30) + block, texts[b] + fresh(30) + block
+        planted.add((b, a))
+    return {i: " ".join(t) for i, t in texts.items()}, planted
+
+
+def test_passages_of_crowded_signatures(spark):
+    texts, planted = crowded()
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    words = passages.WordHash()
+    s = {i: passages.shingles(words.of(passages.words_of(t)), passages.WIDTH) for i, t in texts.items()}
+    true = {(b, a) for b in s for a in s if a < b and passages.align(s[a], s[b], 46)}
+    assert planted <= true
+    got = passages.repeats(df).collect()
+    assert {(r["doc_id"], r["source_doc_id"]) for r in got} <= true
+    assert {r["doc_id"] for r in got} == {b for b, _ in true}
+    assert planted <= {(r["doc_id"], r["source_doc_id"]) for r in got}
+
+
 # -- decontamination
 
 
