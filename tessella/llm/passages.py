@@ -107,46 +107,154 @@ def candidates(links: DataFrame) -> DataFrame:
     return spans.withColumn("over", over).where("over = 1").select("a", "b").distinct()
 
 
-def align(a: np.ndarray, b: np.ndarray, wide: int, similar: float = SIMILAR, gap: int = 20, drift: int = 4) -> list[tuple[int, int, int, int, float]]:
-    """(b begin, b end, a begin, a end, similarity) in shingles, ends exclusive, of the spans that a and b share.
+OFTEN = 8
+
+
+def _grams(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Numbers of the runs of 1, 2, 4 ... shingles that begin at each place of a and of b; as long as both have one in common."""
+    both = np.unique(np.concatenate((a, b)), return_inverse=True)[1].astype(np.int64)
+    out = [(both[: len(a)], both[len(a) :])]
+    k = 1
+    while 2 * k <= min(len(a), len(b)):
+        x, y = out[-1]
+        x, y = (v[:-k] * (len(a) + len(b)) + v[k:] for v in (x, y))
+        both = np.unique(np.concatenate((x, y)), return_inverse=True)[1].astype(np.int64)
+        x, y = both[: len(x)], both[len(x) :]
+        if not np.isin(y, x).any():
+            break
+        out.append((x, y))
+        k *= 2
+    return out
 
-    Equal shingles are sorted by diagonal; neighbours up to `drift` apart are one band, and a band is cut
-    where `gap` shingles have no match. A cut that is long but not similar enough is split at its widest gap.
+
+def _matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Places (p in b, q in a) of equal shingles.
+
+    All places of a shingle that a has at most eight times. Of one that a has more often, the places of the
+    shortest run of 1, 2, 4 ... shingles from there on that a has at most eight times, or else of the longest
+    run that a has at all (one place: all are alike); runs are followed along their diagonals to both sides.
     """
     order = np.argsort(a, kind="stable")
     s = a[order]
     lo, hi = np.searchsorted(s, b, "left"), np.searchsorted(s, b, "right")
-    times = np.minimum(hi - lo, 8)  # of a shingle that repeats in a, places from the first on
-    p = np.repeat(np.arange(len(b)), times)
-    if not len(p):
+    times = hi - lo
+    if not len(b) or times.max(initial=0) <= OFTEN:
+        p = np.repeat(np.arange(len(b)), times)
+        return p, order[np.repeat(lo, times) + (np.arange(len(p)) - np.repeat(np.cumsum(times) - times, times))]
+    levels = _grams(a, b)
+    ps, qs = [], []
+    todo = np.flatnonzero(times)
+    for k, (x, y) in enumerate(levels):
+        order = np.argsort(x, kind="stable")
+        s = x[order]
+        inside = todo[todo < len(y)]
+        lo, hi = np.searchsorted(s, y[inside], "left"), np.searchsorted(s, y[inside], "right")
+        n = hi - lo
+        rare = (n > 0) & (n <= OFTEN)
+        m = n[rare]
+        ps.append(np.repeat(inside[rare], m))
+        qs.append(order[np.repeat(lo[rare], m) + (np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m))])
+        more = inside[n > OFTEN]
+        # Those whose next longer run a does not have, or that end here: one place, unless a run before covers them.
+        if k + 1 < len(levels):
+            after = np.zeros(len(more), bool)
+            fits = more < len(levels[k + 1][1])
+            after[fits] = np.isin(levels[k + 1][1][more[fits]], levels[k + 1][0])
+        else:
+            after = np.zeros(len(more), bool)
+        last, to = more[~after], -1
+        for at in last:
+            if at >= to:
+                ps.append(np.array([at]))
+                qs.append(order[[np.searchsorted(s, y[at], "left")]])
+                to = at + (1 << k)
+        todo = more[after]
+    p, q = np.concatenate(ps), np.concatenate(qs)
+    # To both ends of each run: steps of 2^k shingles, longest first.
+    first, end = np.zeros(len(p), np.int64), np.zeros(len(p), np.int64)
+    for k in range(len(levels) - 1, -1, -1):
+        (x, y), step = levels[k], 1 << k
+        for _ in range(2 if k < len(levels) - 1 else max(1, len(b) // step)):
+            i, j = p + end, q + end
+            ok = (i < len(y)) & (j < len(x))
+            ok[ok] = y[i[ok]] == x[j[ok]]
+            end += ok * step
+            i, j = p - first - step, q - first - step
+            ok2 = (i >= 0) & (j >= 0)
+            ok2[ok2] = y[i[ok2]] == x[j[ok2]]
+            first += ok2 * step
+            if not (ok.any() or ok2.any()):
+                break
+    runs = np.unique(np.stack([p - first, q - first, first + end], 1), axis=0)
+    n = runs[:, 2]
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    return np.repeat(runs[:, 0], n) + step, np.repeat(runs[:, 1], n) + step
+
+
+def _chains(parts: list[np.ndarray], p: np.ndarray, q: np.ndarray, gap: int) -> list[np.ndarray]:
+    """Runs that follow each other in both texts, joined. A step over words that one side lacks may be a
+    quarter as long as what it joins; each run is in one chain."""
+    parts = sorted(parts, key=lambda x: int(p[x[0]]))
+    b0, b1 = np.array([p[x[0]] for x in parts]), np.array([p[x[-1]] + 1 for x in parts])
+    a0, a1 = np.array([q[x].min() for x in parts]), np.array([q[x].max() + 1 for x in parts])
+    score, before = np.array([len(x) for x in parts], float), np.full(len(parts), -1)
+    own = score.copy()
+    for j in range(1, len(parts)):
+        step = np.maximum(b0[j] - b1[:j], a0[j] - a1[:j])
+        ok = (b0[j] > b0[:j]) & (a0[j] > a0[:j]) & (b1[j] > b1[:j]) & (a1[j] > a1[:j]) & (b0[j] >= b1[:j] - WIDTH) & (a0[j] >= a1[:j] - WIDTH) & (step <= gap + (score[:j] + own[j]) / 4)
+        if ok.any():
+            before[j] = int(np.where(ok, score[:j] - np.maximum(step, 0) / 2, -1e18).argmax())
+            score[j] += score[before[j]]
+    out, used = [], np.zeros(len(parts), bool)
+    for j in np.argsort(-score, kind="stable"):
+        chain: list[np.ndarray] = []
+        while j >= 0 and not used[j]:
+            used[j] = True
+            chain.append(parts[j])
+            j = before[j]
+        if chain:
+            out.append(np.concatenate(chain[::-1]))
+    return out
+
+
+def align(a: np.ndarray, b: np.ndarray, wide: int, similar: float = SIMILAR, gap: int = 20, drift: int = 4) -> list[tuple[int, int, int, int, float]]:
+    """(b begin, b end, a begin, a end, similarity) in shingles, ends exclusive, of the spans that a and b share.
+
+    Equal shingles are sorted by diagonal; neighbours up to `drift` apart are one band, and a band is cut
+    where `gap` shingles have no match. Pieces that follow each other in both texts are chained, so words put
+    in or left out don't part a passage. A chain that is long but not similar enough is split at its widest
+    step in either text, and one without steps by diagonal.
+    """
+    p, q = _matches(a, b)
+    if len(p) < wide * similar:
         return []
-    q = order[np.repeat(lo, times) + (np.arange(len(p)) - np.repeat(np.cumsum(times) - times, times))]
     d = q - p
     by = np.lexsort((p, d))
-    cuts = np.flatnonzero(np.diff(d[by]) > drift) + 1
+    parts: list[np.ndarray] = []
+    for band in np.split(by, np.flatnonzero(np.diff(d[by]) > drift) + 1):
+        band = band[np.argsort(p[band], kind="stable")]
+        parts += [x for x in np.split(band, np.flatnonzero(np.diff(p[band]) > gap) + 1) if len(x) >= WIDTH]
     out: list[tuple[int, int, int, int, float]] = []
-    for band in np.split(by, cuts):
-        if len(band) < wide * similar:
+    work = [x for x in (_chains(parts, p, q, gap) if len(parts) > 1 else parts) if len(x) >= wide * similar]
+    while work:
+        run = work.pop()
+        if not len(run):
             continue
-        band = band[np.argsort(p[band], kind="stable")]
-        work = np.split(band, np.flatnonzero(np.diff(p[band]) > gap) + 1)
-        while work:
-            run = work.pop()
-            if not len(run):
-                continue
-            b0, b1, a0, a1 = int(p[run[0]]), int(p[run[-1]]) + 1, int(q[run].min()), int(q[run].max()) + 1
-            if b1 - b0 < wide or a1 - a0 < wide * similar:
-                continue
-            one, two = np.unique(a[a0:a1]), np.unique(b[b0:b1])
-            shared = len(np.intersect1d(one, two, assume_unique=True))
-            j = shared / (len(one) + len(two) - shared)
-            if j >= similar:
-                out.append((b0, b1, a0, a1, j))
-            else:
-                steps = np.diff(p[run])
-                if len(steps) and steps.max() > 1:
-                    k = int(steps.argmax()) + 1
-                    work += [run[:k], run[k:]]
+        b0, b1, a0, a1 = int(p[run].min()), int(p[run].max()) + 1, int(q[run].min()), int(q[run].max()) + 1
+        if b1 - b0 < wide or a1 - a0 < wide * similar:
+            continue
+        one, two = np.unique(a[a0:a1]), np.unique(b[b0:b1])
+        shared = len(np.intersect1d(one, two, assume_unique=True))
+        j = shared / (len(one) + len(two) - shared)
+        if j >= similar:
+            out.append((b0, b1, a0, a1, j))
+            continue
+        steps = np.maximum(np.diff(p[run]), np.abs(np.diff(q[run])))
+        if len(steps) and steps.max() > 1:
+            k = int(steps.argmax()) + 1
+            work += [run[:k], run[k:]]
+        elif len(np.unique(d[run])) > 1:
+            work += [run[d[run] == x] for x in np.unique(d[run])]
     return out
 
 

@@ -149,6 +149,25 @@ def test_planted_passages_are_found_and_clean_ones_left(spark):
     assert left[2].split() == texts[2][:30] and left[1].split() == texts[1] and left[5].split() == texts[5]
 
 
+def test_alignment_over_repeated_lines_and_inserted_words():
+    rng = np.random.default_rng(8)
+    fresh = lambda n: rng.integers(0, 2**62, n).astype(np.uint64)
+    spans = lambda a, b: passages.align(passages.shingles(a, 5), passages.shingles(b, 5), 46)
+    join = lambda *x: np.concatenate(x)
+    line = fresh(10)
+    shared = join(line, fresh(45))
+    a = join(*[join(line, fresh(12)) for _ in range(9)], shared, fresh(20))
+    assert spans(a, join(fresh(30), shared, fresh(30))) == [(30, 81, 198, 249, 1.0)]
+    whole = fresh(90)
+    longer = join(whole[:45], fresh(5), whole[45:])
+    assert [x[:4] for x in spans(join(fresh(9), whole), longer)] == [(0, 91, 9, 95)]
+    assert [x[:4] for x in spans(longer, join(fresh(9), whole))] == [(9, 95, 0, 91)]
+    often = fresh(60)
+    assert (0, 56) in [x[:2] for x in spans(np.tile(often, 12), join(often, fresh(30)))]
+    assert (0, 296) in [x[:2] for x in spans(np.repeat(line[:1], 5000), np.repeat(line[:1], 300))]
+    assert spans(fresh(300), fresh(300)) == []
+
+
 def crowded():
     """Texts whose lines stand in many documents; each planted pair alone has its four lines in one row."""
     rng = np.random.default_rng(3)
