@@ -2,21 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-def settle(df: DataFrame) -> DataFrame:
-    """Cut lineage in a loop by a table in the shared folder of spark.checkpoint.dir."""
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'tessella-scratch')}"
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from ..scratch import materialise
 
 
 def clean_name(col: Column) -> Column:
@@ -54,26 +43,26 @@ def degrees(edges: DataFrame) -> DataFrame:
 
 def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
     """(node, p) of an undirected weighted graph after a fixed number of rounds; no node is without an edge."""
-    u = settle(both_ways(edges))
-    share = settle(u.join(u.groupBy("a").agg(F.sum("w").alias("t")), "a").select("a", "b", (F.col("w") / F.col("t")).alias("s")))
+    u = materialise(both_ways(edges))
+    share = materialise(u.join(u.groupBy("a").agg(F.sum("w").alias("t")), "a").select("a", "b", (F.col("w") / F.col("t")).alias("s")))
     nodes = share.select(F.col("a").alias("node")).distinct()
     n = nodes.count()
     p = nodes.withColumn("p", F.lit(1.0 / max(1, n)))
     for k in range(rounds):
         p = p.join(share, p.node == share.a).groupBy(F.col("b").alias("node")).agg((F.lit((1 - damping) / max(1, n)) + damping * F.sum(F.col("p") * F.col("s"))).alias("p"))
-        p = settle(p) if k % 3 == 2 else p
+        p = materialise(p) if k % 3 == 2 else p
     return p
 
 
 def components(edges: DataFrame, most: int = 60) -> DataFrame:
     """(node, component): smallest node that can be reached, by smallest label and pointer jumping."""
-    u = settle(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = settle(u.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
+    u = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    label = materialise(u.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("component")))
     for _ in range(most):
         near = u.join(label.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         step = label.join(near, "node").select("node", F.col("component").alias("old"), F.least("component", "near").alias("component"))
         ahead = label.select(F.col("node").alias("component"), F.col("component").alias("ahead"))
-        new = settle(step.join(ahead, "component").select("node", "old", F.least("component", "ahead").alias("component")))
+        new = materialise(step.join(ahead, "component").select("node", "old", F.least("component", "ahead").alias("component")))
         label = new.select("node", "component")
         if not new.where("old <> component").limit(1).count():
             return label
@@ -114,10 +103,10 @@ def hops(edges: DataFrame, origins: DataFrame, n: int) -> DataFrame:
 
 def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
     """(node, community): each round a node takes the label with most weight among its neighbours and itself."""
-    u = settle(both_ways(edges))
+    u = materialise(both_ways(edges))
     label = u.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
     for _ in range(rounds):
         votes = u.join(label.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w"))
         best = votes.groupBy("a").agg(F.max(F.struct("w", (-F.col("community")).alias("c"))).alias("m"))
-        label = settle(best.select(F.col("a").alias("node"), (-F.col("m.c")).alias("community")))
+        label = materialise(best.select(F.col("a").alias("node"), (-F.col("m.c")).alias("community")))
     return label

@@ -2,14 +2,11 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..scratch import scratch_path
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,8 +20,7 @@ def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
     """Run to the end of the input; every batch is a folder of its own in the shared folder, so a repeated
     batch overwrites itself. In complete and update mode the caller picks the last state of a key."""
     spark = stream.sparkSession
-    root = (spark.conf.get("spark.checkpoint.dir", None) or f"file://{os.path.join(tempfile.gettempdir(), 'tessella-scratch')}").rstrip("/")
-    base = f"{root}/stream-{uuid.uuid4().hex[:12]}"
+    base = scratch_path(spark, "stream")
 
     def keep(batch: DataFrame, epoch: int) -> None:
         batch.withColumn("_epoch", F.lit(epoch)).write.mode("overwrite").parquet(f"{base}/rows/e{epoch}")
