@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,33 +9,13 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..scratch import discard, materialise, scratch_path  # noqa: F401
+
 #: White space of the word rule `[^\x20\x09-\x0D]+`.
 BLANKS = r"[\x20\x09-\x0D]+"
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
-def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of spark.checkpoint.dir; a temporary one of this machine only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = f"file://{os.path.join(tempfile.gettempdir(), 'tessella-scratch')}"
-    return root.rstrip("/")
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/tessella-{uuid.uuid4().hex[:12]}/{name}"
-
-
-def materialise(df: DataFrame, name: str = "step") -> DataFrame:
-    """Cut lineage: write df as a table in the shared folder and read it back.
-
-    The files outlive any executor, so later jobs don't repeat earlier ones.
-    """
-    path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def ascii_lower(col):
     """Lower-case A-Z only, as the word contracts ask for; other letters stay."""
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -94,10 +71,12 @@ def words_of(text: str | None) -> list[bytes]:
     return [] if not text else text.encode("utf-8", "replace").lower().split()
 
 
-def batches(frame_iter: Iterator, *columns: str):
-    """The named columns of each Arrow batch as Python lists, with the batch itself."""
+def batches(frame_iter: Iterator, *columns: str, rows: int = 512):
+    """The named columns of slices of Arrow batches as Python lists, with the slice itself: few texts are held at once."""
     for batch in frame_iter:
-        yield (batch, *(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in columns))
+        for at in range(0, max(1, batch.num_rows), rows):
+            part = batch.slice(at, rows)
+            yield (part, *(part.column(part.schema.get_field_index(c)).to_pylist() for c in columns))
 
 
 def collect_bounded(df: DataFrame, rows: int, what: str) -> list:

@@ -21,33 +21,25 @@ from .common import BLANKS, materialise
 SYMBOLS = "#*$%&|<>"
 
 
-def _prepared(docs: DataFrame, text: str) -> DataFrame:
-    """Words and lines as arrays, beside the untouched row."""
-    body = F.coalesce(F.col(text), F.lit(""))
-    return docs.select(
-        F.struct("*").alias("row"),
-        body.alias("body"),
-        F.array_remove(F.split(body, BLANKS), "").alias("words"),
-        F.filter(F.split(body, "\n", -1), lambda x: F.length(F.regexp_replace(x, BLANKS, "")) > 0).alias("lines"),
-    )
-
-
 def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     """row struct<all columns> and the counts the rules look at, one row per document.
 
     n_repeat_words: words covered by a 3-word window that the text holds twice or more. Windows are
-    compared by hash: the sorted windows are set against their successors, no pairs are made.
+    hashes; only a text that repeats one has them sorted with their places and set against their successors.
     """
-    word = lambda i: F.get("words", i)
-    windows = F.transform(
-        F.sequence(F.lit(0), F.size("words") - 3),
-        lambda i: F.struct(F.xxhash64(word(i), word(i + 1), word(i + 2)).alias("g"), i.alias("p")),
-    )
-    keyed = _prepared(docs, text).withColumn("windows", F.when(F.size("words") >= 4, windows).otherwise(F.array().cast("array<struct<g:bigint,p:int>>")))
-    ordered = keyed.withColumn(
-        "ordered",
-        F.when(F.size(F.array_distinct("windows.g")) < F.size("windows"), F.sort_array("windows")).otherwise(F.array().cast("array<struct<g:bigint,p:int>>")),
+    body = F.coalesce(F.col(text), F.lit(""))
+    split = docs.select(
+        F.struct("*").alias("row"),
+        body.alias("body"),
+        F.array_remove(F.split(body, BLANKS), "").alias("words"),
+        F.filter(F.split(body, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
     )
+    word = lambda i: F.get("words", i)
+    none = F.array().cast("array<bigint>")
+    hashed = F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(word(i), word(i + 1), word(i + 2)))
+    keyed = split.withColumn("grams", F.when(F.size("words") >= 4, hashed).otherwise(none))
+    placed = F.sort_array(F.transform("grams", lambda g, i: F.struct(g.alias("g"), i.alias("p"))))
+    ordered = keyed.withColumn("ordered", F.when(F.size(F.array_distinct("grams")) < F.size("grams"), placed).otherwise(F.array().cast("array<struct<g:bigint,p:int>>")))
     m = F.greatest(F.size("ordered") - 1, F.lit(0))
     twins = F.flatten(
         F.filter(
@@ -57,21 +49,21 @@ def counts(docs: DataFrame, text: str = "text") -> DataFrame:
     )
     hit = ordered.withColumn("twins", F.array_distinct(twins))
     covered = F.size(F.array_distinct(F.flatten(F.transform("twins", lambda p: F.array(p, p + 1, p + 2)))))
-    chars = F.length("body")
-    tight = F.length(F.regexp_replace("body", BLANKS, ""))
+    left = lambda pattern: F.length(F.regexp_replace("body", pattern, ""))
+    times = lambda pattern: F.regexp_count("body", F.lit(pattern))
     return hit.select(
         "row",
         F.size("words").cast("long").alias("n_words"),
-        tight.cast("long").alias("word_chars"),
-        (chars - F.length(F.translate("body", SYMBOLS, ""))).cast("long").alias("n_symbols"),
+        left(BLANKS).cast("long").alias("word_chars"),
+        times("[" + SYMBOLS + "]").cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         covered.cast("long").alias("n_repeat_words"),
         F.size("lines").cast("long").alias("n_lines"),
-        (chars - F.length(F.regexp_replace("body", r"\p{Lu}", ""))).cast("long").alias("n_upper"),
-        (chars - F.length(F.regexp_replace("body", r"\p{L}", ""))).cast("long").alias("n_letters"),
-        (chars - F.length(F.translate("body", "!?", ""))).cast("long").alias("n_marks"),
+        left(r"\P{Lu}+").cast("long").alias("n_upper"),
+        left(r"\P{L}+").cast("long").alias("n_letters"),
+        times("[!?]").cast("long").alias("n_marks"),
         F.size(F.filter("lines", lambda x: x.rlike(r"[.!?:;\"'”»)]\s*$"))).cast("long").alias("n_closed"),
-        F.size(F.filter("words", lambda w: ~w.rlike(r"[\p{L}\p{N}]"))).cast("long").alias("n_bare"),
+        times(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D\p{L}\p{N}]++(?![^\x20\x09-\x0D])").cast("long").alias("n_bare"),
     )
 
 
