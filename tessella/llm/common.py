@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import xxhash
@@ -54,6 +55,14 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Odd factors of the places in a shingle.
+_PLACE = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
+
+
+#: Odd factors of the places in a shingle.
+_PLACE = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
+
+
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all windows of `width` words; with fewer words, of the whole sequence (none: none)."""
     n = len(hashes)
@@ -62,8 +71,20 @@ def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     width = min(width, n)
     out = np.full(n - width + 1, width, np.uint64)
     for k in range(width):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + hashes[k : n - width + 1 + k])
-    return out
+        out += hashes[k : n - width + 1 + k] * _PLACE[k]
+    return mix(out)
+
+
+def joined_shingles(words: WordHash, texts: list[list[bytes]], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles of many texts in one row, and where each text's begin (and the end); texts under `width` words have none."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    flat = np.fromiter(map(words.__getitem__, chain.from_iterable(texts)), np.uint64, int(sizes.sum()))
+    counts = np.maximum(sizes - width + 1, 0)
+    starts = np.concatenate(([0], np.cumsum(counts)))
+    if not starts[-1]:
+        return flat[:0], starts
+    at = np.arange(starts[-1]) + np.repeat(np.cumsum(sizes) - sizes - starts[:-1], counts)
+    return shingles(flat, width)[at], starts
 
 
 def words_of(text: str | None) -> list[bytes]:

@@ -3,18 +3,25 @@
 For each of `hashes` hash functions, the Cartesian tree of a document's 5-word shingle hashes groups
 all passages of at least `least` words by their minimum: a node (l, c, r) stands for every passage that
 begins in [l, c] and ends in [c, r], all with the hash at c as signature. There are about 2n / least
-nodes, so a text of n words gives few rows. Windows with one signature are brought together; each meets
-the first one of its group and, where that leads to no passage, the previous one, so a group of k makes at
-most 2k pairs. A pair of documents is verified if windows of at least two hash functions overlap in it, of
-either kind. Windows whose centre lies in no span after that meet all others with their shingle in blocks
-of 4096; such a pair is verified if the words around the two centres share half a passage. Verification aligns
-the shingles and keeps spans of at least `least` words with Jaccard similarity of 0.8 or more.
+nodes, so a text of n words gives few rows. Windows with one signature are brought together, and a pair of
+documents is verified if windows of at least two hash functions overlap in it. Verification aligns the
+shingles and keeps spans of at least `least` words with Jaccard similarity of 0.8 or more.
+
+Equal texts are one from the start: later copies are spans of the whole text. In a signature of up to 16
+documents all meet all. In a crowded one each meets the first, and what this leaves without a span goes on
+with a longer signature: the 25 words before, around and after the centre, again all with all up to 16 and
+else with the first, and last the 50 words of each passage over the centre. Documents with one signature
+of 50 words share that passage word by word, so its first document is a source for all, and no passage that
+is repeated exactly is lost by the crowd. (The six hash functions pass over a pair at 0.8 exactly once in
+600, and one at 0.9 once in 18,000.)
 
 The later document (larger doc_id) holds the repeat, the earlier one is its source.
 
-Edges: null and empty texts and texts under `least` words have no passages; a null doc_id is passed
-over; repeats within one document, and between rows that share a doc_id, don't count; documents of any
-length take n log n time; verification compares shingles by 32-bit hashes within the pair.
+Edges: null and empty texts and texts under `least` words have no passages; a doc_id that is null or no
+whole number is passed over; repeats within one document, and between rows that share a doc_id, don't
+count; documents of any length take n log n time; verification compares shingles by 32-bit hashes within
+the pair; a window's reach to either side of its centre is known up to 65535 words, and wider ones overlap
+through the narrower windows inside them.
 """
 
 from __future__ import annotations
@@ -25,86 +32,203 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, batches, having, materialise, mix, partitions, shingles, words_of
+from .common import BLANKS, WordHash, batches, discard, having, joined_shingles, materialise, mix, partitions, shingles, words_of
 from .decontam import cut_words, merged
 
 WIDTH, LEAST, HASHES, SIMILAR = 5, 50, 6, 0.8
 RAW_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, HASHES, np.uint64)
+#: Documents of a signature that all meet all; parts of a signature that holds over 1/2000 of all windows.
+MANY, SALTS = 16, 64
 
 
-def compact_windows(h: np.ndarray, least: int) -> np.ndarray:
-    """Rows (l, c, r) of every Cartesian-tree node at least `least` wide; c is the first place of the minimum."""
-    out: list[int] = []
-    stack = [(0, len(h) - 1)] if len(h) >= least else []
-    while stack:
-        lo, hi = stack.pop()
-        c = lo + int(h[lo : hi + 1].argmin())
-        out += (lo, c, hi)
-        if c - lo >= least:
-            stack.append((lo, c - 1))
-        if hi - c >= least:
-            stack.append((c + 1, hi))
-    return np.array(out, np.int64).reshape(-1, 3)
+def compact_windows(h: np.ndarray, starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(text, c, l, r) of every Cartesian-tree node at least `least` wide, of many texts whose hashes stand in one row.
+
+    Text k has the places from starts[k] to starts[k + 1]; c is the first place of the minimum. The centres
+    are the minima of all runs of `least` places, found by running minima from block ends. The next smaller
+    place to a side of a centre is a centre too, so bounds are found among the centres alone, by jumping over
+    those that are larger.
+    """
+    n = len(h)
+    if n < least:
+        return tuple(np.zeros(0, np.int64) for _ in range(4))
+    bits = np.uint64(int(n).bit_length())
+    key = (h >> bits << bits) | np.arange(n, dtype=np.uint64)  # equal hashes: the first place is the least
+    box = np.full(-(-n // least) * least, 2**64 - 1, np.uint64)
+    box[:n] = key
+    box = box.reshape(-1, least)
+    ahead = np.minimum.accumulate(box, 1).ravel()
+    back = np.minimum.accumulate(box[:, ::-1], 1)[:, ::-1].ravel()
+    low = np.minimum(back[: n - least + 1], ahead[least - 1 : n])
+    edge = np.zeros(n + 1, np.int64)  # runs that begin in a text's last places would end in the next text
+    np.add.at(edge, np.maximum(starts[1:] - least + 1, starts[:-1]), 1)
+    np.add.at(edge, starts[1:], -1)
+    low = low[np.cumsum(edge)[: len(low)] == 0]
+    low = low[np.concatenate((np.ones(min(1, len(low)), bool), low[1:] != low[:-1]))]
+    c = (low & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    text = np.searchsorted(starts, c, "right") - 1
+    bound = []
+    for step, end in ((-1, np.searchsorted(text, text, "left")), (1, np.searchsorted(text, text, "right") - 1)):
+        todo = np.arange(len(c))
+        to = todo + step
+        while len(todo):
+            todo = todo[(to[todo] - end[todo]) * step <= 0]
+            todo = todo[low[to[todo]] > low[todo]]
+            to[todo] = to[to[todo]]
+        bound.append((to, (to - end) * step <= 0))
+    (before, has), (after, had) = bound
+    last = max(0, len(c) - 1)
+    l = np.where(has, c[np.maximum(before, 0)] + 1, starts[text])
+    r = np.where(had, c[np.minimum(after, last)] - 1, starts[text + 1] - 1)
+    return text, c - starts[text], l - starts[text], r - starts[text]
+
+
+def _place(f, c: np.ndarray, left, right) -> np.ndarray:
+    return f << 60 | c << 32 | np.minimum(left, 65535) << 16 | np.minimum(right, 65535)
+
+
+def _parts(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hash function and both ends of windows."""
+    c = place >> 32 & (1 << 28) - 1
+    return place >> 60, c - (place >> 16 & 65535), c + (place & 65535)
+
+
+def _rows(columns: list[list[np.ndarray]], names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x) if x else np.zeros(0, np.int64), pa.int64()) for x in columns], names=names)
 
 
 def windows(docs: DataFrame, text: str, ident: str, hashes: int = HASHES, least: int = LEAST) -> DataFrame:
-    """(value, doc_id, place): signature of a window, and c, c - l, r - c and the hash function in one number."""
+    """(value, doc_id, place): signature of a window, and the hash function, c, c - l and r - c in one number."""
     wide = least - WIDTH + 1
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        for batch, ids, texts in batches(frames, ident, text):
-            for at in range(0, len(ids), 256):
-                values, owners, places = [], [], []
-                for doc, t in zip(ids[at : at + 256], texts[at : at + 256], strict=True):
-                    w = words_of(t) if doc is not None else []
-                    if len(w) < least:
-                        continue
-                    base = shingles(words.of(w), WIDTH)
-                    for f in range(hashes):
-                        h = mix(base ^ _SEEDS[f])
-                        n = compact_windows(h, wide)
-                        l, c, r = n[:, 0], n[:, 1], n[:, 2]
-                        values.append(h[c])
-                        places.append(f << 60 | c << 28 | np.minimum(c - l, 16383) << 14 | np.minimum(r - c, 16383))
-                        owners.append(np.full(len(n), doc))
-                join = lambda x, t: np.concatenate(x).astype(t) if x else np.zeros(0, t)
-                yield pa.RecordBatch.from_arrays([pa.array(join(values, np.uint64).view(np.int64)), pa.array(join(owners, np.int64)), pa.array(join(places, np.int64))], names=["value", "doc_id", "place"])
-
-    return docs.select(F.col(ident).cast("long").alias(ident), text).mapInArrow(run, "value long, doc_id long, place long")
-
-
-def _interval(place):
-    c = place.bitwiseAND((1 << 60) - 1)
-    c = F.shiftright(c, 28)
-    return c - F.shiftright(place, 14).bitwiseAND(16383), c + place.bitwiseAND(16383)
-
-
-def matched(found: DataFrame) -> DataFrame:
-    """(value, doc_id, place, first, before): windows that share their signature, with the first and the previous window of it."""
-    order = Window.partitionBy("value").orderBy("doc_id", "place")
-    first = F.first(F.struct("doc_id", "place")).over(order.rowsBetween(Window.unboundedPreceding, 0))
-    met = found.withColumn("first", first).withColumn("before", F.lag(F.struct("doc_id", "place")).over(order)).where("before is not null")
-    return met.select("value", "doc_id", "place", F.col("first.doc_id").alias("first"), F.col("before.doc_id").alias("before")).where("first < doc_id")
-
-
-def candidates(links: DataFrame) -> DataFrame:
-    """(a, b), a < b: documents with matched windows of two hash functions that overlap in b. links(a, b, place).
-
-    The interval join of a pair is a running maximum: its matched windows in order of begin; one that
-    begins before an earlier one of another function ends lies over it.
+        for _, ids, texts in batches(frames, ident, text):
+            both = [(doc, w) for doc, t in zip(ids, texts, strict=True) if len(w := words_of(t)) >= least]
+            owner = np.array([doc for doc, _ in both], np.int64)
+            base, starts = joined_shingles(words, [w for _, w in both], WIDTH)
+            rows: list[list[np.ndarray]] = [[], [], []]
+            for f in range(hashes if len(base) else 0):
+                h = mix(base ^ _SEEDS[f])
+                k, c, l, r = compact_windows(h, starts, wide)
+                for to, x in zip(rows, (h[starts[k] + c].view(np.int64), owner[k], _place(f, c, c - l, r - c)), strict=True):
+                    to.append(x)
+            yield _rows(rows, ["value", "doc_id", "place"])
+
+    return docs.select(ident, text).mapInArrow(run, "value long, doc_id long, place long")
+
+
+#: Kinds of rows that `meetings` gives out.
+PAIR, CROWD, FIRST = 0, 1, 2
+
+
+def _met(v: np.ndarray, s: np.ndarray, d: np.ndarray, p: np.ndarray, first: int | None = None) -> list[np.ndarray]:
+    """Rows (kind, value, a, b, place) of groups of equal (v, s), sorted by d; with `first`, all are of one crowded
+    group that began with that document."""
+    fresh = np.concatenate(([True], (v[1:] != v[:-1]) | (s[1:] != s[:-1])))
+    other = fresh | np.concatenate(([True], d[1:] != d[:-1]))
+    begin, group = np.flatnonzero(fresh), np.cumsum(fresh) - 1
+    docs, rank = d[other], np.cumsum(other) - 1
+    low = rank[begin]
+    rank = rank - low[group]
+    lead, crowd = docs[low], (np.diff(np.append(low, len(docs))) > MANY) | (s[begin] >= 0)
+    if first is not None:
+        lead, crowd, rank = np.array([first]), np.array([True]), (d != first).astype(np.int64)
+    few = np.flatnonzero((rank > 0) & ~crowd[group])
+    n = rank[few]  # each window meets all earlier documents of its group
+    step = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+    at = np.repeat(few, n)
+    pairs = np.stack([np.full(len(at), PAIR), v[at], docs[low[group[at]] + step], d[at], p[at]])
+    at = np.flatnonzero(crowd[group])
+    crowded = np.stack([np.full(len(at), CROWD), v[at], lead[group[at]], d[at], p[at]])
+    at = np.flatnonzero((s >= 0) & (rank == 0))
+    return [pairs, crowded, np.stack([np.full(len(at), FIRST), v[at], d[at], d[at], p[at]])]
+
+
+def meetings(found: DataFrame, hot: list[int]) -> DataFrame:
+    """(kind, value, a, b, place), a <= b. PAIR: a window of b meets an earlier document. CROWD: a window of a crowded
+    signature and its first document. FIRST: windows of the first document of each part of a hot signature.
+
+    A hot signature is dealt to 64 parts, each a crowd of its own; their first documents meet in a second pass.
     """
-    lo, hi = _interval(F.col("place"))
-    spans = links.where("a < b").select("a", "b", F.shiftright("place", 60).cast("int").alias("f"), lo.cast("int").alias("lo"), hi.cast("int").alias("hi")).distinct()
-    per = Window.partitionBy("a", "b").orderBy("lo", "hi", "f")
-    # For each function the largest end so far; a window lies over another function's if one of the others reaches it.
-    ends = [F.max(F.when(F.col("f") == k, F.col("hi"))).over(per.rowsBetween(Window.unboundedPreceding, -1)) for k in range(HASHES)]
-    over = F.greatest(*[F.when((F.col("f") != k) & (F.coalesce(e, F.lit(-1)) >= F.col("lo")), 1).otherwise(0) for k, e in enumerate(ends)])
-    return spans.withColumn("over", over).where("over = 1").select("a", "b").distinct()
+    salt = F.when(F.col("value").isin(hot), F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))) if hot else F.lit(None)
+    dealt = found.select("value", F.coalesce(salt.cast("long"), F.lit(-1)).alias("salt"), "doc_id", "place")
+    dealt = dealt.repartition(partitions(found.sparkSession), "value", "salt").sortWithinPartitions("value", "salt", "doc_id", "place")
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        none = [np.zeros(0, np.int64)] * 4
+        held, crowd = none, None
+        for batch in frames:
+            cols, rows = [batch.column(k).to_numpy() for k in range(4)], []
+            if crowd is not None and len(cols[0]):  # goes on with the crowd that the last batch ended in
+                same = (cols[0] == crowd[0]) & (cols[1] == crowd[1])
+                k = len(same) if same.all() else int(same.argmin())
+                if k:
+                    rows += _met(*(x[:k] for x in cols), first=crowd[2])
+                    cols = [x[k:] for x in cols]
+                if len(cols[0]):
+                    crowd = None
+            held = [np.concatenate(x) for x in zip(held, cols, strict=True)]
+            v, s, d, _ = held
+            if len(v):
+                cut = int(((v == v[-1]) & (s == s[-1])).argmax())  # the group that the batch ends in begins here
+                if cut:
+                    rows += _met(*(x[:cut] for x in held))
+                held = [x[cut:] for x in held]
+                if len(np.unique(d[cut:])) > MANY:
+                    rows += _met(*held)
+                    crowd, held = (v[cut], s[cut], int(d[cut])), none
+            if rows:
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(rows, 1)], names=["kind", "value", "a", "b", "place"])
+        if len(held[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.concatenate(_met(*held), 1)], names=["kind", "value", "a", "b", "place"])
+
+    out = dealt.mapInArrow(run, "kind long, value long, a long, b long, place long")
+    return out
+
+
+def _all_meetings(found: DataFrame, sample: DataFrame) -> DataFrame:
+    """Meetings with hot signatures dealt apart; `sample` (windows of a fiftieth of the documents) only says which are hot."""
+    total = sample.count()
+    hot = [r["value"] for r in sample.groupBy("value").count().where(f"count > greatest({total} / 2000, 50)").collect()]  # fewer than 2000
+    met = materialise(meetings(found, hot), "met")
+    if hot:
+        firsts = met.where(f"kind = {FIRST}").select("value", F.col("b").alias("doc_id"), "place")
+        met = met.unionByName(materialise(meetings(firsts, []), "met"))
+    return met
+
+
+def _overlap(places: np.ndarray) -> bool:
+    """Windows of two hash functions overlap: in order of begin, one begins before an earlier one of another function ends."""
+    f, lo, hi = _parts(places)
+    order = np.argsort(lo, kind="stable")
+    best: dict[int, int] = {}
+    for k in order.tolist():
+        if any(g != f[k] and end >= lo[k] for g, end in best.items()):
+            return True
+        best[int(f[k])] = max(best.get(int(f[k]), -1), int(hi[k]))
+    return False
+
+
+def candidates(met: DataFrame) -> DataFrame:
+    """(a, b), a < b: documents with matched windows of two hash functions that overlap in b."""
+    links = met.where(f"kind <> {FIRST} and a < b")
+    per = links.groupBy("a", "b").agg(F.collect_set("place").alias("places"))
+    per = per.where(F.size(F.array_distinct(F.transform("places", lambda p: F.shiftright(p, 60)))) > 1)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frames:
+            places = batch.column(2)
+            flat, size = places.flatten().to_numpy(), places.value_lengths().to_numpy()
+            ends = np.cumsum(size)
+            keep = [_overlap(flat[e - n : e]) for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return per.mapInArrow(run, "a long, b long")
 
 
 OFTEN = 8
@@ -261,160 +385,77 @@ def align(a: np.ndarray, b: np.ndarray, wide: int, similar: float = SIMILAR, gap
 def repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id", least: int = LEAST) -> DataFrame:
     """One row for each repeated span: doc_id, text_key, start, end (words), source_doc_id, source_start,
     source_end, similarity. A span found with several sources is given with the smallest one."""
-    docs = docs.select(ident, text)
-    met = materialise(matched(windows(docs, text, ident, least=least)), "met")
-    pairs = materialise(candidates(met.select(F.col("first").alias("a"), F.col("doc_id").alias("b"), "place")), "pairs")
-    spans = materialise(verified(pairs, docs, text, ident, least), "spans")
-    # Where a first one is of no use (it shares less than a passage), windows that lie in no span yet turn to the previous one.
-    free = _free(met.where("before <> first and before < doc_id"), spans)
-    asked = free.select(F.col("before").alias("a"), F.col("doc_id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti")
-    asked = materialise(asked, "asked")
-    # Both kinds of link of such a pair count together.
-    links = [met.select(F.col(k).alias("a"), F.col("doc_id").alias("b"), "place") for k in ("first", "before")]
-    again = materialise(candidates(links[0].unionByName(links[1]).join(asked, ["a", "b"], "left_semi")), "again")
-    if again.limit(1).count():
-        spans = materialise(spans.unionByName(verified(again, docs, text, ident, least)), "spans")
-    rest = materialise(_rest(met, spans, docs, text, ident, least).join(pairs.unionByName(again), ["a", "b"], "left_anti"), "rest")
-    if rest.limit(1).count():
-        spans = spans.unionByName(verified(rest, docs, text, ident, least))
-    one = spans.groupBy("doc_id", "text_key", "start", "end").agg(F.min(F.struct("source_doc_id", "source_start", "source_end", "similarity")).alias("m"))
+    docs = docs.select(F.col(ident).try_cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
+    digests = materialise(docs.select("doc_id", F.md5("text").alias("digest")), "digests")
+    first = digests.groupBy("digest").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most"))
+    own = materialise(first.select(F.col("source").alias("doc_id")).distinct(), "own")
+    copies = materialise(digests.join(first.where("source < most"), "digest").where("source < doc_id").groupBy("doc_id", "digest").agg(F.min("source").alias("source")), "copies")
+    words = F.size(F.array_remove(F.split("text", BLANKS), ""))
+    whole = having(docs, materialise(copies.select("doc_id").distinct(), "copy_ids"), "doc_id").select("doc_id", F.md5("text").alias("digest"), F.xxhash64("text").alias("text_key"), words.alias("end"))
+    whole = whole.join(copies, ["doc_id", "digest"]).where(F.col("end") >= least).distinct()
+    whole = whole.select("doc_id", "text_key", F.lit(0).alias("start"), "end", F.col("source").alias("source_doc_id"), F.lit(0).alias("source_start"), F.col("end").alias("source_end"), F.lit(1.0).alias("similarity"))
+    docs = having(docs, own, "doc_id")
+
+    some = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(50)) == 0)
+    met = _all_meetings(windows(docs, "text", "doc_id", least=least), materialise(windows(some, "text", "doc_id", least=least).select("value"), "some"))
+    pairs = materialise(candidates(met), "pairs")
+    spans = materialise(verified(pairs, docs, "text", "doc_id", least), "spans")
+    for width, offsets in ((LONGER, (LONGER - 1, LONGER // 2, 0)), (least - WIDTH + 1, range(least - WIDTH + 1))):
+        free = materialise(_free(met.where(f"kind = {CROWD}"), spans).groupBy("doc_id").agg(F.collect_set("c").alias("marks")), "free")
+        longer = materialise(longer_windows(free, docs, width, offsets), "longer")
+        met = _all_meetings(longer, longer.where(F.pmod(F.xxhash64("doc_id"), F.lit(50)) == 0))
+        more = met.where(f"kind <> {FIRST} and a < b").select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
+        more = materialise(more, "more")
+        if more.limit(1).count():
+            pairs = pairs.unionByName(more)
+            spans = spans.unionByName(materialise(verified(more, docs, "text", "doc_id", least), "spans"))
+    one = spans.unionByName(whole).groupBy("doc_id", "text_key", "start", "end").agg(F.min(F.struct("source_doc_id", "source_start", "source_end", "similarity")).alias("m"))
     return one.select("doc_id", "text_key", "start", "end", "m.*")
 
 
-def _free(met: DataFrame, spans: DataFrame) -> DataFrame:
-    """Windows whose centre lies in no span of their document."""
-    held = spans.select(F.col("doc_id").alias("d"), "start", "end").distinct()
-    c = F.shiftright(F.col("place").bitwiseAND((1 << 60) - 1), 28)
-    return met.withColumn("c", c).join(held, (F.col("doc_id") == F.col("d")) & (F.col("c") >= F.col("start")) & (F.col("c") < F.col("end")), "left_anti").drop("c")
+LONGER = 21  # shingles, 25 words
 
 
-BLOCK = 4096
+def _free(crowd: DataFrame, spans: DataFrame) -> DataFrame:
+    """(doc_id, c): centres of crowded windows that lie in no span of their document."""
+    held = spans.select(F.col("doc_id").alias("d"), "start", "end").distinct()
+    c = F.shiftright("place", 32).bitwiseAND((1 << 28) - 1).cast("int")
+    one = crowd.select(F.col("b").alias("doc_id"), c.alias("c")).distinct()
+    return one.join(held, (F.col("doc_id") == F.col("d")) & (F.col("c") >= F.col("start")) & (F.col("c") < F.col("end")), "left_anti")
 
 
-def _unmix(x: np.ndarray) -> np.ndarray:
-    """Inverse of mix."""
-    x = x ^ (x >> np.uint64(31)) ^ (x >> np.uint64(62))
-    x = x * np.uint64(pow(0x94D049BB133111EB, -1, 1 << 64))
-    x = x ^ (x >> np.uint64(27)) ^ (x >> np.uint64(54))
-    x = x * np.uint64(pow(0xBF58476D1CE4E5B9, -1, 1 << 64))
-    return x ^ (x >> np.uint64(30)) ^ (x >> np.uint64(60))
+_STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _rest(met: DataFrame, spans: DataFrame, docs: DataFrame, text: str, ident: str, least: int) -> DataFrame:
-    """(a, b), a < b: what the first and the previous window of a signature have left out.
+def _run_hashes(base: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the `width` shingles from each of `begin` on: differences of one polynomial's running sums."""
+    power = np.concatenate((np.ones(1, np.uint64), np.cumprod(np.full(len(base), _STEP))))
+    back = np.cumprod(np.concatenate((np.ones(1, np.uint64), np.full(len(base), np.uint64(pow(int(_STEP), -1, 1 << 64))))))
+    sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(base * power[:-1])))
+    return mix((sums[begin + width] - sums[begin]) * back[begin])
 
-    Each centre that lies in no span meets all earlier documents' centres with its shingle, whatever their
-    hash function, in blocks of 4096 by 4096. A passage of `least` words over a centre lies within that many
-    words of it on either side: a pair is given out if these surroundings share half the shingles of such a
-    passage, so a frequent line alone makes no pair. The first window of a signature has met all others.
-    """
-    wide = least - WIDTH + 1
 
-    @F.pandas_udf("long")
-    def shingle(value: pd.Series, place: pd.Series) -> pd.Series:
-        return pd.Series((_unmix(value.to_numpy().view(np.uint64)) ^ _SEEDS[place.to_numpy() >> 60]).view(np.int64))
-
-    centre = F.shiftright(F.col("place").bitwiseAND((1 << 60) - 1), 28).cast("int")
-    one = lambda w: w.select(shingle("value", "place").alias("key"), "doc_id", centre.alias("at"))
-    both = one(_free(met, spans)).withColumn("free", F.lit(1)).unionByName(one(met).withColumn("free", F.lit(0)))
-    both = materialise(both.groupBy("key", "doc_id", "at").agg(F.max("free").alias("free")), "centres")
-    blocks = lambda n: F.ceil(n / BLOCK).cast("int")
-    sizes = both.groupBy("key").agg(F.count("*").alias("n"), F.sum("free").alias("m"), F.min("doc_id").alias("least"), F.max(F.when(F.col("free") == 1, F.col("doc_id"))).alias("most"))
-    sizes = sizes.where("least < most").select("key", blocks(F.col("n")).alias("wide"), blocks(F.col("m")).alias("tall"))
-    crowd = both.join(sizes, "key").groupBy("doc_id").agg(F.collect_list(F.struct("key", "at", "wide", "tall", "free")).alias("marks"))
-    crowd = materialise(crowd, "crowd")
-    wanted = materialise(crowd.select(F.col("doc_id").alias(ident)), "wanted")
-    source = having(docs.select(F.col(ident).cast("long").alias(ident), text), wanted, ident)
-    kind = pa.schema([("key", pa.int64()), ("row", pa.int32()), ("col", pa.int32()), ("doc_id", pa.int64()), ("side", pa.int32()), ("near", pa.list_(pa.int32()))])
-
-    def around(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def longer_windows(free: DataFrame, docs: DataFrame, width: int, offsets) -> DataFrame:
+    """(value, doc_id, place): signatures of `width` shingles that hold a centre of `marks` at one of the offsets."""
+    wanted = materialise(free.select("doc_id"), "wanted")
+    both = having(docs, wanted, "doc_id").join(free, "doc_id").select("doc_id", "text", "marks")
+    shift = np.array(offsets, np.int64)
+
+    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        for batch, ids, texts in batches(frames, "doc_id", "body"):
-            marks = batch.column(batch.schema.get_field_index("marks"))
-            rows: list[tuple] = []
-            for k, (doc, t) in enumerate(zip(ids, texts, strict=True)):
+        for _, ids, texts, marks in batches(frames, "doc_id", "text", "marks"):
+            rows: list[list[np.ndarray]] = [[], [], []]
+            for doc, t, m in zip(ids, texts, marks, strict=True):
                 base = shingles(words.of(words_of(t)), WIDTH)
-                short = (base >> np.uint64(32)).astype(np.uint32).view(np.int32)
-                salt = int(mix(np.array([doc], np.int64).view(np.uint64))[0] >> np.uint64(1))
-                for key, at, n_wide, n_tall, free in zip(*(x.to_pylist() for x in marks[k].values.flatten()), strict=True):
-                    if at >= len(base) or int(base[at].view(np.int64)) != key:
-                        continue  # rows that share a doc_id: centres of this text only
-                    near = np.unique(short[max(0, at - wide + 1) : at + wide])
-                    if len(near) < wide // 2:
-                        continue
-                    cells = {(j, salt % n_wide): 1 for j in range(n_tall)}  # side 1: met, 2: meets, 3: both
-                    if free:
-                        for j in range(n_wide):
-                            cells[salt % n_tall, j] = cells.get((salt % n_tall, j), 0) | 2
-                    rows += [(key, r, c, doc, side, near) for (r, c), side in cells.items()]
-                if len(rows) >= 2000 or k == len(ids) - 1:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), kind, strict=True)] if rows else [pa.array([], f.type) for f in kind], schema=kind)
-                    rows = []
-
-    near = source.select(F.col(ident).alias("k"), F.col(text).alias("body")).join(crowd, F.col("k") == F.col("doc_id")).select("doc_id", "body", "marks")
-    near = near.mapInArrow(around, "key long, row int, col int, doc_id long, side int, near array<int>")
-
-    def meet(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        last = None
-        for batch in frames:
-            if not batch.num_rows:
-                continue
-            cell = np.stack([batch.column(k).to_numpy() for k in range(3)], 1)
-            cut = np.flatnonzero((cell != cell[-1]).any(1))
-            at = int(cut[-1]) + 1 if len(cut) else 0  # the cell that the batch ends in begins here
-            if at or (last is not None and (cell[0] != last).any()):
-                yield shared(held + [batch.slice(0, at)], wide // 2)
-                held = []
-            held.append(batch.slice(at))
-            last = cell[-1]
-        if held:
-            yield shared(held, wide // 2)
-
-    dealt = near.repartition(partitions(docs.sparkSession), "key", "row", "col").sortWithinPartitions("key", "row", "col")
-    return dealt.mapInArrow(meet, "a long, b long").distinct()
-
-
-def shared(parts: list[pa.RecordBatch], least: int) -> pa.RecordBatch:
-    """(a, b), a < b, of the rows (key, row, col, doc_id, side, near) of whole cells: b meets a, and both have `least` shingles of near in common."""
-    table = pa.Table.from_batches(parts).combine_chunks()
-    key, row, col, doc, side = (table.column(k).to_numpy() for k in range(5))
-    n = len(key)
-    out: list[np.ndarray] = []
-    if n:
-        cell = np.concatenate(([0], np.cumsum((np.diff(key) != 0) | (np.diff(row) != 0) | (np.diff(col) != 0))))
-        near = table.column(5).combine_chunks()
-        near = near.chunk(0) if isinstance(near, pa.ChunkedArray) else near
-        flat, owner = near.flatten().to_numpy(), np.repeat(np.arange(n), near.value_lengths().to_numpy())
-        order = np.lexsort((flat, cell[owner]))
-        owner, flat = owner[order], flat[order]
-        begin = np.concatenate(([0], np.flatnonzero((np.diff(flat) != 0) | (np.diff(cell[owner]) != 0)) + 1))
-        size = np.diff(np.append(begin, len(flat)))
-        # Rows of a posting list: for each entry of a row that meets others, all rows with its shingle.
-        start, length = np.repeat(begin, size), np.repeat(size, size)
-        mine = np.flatnonzero((side[owner] & 2 > 0) & (length > 1))
-        mine = mine[np.argsort(owner[mine], kind="stable")]
-        ends = np.cumsum(length[mine])
-        at = 0
-        while at < len(mine):
-            # As many whole rows as make four million entries, one row at least.
-            done = int(ends[at - 1]) if at else 0
-            to = int(np.searchsorted(ends, done + 4_000_000, "right"))
-            if to < len(mine):
-                to = int(np.searchsorted(owner[mine], owner[mine[to]], "left"))
-            if to <= at:
-                to = int(np.searchsorted(owner[mine], owner[mine[at]], "right"))
-            some = mine[at:to]
-            much = length[some]
-            entry = np.repeat(start[some], much) + np.arange(int(much.sum())) - np.repeat(np.cumsum(much) - much, much)
-            b, a = np.repeat(owner[some], much), owner[entry]
-            ok = (doc[a] < doc[b]) & (side[a] & 1 > 0)
-            pair, times = np.unique(b[ok] * n + a[ok], return_counts=True)
-            pair = pair[times >= least]
-            out.append(np.unique(np.stack([doc[pair % n], doc[pair // n]], 1), axis=0))
-            at = to
-    found = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), np.int64)
-    return pa.RecordBatch.from_arrays([pa.array(found[:, 0]), pa.array(found[:, 1])], names=["a", "b"])
+                c = np.array(m, np.int64)
+                begin, c = (c[:, None] - shift).ravel(), np.repeat(c, len(shift))
+                inside = (begin >= 0) & (begin + width <= len(base))
+                begin, at = np.unique(begin[inside], return_index=True)
+                for to, x in zip(rows, (_run_hashes(base, begin, width).view(np.int64), np.full(len(begin), doc), _place(7, c[inside][at], 0, 0)), strict=True):
+                    to.append(x)
+            yield _rows(rows, ["value", "doc_id", "place"])
+
+    return both.mapInArrow(run, "value long, doc_id long, place long")
 
 
 def verified(pairs: DataFrame, docs: DataFrame, text: str, ident: str, least: int) -> DataFrame:
@@ -457,9 +498,10 @@ def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; repeated spans are cut from the later ones. A document with nothing else left goes."""
     found = materialise(repeats(docs).groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("start", "end")).alias("spans")), "cut")
-    keyed = docs.select(F.struct("*").alias("row"), F.col("text").alias("body"), F.col("doc_id").cast("long").alias("k"), F.xxhash64("text").alias("h"))
-    # A row for each document with a repeat: up to 500,000 of them go to the tasks, more meet the texts in a shuffle.
-    found = F.broadcast(found) if found.limit(500_001).count() <= 500_000 else found
+    keyed = docs.select(F.struct("*").alias("row"), F.col("text").alias("body"), F.col("doc_id").try_cast("long").alias("k"), F.xxhash64("text").alias("h"))
+    # A row for each document with a repeat: up to a million spans in all (8 MB) go to the tasks, more meet the texts in a shuffle.
+    held = found.agg(F.coalesce(F.sum(F.size("spans")), F.lit(0))).first()[0]
+    found = F.broadcast(found) if held <= 1_000_000 else found.hint("merge")
     both = keyed.join(found, (keyed.k == found.doc_id) & (keyed.h == found.text_key), "left").select("row", "body", "spans")
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -469,5 +511,5 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     out = both.mapInArrow(run, both.select("row", "body", F.lit(True).alias("cut")).schema)
     n = F.length("body").cast("long")
-    kept = out.where(~F.col("cut") | (F.trim("body") != ""))
+    kept = out.where(~F.col("cut") | F.col("body").rlike(r"[^\x20\x09-\x0D]"))
     return kept.select(*[F.col("body").alias(c) if c == "text" else F.when(F.col("cut"), n).otherwise(F.col("row.n_chars")).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

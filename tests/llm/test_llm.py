@@ -125,12 +125,31 @@ def test_sharding_laws(spark, edge, empty):
 
 
 def test_compact_windows_cover_every_passage_once():
-    h = np.random.default_rng(1).permutation(40)
-    found = passages.compact_windows(h, 5)
-    for i in range(40):
-        for j in range(i + 4, 40):
-            inside = [(l, c, r) for l, c, r in found if l <= i <= c <= j <= r]
-            assert len(inside) == 1 and h[inside[0][1]] == h[i : j + 1].min()
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, 2**40, n).astype(np.uint64) << np.uint64(20) for n in (40, 3, 5, 0, 17, 4, 60)] + [np.arange(30, dtype=np.uint64)[::-1] << np.uint64(20), np.full(25, 7, np.uint64) << np.uint64(20)]
+    starts = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
+    found = list(zip(*(x.tolist() for x in passages.compact_windows(np.concatenate(texts), starts, 5)), strict=True))
+    for k, h in enumerate(texts):
+        for i in range(len(h)):
+            for j in range(i + 4, len(h)):
+                inside = [(l, c, r) for t, c, l, r in found if t == k and l <= i <= c <= j <= r]
+                assert len(inside) == 1 and inside[0][1] == i + int(h[i : j + 1].argmin())
+    assert {t for t, *_ in found} == {0, 2, 4, 6, 7, 8}
+
+
+def test_meetings_of_crowds_and_hot_signatures(spark):
+    rows = [(1, d, d) for d in range(5)] + [(2, d, d) for d in range(40)] + [(3, 9, 0)] + [(4, d % 300, d) for d in range(900)]
+    df = spark.createDataFrame(rows, "value long, doc_id long, place long")
+    for hot in ([], [4]):
+        got = passages.meetings(df, hot).collect()
+        pairs = {(r["value"], r["a"], r["b"]) for r in got if r["kind"] == passages.PAIR}
+        assert pairs == {(1, a, b) for b in range(5) for a in range(b)}
+        crowd = {(r["value"], r["a"], r["b"]) for r in got if r["kind"] == passages.CROWD}
+        assert {(v, b) for v, _, b in crowd} == {(2, d) for d in range(40)} | {(4, d) for d in range(300)}
+        assert {a for v, a, _ in crowd if v == 2} == {0} and (len({a for v, a, _ in crowd if v == 4}) == 1) == (hot == [])
+        firsts = {r["b"] for r in got if r["kind"] == passages.FIRST}
+        assert firsts == {a for v, a, _ in crowd if v == 4 and hot}
+        assert sum(r["kind"] == passages.CROWD and r["value"] == 4 for r in got) == 900
 
 
 def test_planted_passages_are_found_and_clean_ones_left(spark):
@@ -196,6 +215,20 @@ def test_passages_of_crowded_signatures(spark):
     assert planted <= {(r["doc_id"], r["source_doc_id"]) for r in got}
 
 
+def test_passages_of_copies_and_edges(spark, edge, empty):
+    found = passages.repeats(edge).collect()
+    assert {(r["doc_id"], r["source_doc_id"]) for r in found} == {(8, 7)}
+    assert decontam.merged([(r["start"], r["end"]) for r in found]) == [(0, 60_000)]
+    assert passages.repeats(empty).count() == 0 and passages.stage(spark, empty, SF).count() == 0
+    text = " ".join(f"q{i}" for i in range(70))
+    rows = [("3", text), ("1", text), ("x", text), (None, text), ("2", text), ("2", text), ("4", text + " more"), ("5", " ".join(text.split()[:49]))]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = {(r["doc_id"], r["source_doc_id"]): (r["start"], r["end"]) for r in passages.repeats(df).collect()}
+    assert got == {(2, 1): (0, 70), (3, 1): (0, 70), (4, 1): (0, 70)}
+    kept = passages.stage(spark, edge, SF)
+    assert kept.columns == edge.columns and kept.where("doc_id = 8").first()["text"].strip() == "tail" and kept.count() == edge.count()
+
+
 # -- decontamination
 
 
