@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, batches, having, lacking, materialise, mix, shingles, words_of
+from .common import WordHash, batches, having, lacking, materialise, mix, shingles
 from .graph import components
 
 BASE = 1.001  # registers on so fine a scale collide by chance once in a thousand
@@ -44,8 +44,9 @@ class Sketcher:
         draw = np.random.default_rng(seed).integers(1, 2**63, (2, registers), np.uint64)
         self.factor, self.shift = draw[0] | np.uint64(1), draw[1]
 
-    def shingle_set(self, text: str | None) -> np.ndarray:
-        return np.unique(shingles(self.words.of(words_of(text)), self.width))
+    def shingle_sets(self, texts: list[str | None]) -> list[np.ndarray]:
+        flat, sizes = self.words.joined(texts)
+        return [np.unique(shingles(w, self.width)) for w in np.split(flat, np.cumsum(sizes)[:-1])]
 
     def sketch(self, sets: list[np.ndarray]) -> np.ndarray:
         """Registers (documents x registers) of sets that are not empty."""
@@ -92,7 +93,7 @@ def sketched(docs: DataFrame, text: str, ident: str, width: int = 3) -> DataFram
         made = Sketcher(width)
         for batch, ids, texts in batches(frames, ident, text):
             for at in range(0, len(ids), 500):
-                sets = [made.shingle_set(t) for t in texts[at : at + 500]]
+                sets = made.shingle_sets(texts[at : at + 500])
                 full = [k for k, s in enumerate(sets) if len(s)]
                 registers = made.sketch([sets[k] for k in full]) if full else []
                 keys: list = [None] * len(sets)
@@ -112,7 +113,7 @@ def shingle_sets(docs: DataFrame, text: str, ident: str, width: int = 3) -> Data
         made = Sketcher(width)
         for batch, texts in batches(frames, text):
             for at in range(0, len(texts), 200):
-                sets = [made.shingle_set(t).view(np.int64) for t in texts[at : at + 200]]
+                sets = [s.view(np.int64) for s in made.shingle_sets(texts[at : at + 200])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(sets)), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return docs.select(ident, text).mapInArrow(run, f"node {docs.schema[ident].dataType.simpleString()}, shingles array<long>")

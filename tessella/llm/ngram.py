@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, batches, materialise, scratch_path, words_of
+from .common import WordHash, batches, materialise, scratch_path
 
 END, BEGIN = np.uint64(1), np.uint64(0)  # hashes kept for the end of a text and what stands before it
 STEP = 4096.0  # codes are -log10 p in steps of 1/4096
@@ -136,10 +136,11 @@ class Words:
         return number, count, below
 
 
-def hashed_tokens(words: WordHash, text: str | None) -> np.ndarray:
-    """Hashes of the words and the end; the two kept values are moved aside by one bit."""
-    h = words.of(words_of(text))
-    return np.append(np.where(h <= END, h + np.uint64(2), h), END)
+def hashed_tokens(words: WordHash, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of each text and of its end, in one row, and the number of tokens of each text; the two
+    kept values are moved aside by one bit."""
+    h, sizes = words.joined(texts)
+    return np.insert(np.where(h <= END, h + np.uint64(2), h), np.cumsum(sizes), END), sizes + 1
 
 
 def grouped(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
@@ -232,9 +233,8 @@ def train(docs: DataFrame, chosen, text: str = "text", mass: int = 4_000_000) ->
                 [pa.array(top[cuts[:-1]].astype(np.int32) if spans else [], pa.int32()), pa.array([packed(h[a:b], c[a:b]) for a, b in spans], pa.binary()), pa.array([b - a for a, b in spans], pa.int32()), pa.array([int(c[a:b].sum()) for a, b in spans], pa.int64())], names=["top", "data", "n", "tokens"])
 
         for _, texts in batches(frames, text):
-            for t in texts:
-                if held.add(hashed_tokens(words, t)):
-                    yield give()
+            if held.add(hashed_tokens(words, texts)[0]):
+                yield give()
         yield give()
 
     counted = materialise(rows.mapInArrow(count_words, "top int, data binary, n int, tokens long"), "words")
@@ -274,9 +274,8 @@ def train(docs: DataFrame, chosen, text: str = "text", mass: int = 4_000_000) ->
 
         words = WordHash()
         for _, texts in batches(frames, text):
-            for at in range(0, len(texts), 256):
-                if held.add(lm.pair_keys([hashed_tokens(words, t) for t in texts[at : at + 256]])[0]):
-                    yield give()
+            if held.add(lm.pair_keys(*hashed_tokens(words, texts))[0]):
+                yield give()
         yield give()
 
     def write_pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -342,17 +341,15 @@ class Trie:
         mass[ends] = self.n + self.ends * (w[ends] / float(self.size))
         return np.minimum((mass / (self.n + self.ends + 1) * self.parts).astype(np.int64), self.parts - 1)
 
-    def pair_keys(self, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Key of each (previous, word), each word's count and the lengths of the texts."""
-        flat = np.concatenate(tokens)
+    def pair_keys(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Key of each (previous, word) and each word's count."""
         distinct, back = np.unique(flat, return_inverse=True)
         number, count, _ = self.words.look_up(distinct)
         number = np.where(number < 0, self.unseen, number)
         ids = number[back].astype(np.uint64)
-        lengths = np.array([len(t) for t in tokens])
         before = np.concatenate(([self.begin], ids[:-1])).astype(np.uint64)
         before[np.cumsum(lengths)[:-1]] = self.begin
-        return before * self.size + ids, count[back], lengths
+        return before * self.size + ids, count[back]
 
     def part(self, k: int) -> dict:
         if k not in self.open:
@@ -394,9 +391,9 @@ class Trie:
             out[at[known]] = -(level["codes"][s[known]].astype(float)) / STEP
         return out
 
-    def scores(self, tokens: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def scores(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Number of tokens, of known ones, base score and model score of each text."""
-        keys, count, lengths = self.pair_keys(tokens)
+        keys, count = self.pair_keys(flat, lengths)
         distinct, back = np.unique(keys, return_inverse=True)
         p = self.log10(distinct)[back]
         base = np.log10((count + 1) / (self.n + self.v + 1))
@@ -410,15 +407,8 @@ def score(docs: DataFrame, model: dict, text: str = "text", ident: str = "doc_id
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, words = Trie(model), WordHash()
         for batch, texts in batches(frames, text):
-            at = 0
-            while at < len(texts):
-                tokens, held, first = [], 0, at
-                while at < len(texts) and (held < 1_500_000 or not tokens):
-                    tokens.append(hashed_tokens(words, texts[at]))
-                    held += len(tokens[-1])
-                    at += 1
-                n, known, base, own = lm.scores(tokens)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, at - first), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            n, known, base, own = lm.scores(*hashed_tokens(words, texts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     kind = docs.schema[ident].dataType.simpleString()
     return docs.select(ident, text).mapInArrow(run, f"doc_id {kind}, n_tokens long, n_known long, base_score double, score double")

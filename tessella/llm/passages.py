@@ -12,8 +12,8 @@ documents all meet all. In a crowded one each meets the first, and what this lea
 with a longer signature: the 25 words before, around and after the centre, again all with all up to 16 and
 else with the first, and last the 50 words of each passage over the centre. Documents with one signature
 of 50 words share that passage word by word, so its first document is a source for all, and no passage that
-is repeated exactly is lost by the crowd. (The six hash functions pass over a pair at 0.8 exactly once in
-600, and one at 0.9 once in 18,000.)
+is repeated exactly is lost by the crowd. (The five hash functions pass over a passage at 0.8 exactly once
+in 150, and one at 0.9 once in 2,000; longer passages have more windows and more chances.)
 
 The later document (larger doc_id) holds the repeat, the earlier one is its source.
 
@@ -35,10 +35,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import BLANKS, WordHash, batches, discard, having, joined_shingles, materialise, mix, partitions, shingles, words_of
+from .common import BLANKS, WordHash, batches, having, joined_shingles, materialise, mix, partitions, shingles
 from .decontam import cut_words, merged
 
-WIDTH, LEAST, HASHES, SIMILAR = 5, 50, 6, 0.8
+WIDTH, LEAST, HASHES, SIMILAR = 5, 50, 5, 0.8
 RAW_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
 _SEEDS = np.random.default_rng(11).integers(1, 2**63, HASHES, np.uint64)
 #: Documents of a signature that all meet all; parts of a signature that holds over 1/2000 of all windows.
@@ -108,9 +108,8 @@ def windows(docs: DataFrame, text: str, ident: str, hashes: int = HASHES, least:
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
         for _, ids, texts in batches(frames, ident, text):
-            both = [(doc, w) for doc, t in zip(ids, texts, strict=True) if len(w := words_of(t)) >= least]
-            owner = np.array([doc for doc, _ in both], np.int64)
-            base, starts = joined_shingles(words, [w for _, w in both], WIDTH)
+            owner = np.array(ids, np.int64)
+            base, starts = joined_shingles(*words.joined(texts), WIDTH)
             rows: list[list[np.ndarray]] = [[], [], []]
             for f in range(hashes if len(base) else 0):
                 h = mix(base ^ _SEEDS[f])
@@ -234,16 +233,19 @@ def candidates(met: DataFrame) -> DataFrame:
 OFTEN = 8
 
 
+def _numbered(*rows: np.ndarray) -> list[np.ndarray]:
+    """The rows with each value as its rank among all."""
+    both = np.unique(np.concatenate(rows), return_inverse=True)[1]
+    return np.split(both, np.cumsum([len(r) for r in rows[:-1]]))
+
+
 def _grams(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     """Numbers of the runs of 1, 2, 4 ... shingles that begin at each place of a and of b; as long as both have one in common."""
-    both = np.unique(np.concatenate((a, b)), return_inverse=True)[1].astype(np.int64)
-    out = [(both[: len(a)], both[len(a) :])]
+    out = [(a, b)]
     k = 1
     while 2 * k <= min(len(a), len(b)):
         x, y = out[-1]
-        x, y = (v[:-k] * (len(a) + len(b)) + v[k:] for v in (x, y))
-        both = np.unique(np.concatenate((x, y)), return_inverse=True)[1].astype(np.int64)
-        x, y = both[: len(x)], both[len(x) :]
+        x, y = _numbered(*(v[:-k] * (len(a) + len(b)) + v[k:] for v in (x, y)))
         if not np.isin(y, x).any():
             break
         out.append((x, y))
@@ -251,46 +253,46 @@ def _grams(a: np.ndarray, b: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     return out
 
 
+def _places(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Places of x in order of its numbers; for each number of y, where its places begin there and how many there are."""
+    n = int(max(x.max(initial=-1), y.max(initial=-1))) + 1
+    times = np.bincount(x, minlength=n)
+    return np.argsort(x, kind="stable"), (np.cumsum(times) - times)[y], times[y]
+
+
 def _matches(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Places (p in b, q in a) of equal shingles.
+    """Places (p in b, q in a) of equal numbers.
 
     All places of a shingle that a has at most eight times. Of one that a has more often, the places of the
     shortest run of 1, 2, 4 ... shingles from there on that a has at most eight times, or else of the longest
     run that a has at all (one place: all are alike); runs are followed along their diagonals to both sides.
     """
-    order = np.argsort(a, kind="stable")
-    s = a[order]
-    lo, hi = np.searchsorted(s, b, "left"), np.searchsorted(s, b, "right")
-    times = hi - lo
-    if not len(b) or times.max(initial=0) <= OFTEN:
-        p = np.repeat(np.arange(len(b)), times)
-        return p, order[np.repeat(lo, times) + (np.arange(len(p)) - np.repeat(np.cumsum(times) - times, times))]
+    spread = lambda order, lo, n: order[np.repeat(lo, n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)]
+    order, lo, times = _places(a, b)
+    if times.max(initial=0) <= OFTEN:
+        return np.repeat(np.arange(len(b)), times), spread(order, lo, times)
     levels = _grams(a, b)
     ps, qs = [], []
     todo = np.flatnonzero(times)
     for k, (x, y) in enumerate(levels):
-        order = np.argsort(x, kind="stable")
-        s = x[order]
+        order, lo, times = _places(x, y)
         inside = todo[todo < len(y)]
-        lo, hi = np.searchsorted(s, y[inside], "left"), np.searchsorted(s, y[inside], "right")
-        n = hi - lo
-        rare = (n > 0) & (n <= OFTEN)
-        m = n[rare]
-        ps.append(np.repeat(inside[rare], m))
-        qs.append(order[np.repeat(lo[rare], m) + (np.arange(int(m.sum())) - np.repeat(np.cumsum(m) - m, m))])
+        n = times[inside]
+        rare = inside[(n > 0) & (n <= OFTEN)]
+        ps.append(np.repeat(rare, times[rare]))
+        qs.append(spread(order, lo[rare], times[rare]))
         more = inside[n > OFTEN]
         # Those whose next longer run a does not have, or that end here: one place, unless a run before covers them.
+        after = np.zeros(len(more), bool)
         if k + 1 < len(levels):
-            after = np.zeros(len(more), bool)
-            fits = more < len(levels[k + 1][1])
-            after[fits] = np.isin(levels[k + 1][1][more[fits]], levels[k + 1][0])
-        else:
-            after = np.zeros(len(more), bool)
-        last, to = more[~after], -1
-        for at in last:
+            x2, y2 = levels[k + 1]
+            fits = more < len(y2)
+            after[fits] = np.isin(y2[more[fits]], x2)
+        to = -1
+        for at in more[~after].tolist():
             if at >= to:
                 ps.append(np.array([at]))
-                qs.append(order[[np.searchsorted(s, y[at], "left")]])
+                qs.append(order[[lo[at]]])
                 to = at + (1 << k)
         todo = more[after]
     p, q = np.concatenate(ps), np.concatenate(qs)
@@ -349,9 +351,13 @@ def align(a: np.ndarray, b: np.ndarray, wide: int, similar: float = SIMILAR, gap
     in or left out don't part a passage. A chain that is long but not similar enough is split at its widest
     step in either text, and one without steps by diagonal.
     """
+    if min(len(a), len(b)) < wide * similar:
+        return []
+    a, b = _numbered(a, b)
     p, q = _matches(a, b)
     if len(p) < wide * similar:
         return []
+    kinds = int(max(a.max(), b.max())) + 1
     d = q - p
     by = np.lexsort((p, d))
     parts: list[np.ndarray] = []
@@ -367,9 +373,9 @@ def align(a: np.ndarray, b: np.ndarray, wide: int, similar: float = SIMILAR, gap
         b0, b1, a0, a1 = int(p[run].min()), int(p[run].max()) + 1, int(q[run].min()), int(q[run].max()) + 1
         if b1 - b0 < wide or a1 - a0 < wide * similar:
             continue
-        one, two = np.unique(a[a0:a1]), np.unique(b[b0:b1])
-        shared = len(np.intersect1d(one, two, assume_unique=True))
-        j = shared / (len(one) + len(two) - shared)
+        one, two = np.zeros(kinds, bool), np.zeros(kinds, bool)
+        one[a[a0:a1]], two[b[b0:b1]] = True, True
+        j = np.count_nonzero(one & two) / np.count_nonzero(one | two)
         if j >= similar:
             out.append((b0, b1, a0, a1, j))
             continue
@@ -392,7 +398,7 @@ def repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id", least: i
     copies = materialise(digests.join(first.where("source < most"), "digest").where("source < doc_id").groupBy("doc_id", "digest").agg(F.min("source").alias("source")), "copies")
     words = F.size(F.array_remove(F.split("text", BLANKS), ""))
     whole = having(docs, materialise(copies.select("doc_id").distinct(), "copy_ids"), "doc_id").select("doc_id", F.md5("text").alias("digest"), F.xxhash64("text").alias("text_key"), words.alias("end"))
-    whole = whole.join(copies, ["doc_id", "digest"]).where(F.col("end") >= least).distinct()
+    whole = materialise(whole.join(copies, ["doc_id", "digest"]), "whole").where(F.col("end") >= least).distinct()  # written first, so words are counted in copies only
     whole = whole.select("doc_id", "text_key", F.lit(0).alias("start"), "end", F.col("source").alias("source_doc_id"), F.lit(0).alias("source_start"), F.col("end").alias("source_end"), F.lit(1.0).alias("similarity"))
     docs = having(docs, own, "doc_id")
 
@@ -437,8 +443,8 @@ def _run_hashes(base: np.ndarray, begin: np.ndarray, width: int) -> np.ndarray:
 
 def longer_windows(free: DataFrame, docs: DataFrame, width: int, offsets) -> DataFrame:
     """(value, doc_id, place): signatures of `width` shingles that hold a centre of `marks` at one of the offsets."""
-    wanted = materialise(free.select("doc_id"), "wanted")
-    both = having(docs, wanted, "doc_id").join(free, "doc_id").select("doc_id", "text", "marks")
+    total = free.agg(F.coalesce(F.sum(F.size("marks") + 1), F.lit(0))).first()[0]
+    both = with_lists(docs.select("doc_id", "text"), free, total).select("doc_id", "text", "marks")
     shift = np.array(offsets, np.int64)
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -446,7 +452,7 @@ def longer_windows(free: DataFrame, docs: DataFrame, width: int, offsets) -> Dat
         for _, ids, texts, marks in batches(frames, "doc_id", "text", "marks"):
             rows: list[list[np.ndarray]] = [[], [], []]
             for doc, t, m in zip(ids, texts, marks, strict=True):
-                base = shingles(words.of(words_of(t)), WIDTH)
+                base = shingles(words.of(t), WIDTH)
                 c = np.array(m, np.int64)
                 begin, c = (c[:, None] - shift).ravel(), np.repeat(c, len(shift))
                 inside = (begin >= 0) & (begin + width <= len(base))
@@ -458,35 +464,63 @@ def longer_windows(free: DataFrame, docs: DataFrame, width: int, offsets) -> Dat
     return both.mapInArrow(run, "value long, doc_id long, place long")
 
 
+def with_lists(docs: DataFrame, lists: DataFrame, entries: int) -> DataFrame:
+    """docs joined with lists(doc_id, ...) of `entries` entries in all: up to two million (some 40 MB) are sent to the
+    tasks, so texts are not shuffled; more meet the texts in a shuffle."""
+    return docs.join(F.broadcast(lists) if entries <= 2_000_000 else lists.hint("merge"), "doc_id")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, text: str, ident: str, least: int) -> DataFrame:
-    """Spans of the pairs (a, b) that the alignment of their shingles confirms."""
-    wanted = materialise(pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct(), "wanted")
+    """Spans of the pairs (a, b) that the alignment of their shingles confirms.
+
+    Each b's shingles travel once for each of its pairs, to the task of a; an a of many pairs has a copy in
+    each part of 500 of them.
+    """
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("parts"))
+    dealt = pairs.join(sizes, "a").select("b", "a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
+    asked = dealt.groupBy(F.col("b").alias("doc_id")).agg(F.collect_list(F.struct("a", "part")).alias("asked"))
+    lists = materialise(asked.join(sizes.withColumnRenamed("a", "doc_id"), "doc_id", "full_outer").select("doc_id", F.coalesce("asked", F.array().cast("array<struct<a:bigint,part:int>>")).alias("asked"), F.coalesce("parts", F.lit(0)).alias("parts")), "lists")
+    total = lists.agg(F.coalesce(F.sum(F.size("asked") + 1), F.lit(0))).first()[0]
+    both = with_lists(docs.select(F.col(ident).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), F.col(text).alias("body")), lists, total)
+    names = ["a", "part", "b", "text_key", "s"]
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = WordHash()
-        for batch, texts in batches(frames, text):
-            for at in range(0, len(texts), 200):
-                found = [(shingles(words.of(words_of(t)), WIDTH) >> np.uint64(32)).astype(np.uint32).view(np.int32) for t in texts[at : at + 200]]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(found)), batch.column(1).slice(at, len(found)), pa.array(found, pa.list_(pa.int32()))], names=["node", "text_key", "s"])
-
-    source = docs.select(F.col(ident).cast("long").alias("node"), F.xxhash64(text).alias("text_key"), text)
-    tokens = materialise(having(source, wanted, "node").mapInArrow(run, "node long, text_key long, s array<int>"), "tokens")
-    # A source of many documents is copied to each part of 500 of them.
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("parts"))
-    left = tokens.join(sizes, tokens.node == sizes.a).select("a", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("s").alias("sa"))
-    right = pairs.join(sizes, "a").withColumn("part", F.pmod(F.xxhash64("b"), "parts").cast("int")).join(tokens.select(F.col("node").alias("b"), "text_key", F.col("s").alias("sb")), "b")
-    met = right.join(left, ["a", "part"]).select("a", "b", "text_key", "sa", "sb")
+        for batch, ids, keys, texts, copies in batches(frames, "doc_id", "text_key", "body", "parts", rows=64):
+            base, starts = joined_shingles(*words.joined(texts), WIDTH)
+            short = (base >> np.uint64(32)).astype(np.uint32).view(np.int32)
+            asked = batch.column(batch.schema.get_field_index("asked")).to_pylist()
+            rows: list[tuple] = []
+            for k, (doc, key, n) in enumerate(zip(ids, keys, copies, strict=True)):
+                s = short[starts[k] : starts[k + 1]]
+                rows += [(doc, part, None, key, s) for part in range(n)] + [(x["a"], x["part"], doc, key, s) for x in asked[k]]
+                if len(rows) >= 256 or k == len(ids) - 1:
+                    cols = list(zip(*rows, strict=True)) or [[]] * 5
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int32())), strict=True)], names=names)
+                    rows = []
+
+    met = both.select("doc_id", "text_key", "body", "asked", "parts").mapInArrow(run, "a long, part int, b long, text_key long, s array<int>")
+    met = met.repartition(partitions(docs.sparkSession), "a", "part").sortWithinPartitions("a", "part", "b")  # the copies of a come first
     wide = least - WIDTH + 1
 
-    def verify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            rows = []
-            for a, b, key, sa, sb in zip(pdf.a, pdf.b, pdf.text_key, pdf.sa, pdf.sb, strict=True):
-                for b0, b1, a0, a1, j in align(sa, sb, wide):
-                    rows.append((b, key, b0, b1 + WIDTH - 1, a, a0, a1 + WIDTH - 1, j))
-            yield pd.DataFrame(rows, columns=["doc_id", "text_key", "start", "end", "source_doc_id", "source_start", "source_end", "similarity"])
-
-    return met.mapInPandas(verify, "doc_id long, text_key long, start int, end int, source_doc_id long, source_start int, source_end int, similarity double")
+    def verify(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, own = None, []
+        for batch in frames:
+            s = batch.column(4)
+            flat, ends = s.flatten().to_numpy(), np.cumsum(s.value_lengths().to_numpy())
+            begins, rows = np.concatenate(([0], ends[:-1])) if len(ends) else ends, []
+            for k, (a, part, b, key) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True)):
+                if (a, part) != last:
+                    last, own = (a, part), []
+                mine = flat[begins[k] : ends[k]]
+                if b is None:
+                    own.append(mine.copy())  # rows that share a doc_id are several texts
+                else:
+                    rows += [(b, key, b0, b1 + WIDTH - 1, a, a0, a1 + WIDTH - 1, j) for x in own for b0, b1, a0, a1, j in align(x, mine, wide)]
+            cols = list(zip(*rows, strict=True)) or [[]] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.float64()), strict=True)], names=["doc_id", "text_key", "start", "end", "source_doc_id", "source_start", "source_end", "similarity"])
+
+    return met.mapInArrow(verify, "doc_id long, text_key long, start int, end int, source_doc_id long, source_start int, source_end int, similarity double")
 
 
 def op4_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

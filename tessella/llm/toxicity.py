@@ -2,18 +2,21 @@
 and a linear classifier trained on the model's posterior labels.
 
 1. Lexicons: a short fixed list of insults, and words and word beginnings that labelled rows show to
-   be much more frequent in toxic texts. Learning takes at most `most_labelled` labelled rows (those
-   with the smallest hash of doc_id), never rows of the held-out fifth.
+   be at least twelve times as frequent in toxic texts. Learning takes at most `most_labelled` labelled
+   rows (those with the smallest hash of doc_id), never rows of the held-out fifth.
 2. Voters: the lexicons, dealt to several voters, and two patterns. Every document gets its votes.
 3. Label model: over the table of vote patterns (at most 2**voters rows for any corpus),
-   expectation-maximisation estimates how often each voter fires on toxic and on clean texts; the
-   correlation of voters within a class then lowers the weight of voters that repeat each other.
-4. Classifier: logistic regression with an L1 penalty on hashed words and word beginnings of the same
-   labelled rows, with the posterior (to which a row's own label adds one more vote) as target.
+   expectation-maximisation fits, for toxic and for clean texts, how readily each voter fires and how
+   strongly each pair of voters fires together (a log-linear model with pairwise terms, normalised over all
+   patterns). Labelled rows give the start and hold the two classes apart with a tenth of the corpus' weight.
+4. Classifier: logistic regression with an L1 penalty on hashed words and word beginnings of the labelled
+   rows and of at most `most_unlabelled` others, with the model's posterior as target. A row's own label
+   is not looked at there, so a wrong label does not force its target.
 
 Edges: null and empty texts get the score of a text without any known word; labels that are null are
-left out, of conflicting labels of one doc_id the larger counts; without labels of both kinds the fixed
-list alone starts the model; an empty table gives an empty result; a null doc_id is not held out.
+left out, of conflicting labels of one doc_id the larger counts, and of several texts of one labelled
+doc_id the one with the smallest hash; without labels of both kinds the fixed list alone starts the model;
+an empty table gives an empty result; a null doc_id is not held out and not learned from.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, materialise
 
 WORD = re.compile(r"[^\W\d_]+")
 #: Plain insults that need no labels (fixed values).
@@ -88,37 +91,58 @@ class Voters:
         return mask
 
 
+BITS = ((np.arange(1 << VOTERS)[:, None] >> np.arange(VOTERS)) & 1).astype(float)
+FIRST, SECOND = np.triu_indices(VOTERS, 1)
+#: A row for each vote pattern: the votes, and the pairs that vote together.
+FEATURES = np.hstack([BITS, BITS[:, FIRST] * BITS[:, SECOND]])
+
+
 @dataclass
 class LabelModel:
-    prior: float
-    fires: np.ndarray  # (2, voters): chance to fire on clean, on toxic
-    weight: np.ndarray  # 1 for a voter that repeats no other, less where votes are correlated
+    """P(toxic), and for clean and toxic texts the weights of votes and of pairs of votes."""
 
-    def log_odds(self, masks: np.ndarray) -> np.ndarray:
-        bits = (masks[:, None] >> np.arange(VOTERS)) & 1
-        gain = np.where(bits == 1, np.log(self.fires[1] / self.fires[0]), np.log((1 - self.fires[1]) / (1 - self.fires[0])))
-        return np.log(self.prior / (1 - self.prior)) + gain @ self.weight
+    prior: float
+    weights: np.ndarray  # (2, voters + pairs)
 
+    def log_patterns(self) -> np.ndarray:
+        """log P(pattern | class), (2, patterns)."""
+        energy = self.weights @ FEATURES.T
+        return energy - np.logaddexp.reduce(energy, axis=1, keepdims=True)
 
-def fit_label_model(masks: np.ndarray, counts: np.ndarray, prior: float, fires: np.ndarray, rounds: int = 30, share: float = 1.0) -> LabelModel:
-    """EM over vote patterns. The starting rates count as pseudo-rows, `share` of the rows of each class,
-    so that the classes keep their meaning; voters correlated within a class lose weight."""
-    bits = ((masks[:, None] >> np.arange(VOTERS)) & 1).astype(float)
-    model, start, start_prior = LabelModel(prior, fires, np.ones(VOTERS)), fires, prior
+    def log_odds(self, masks: np.ndarray) -> np.ndarray:
+        each = self.log_patterns()
+        return np.log(self.prior / (1 - self.prior)) + (each[1] - each[0])[masks]
+
+
+def fit_pairs(mass: np.ndarray, start: np.ndarray, steps: int = 6, hold: float = 2.0) -> np.ndarray:
+    """Weights under which the model's means of votes and pairs are those of the weighted patterns (Newton's method,
+    `hold` draws the weights of pairs to zero)."""
+    w, share = start.copy(), mass / mass.sum()
+    held = np.where(np.arange(len(w)) < VOTERS, 1e-3, hold) / mass.sum()
+    for _ in range(steps):
+        energy = FEATURES @ w
+        p = np.exp(energy - np.logaddexp.reduce(energy))
+        mean = p @ FEATURES
+        cov = (FEATURES * p[:, None]).T @ FEATURES - np.outer(mean, mean)
+        step = np.linalg.solve(cov + np.diag(held + 1e-6), share @ FEATURES - mean - held * w)
+        w = np.clip(w + step * min(1.0, 2.0 / max(1e-9, np.abs(step).max())), -12, 12)
+    return w
+
+
+def fit_label_model(counts: np.ndarray, prior: float, fires: np.ndarray, known: np.ndarray | None = None, rounds: int = 15, share: float = 0.1) -> LabelModel:
+    """EM over vote patterns; counts: documents with each pattern. known (2, patterns): labelled rows, which weigh
+    `share` of the corpus in their class; without them `fires`, the chance of each voter to fire, does."""
+    start = np.hstack([np.log(fires / (1 - fires)), np.zeros((2, len(FIRST)))])
+    model = LabelModel(prior, start)
+    anchor = np.exp(model.log_patterns()) if known is None else (known + 5 * np.exp(model.log_patterns())) / (known.sum(1, keepdims=True) + 5)
+    anchor = anchor * share * counts.sum() * np.array([[1 - prior], [prior]]) + 5 * np.exp(model.log_patterns())
+    model = LabelModel(prior, np.stack([fit_pairs(anchor[k], start[k], 20) for k in (0, 1)]))
+    every = np.arange(len(counts))
     for _ in range(rounds):
-        p = 1 / (1 + np.exp(-np.clip(model.log_odds(masks), -30, 30)))
-        mass = np.array([counts * (1 - p), counts * p])
-        held = share * counts.sum() * np.array([1 - start_prior, start_prior])[:, None] + 5
-        new = (mass @ bits + held * start) / (mass.sum(1)[:, None] + held)
-        # Correlation of each pair of voters within the toxic class and within the clean one.
-        excess = np.zeros(VOTERS)
-        for k in (0, 1):
-            mean = new[k]
-            joint = (mass[k][:, None] * bits).T @ bits / max(mass[k].sum(), 1e-9)
-            phi = (joint - np.outer(mean, mean)) / np.sqrt(np.outer(mean * (1 - mean), mean * (1 - mean)))
-            np.fill_diagonal(phi, 0)
-            excess += np.clip(phi - 0.1, 0, 1).sum(1) / 2
-        model = LabelModel(float(np.clip((mass[1].sum() + share * counts.sum() * start_prior) / (counts.sum() * (1 + share)), 0.005, 0.5)), np.clip(new, 1e-4, 1 - 1e-4), 1 / (1 + excess))
+        p = 1 / (1 + np.exp(-np.clip(model.log_odds(every), -30, 30)))
+        mass = np.array([counts * (1 - p), counts * p]) + anchor
+        new = float(np.clip(mass[1].sum() / mass.sum(), 0.002, 0.5))
+        model = LabelModel(new, np.stack([fit_pairs(mass[k], model.weights[k]) for k in (0, 1)]))
     return model
 
 
@@ -160,58 +184,58 @@ def _held(ident: str):
     return F.col(ident).isNotNull() & (F.crc32(F.col(ident).cast("string").cast("binary")) % 5 == 0)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", most_labelled: int = 12_000, most_terms: int = 600) -> Model:
-    own = labels.where(F.col(ident).isNotNull() & F.col("toxic").isNotNull() & ~_held(ident)).groupBy(ident).agg(F.max("toxic").alias("toxic"))
-    sample = own.orderBy(F.xxhash64(ident), ident).limit(most_labelled)
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "doc_id", most_labelled: int = 12_000, most_unlabelled: int = 8_000) -> Model:
     body = docs.select(F.col(ident).alias("doc_id"), F.col(text).alias("text"))
-    rows = body.join(F.broadcast(sample.select(F.col(ident).alias("doc_id"), "toxic")), "doc_id").dropDuplicates(["doc_id"])
+    own = labels.where(F.col(ident).isNotNull() & F.col("toxic").isNotNull() & ~_held(ident)).groupBy(F.col(ident).alias("doc_id")).agg((F.max("toxic") > 0).cast("int").alias("toxic"))
+    first = lambda ids, n: ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    sample = materialise(first(own, most_labelled), "sample")
+    others = body.select("doc_id").where(F.col("doc_id").isNotNull() & ~_held("doc_id")).join(F.broadcast(sample), "doc_id", "left_anti")
+    chosen = materialise(sample.unionByName(first(others, most_unlabelled).distinct().withColumn("toxic", F.lit(None).cast("int"))), "chosen")
+    drawn = body.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("text"), "text")).alias("t"))
+    drawn = materialise(drawn.select("doc_id", "toxic", "t.text"), "drawn")  # most_labelled + most_unlabelled rows
+    rows = drawn.where("toxic is not null")
 
     def split(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, texts, toxic in batches(frames, "text", "toxic"):
             found = [sorted({t for w in words_in(x) for t in terms(w)}) for x in texts]
             yield pa.RecordBatch.from_arrays([pa.array(toxic, pa.int32()), pa.array(found, pa.list_(pa.string()))], names=["toxic", "terms"])
 
-    each = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(split, "toxic int, terms array<string>")
     totals = rows.agg(F.coalesce(F.sum("toxic"), F.lit(0)), F.count("*")).first()
     n_toxic, n_all = int(totals[0]), int(totals[1])
     lexicon: list[str] = []
     if 0 < n_toxic < n_all:
+        each = rows.select("text", "toxic").mapInArrow(split, "toxic int, terms array<string>")
         lift = ((F.col("t") + 0.5) / (n_toxic + 1)) / ((F.col("c") + 0.5) / (n_all - n_toxic + 1))
         seen = each.select("toxic", F.explode("terms").alias("term")).groupBy("term").agg(F.sum("toxic").alias("t"), F.sum(1 - F.col("toxic")).alias("c"))
-        best = seen.where(F.col("t") >= 4).withColumn("lift", lift).where("lift >= 12").orderBy(F.desc(F.col("lift") * F.log1p("t")), "term").limit(most_terms)
-        lexicon = [r["term"] for r in best.select("term").collect()]
+        lexicon = [r["term"] for r in seen.where(F.col("t") >= 4).where(lift >= 12).select("term").collect()]  # of a bounded sample
     voters = Voters.build(lexicon)
-    counted = cast_votes(body, voters, "text", ["doc_id"]).groupBy("votes").count().collect()  # 2**voters rows at most
-    masks, counts = np.array([r["votes"] for r in counted], np.int64), np.array([r["count"] for r in counted], float)
-    if n_toxic and n_toxic < n_all:
-        labelled = cast_votes(rows, voters, "text", ["toxic"]).groupBy("votes", "toxic").count().collect()
-    else:
-        labelled = []
+    counts, known = np.zeros(1 << VOTERS), np.zeros((2, 1 << VOTERS))
+    for r in cast_votes(body, voters, "text", ["doc_id"]).groupBy("votes").count().collect():  # 2**voters rows at most
+        counts[r["votes"]] = r["count"]
+    for r in cast_votes(rows, voters, "text", ["toxic"]).groupBy("votes", "toxic").count().collect():
+        known[r["toxic"], r["votes"]] = r["count"]
+    both = known.sum(1).min() > 0
     fires = np.full((2, VOTERS), [[0.005], [0.4]])
-    for k in (0, 1):
-        own_rows = [(r["votes"], r["count"]) for r in labelled if int(r["toxic"] > 0) == k]
-        n = sum(c for _, c in own_rows)
-        hits = sum((((m >> np.arange(VOTERS)) & 1) * c for m, c in own_rows), np.zeros(VOTERS))
-        fires[k] = (hits + 5 * fires[k]) / (n + 5)
-    prior = n_toxic / n_all if 0 < n_toxic < n_all else 0.05
-    labels_model = fit_label_model(masks, counts, prior, np.clip(fires, 1e-4, 1 - 1e-4)) if len(masks) else LabelModel(prior, fires, np.ones(VOTERS))
-    if not labelled:
-        rows = body.where(~_held("doc_id")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled).withColumn("toxic", F.lit(None).cast("int"))
+    if both:
+        fires = (known @ BITS + 5 * fires) / (known.sum(1, keepdims=True) + 5)
+    model = fit_label_model(counts, known[1].sum() / known.sum() if both else 0.05, np.clip(fires, 1e-4, 1 - 1e-4), known if both else None)
 
     def features(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, texts, toxic in batches(frames, "text", "toxic"):
+        for _, texts in batches(frames, "text"):
             words = [words_in(t) for t in texts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([buckets(w).astype("<i4").tobytes() for w in words], pa.binary()), pa.array([voters.mask(w) for w in words], pa.int64()), pa.array(toxic, pa.int32())], names=["at", "votes", "toxic"])
+            yield pa.RecordBatch.from_arrays([pa.array([buckets(w).astype("<i4").tobytes() for w in words], pa.binary()), pa.array([voters.mask(w) for w in words], pa.int64())], names=["at", "votes"])
 
-    drawn = rows.select("text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(features, "at binary, votes long, toxic int").toLocalIterator()
-    at, odds = [], []
-    for r in drawn:  # at most most_labelled rows
+    at, votes = [], []
+    for r in drawn.select("text").mapInArrow(features, "at binary, votes long").toLocalIterator():  # the bounded sample
         at.append(np.frombuffer(r["at"], "<i4"))
-        said = 0.0 if r["toxic"] is None else 6.0 if r["toxic"] else -6.0  # the row's own label is one more voter
-        odds.append(float(np.clip(labels_model.log_odds(np.array([r["votes"]]))[0], -4, 4)) + said)
-    weights, bias = fit_linear(at, 1 / (1 + np.exp(-np.clip(np.array(odds), -30, 30))))
-    return Model(voters, labels_model, weights, bias)
+        votes.append(r["votes"])
+    weights, bias = fit_linear(at, targets(model, np.array(votes, np.int64)))
+    return Model(voters, model, weights, bias)
+
+
+def targets(model: LabelModel, votes: np.ndarray) -> np.ndarray:
+    """Posterior of toxic, from the votes alone."""
+    return 1 / (1 + np.exp(-np.clip(model.log_odds(votes), -30, 30)))
 
 
 def cast_votes(docs: DataFrame, voters: Voters, text: str, keep: list[str]) -> DataFrame:

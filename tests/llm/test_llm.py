@@ -3,13 +3,14 @@
 import collections
 import hashlib
 import math
+import time
 import zlib
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tessella.llm import bpe, decontam, neardup, ngram, pages, passages, quality, sharding, toxicity, urls
+from tessella.llm import bpe, common, decontam, neardup, ngram, pages, passages, quality, sharding, toxicity, urls
 
 SF = "/root/testdata/sf0.001"
 EDGE = "doc_id long, text string, lang string, source string, n_chars long, body string, row string, score double"
@@ -32,6 +33,19 @@ def docs_of(spark):
     return {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()}
 
 
+# -- words
+
+
+def test_word_hashes_in_pieces():
+    texts = ["One  two\tTHREE", None, "", " \n ", "two", "é\xa0x one", "w" * 5000 + " two", "three\x0bone"]
+    want = [w for t in texts for w in (t or "").encode().lower().split()]
+    small, large = common.WordHash(piece=64), common.WordHash()
+    flat, sizes = small.joined(texts)
+    assert (flat == large.joined(texts)[0]).all() and sizes.tolist() == [len((t or "").encode().split()) for t in texts]
+    assert len(set(zip(want, flat.tolist(), strict=True))) == len(set(want)) == len(set(flat.tolist()))
+    assert (common.joined_shingles(flat, sizes, 2)[0] == np.concatenate([common.shingles(large.of(t), 2) for t in texts if len((t or "").encode().split()) > 1])).all()
+
+
 # -- near duplicates
 
 
@@ -206,7 +220,7 @@ def test_passages_of_crowded_signatures(spark):
     texts, planted = crowded()
     df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
     words = passages.WordHash()
-    s = {i: passages.shingles(words.of(passages.words_of(t)), passages.WIDTH) for i, t in texts.items()}
+    s = {i: passages.shingles(words.of(t), passages.WIDTH) for i, t in texts.items()}
     true = {(b, a) for b in s for a in s if a < b and passages.align(s[a], s[b], 46)}
     assert planted <= true
     got = passages.repeats(df).collect()
@@ -303,9 +317,57 @@ def test_page_text():
     assert pages.main_text(plain).count("\n") == 1 and "q" not in pages.main_text(plain)[-3:]
 
 
-def test_page_extraction_edges(spark):
+def test_page_text_by_the_curve():
+    long = lambda k: f"{k} " + "some words of an article " * 6
+    plain = "<body><ul>" + "".join(f"<li><a href=/{k}>Menu {k}</a></li>" for k in range(9)) + "</ul>" + "<p>tiny</p>" * 2 + "".join(f"<p>{long(k)}</p>" for k in "ab")
+    plain += "<ul><li><a href=x>a linked point</a></li></ul>" + f"<p>{long('c')}</p>" + "<div><a href=1>more</a></div>" * 8 + "<p>c 2020</p>"
+    text = pages.main_text(plain).split("\n")
+    assert [t[0] for t in text if len(t) > 40] == ["a", "b", "c"] and "a linked point" in text and "c 2020" not in text and "Menu 3" not in text
+    assert pages.main_text("<p>just a short paragraph</p>") == "just a short paragraph"
+    inside = "<article><p>one</p><p>two <a href=x>long link text here</a></p><a name=q><section class=notice-board id=legal-history><p>three</p></section><div class='cookie-notice'>no</div></article>"
+    assert pages.main_text(inside) == "one\ntwo long link text here\nthree"
+
+
+def brute_article(sizes, width, surge, dive, share):
+    """Straight from the definition, a window at a time."""
+    window = lambda i: sum(sizes[i : i + width])
+    level = min(surge, max((window(i) for i in range(len(sizes))), default=0) / 2)
+    inside, runs = None, []
+    for i in range(len(sizes) + 1):
+        if inside is not None and i > inside and (i == len(sizes) or window(i) < dive):
+            runs.append((inside, i))
+            inside = None
+        if inside is None and i < len(sizes) and level and sizes[i] and window(i) >= level:
+            inside = i
+    best = max((sum(sizes[a:b]) for a, b in runs), default=0)
+    runs = [r for r in runs if sum(sizes[slice(*r)]) >= share * best]
+    return (runs[0][0], runs[-1][1]) if runs else (0, 0)
+
+
+def test_surge_and_dive_against_brute_force():
+    rng = np.random.default_rng(6)
+    for _ in range(300):
+        sizes = [int(x) for x in rng.integers(0, 120, rng.integers(0, 30)) * (rng.random(1)[0] > rng.random(1)[0] / 2)]
+        sizes = [x if rng.random() > 0.5 else 0 for x in sizes]
+        args = (int(rng.integers(1, 5)), 60, int(rng.integers(1, 40)), float(rng.random()) / 2)
+        assert pages.article(sizes, *args) == brute_article(sizes, *args)
+
+
+def test_malformed_pages_take_linear_time():
+    began = time.time()
+    for part in ("<", "a <b ", "<div>", "</span>", "<p x='", "<script", "<!--", "</", "<a href='", "<svg>", "<a href=x>"):
+        pages.main_text(part * (5_000_000 // len(part) // 10))
+    pages.main_text("<div>" * 100_000 + "</span>" * 100_000)
+    pages.main_text("<p>word " * 600_000)
+    assert time.time() - began < 30
+
+
+def test_page_extraction_edges(spark, empty):
     df = spark.createDataFrame([(1, "u", None, "a"), (2, None, "", "b"), (2, None, "", "b")], "page_id long, url string, html string, text string")
     assert [(r["text"], r["n_chars"]) for r in pages.extract(df).collect()] == [("", 0)] * 3
+    assert pages.extract(df.limit(0)).count() == 0
+    long = spark.createDataFrame([(1, "u", "<p>" + "word " * 300_000)], "page_id long, url string, html string")
+    assert pages.extract(long).first()["n_chars"] == 1_499_999
 
 
 def test_url_rules(spark):
