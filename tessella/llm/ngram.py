@@ -1,17 +1,23 @@
 """Language-model scoring with an n-gram trie in Elias-Fano levels.
 
-Level 1 holds the words: the sorted 64-bit hashes of all training words, so that a word's number is its
-rank, with exact counts. Level 2 holds, for each word, its successors: an Elias-Fano sequence of
-pointers (monotone) to the first successor of each word number, an Elias-Fano sequence of the successors (made monotone by
-the context's place), and a quantised log probability for each. A bigram is found by searching for the
-word within the range of its context. Levels are files that tasks map into memory.
-
-    P(w | u) = (c(u, w) + k * P(w)) / (c(u) + k),   P(w) = (c(w) + 1) / (N + V + 1)
-
-Counts cover all training documents. The trie is cut into parts of nearly equal training mass by the
-order of (u, w), so a frequent context is several parts; their number grows with the corpus, and no
-part, nor a table of n-grams, ever passes through the driver. Files are in the folder of
-spark.checkpoint.dir, which must be mounted on every machine (a path that can be mapped).
+Level 1 holds the words: the sorted 64-bit hashes of all training words and the running sums of their
+counts, both Elias-Fano sequences; a word's number is its rank, its count is exact. Level 2 holds, for each
+word, its successors: a sequence of pointers (monotone) to the first successor of each word number, one of
+the successors (made monotone by the context's place), and a quantised log probability for each. Level 3
+does the same for pairs of words as contexts, with a quantised back-off weight for each context. A successor
+is found relative to its context: the pointers give the range, select on the high bits the few entries with
+the same high part, and a search of low bytes the entry. Levels are files that tasks map into memory.
+
+    P(w)     = (c(w) + 1) / (N + V + 1)
+    P(w | v) = (c(v, w) + k * P(w)) / (c(v) + k)
+    P(w | u, v) = (c(u, v, w) + k * P(w | v)) / (C(u, v) + k),   C the sum of c(u, v, w) over the level's w
+
+Level 3 has the triples both of whose pairs occur at least twice (no other can occur twice), with all their
+counts; a context without entries there is one of level 2. Counts cover all training documents. The trie is
+cut into parts of nearly equal training mass by the order of (v, w), so a frequent context is several parts;
+their number grows with the corpus, and no part, nor a table of n-grams, ever passes through the driver.
+Files are in the folder of spark.checkpoint.dir, which must be mounted on every machine (a path that can be
+mapped).
 
 Edges: null and empty texts are the end token alone; repeated rows count as often as they occur; words
 unseen in training get the unigram's add-one share; an empty training set gives a model without words.
@@ -21,7 +27,9 @@ from __future__ import annotations
 
 import json
 import os
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -36,44 +44,84 @@ STEP = 4096.0  # codes are -log10 p in steps of 1/4096
 KAPPA = 4.0
 
 
+_POP = np.array([bin(x).count("1") for x in range(256)], np.int64)
+_SELECT = np.array([[([k for k in range(8) if x >> k & 1] + [0] * 8)[r] for r in range(8)] for x in range(256)], np.int64)
+
+
+def _select(words: np.ndarray, ranks: np.ndarray, i: np.ndarray, ones: bool) -> np.ndarray:
+    """Place of the i-th set bit (or unset one); ranks: set (unset) bits before each word."""
+    w = np.searchsorted(ranks, i, "right") - 1
+    rest, at = i - ranks[w], words[w]
+    by = (at if ones else ~at).view(np.uint8).reshape(-1, 8)
+    sums = np.cumsum(_POP[by], 1)
+    b = (sums <= rest[:, None]).sum(1)
+    row = np.arange(len(b))
+    before = np.where(b > 0, sums[row, b - 1], 0)
+    return w * 64 + b * 8 + _SELECT[by[row, b], rest - before]
+
+
 class EliasFano:
     """A monotone sequence of integers: low bits packed in whole bytes, high bits in unary with counts per word."""
 
     @staticmethod
     def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         n = len(values)
-        low = max(0, int(np.log2(max(1, universe // max(1, n)))))
+        low = min(63, max(0, (max(1, universe) // max(1, n)).bit_length() - 1))
         low -= low % 8  # whole bytes: a low part is read without shifting
         v = values.astype(np.uint64)
         high = (v >> np.uint64(low)).astype(np.int64) + np.arange(n)
-        bits = np.zeros(((int(high[-1]) if n else 0) // 64 + 1) * 64, np.uint8)
+        bits = np.zeros(((int(high[-1]) + 1 if n else 0) // 64 + 1) * 64, np.uint8)
         bits[high] = 1
         words = np.packbits(bits, bitorder="little").view(np.uint64)
         ranks = np.concatenate(([0], np.cumsum(bits.reshape(-1, 64).sum(1, dtype=np.int64))))
         lows = v.view(np.uint8).reshape(n, 8)[:, : low // 8] if n else np.zeros((0, low // 8), np.uint8)
-        return {"words": words, "ranks": ranks, "lows": np.ascontiguousarray(lows).ravel(), "low": np.array([low, n])}
+        return {"words": words, "ranks": ranks, "lows": np.ascontiguousarray(lows).ravel(), "low": np.array([low, n, int(high[-1]) - n + 1 if n else -1])}
 
     def __init__(self, parts: dict[str, np.ndarray]):
         self.words, self.ranks = parts["words"], parts["ranks"]
-        self.low, self.n = (int(x) for x in parts["low"])
+        self.low, self.n, self.top = (int(x) for x in parts["low"])
         self.lows = parts["lows"].reshape(self.n, self.low // 8) if self.low else None
+        self.gaps = np.arange(len(self.ranks)) * 64 - self.ranks
 
-    _POP = np.array([bin(x).count("1") for x in range(256)], np.int64)
-    _SELECT = np.array([[([k for k in range(8) if x >> k & 1] + [0] * 8)[r] for r in range(8)] for x in range(256)], np.int64)
+    def _low(self, i: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(i), np.uint64)
+        for k in range(self.low // 8):
+            out |= self.lows[i, k].astype(np.uint64) << np.uint64(8 * k)
+        return out
 
     def get(self, i: np.ndarray) -> np.ndarray:
         """The i-th values: select on the high bits, then the low bytes."""
-        w = np.searchsorted(self.ranks, i, "right") - 1
-        rest = i - self.ranks[w]
-        by = self.words[w].view(np.uint8).reshape(-1, 8)
-        ones = np.cumsum(self._POP[by], 1)
-        b = (ones <= rest[:, None]).sum(1)
-        before = np.where(b > 0, np.take_along_axis(ones, np.maximum(b - 1, 0)[:, None], 1)[:, 0], 0)
-        high = w * 64 + b * 8 + self._SELECT[np.take_along_axis(by, b[:, None], 1)[:, 0], rest - before] - i
-        out = high.astype(np.uint64) << np.uint64(self.low)
-        if self.lows is not None:
-            for k in range(self.low // 8):
-                out |= self.lows[i, k].astype(np.uint64) << np.uint64(8 * k)
+        if not len(i):
+            return np.zeros(0, np.uint64)
+        high = (_select(self.words, self.ranks, i, True) - i).astype(np.uint64)
+        return (high << np.uint64(self.low) | self._low(i)) if self.low else high
+
+    def find(self, target: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
+        """Place of each target within [low, high) of the sequence, -1 where it isn't there."""
+        out = np.full(len(target), -1, np.int64)
+        h = target >> np.uint64(self.low)
+        at = np.flatnonzero(h <= np.uint64(self.top)) if self.n else out[:0]
+        if not len(at):
+            return out
+        h = h[at].astype(np.int64)
+        # Entries with this high part stand between two unset bits.
+        begin = np.where(h > 0, _select(self.words, self.gaps, np.maximum(h - 1, 0), False) + 1 - h, 0)
+        end = _select(self.words, self.gaps, h, False) - h
+        if low is not None:
+            begin, end = np.maximum(begin, low[at]), np.minimum(end, high[at])
+        want = target[at] & ((np.uint64(1) << np.uint64(self.low)) - np.uint64(1))
+        b, e = begin.copy(), end.copy()
+        todo = np.flatnonzero(b < e)
+        while len(todo):
+            mid = (b[todo] + e[todo]) >> 1
+            less = self._low(mid) < want[todo] if self.low else np.zeros(len(mid), bool)
+            b[todo] = np.where(less, mid + 1, b[todo])
+            e[todo] = np.where(less, e[todo], mid)
+            todo = todo[b[todo] < e[todo]]
+        hit = np.flatnonzero(b < end)
+        if self.low:
+            hit = hit[self._low(b[hit]) == want[hit]]
+        out[at[hit]] = b[hit]
         return out
 
 
@@ -82,7 +130,7 @@ def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
     os.makedirs(folder, exist_ok=True)
     index, at = {}, 0
     path = f"{folder}/{name}"
-    own = f"{path}.{os.getpid()}"
+    own = f"{path}.{uuid.uuid4().hex}"
     with open(own, "wb") as f:
         for k, a in arrays.items():
             a = np.ascontiguousarray(a)
@@ -104,37 +152,61 @@ def mapped(folder: str, name: str) -> dict[str, np.ndarray]:
     return {k: raw[at : at + n * np.dtype(t).itemsize].view(t) for k, (at, n, t) in index.items()}
 
 
+def sequences(**named: tuple[np.ndarray, int]) -> dict[str, np.ndarray]:
+    """Arrays of Elias-Fano sequences, by name: (values, universe)."""
+    return {f"{name}.{k}": a for name, (v, u) in named.items() for k, a in EliasFano.encode(v, u).items()}
+
+
+def opened(raw: dict[str, np.ndarray], name: str) -> EliasFano:
+    return EliasFano({k: raw[f"{name}.{k}"] for k in ("words", "ranks", "lows", "low")})
+
+
 class Words:
     """Level 1: parts by the leading bits of the hash; number of a word = numbers before its part + rank in it."""
 
-    def __init__(self, folder: str, parts: int, starts: list[int]):
-        self.level = [mapped(folder, f"words-{k}") for k in range(parts)]
-        self.starts = np.array(starts, np.int64)
+    def __init__(self, folder: str, parts: int, starts: list[int], below: list[int]):
+        self.folder, self.parts = folder, parts
+        self.starts, self.before = np.array(starts, np.int64), np.array(below, np.int64)
         self.bits = np.uint64(64 - (parts - 1).bit_length()) if parts > 1 else np.uint64(64)
+        self.open: dict[int, tuple[EliasFano, EliasFano]] = {}
 
-    def _by_part(self, hashes: np.ndarray):
-        part = (hashes >> self.bits).astype(np.int64) if len(self.level) > 1 else np.zeros(len(hashes), np.int64)
-        order = np.argsort(part, kind="stable")
-        cuts = np.searchsorted(part[order], np.arange(len(self.level) + 1))
-        for k in range(len(self.level)):
-            if cuts[k] < cuts[k + 1]:
-                yield k, order[cuts[k] : cuts[k + 1]]
+    def level(self, k: int) -> tuple[EliasFano, EliasFano]:
+        """Hashes without their leading bits, and the counts of all lesser words of the part (one entry more)."""
+        if k not in self.open:
+            raw = mapped(self.folder, f"words-{k}")
+            self.open[k] = opened(raw, "hash"), opened(raw, "below")
+        return self.open[k]
 
     def look_up(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Number (-1 if unseen), count and count of all lesser words of each hash."""
-        number, count, below = (np.zeros(len(hashes), np.int64) for _ in range(3))
-        number[:] = -1
-        for k, at in self._by_part(hashes):
-            level = self.level[k]
-            if not len(level["hash"]):
-                continue
-            i = np.minimum(np.searchsorted(level["hash"], hashes[at]), len(level["hash"]) - 1)
-            hit = level["hash"][i] == hashes[at]
-            number[at] = np.where(hit, self.starts[k] + i, -1)
-            count[at] = np.where(hit, level["count"][i], 0)
-            below[at] = np.where(hit, level["below"][i], 0)
+        """Number (-1 if unseen), count and count of all lesser words of each sorted hash."""
+        number, count, below = np.full(len(hashes), -1, np.int64), np.zeros(len(hashes), np.int64), np.zeros(len(hashes), np.int64)
+        part = (hashes >> self.bits).astype(np.int64) if self.parts > 1 else np.zeros(len(hashes), np.int64)
+        cuts = np.searchsorted(part, np.arange(self.parts + 1))
+        for k in np.flatnonzero(np.diff(cuts)).tolist():
+            at = np.arange(cuts[k], cuts[k + 1])
+            seq, sums = self.level(k)
+            i = seq.find(tail(hashes[at], self.bits))
+            at, i = at[i >= 0], i[i >= 0]
+            number[at] = self.starts[k] + i
+            low = sums.get(i).astype(np.int64)
+            count[at], below[at] = sums.get(i + 1).astype(np.int64) - low, self.before[k] + low
         return number, count, below
 
+    def of_numbers(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count and count of all lesser words of sorted word numbers."""
+        count, below = np.zeros(len(numbers), np.int64), np.zeros(len(numbers), np.int64)
+        part = np.searchsorted(self.starts, numbers, "right") - 1
+        for k in np.unique(part).tolist():
+            at = np.flatnonzero(part == k)
+            sums, i = self.level(k)[1], numbers[at] - self.starts[k]
+            low = sums.get(i).astype(np.int64)
+            count[at], below[at] = sums.get(i + 1).astype(np.int64) - low, self.before[k] + low
+        return count, below
+
+
+def tail(hashes: np.ndarray, bits: np.uint64) -> np.ndarray:
+    return hashes & ((np.uint64(1) << bits) - np.uint64(1)) if bits < 64 else hashes
+
 
 def hashed_tokens(words: WordHash, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of each text and of its end, in one row, and the number of tokens of each text; the two
@@ -209,6 +281,23 @@ class Gathered:
         return grouped(keys)
 
 
+def _dealt(part: np.ndarray, keys: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    """A row for each part: its packed keys and counts. part and keys are sorted."""
+    cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
+    spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(part[cuts[:-1]].astype(np.int32) if spans else [], pa.int32()), pa.array([packed(keys[a:b], counts[a:b]) for a, b in spans], pa.binary()), pa.array([b - a for a, b in spans], pa.int32())], names=["part", "data", "n"])
+
+
+def _whole(pdf: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    both = [unpacked(d, n) for d, n in zip(pdf.data, pdf.n, strict=True)]
+    return grouped(np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]))
+
+
+def _code(p: np.ndarray) -> np.ndarray:
+    return np.minimum(65535, np.round(-np.log10(p) * STEP)).astype(np.uint16)
+
+
 def train(docs: DataFrame, chosen, text: str = "text", mass: int = 4_000_000) -> dict:
     """Builds the trie from the rows where the column `chosen` holds; returns what a task needs to open it.
 
@@ -226,179 +315,230 @@ def train(docs: DataFrame, chosen, text: str = "text", mass: int = 4_000_000) ->
 
         def give():
             h, c = held.drain()
-            top = h >> np.uint64(52)
-            cuts = np.flatnonzero(np.concatenate(([True], top[1:] != top[:-1], [True]))) if len(h) else np.zeros(1, np.int64)
-            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            return pa.RecordBatch.from_arrays(
-                [pa.array(top[cuts[:-1]].astype(np.int32) if spans else [], pa.int32()), pa.array([packed(h[a:b], c[a:b]) for a, b in spans], pa.binary()), pa.array([b - a for a, b in spans], pa.int32()), pa.array([int(c[a:b].sum()) for a, b in spans], pa.int64())], names=["top", "data", "n", "tokens"])
+            return _dealt(h >> np.uint64(52), h, c)
 
         for _, texts in batches(frames, text):
             if held.add(hashed_tokens(words, texts)[0]):
                 yield give()
         yield give()
 
-    counted = materialise(rows.mapInArrow(count_words, "top int, data binary, n int, tokens long"), "words")
-    total = counted.agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    tokens, sent = int(total[0]), int(total[1])
-    # At most 4096 word parts of at most about 2 million entries each up to 8 billion entries; hash-even, so no hot part.
-    word_parts = min(4096, 1 << max(0, (sent // 1_000_000)).bit_length())
-    bits = 12 - (word_parts - 1).bit_length() if word_parts > 1 else 12
+    counted = materialise(rows.mapInArrow(count_words, "part int, data binary, n int"), "words")
+    sent = int(counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
+    # At most 4096 word parts; hash-even, so no hot part.
+    word_parts = min(4096, 1 << max(0, sent // 250_000).bit_length())
+    bits = np.uint64(64 - (word_parts - 1).bit_length()) if word_parts > 1 else np.uint64(64)
 
     def write_words(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(key[0])
-        both = [unpacked(d, n) for d, n in zip(pdf.data, pdf.n, strict=True)]
-        h, c = grouped(np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]))
-        save(folder, f"words-{part}", {"hash": h, "count": c, "below": np.cumsum(c) - c})
+        h, c = _whole(pdf)
+        save(folder, f"words-{part}", sequences(hash=(tail(h, bits), 1 << int(bits)), below=(np.concatenate(([0], np.cumsum(c))), int(c.sum()) + 1)))
         return pd.DataFrame({"part": [part], "v": [len(h)], "n": [int(c.sum())]})
 
-    sizes = counted.withColumn("part", F.expr(f"cast(shiftright(top, {bits}) as int)")).groupBy("part").applyInPandas(write_words, "part int, v long, n long")
+    shift = 12 - (word_parts - 1).bit_length() if word_parts > 1 else 12
+    sizes = counted.withColumn("part", F.shiftright("part", shift)).groupBy("part").applyInPandas(write_words, "part int, v long, n long")
     found = {r["part"]: (r["v"], r["n"]) for r in sizes.collect()}  # a row for each part
-    nothing = np.zeros(0, np.int64)
-    for k in range(word_parts):
-        if k not in found:
-            save(folder, f"words-{k}", {"hash": nothing.view(np.uint64), "count": nothing, "below": nothing})
+    for k in set(range(word_parts)) - set(found):
+        save(folder, f"words-{k}", sequences(hash=(np.zeros(0, np.uint64), 1), below=(np.zeros(1, np.int64), 1)))
     v = [found.get(k, (0, 0))[0] for k in range(word_parts)]
     n = [found.get(k, (0, 0))[1] for k in range(word_parts)]
     starts, below = [0, *np.cumsum(v)[:-1].tolist()], [0, *np.cumsum(n)[:-1].tolist()]
-    model = {"folder": folder, "word_parts": word_parts, "starts": starts, "below": below, "v": int(sum(v)), "n": int(sum(n)), "parts": max(1, -(-tokens // mass))}
+    model = {"folder": folder, "word_parts": word_parts, "starts": starts, "below": below, "v": int(sum(v)), "n": int(sum(n)), "parts": max(1, -(-int(sum(n)) // mass)), "pairs": [], "triples": []}
 
     def count_pairs(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lm, held = Trie(model), Gathered()
+        lm, words, held = Trie(model), WordHash(), Gathered()
 
         def give():
             keys, c = held.drain()
-            part = lm.part_of(keys)
-            cuts = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(keys) else np.zeros(1, np.int64)
-            spans = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-            return pa.RecordBatch.from_arrays([pa.array(part[cuts[:-1]].astype(np.int32) if spans else [], pa.int32()), pa.array([packed(keys[a:b], c[a:b]) for a, b in spans], pa.binary()), pa.array([b - a for a, b in spans], pa.int32())], names=["part", "data", "n"])
+            return _dealt(lm.parts_of(keys // lm.size, keys % lm.size), keys, c)
 
-        words = WordHash()
         for _, texts in batches(frames, text):
-            if held.add(lm.pair_keys(*hashed_tokens(words, texts))[0]):
+            t = lm.tokens(*hashed_tokens(words, texts))
+            if held.add(t.u * lm.size + t.w):
                 yield give()
         yield give()
 
     def write_pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         part, lm = int(key[0]), Trie(model)
-        both = [unpacked(d, n) for d, n in zip(pdf.data, pdf.n, strict=True)]
-        keys, c = grouped(np.concatenate([x[0] for x in both]), np.concatenate([x[1] for x in both]))
+        keys, c = _whole(pdf)
         u, w = keys // lm.size, keys % lm.size
         low, high = int(u[0]), int(u[-1])
         pointers = np.concatenate(([0], np.cumsum(np.bincount((u - np.uint64(low)).astype(np.int64), minlength=high - low + 1))))
-        cu, cw = lm.counts(u.astype(np.int64)), lm.counts(w.astype(np.int64))
-        p = (c + KAPPA * (cw + 1) / (lm.n + lm.v + 1)) / (cu + KAPPA)
-        arrays = {"codes": np.minimum(65535, np.round(-np.log10(p) * STEP)).astype(np.uint16)}
-        arrays["range"] = np.array([low, high])
+        (cu, _), (cw, _) = lm.numbers(u), lm.numbers(w)
         place = u - np.uint64(low)  # makes the successors of all contexts one monotone sequence
-        for name, values, universe in (("pointers", pointers, len(keys) + 1), ("successors", place * lm.size + w, (high - low + 1) * int(lm.size))):
-            arrays |= {f"{name}.{k}": a for k, a in EliasFano.encode(values, universe).items()}
+        arrays = sequences(pointers=(pointers, len(keys) + 1), successors=(place * lm.size + w, (high - low + 1) * int(lm.size)))
+        arrays |= {"codes": _code((c + KAPPA * (cw + 1) / (lm.n + lm.v + 1)) / (cu + KAPPA)), "often": np.packbits(c > 1, bitorder="little"), "range": np.array([low, high])}
         save(folder, f"pairs-{part}", arrays)
         return pd.DataFrame({"part": [part], "n": [len(keys)]})
 
-    pairs = rows.mapInArrow(count_pairs, "part int, data binary, n int")
-    done = pairs.groupBy("part").applyInPandas(write_pairs, "part int, n long").collect()  # a row for each part
-    model["have"] = sorted(r["part"] for r in done)
-    model["pairs"] = int(sum(r["n"] for r in done))
+    done = rows.mapInArrow(count_pairs, "part int, data binary, n int").groupBy("part").applyInPandas(write_pairs, "part int, n long")
+    model["pairs"] = sorted(r["part"] for r in done.collect())  # a row for each part
+
+    def count_triples(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lm, words, held, parts, n = Trie(model), WordHash(), [], [], 0
+
+        def give():
+            part, keys = np.concatenate(parts), np.concatenate(held)
+            order = np.lexsort((keys, part))
+            part, keys = part[order], keys[order]
+            first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])))) if len(keys) else np.zeros(0, np.int64)
+            return _dealt(part[first], keys[first], np.diff(np.append(first, len(keys))))
+
+        for _, texts in batches(frames, text):
+            t = lm.tokens(*hashed_tokens(words, texts))
+            lm.look_up_pairs(t)
+            at = np.flatnonzero(t.often[1:] & t.often[:-1] & ~t.begins[1:]) + 1
+            held.append(t.index[at - 1].astype(np.uint64) * lm.size + t.w[at])
+            parts.append(t.part[at - 1])
+            n += len(at)
+            if n >= 1_500_000:
+                yield give()
+                held, parts, n = [], [], 0
+        if held:
+            yield give()
+
+    def write_triples(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        part, lm = int(key[0]), Trie(model)
+        keys, c = _whole(pdf)
+        context, w = (keys // lm.size).astype(np.int64), keys % lm.size
+        level = lm.level("pairs", part)
+        n = level["successors"].n
+        sums = np.bincount(context, c, n)
+        v = level["successors"].get(np.arange(n))[context] % lm.size  # the context's second word
+        arrays = sequences(pointers=(np.concatenate(([0], np.cumsum(np.bincount(context, minlength=n)))), len(keys) + 1), successors=(keys, n * int(lm.size)))
+        arrays |= {"codes": _code((c + KAPPA * 10 ** lm.pair_log10(v, w)) / (sums[context] + KAPPA)), "backoff": _code(KAPPA / (sums + KAPPA))}
+        save(folder, f"triples-{part}", arrays)
+        return pd.DataFrame({"part": [part], "n": [len(keys)]})
+
+    done = rows.mapInArrow(count_triples, "part int, data binary, n int").groupBy("part").applyInPandas(write_triples, "part int, n long")
+    model["triples"] = sorted(r["part"] for r in done.collect())
     return model
 
 
+@dataclass
+class Tokens:
+    """Tokens of many texts in one row: numbers of the word before and of the word, counts of both, the part of the
+    pair and where a text begins; after a look-up the pair's place in its part (-1: none), log10 P and whether it occurs twice."""
+
+    u: np.ndarray
+    w: np.ndarray
+    cu: np.ndarray
+    cw: np.ndarray
+    part: np.ndarray
+    begins: np.ndarray
+    index: np.ndarray | None = None
+    log10: np.ndarray | None = None
+    often: np.ndarray | None = None
+
+
 class Trie:
     """The levels as a task sees them."""
 
     def __init__(self, model: dict):
         self.model = model
-        self.words = Words(model["folder"], model["word_parts"], model["starts"])
+        self.words = Words(model["folder"], model["word_parts"], model["starts"], model["below"])
         self.v, self.n, self.parts = model["v"], model["n"], model["parts"]
         self.size = np.uint64(self.v + 2)  # numbers of words, then unseen, then the begin of a text
         self.unseen, self.begin = self.v, self.v + 1
-        self.before = np.array(model["below"], np.int64)
-        self.starts = np.array(model["starts"], np.int64)
-        self.open: dict[int, dict] = {}
+        self.open: dict[tuple[str, int], dict] = {}
         self.ends = int(self.words.look_up(np.array([END]))[1][0])  # documents
-        self.have = set(model.get("have", ()))
-
-    def counts(self, numbers: np.ndarray) -> np.ndarray:
-        """Exact training count of word numbers; of the begin, the number of documents."""
-        out = np.zeros(len(numbers), np.int64)
-        part = np.searchsorted(self.starts, numbers, "right") - 1
-        for k in np.unique(part[numbers < self.v]):
-            at = np.flatnonzero((part == k) & (numbers < self.v))
-            out[at] = self.words.level[k]["count"][numbers[at] - self.starts[k]]
-        out[numbers == self.begin] = self.ends
-        return out
-
-    def part_of(self, keys: np.ndarray) -> np.ndarray:
-        """Part of each (context, word) key: training mass before the context, and the word's share of the context's own."""
-        u, w = (keys // self.size).astype(np.int64), (keys % self.size).astype(np.float64)
-        part = np.searchsorted(self.starts, u, "right") - 1
-        mass = np.full(len(keys), float(self.n))
-        for k in np.unique(part[u < self.v]):
-            at = np.flatnonzero((part == k) & (u < self.v))
-            i = u[at] - self.starts[k]
-            level = self.words.level[k]
-            mass[at] = self.before[k] + level["below"][i] + level["count"][i] * (w[at] / float(self.size))
-        ends = u == self.begin
-        mass[ends] = self.n + self.ends * (w[ends] / float(self.size))
-        return np.minimum((mass / (self.n + self.ends + 1) * self.parts).astype(np.int64), self.parts - 1)
-
-    def pair_keys(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Key of each (previous, word) and each word's count."""
+        self.have = {kind: set(model[kind]) for kind in ("pairs", "triples")}
+
+    def numbers(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training count of word numbers (of the begin: documents) and mass before each."""
+        distinct, back = np.unique(numbers.astype(np.int64), return_inverse=True)
+        count, below = np.zeros(len(distinct), np.int64), np.full(len(distinct), self.n, np.int64)
+        k = int(np.searchsorted(distinct, self.v))
+        count[:k], below[:k] = self.words.of_numbers(distinct[:k])
+        count[distinct == self.begin] = self.ends
+        return count[back], below[back]
+
+    def _part(self, w: np.ndarray, cu: np.ndarray, below: np.ndarray) -> np.ndarray:
+        """Part of each pair: training mass before the context, and the word's share of the context's own."""
+        share = (below + cu * (w.astype(np.float64) / float(self.size))) / (self.n + self.ends + 1)
+        return np.minimum((share * self.parts).astype(np.int64), self.parts - 1)
+
+    def parts_of(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        return self._part(w, *self.numbers(u))
+
+    def tokens(self, flat: np.ndarray, lengths: np.ndarray) -> Tokens:
         distinct, back = np.unique(flat, return_inverse=True)
-        number, count, _ = self.words.look_up(distinct)
-        number = np.where(number < 0, self.unseen, number)
-        ids = number[back].astype(np.uint64)
-        before = np.concatenate(([self.begin], ids[:-1])).astype(np.uint64)
-        before[np.cumsum(lengths)[:-1]] = self.begin
-        return before * self.size + ids, count[back]
-
-    def part(self, k: int) -> dict:
-        if k not in self.open:
-            raw = mapped(self.model["folder"], f"pairs-{k}")
-            self.open[k] = {"codes": raw["codes"], "range": raw["range"]} | {name: EliasFano({x: raw[f"{name}.{x}"] for x in ("words", "ranks", "lows", "low")}) for name in ("pointers", "successors")}
-        return self.open[k]
-
-    def search(self, ef: EliasFano, low: np.ndarray, high: np.ndarray, target: np.ndarray) -> np.ndarray:
-        """First place in [low, high) whose value is not below the target, for many targets at once."""
-        low, high = low.copy(), high.copy()
-        while True:
-            at = np.flatnonzero(low < high)
-            if not len(at):
-                return low
-            mid = (low[at] + high[at]) >> 1
-            less = ef.get(mid) < target[at]
-            low[at] = np.where(less, mid + 1, low[at])
-            high[at] = np.where(less, high[at], mid)
-
-    def log10(self, keys: np.ndarray) -> np.ndarray:
-        """log10 P(word | previous) of sorted distinct keys."""
-        u, w = (keys // self.size).astype(np.int64), keys % self.size
-        cu, cw = self.counts(u), self.counts(w.astype(np.int64))
-        out = np.log10(KAPPA * (cw + 1) / (self.n + self.v + 1) / (cu + KAPPA))
-        part = self.part_of(keys)
-        for k in np.unique(part):
-            if int(k) not in self.have:
-                continue
-            at = np.flatnonzero(part == k)
-            level = self.part(int(k))
-            ptr, nxt, (low, high) = level["pointers"], level["successors"], level["range"].tolist()
+        number, count, below = self.words.look_up(distinct)
+        below[number < 0] = self.n
+        number[number < 0] = self.unseen
+        w, cw, below = number[back].astype(np.uint64), count[back], below[back]
+        first = np.cumsum(lengths) - lengths
+        u, cu, bu = np.roll(w, 1), np.roll(cw, 1), np.roll(below, 1)
+        u[first], cu[first], bu[first] = self.begin, self.ends, self.n
+        begins = np.zeros(len(flat), bool)
+        begins[first] = True
+        return Tokens(u, w, cu, cw, self._part(w, cu, bu), begins)
+
+    def level(self, kind: str, k: int) -> dict:
+        if (kind, k) not in self.open:
+            raw = mapped(self.model["folder"], f"{kind}-{k}")
+            self.open[kind, k] = raw | {name: opened(raw, name) for name in ("pointers", "successors")}
+        return self.open[kind, k]
+
+    def _by_part(self, kind: str, part: np.ndarray, at: np.ndarray):
+        """Each part that there is, and which of the rows `at` fall into it."""
+        order = at[np.argsort(part[at], kind="stable")]
+        cuts = np.flatnonzero(np.concatenate(([True], np.diff(part[order]) != 0, [True]))) if len(order) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            k = int(part[order[a]])
+            if k in self.have[kind]:
+                yield self.level(kind, k), order[a:b]
+
+    def find_pairs(self, u: np.ndarray, w: np.ndarray, part: np.ndarray, base: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place in its part (-1: none), log10 P and whether it occurs twice, of each pair; base: log10 P of one that isn't there."""
+        index, log10, often = np.full(len(u), -1, np.int64), base.copy(), np.zeros(len(u), bool)
+        for level, at in self._by_part("pairs", part, np.arange(len(u))):
+            low, high = level["range"].tolist()
             at = at[(u[at] >= low) & (u[at] <= high)]
-            contexts, back = np.unique(u[at] - low, return_inverse=True)
-            lo, hi = ptr.get(contexts).astype(np.int64)[back], ptr.get(contexts + 1).astype(np.int64)[back]
-            target = (u[at] - low).astype(np.uint64) * self.size + w[at]
-            s = self.search(nxt, lo, hi, target)
-            known = np.flatnonzero(s < hi)
-            known = known[nxt.get(s[known]) == target[known]]
-            out[at[known]] = -(level["codes"][s[known]].astype(float)) / STEP
+            place = u[at] - np.uint64(low)
+            contexts, back = np.unique(place, return_inverse=True)
+            contexts = contexts.astype(np.int64)
+            lo, hi = (level["pointers"].get(contexts + d).astype(np.int64)[back] for d in (0, 1))
+            i = level["successors"].find(place * self.size + w[at], lo, hi)
+            at, i = at[i >= 0], i[i >= 0]
+            index[at], log10[at] = i, level["codes"][i] / -STEP
+            often[at] = level["often"][i >> 3] >> (i & 7).astype(np.uint8) & 1
+        return index, log10, often
+
+    def _absent(self, cu: np.ndarray, cw: np.ndarray) -> np.ndarray:
+        return np.log10(KAPPA * (cw + 1) / (self.n + self.v + 1) / (cu + KAPPA))
+
+    def look_up_pairs(self, t: Tokens) -> None:
+        _, first, back = np.unique(t.u * self.size + t.w, return_index=True, return_inverse=True)
+        index, log10, often = self.find_pairs(t.u[first], t.w[first], t.part[first], self._absent(t.cu[first], t.cw[first]))
+        t.index, t.log10, t.often = index[back], log10[back], often[back]
+
+    def pair_log10(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """log10 P(w | u) of word numbers."""
+        distinct, back = np.unique(u * self.size + w, return_inverse=True)
+        u, w = distinct // self.size, distinct % self.size
+        (cu, below), (cw, _) = self.numbers(u), self.numbers(w)
+        return self.find_pairs(u, w, self._part(w, cu, below), self._absent(cu, cw))[1][back]
+
+    def log10(self, t: Tokens) -> np.ndarray:
+        """log10 P of each token after the two before it."""
+        self.look_up_pairs(t)
+        out = t.log10.copy()
+        at = np.flatnonzero(t.often[:-1] & ~t.begins[1:])  # places of contexts; the token stands behind
+        for level, k in self._by_part("triples", t.part, at):
+            context = t.index[k]
+            lo, hi = (level["pointers"].get(context + d).astype(np.int64) for d in (0, 1))
+            some = np.flatnonzero(lo < hi)
+            k, context, lo, hi = k[some] + 1, context[some], lo[some], hi[some]
+            i = level["successors"].find(context.astype(np.uint64) * self.size + t.w[k], lo, hi)
+            out[k] = np.where(i >= 0, level["codes"][np.maximum(i, 0)] / -STEP, out[k] - level["backoff"][context] / STEP)
         return out
 
     def scores(self, flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Number of tokens, of known ones, base score and model score of each text."""
-        keys, count = self.pair_keys(flat, lengths)
-        distinct, back = np.unique(keys, return_inverse=True)
-        p = self.log10(distinct)[back]
-        base = np.log10((count + 1) / (self.n + self.v + 1))
+        t = self.tokens(flat, lengths)
+        base = np.log10((t.cw + 1) / (self.n + self.v + 1))
         first = np.cumsum(lengths) - lengths
-        return lengths, np.add.reduceat((count > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(p, first)
+        return lengths, np.add.reduceat((t.cw > 0).astype(np.int64), first), np.add.reduceat(base, first), np.add.reduceat(self.log10(t), first)
 
 
 def score(docs: DataFrame, model: dict, text: str = "text", ident: str = "doc_id") -> DataFrame:

@@ -393,9 +393,14 @@ def repeats(docs: DataFrame, text: str = "text", ident: str = "doc_id", least: i
     source_end, similarity. A span found with several sources is given with the smallest one."""
     docs = docs.select(F.col(ident).try_cast("long").alias("doc_id"), F.col(text).alias("text")).where("doc_id is not null and text is not null")
     digests = materialise(docs.select("doc_id", F.md5("text").alias("digest")), "digests")
-    first = digests.groupBy("digest").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most"))
+    first = materialise(digests.groupBy("digest").agg(F.min("doc_id").alias("source"), F.max("doc_id").alias("most"), F.count("*").alias("n")), "first")
     own = materialise(first.select(F.col("source").alias("doc_id")).distinct(), "own")
-    copies = materialise(digests.join(first.where("source < most"), "digest").where("source < doc_id").groupBy("doc_id", "digest").agg(F.min("source").alias("source")), "copies")
+    # A text that has over 1/2000 of the rows (fewer than 2000 texts do) is sent to every task, the others meet their copies in a shuffle.
+    total = digests.count()
+    often = F.broadcast(first.where(f"source < most and n * 2000 > {total}").select("digest", F.col("source").alias("hot")))
+    marked = digests.join(often, "digest", "left")
+    cold = marked.where("hot is null").join(first.where(f"source < most and n * 2000 <= {total}").select("digest", "source"), "digest").select("doc_id", "digest", "source")
+    copies = materialise(cold.unionByName(marked.where("hot is not null").select("doc_id", "digest", F.col("hot").alias("source"))).where("source < doc_id").distinct(), "copies")
     words = F.size(F.array_remove(F.split("text", BLANKS), ""))
     whole = having(docs, materialise(copies.select("doc_id").distinct(), "copy_ids"), "doc_id").select("doc_id", F.md5("text").alias("digest"), F.xxhash64("text").alias("text_key"), words.alias("end"))
     whole = materialise(whole.join(copies, ["doc_id", "digest"]), "whole").where(F.col("end") >= least).distinct()  # written first, so words are counted in copies only

@@ -434,22 +434,35 @@ def test_language_model_against_brute_force(spark):
     trained = [i for i in texts if zlib.crc32(str(i).encode()) % 7 != 2]
     c = collections.Counter(w for i in trained for w in texts[i])
     pairs = collections.Counter(p for i in trained for p in zip([0, *texts[i]], texts[i], strict=False))
-    n, v = sum(c.values()), len(c)
-    context = c | {0: len(trained)}
+    threes = collections.Counter(x for i in trained for x in zip([0, *texts[i]], texts[i], texts[i][1:], strict=False) if pairs[x[:2]] > 1 and pairs[x[1:]] > 1)
+    sums = collections.Counter()
+    for (u, v, _), k in threes.items():
+        sums[u, v] += k
+    n, v_ = sum(c.values()), len(c)
+    context, k = c | {0: len(trained)}, ngram.KAPPA
+    two = lambda u, w: (pairs[u, w] + k * (c[w] + 1) / (n + v_ + 1)) / (context.get(u, 0) + k)
+    three = lambda t, u, w: (threes[t, u, w] + k * two(u, w)) / (sums[t, u] + k) if t is not None and sums[t, u] else two(u, w)
     for r in ngram.op10_lm_score(spark, SF).collect():
         t = texts[r["doc_id"]]
-        base = sum(math.log10((c[w] + 1) / (n + v + 1)) for w in t)
-        own = sum(math.log10((pairs[u, w] + ngram.KAPPA * (c[w] + 1) / (n + v + 1)) / (context.get(u, 0) + ngram.KAPPA)) for u, w in zip([0, *t], t, strict=False))
+        base = sum(math.log10((c[w] + 1) / (n + v_ + 1)) for w in t)
+        own = math.log10(two(0, t[0])) + sum(math.log10(three(a, b, w)) for a, b, w in zip([0, *t], t, t[1:], strict=False))
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(t), sum(c[w] > 0 for w in t), n)
         assert math.isclose(r["base_score"], base, rel_tol=1e-9) and abs(r["score"] - own) <= len(t) / ngram.STEP
 
 
 def test_elias_fano():
     rng = np.random.default_rng(4)
-    for n, universe in ((1, 5), (1000, 10**12), (1000, 1001), (5, 2**40)):
-        v = np.sort(rng.integers(0, universe, n))
+    for n, universe in ((1, 5), (1000, 10**12), (1000, 1001), (5, 2**40), (64, 64), (3000, 2**63)):
+        v = np.unique(rng.integers(0, universe, n))
         ef = ngram.EliasFano(ngram.EliasFano.encode(v, universe))
-        assert (ef.get(np.arange(n)) == v.astype(np.uint64)).all()
+        assert (ef.get(np.arange(len(v))) == v.astype(np.uint64)).all()
+        assert (ef.find(v.astype(np.uint64)) == np.arange(len(v))).all()
+        other = np.setdiff1d(rng.integers(0, universe, 500), v).astype(np.uint64)
+        assert (ef.find(other) == -1).all()
+        none = np.zeros(len(v), np.int64)
+        assert (ef.find(v.astype(np.uint64), none, none) == -1).all()
+    empty = ngram.EliasFano(ngram.EliasFano.encode(np.zeros(0, np.int64), 1))
+    assert (empty.find(np.array([0, 7], np.uint64)) == -1).all()
 
 
 def test_language_model_edges(spark, edge, empty):
