@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions import text as tx
 from ..scratch import materialise
 
 
@@ -41,16 +42,21 @@ def degrees(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-def pagerank(edges: DataFrame, rounds: int, damping: float = 0.85) -> DataFrame:
-    """(node, p) of an undirected weighted graph after a fixed number of rounds; no node is without an edge."""
+def pagerank(edges: DataFrame, rounds: int = 100, damping: float = 0.85, tolerance: float = 0.0) -> DataFrame:
+    """(node, p) of an undirected weighted graph; no node is without an edge. Ends after `rounds`, or before that
+    once the ranks have moved by less than `tolerance` a node in all."""
     u = materialise(both_ways(edges))
     share = materialise(u.join(u.groupBy("a").agg(F.sum("w").alias("t")), "a").select("a", "b", (F.col("w") / F.col("t")).alias("s")))
     nodes = share.select(F.col("a").alias("node")).distinct()
     n = nodes.count()
     p = nodes.withColumn("p", F.lit(1.0 / max(1, n)))
     for k in range(rounds):
+        old = p
         p = p.join(share, p.node == share.a).groupBy(F.col("b").alias("node")).agg((F.lit((1 - damping) / max(1, n)) + damping * F.sum(F.col("p") * F.col("s"))).alias("p"))
-        p = materialise(p) if k % 3 == 2 else p
+        if tolerance or k % 3 == 2:
+            p = materialise(p)
+        if tolerance and p.join(old.withColumnRenamed("p", "q"), "node").agg(F.sum(F.abs(F.col("p") - F.col("q")))).first()[0] < n * tolerance:
+            break
     return p
 
 
@@ -78,35 +84,101 @@ def contract(edges: DataFrame, leaders: DataFrame) -> DataFrame:
 
 def similar_entities(names: DataFrame, name: str, kind: str) -> DataFrame:
     """Pairs a < b of one kind that may be one thing: no digit in the pairs of letters that only one has, and an
-    edit distance of at most half the shorter name. Pairs must share a pair of letters, which is the join key."""
+    edit distance of at most half the shorter name. Pairs must share a pair of letters.
+
+    A name meets others through its pairs of letters in the order of their frequency, rarest first, and a pair of
+    names is looked at in the first pair of letters they share only, so no pair is made twice.
+    """
     x = F.col(name)
     grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2))))
-    d = names.where(F.length(x) > 1).select(F.col(kind).alias("kind"), x.alias("x"), grams.alias("g"))
-    left, right = (d.select("kind", F.col("x").alias(s), F.col("g").alias(f"g{s}"), F.explode("g").alias("gram")) for s in ("a", "b"))
-    pairs = left.join(right, ["kind", "gram"]).where("a < b").dropDuplicates(["a", "b"])
-    digit = lambda g, h: F.exists(F.array_except(g, h), lambda z: z.rlike("[0-9]"))
+    d = names.where(F.length(x) > 1).select(F.col(kind).alias("kind"), x.alias("x"), grams.alias("g")).distinct()
+    seen = d.select("kind", F.explode("g").alias("gram")).groupBy("kind", "gram").agg(F.count("*").alias("n"))
+    ranked = d.select("kind", "x", F.explode("g").alias("gram")).join(seen.where("n > 1"), ["kind", "gram"])
+    order = ranked.groupBy("kind", "x").agg(F.transform(F.array_sort(F.collect_list(F.struct("n", "gram"))), lambda z: z["gram"]).alias("g"))
+    left, right = (order.select("kind", F.col("x").alias(s), F.col("g").alias(f"g{s}"), F.explode("g").alias("gram")) for s in ("a", "b"))
+    first = F.get(F.array_intersect("ga", "gb"), F.lit(0))
+    pairs = left.join(right, ["kind", "gram"]).where((F.col("a") < F.col("b")) & (F.col("gram") == first))
+    lone = lambda s, t: F.exists(F.filter(F.transform(F.sequence(F.lit(1), F.length(s) - 1), lambda i: F.substring(F.col(s), i, F.lit(2))), lambda z: z.rlike("[0-9]")), lambda z: ~F.col(t).contains(z))
     near = F.levenshtein("a", "b") <= F.floor(F.least(F.length("a"), F.length("b")) / 2)
-    return pairs.where(~digit(F.col("ga"), F.col("gb")) & ~digit(F.col("gb"), F.col("ga")) & near).select("a", "b")
+    return pairs.where(~lone("a", "b") & ~lone("b", "a") & near).select("a", "b")
 
 
 def hops(edges: DataFrame, origins: DataFrame, n: int) -> DataFrame:
-    """(origin, node, hop): nodes reached on paths that don't come back to a node they have passed."""
-    u = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    path = origins.select("origin", F.array("origin").alias("path"))
-    found = None
+    """(origin, node, hop): nodes within n edges of each origin with their distance; each round takes one step from
+    the nodes found last, so no path is written out."""
+    u = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    found = origins.select("origin", F.col("origin").alias("node"), F.lit(0).alias("hop"))
+    last = found
     for k in range(1, n + 1):
-        path = path.join(u, F.element_at("path", -1) == F.col("a")).where(~F.array_contains("path", F.col("b"))).select("origin", F.concat("path", F.array("b")).alias("path"))
-        level = path.select("origin", F.element_at("path", -1).alias("node"), F.lit(k).alias("hop"))
-        found = level if found is None else found.unionByName(level)
-    return found.groupBy("origin", "node").agg(F.min("hop").alias("hop"))
+        step = last.join(u, last.node == u.a).select("origin", F.col("b").alias("node")).distinct()
+        last = materialise(step.join(found.select("origin", "node"), ["origin", "node"], "left_anti").withColumn("hop", F.lit(k)))
+        found = found.unionByName(last)
+    return found.where("hop > 0")
 
 
 def label_propagation(edges: DataFrame, rounds: int) -> DataFrame:
-    """(node, community): each round a node takes the label with most weight among its neighbours and itself."""
+    """(node, community): each round a node takes the label with most weight among its neighbours and itself; its own
+    vote weighs as much as its heaviest edge. Of equal labels the smallest wins."""
     u = materialise(both_ways(edges))
-    label = u.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node"))
+    own = materialise(u.groupBy(F.col("a").alias("node")).agg(F.max("w").alias("w")))
+    label = own.select("node", F.col("node").alias("community"))
     for _ in range(rounds):
-        votes = u.join(label.select(F.col("node").alias("b"), "community"), "b").groupBy("a", "community").agg(F.sum("w").alias("w"))
-        best = votes.groupBy("a").agg(F.max(F.struct("w", (-F.col("community")).alias("c"))).alias("m"))
-        label = materialise(best.select(F.col("a").alias("node"), (-F.col("m.c")).alias("community")))
+        near = u.join(label.withColumnRenamed("node", "b"), "b").select(F.col("a").alias("node"), "community", "w")
+        votes = near.unionByName(label.join(own, "node")).groupBy("node", "community").agg(F.sum("w").alias("w"))
+        best = votes.groupBy("node").agg(F.max(F.struct("w", (-F.col("community")).alias("c"))).alias("m"))
+        label = materialise(best.select("node", (-F.col("m.c")).alias("community")))
     return label
+
+
+def with_both_ends(edges: DataFrame, nodes: DataFrame, name: str) -> DataFrame:
+    """Edges whose two ends are nodes."""
+    end = lambda c: nodes.select(F.col(name).alias(c))
+    return edges.join(end("a"), "a", "left_semi").join(end("b"), "b", "left_semi")
+
+
+def accepted(answers: DataFrame, key: str, text: str, most: int) -> DataFrame:
+    """(key, pair): numbers of the questions answered with yes. An answer is `... <|n|> ... yes ...` between `##`."""
+    one = answers.select(key, F.explode(F.split(text, "##")).alias("a"))
+    n = F.regexp_extract("a", r"<\|(\d{1,9})\|>", 1).try_cast("int")
+    return one.select(key, n.alias("pair"), F.lower("a").rlike(r"\byes\b").alias("yes")).where(F.col("yes") & F.col("pair").between(1, most)).select(key, "pair").distinct()
+
+
+def inner_edges(edges: DataFrame, communities: DataFrame) -> DataFrame:
+    """(community, a, b, w): edges within one community."""
+    of = lambda c: communities.select(F.col("node").alias(c), F.col("community").alias(f"c{c}"))
+    return edges.join(of("a"), "a").join(of("b"), "b").where("ca = cb").select(F.col("ca").alias("community"), "a", "b", "w")
+
+
+def reports(answers: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, report) of JSON answers that have a title, a summary, a rating and findings."""
+    form = "title string, summary string, rating double, findings array<struct<summary: string, explanation: string>>"
+    r = answers.select(key, F.from_json(text, form).alias("r")).where("r.title is not null and r.summary is not null and r.rating is not null and r.findings is not null")
+    found = F.array_join(F.transform("r.findings", lambda f: F.concat(F.lit("## "), f["summary"], F.lit("\n"), f["explanation"])), "\n\n")
+    return r.select(key, F.concat(F.lit("# "), "r.title", F.lit("\n\n"), "r.summary", F.lit("\n\n"), found).alias("report"))
+
+
+def chunk_rows(nodes: DataFrame, edges: DataFrame, source: str) -> DataFrame:
+    """(id, name, kind, sources, n_tokens) of entities and relations, with how many sources each has."""
+    entity = nodes.groupBy("name").agg(F.countDistinct(source).alias("sources")).select(F.md5(F.concat("name", F.lit(":entity"))).alias("id"), "name", F.lit("entity").alias("kind"), "sources")
+    relation = edges.groupBy("a", "b").agg(F.countDistinct(source).alias("sources")).select(F.md5(F.concat_ws(":", "a", "b")).alias("id"), F.concat_ws(" - ", "a", "b").alias("name"), F.lit("relation").alias("kind"), "sources")
+    return entity.unionByName(relation).withColumn("n_tokens", F.size(tx.tokenize(F.col("name"))))
+
+
+def walks(edges: DataFrame, walks: int, steps: int) -> DataFrame:
+    """(origin, walk, step, node): from each node, each step to the neighbour with the smallest hash of walk, step and neighbour."""
+    u = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    at = u.select(F.col("a").alias("origin")).distinct().select("origin", F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk"), F.col("origin").alias("node"))
+    found = None
+    for s in range(steps):
+        mark = F.md5(F.concat_ws(":", "origin", "walk", F.lit(s), "b"))
+        at = materialise(at.join(u, at.node == u.a).groupBy("origin", "walk").agg(F.min(F.struct(mark.alias("m"), "b")).alias("t")).select("origin", "walk", F.col("t.b").alias("node")))
+        level = at.select("origin", "walk", F.lit(s + 1).alias("step"), "node")
+        found = level if found is None else found.unionByName(level)
+    return found
+
+
+def merged_trees(paths: DataFrame, path: str, root: str = "root") -> DataFrame:
+    """(path, depth, leaves) of trees given as arrays of labels from below the root to a leaf."""
+    whole = F.concat(F.array(F.lit(root)), F.col(path))
+    up = F.transform(F.sequence(F.lit(0), F.size(whole) - 1), lambda k: F.struct(F.array_join(F.slice(whole, 1, k + 1), "/").alias("path"), k.alias("depth")))
+    return paths.select(F.explode(up).alias("x")).groupBy("x.path", "x.depth").agg(F.count("*").alias("leaves"))

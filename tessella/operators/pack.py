@@ -1,7 +1,9 @@
-"""Chunking: folds over the lines of a document, without a shuffle."""
+"""Chunking: folds over the lines of a document within its row, without a shuffle."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,39 +12,60 @@ def word_count(col: Column) -> Column:
     return F.size(F.array_remove(F.split(col, " "), ""))
 
 
-def _assembled(df: DataFrame, ids: Column, keep: list[str], joiner: str) -> DataFrame:
-    """One row for each chunk id of an array column `pieces` and the ids that stand beside it."""
-    zipped = df.select(*keep, F.posexplode(F.arrays_zip(F.col("pieces").alias("piece"), ids.alias("cid"))).alias("at", "z"))
-    return zipped.groupBy(*keep, F.col("z.cid").alias("pos")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "z.piece"))), lambda x: x["piece"]), joiner).alias("content"))
+def starts(counts: Column, opens: Callable) -> Column:
+    """Places (from 1) of the pieces that begin a chunk: the first, and each for which `opens(size of the open chunk, count)` holds."""
+    empty = F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("at"))
 
+    def step(s, c):
+        fresh = (s.i == 0) | opens(s.n, c)
+        return F.struct(F.when(fresh, c).otherwise(s.n + c).alias("n"), (s.i + 1).alias("i"), F.when(fresh, F.concat(s["at"], F.array(s.i + 1))).otherwise(s["at"]).alias("at"))
 
-def fold_ids(counts: Column, opens: callable) -> Column:
-    """Chunk id of each piece. State: size of the open chunk, its id, ids so far; `opens(size, count)` starts a new one."""
-    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("id"), F.array().cast("array<int>").alias("ids"))
+    return F.aggregate(counts, empty, step, lambda s: s["at"])
 
-    def step(s, c):
-        fresh = opens(s.n, c) & (F.size(s.ids) > 0)
-        ident = F.when(fresh, s.id + 1).otherwise(s.id)
-        return F.struct(F.when(fresh, c).otherwise(s.n + c).alias("n"), ident.alias("id"), F.concat(s.ids, F.array(ident)).alias("ids"))
 
-    return F.aggregate(counts, start, step, lambda s: s.ids)
+def cut(pieces: Column, at: Column, joiner: str) -> Column:
+    """The pieces from each start to the next one, joined."""
+    end = lambda k: F.coalesce(F.get(at, k + 1), F.size(pieces) + 1)
+    return F.transform(at, lambda s, k: F.array_join(F.slice(pieces, s, end(k) - s), joiner))
+
+
+def _chunked(df: DataFrame, keep: list[str], opens: Callable, joiner: str = "\n") -> DataFrame:
+    """One row (keep, pos, content) for each chunk of the array column `pieces`."""
+    placed = df.withColumn("starts", starts(F.transform("pieces", word_count), opens))
+    return placed.select(*keep, F.posexplode(cut(F.col("pieces"), F.col("starts"), joiner)).alias("pos", "content"))
+
 
+def _lines(docs: DataFrame, text: str, delimiter: str = "\n") -> DataFrame:
+    return docs.withColumn("pieces", F.filter(F.split(F.col(text), delimiter, -1), lambda x: F.trim(x) != "")).drop(text)
 
-def greedy(docs: DataFrame, limit: int, text: str = "text", delimiter: str = "\n") -> DataFrame:
-    """Pieces go to the open chunk until that one is over the limit, so a chunk overshoots by one piece at most."""
+
+def greedy(docs: DataFrame, limit: int, text: str = "text", delimiter: str = "\n", overlap: int = 0) -> DataFrame:
+    """Pieces go to the open chunk until that one is over the limit, so a chunk overshoots by one piece at most.
+
+    With an overlap the limit shrinks by that percentage, and each chunk but the first begins with as large a
+    share of the last characters of the one before.
+    """
     keep = [c for c in docs.columns if c != text]
-    cut = docs.withColumn("pieces", F.filter(F.split(F.col(text), delimiter, -1), lambda x: F.trim(x) != "")).drop(text)
-    return _assembled(cut, fold_ids(F.transform("pieces", word_count), lambda n, c: n > limit), keep, "\n")
+    most = limit * (100 - overlap) / 100
+    if not overlap:
+        return _chunked(_lines(docs, text, delimiter), keep, lambda n, c: n > most)
+    placed = _lines(docs, text, delimiter).withColumn("starts", starts(F.transform("pieces", word_count), lambda n, c: n > most))
+    share = lambda x: F.length(x) - F.floor(F.length(x) * F.lit((100 - overlap) / 100)).cast("int")
+    last = lambda acc: F.element_at(acc, -1)
+    tail = lambda x: F.when(share(x) > 0, F.right(x, share(x))).otherwise("")
+    none = F.array().cast("array<string>")
+    chained = F.aggregate(cut(F.col("pieces"), F.col("starts"), "\n"), none, lambda acc, x: F.concat(acc, F.array(F.when(F.size(acc) == 0, x).otherwise(F.concat(tail(last(acc)), x)))))
+    return placed.select(*keep, F.posexplode(chained).alias("pos", "content"))
 
 
 def bounded(docs: DataFrame, limit: int, text: str = "text", delimiter: str = "\n") -> DataFrame:
     """A piece that would pass the limit opens a new chunk; a longer piece is cut into windows of `limit` words first."""
     keep = [c for c in docs.columns if c != text]
     words = lambda x: F.filter(F.split(x, " "), lambda w: w != "")
-    windows = lambda x: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(words(x)) / limit).cast("int") - 1, F.lit(0))), lambda k: F.array_join(F.slice(words(x), k * limit + 1, limit), " "))
-    lines = F.filter(F.split(F.col(text), delimiter, -1), lambda x: F.trim(x) != "")
-    cut = docs.withColumn("pieces", F.flatten(F.transform(lines, windows))).drop(text)
-    return _assembled(cut, fold_ids(F.transform("pieces", word_count), lambda n, c: n + c > limit), keep, "\n")
+    many = lambda w: F.greatest(F.ceil(F.size(w) / limit).cast("int") - 1, F.lit(0))
+    windows = lambda w: F.transform(F.sequence(F.lit(0), many(w)), lambda k: F.array_join(F.slice(w, k * limit + 1, limit), " "))
+    split = _lines(docs, text, delimiter).withColumn("pieces", F.flatten(F.transform(F.transform("pieces", words), windows)))
+    return _chunked(split, keep, lambda n, c: n + c > limit)
 
 
 def by_pattern(sections: DataFrame, pattern: str, key: str = "doc_id") -> DataFrame:
@@ -70,20 +93,45 @@ def by_title(sections: DataFrame, level: int, key: str = "doc_id") -> DataFrame:
     return d.withColumn("cid", cid).groupBy(key, "cid").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n").alias("content"))
 
 
-def parent_child(docs: DataFrame, child: int = 64, parent: int = 256, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
+def parent_child(docs: DataFrame, child: int = 256, parent: int = 1024, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame, DataFrame]:
     """Children of up to `child` words, parents of consecutive children of up to `parent` words, and the mapping."""
     keep = [c for c in docs.columns if c != text]
-    cut = docs.withColumn("pieces", F.filter(F.split(F.col(text), "\n", -1), lambda x: F.trim(x) != "")).drop(text)
-    kids = _assembled(cut, fold_ids(F.transform("pieces", word_count), lambda n, c: n + c > child), keep, "\n").withColumnRenamed("pos", "child")
-    own = kids.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("child", word_count(F.regexp_replace("content", "\n", " ")).alias("n")))).alias("kids"))
-    ids = fold_ids(F.transform("kids", lambda x: x["n"]), lambda n, c: n + c > parent)
-    mapping = own.select(key, F.explode(F.arrays_zip(F.col("kids.child").alias("child"), ids.alias("parent"))).alias("z")).select(key, "z.child", "z.parent")
-    parents = kids.join(mapping, [key, "child"]).groupBy(key, "parent").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("child", "content"))), lambda x: x["content"]), "\n\n").alias("content"))
-    return parents, kids, mapping
+    own = _lines(docs, text).withColumn("starts", starts(F.transform("pieces", word_count), lambda n, c: n + c > child)).select(*keep, cut(F.col("pieces"), F.col("starts"), "\n").alias("kids"))
+    own = own.withColumn("up", starts(F.transform("kids", lambda x: word_count(F.translate(x, "\n", " "))), lambda n, c: n + c > parent))
+    kids = own.select(*keep, F.posexplode("kids").alias("child", "content"))
+    parents = own.select(key, F.posexplode(cut(F.col("kids"), F.col("up"), "\n\n")).alias("parent", "content"))
+    of = F.transform("kids", lambda x, k: F.size(F.filter("up", lambda s: s <= k + 1)) - 1)
+    return parents, kids, own.select(key, F.posexplode(of).alias("child", "parent"))
 
 
 def char_windows(docs: DataFrame, size: int = 1000, overlap: int = 200, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """Windows of `size` characters every `size - overlap`; all of the text is in some window."""
-    step = size - overlap
-    last = F.greatest(F.ceil((F.length(text) - overlap) / step).cast("int") - 1, F.lit(0))
-    return docs.where(F.length(text) > 0).select(key, F.explode(F.sequence(F.lit(0), last)).alias("win"), text).select(key, "win", F.substring(F.col(text), F.col("win") * step + 1, F.lit(size)).alias("content"))
+    """Windows of at most `size` characters; one that isn't the last ends behind its last full stop if that is beyond
+    its half, and the next begins `overlap` characters before its end. All of the text is in some window."""
+    n = F.length("t")
+    empty = F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<at:int,n:int>>").alias("out"))
+
+    def step(s, _):
+        piece = F.substring(F.col("t"), s["at"], F.lit(size))
+        stop = F.length(piece) - F.instr(F.reverse(piece), ".") + 1
+        last = s["at"] + size > n
+        keep = F.when(~last & (F.instr(piece, ".") > 0) & (stop > size / 2), stop).otherwise(F.length(piece)).cast("int")
+        following = F.when(last, n + 1).otherwise(s["at"] + F.greatest(keep - overlap, F.lit(1)))
+        return F.when(s["at"] > n, s).otherwise(F.struct(following.cast("int").alias("at"), F.concat(s["out"], F.array(F.struct(s["at"].alias("at"), keep.alias("n")))).alias("out")))
+
+    most = F.ceil(n / (size // 2 - overlap)).cast("int")  # no window but the last is shorter than a half
+    cuts = F.aggregate(F.sequence(F.lit(1), F.greatest(most, F.lit(1))), empty, step, lambda s: s["out"])
+    d = docs.where(F.length(text) > 0).select(F.col(key), F.col(text).alias("t"))
+    pieces = F.transform(cuts, lambda x: F.substring(F.col("t"), x["at"], x["n"]))
+    return d.select(key, F.posexplode(pieces).alias("win", "content"))
+
+
+def starts_signed(sizes: Column, least: int, most: int) -> Column:
+    """Starts of chunks over pieces whose headings have negative sizes: a heading closes a chunk of `least` words or
+    more, and a piece that would pass `most` words closes any."""
+    empty = F.struct(F.lit(0).alias("n"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("at"))
+
+    def step(s, c):
+        fresh = (s.i == 0) | ((c < 0) & (s.n >= least)) | (s.n + F.abs(c) > most)
+        return F.struct(F.when(fresh, F.abs(c)).otherwise(s.n + F.abs(c)).alias("n"), (s.i + 1).alias("i"), F.when(fresh, F.concat(s["at"], F.array(s.i + 1))).otherwise(s["at"]).alias("at"))
+
+    return F.aggregate(sizes, empty, step, lambda s: s["at"])

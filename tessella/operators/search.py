@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -54,16 +56,48 @@ def unit(vec: Column) -> Column:
     return F.transform(vec, lambda x: x.cast("double") / F.when(size > 0, size).otherwise(F.lit(1.0)))
 
 
+def fitted(vec: Column, places: int) -> Column:
+    """The vector, or zeros where it is missing or of another size."""
+    return F.when(F.size(vec) == places, vec).otherwise(F.array_repeat(F.lit(0.0).cast("float"), places))
+
+
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0) -> DataFrame:
-    """Exact cosine search. queries(query_id, q) is a stated set, sent to every task; rows(vec_id, v) stream past it."""
-    q = F.broadcast(queries.select("query_id", unit(F.col("q")).alias("q")))
-    scored = vectors.select("vec_id", unit(F.col("v")).alias("v")).join(q, F.col("vec_id") != F.col("query_id"))
-    scored = scored.select("query_id", "vec_id", F.round(dot(F.col("v"), F.col("q")), 6).alias("score")).where(F.col("score") >= least)
-    return top_k(scored, ["vec_id"], k)
+def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, block: int = 4096, part: int = 20_000) -> DataFrame:
+    """(query_id, vec_id, score, rank): exact cosine search of queries(query_id, q) among vectors(vec_id, v).
+
+    Queries are dealt to blocks and vectors to parts; each pair of a block and a part is one task's matrix
+    product, of which the k best of each query go on. A vector is never its own hit.
+    """
+    many = lambda df, n: max(1, -(-df.count() // n))
+    blocks, parts = many(queries, block), many(vectors, part)
+    at = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    q = queries.select(at("query_id", blocks).alias("block"), copies(parts).alias("part"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.col("q").alias("v"))
+    v = vectors.select(copies(blocks).alias("block"), at("vec_id", parts).alias("part"), F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "v")
+
+    def best(pdf: pd.DataFrame) -> pd.DataFrame:
+        unit = lambda rows: (m := np.array(rows.tolist(), float)) / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+        a, b = pdf[pdf.asks], pdf[~pdf.asks]
+        if not len(a) or not len(b):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+        asked, ids = a.id.to_numpy(), b.id.to_numpy()
+        score = np.round(unit(a.v) @ unit(b.v).T, 6)
+        score[asked[:, None] == ids] = -2
+        n = min(k, len(ids))
+        order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :n]
+        out = pd.DataFrame({"query_id": np.repeat(asked, n), "vec_id": ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
+        return out[out.score >= max(least, -1.5)]
+
+    found = q.unionByName(v).groupBy("block", "part").applyInPandas(best, "query_id long, vec_id long, score double")
+    return top_k(found, ["vec_id"], k)
+
+
+def sent(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """df with a hint to send it to every task, if it has at most `rows` rows."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
 def evaluate(run: DataFrame, qrels: DataFrame, cut: int = 10) -> DataFrame:

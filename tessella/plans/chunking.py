@@ -52,15 +52,18 @@ def pack_title(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("parent_child", "with recursive " + PIECES + r""",
-fold as (select doc_id, p, c n, 0 id from pc where p=1 union all select f.doc_id, f.p+1, case when f.n+pc.c>64 then pc.c else f.n+pc.c end, case when f.n+pc.c>64 then f.id+1 else f.id end from fold f join pc on pc.doc_id=f.doc_id and pc.p=f.p+1),
+fold as (select doc_id, p, c n, 0 id from pc where p=1 union all select f.doc_id, f.p+1, case when f.n+pc.c>256 then pc.c else f.n+pc.c end, case when f.n+pc.c>256 then f.id+1 else f.id end from fold f join pc on pc.doc_id=f.doc_id and pc.p=f.p+1),
 kids as materialized (select pc.doc_id, id child, string_agg(piece, chr(10) order by pc.p) content, sum(pc.c)::bigint n, row_number() over (partition by pc.doc_id order by id) k from pc join fold f on f.doc_id=pc.doc_id and f.p=pc.p group by 1,2),
-up as (select doc_id, k, n, 0 id from kids where k=1 union all select u.doc_id, u.k+1, case when u.n+kids.n>256 then kids.n else u.n+kids.n end, case when u.n+kids.n>256 then u.id+1 else u.id end from up u join kids on kids.doc_id=u.doc_id and kids.k=u.k+1)
+up as (select doc_id, k, n, 0 id from kids where k=1 union all select u.doc_id, u.k+1, case when u.n+kids.n>1024 then kids.n else u.n+kids.n end, case when u.n+kids.n>1024 then u.id+1 else u.id end from up u join kids on kids.doc_id=u.doc_id and kids.k=u.k+1)
 select kids.doc_id, up.id parent, string_agg(content, chr(10)||chr(10) order by child) content from kids join up on up.doc_id=kids.doc_id and up.k=kids.k group by 1,2""")
 def parent_child(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.parent_child(_docs(spark, sf_dir))[0]
 
 
-@query("char_windows", "select doc_id, k::int win, substring(text, k*800+1, 1000) as content from (select doc_id, text, unnest(range(0, greatest(1, ceil((length(text)-200)/800.0)::int))) k from documents where length(text)>0)")
+@query("char_windows", """with recursive p as (select doc_id, text t, 1 st, 0 win, substring(text,1,1000) piece from documents where length(text)>0
+ union all select doc_id, t, nxt, win+1, substring(t,nxt,1000) from (select *, st+greatest((case when strpos(piece,'.')>0 and length(piece)-strpos(reverse(piece),'.')+1>500 then length(piece)-strpos(reverse(piece),'.')+1 else length(piece) end)-200,1) nxt from p where st+1000<=length(t))),
+k as (select doc_id, win, piece, st+1000>length(t) as done, length(piece)-strpos(reverse(piece),'.')+1 stop from p)
+select doc_id, win::int win, case when not done and strpos(piece,'.')>0 and stop>500 then substring(piece,1,stop) else piece end as content from k""")
 def char_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.char_windows(_docs(spark, sf_dir))
 

@@ -5,16 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..functions import text as tx
+from ..functions import hooks
+from ..operators import graph as g
 from ..operators import search
+from ..scratch import materialise
 from .base import table
 from .graph import E, _edges
 from .registry import query
-from .retrieval import BENCH, POSTED, _parts
+from .retrieval import BENCH, POSTED, TOK, _parts
 
-#: A chunk has the vector of its document number modulo 500, a query that of its own number.
+#: A chunk has the vector of its document, a query that of its own number; documents without a vector are no candidates.
 VEC = """, v as (select vec_id, embedding::double[64] v from embeddings),
-cand as (select s.query_id, s.doc_id, s.pos, round(s.score,4) score, round(array_cosine_similarity(q.v, c.v),4) cosine from scored s join v q on q.vec_id=s.query_id join v c on c.vec_id=s.doc_id%500)"""
+cand as (select s.query_id, s.doc_id, s.pos, round(s.score,4) score, round(array_cosine_similarity(q.v, c.v),4) cosine from scored s join v q on q.vec_id=s.query_id join v c on c.vec_id=s.doc_id)"""
 
 
 def _candidates(spark: SparkSession, sf_dir: str):
@@ -23,7 +25,7 @@ def _candidates(spark: SparkSession, sf_dir: str):
     e = table(spark, sf_dir, "embeddings").select("vec_id", search.unit(F.col("embedding")).alias("v"))
     hits = search.match(terms, posted, ["doc_id", "pos"]).drop("hits").withColumn("score", F.round("score", 4))
     asked = e.join(queries.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    both = hits.join(asked, "query_id").withColumn("vec_id", F.col("doc_id") % 500).join(e, "vec_id")
+    both = hits.join(asked, "query_id").withColumn("vec_id", F.col("doc_id")).join(e, "vec_id")
     return both.select("query_id", "doc_id", "pos", "score", F.round(search.dot(F.col("q"), F.col("v")), 4).alias("cosine")), terms
 
 
@@ -50,46 +52,50 @@ def hybrid_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.top_k(out, ["doc_id", "pos"], 10, "sim").where("sim >= 0.1").select("query_id", "doc_id", "pos", "sim")
 
 
-@query("dimension_check", "select label, count(*) n, count(case when len(embedding)<>64 then 1 end) wrong from embeddings group by 1")
+@query("dimension_check", "select lang, count(*) n, count(case when coalesce(len(embedding),0)<>64 then 1 end) wrong, count(case when coalesce(len(embedding),0)=64 then 1 end) fit from documents left join embeddings on vec_id=doc_id group by 1")
 def dimension_check(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors of another size are replaced by zeros and counted."""
-    e = table(spark, sf_dir, "embeddings")
-    fit = F.when(F.size("embedding") != 64, F.array_repeat(F.lit(0.0).cast("float"), 64)).otherwise(F.col("embedding"))
-    return e.withColumn("v", fit).groupBy("label").agg(F.count("*").alias("n"), F.count(F.when(F.size("embedding") != 64, 1)).alias("wrong"))
+    """Documents without a vector, or with one of another size, get zeros and are counted."""
+    both = table(spark, sf_dir, "documents").select("doc_id", "lang").join(table(spark, sf_dir, "embeddings").withColumnRenamed("vec_id", "doc_id"), "doc_id", "left")
+    v = both.withColumn("v", search.fitted(F.col("embedding"), 64))
+    zero = F.aggregate("v", F.lit(0.0), lambda s, x: s + F.abs(x)) == 0
+    return v.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(zero, 1)).alias("wrong"), F.count(F.when(~zero, 1)).alias("fit"))
 
 
-@query("hash_embedding")
+@query("hash_embedding", "with t as (select item_id, " + TOK.format("text") + """ w from benchmark), e as (select item_id, unnest(w) w from t),
+n as (select item_id, ('0x'||substring(md5(w),1,4))::int%64 place, count(*) n from e group by all),
+c as (select item_id, unnest(range(0,64)) place from t where len(w)>0), g as (select item_id, place, coalesce(n,0) n from c left join n using (item_id, place))
+select item_id, string_agg(n::varchar, ',' order by place) v from g group by 1""")
 def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A text as hashed counts of its words over 64 places: the default where no model is given."""
-    t = table(spark, sf_dir, "benchmark").select("item_id", F.explode(tx.tokenize(F.col("text"))).alias("w"))
-    n = t.groupBy("item_id", F.pmod(F.xxhash64("w"), F.lit(64)).alias("place")).agg(F.count("*").alias("n"))
-    m = n.groupBy("item_id").agg(F.map_from_entries(F.collect_list(F.struct("place", "n"))).alias("m"))
-    return m.select("item_id", F.transform(F.sequence(F.lit(0), F.lit(63)), lambda k: F.coalesce(F.try_element_at("m", k.cast("long")), F.lit(0)).cast("double")).alias("v"))
+    b = table(spark, sf_dir, "benchmark").select("item_id", hooks.hashed_words(F.col("text"), 64).alias("v")).where(F.aggregate("v", F.lit(0.0), lambda s, x: s + x) > 0)
+    return b.select("item_id", F.array_join(F.transform("v", lambda x: x.cast("int").cast("string")), ",").alias("v"))
 
 
-@query("path_join", "with " + E + ", f as (select a, b from e where b%9=0) select p.a x, p.b y, q.b z from f p join (select b a, a b from f) q on q.a=p.b where q.b<>p.a")
+@query("path_join", "with " + E + " select p.a x, q.a z, count(*) paths from e p join e q on q.b=p.b where q.a<>p.a group by 1,2")
 def path_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Paths of two edges that don't turn back."""
-    f = _edges(spark, sf_dir).where("b % 9 = 0").select("a", "b")
+    """Paths of two edges that don't turn back, by their ends."""
+    f = _edges(spark, sf_dir).select("a", "b")
     p, q = f.select(F.col("a").alias("x"), F.col("b").alias("y")), f.select(F.col("b").alias("y"), F.col("a").alias("z"))
-    return p.join(q, "y").where("z <> x").select("x", "y", "z")
+    return p.join(q, "y").where("z <> x").groupBy("x", "z").agg(F.count("*").alias("paths"))
 
 
 @query("graph_retrieval", "with " + E + """, d as (select node, count(*) r from (select a node from e union all select b from e) group by 1),
-s as (select vec_id node, round(array_cosine_similarity(embedding::double[64], (select embedding::double[64] from embeddings where vec_id=0)),4) sim from embeddings where vec_id>0),
-n as (select s.node, round(sim*r,4) score from s join d on d.node=s.node order by score desc, s.node limit 6),
-r as (select a, b, round(w*s.sim,4) score from e join s on s.node=e.b order by score desc, a, b limit 6)
-select 'entity' kind, node x, 0::bigint y, score from n union all select 'relation', a, b, score from r""")
+v as (select vec_id, embedding::double[64] v from embeddings),
+s as materialized (select q.vec_id query_id, n.vec_id node, round(array_cosine_similarity(n.v, q.v),6) sim from v q join v n on n.vec_id<>q.vec_id where q.vec_id%50=0),
+n as (select query_id, s.node x, 0::bigint y, round(sim*r,4) score, row_number() over (partition by query_id order by round(sim*r,4) desc, s.node) k from s join d on d.node=s.node),
+r as (select query_id, a x, b y, round(w*s.sim,4) score, row_number() over (partition by query_id order by round(w*s.sim,4) desc, a, b) k from e join s on s.node=e.b)
+select query_id, 'entity' kind, x, y, score from n where k<=6 union all select query_id, 'relation', x, y, score from r where k<=6""")
 def graph_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Six entities by similarity times rank, and six relations by similarity times weight (a report of fixed size)."""
+    """For each query (vectors whose number is divisible by 50) six entities by similarity times rank, and six relations
+    by similarity times weight."""
     e = _edges(spark, sf_dir)
-    v = table(spark, sf_dir, "embeddings").select("vec_id", search.unit(F.col("embedding")).alias("v"))
-    asked = v.where("vec_id = 0").select(F.col("v").alias("q"))
-    s = v.where("vec_id > 0").crossJoin(F.broadcast(asked)).select(F.col("vec_id").alias("node"), F.round(search.dot(F.col("v"), F.col("q")), 4).alias("sim"))
-    d = e.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("r"))
-    n = s.join(d, "node").select(F.lit("entity").alias("kind"), F.col("node").alias("x"), F.lit(0).cast("long").alias("y"), F.round(F.col("sim") * F.col("r"), 4).alias("score")).orderBy(F.desc("score"), "x").limit(6)
-    r = e.join(s.withColumnRenamed("node", "b"), "b").select(F.lit("relation").alias("kind"), F.col("a").alias("x"), F.col("b").alias("y"), F.round(F.col("w") * F.col("sim"), 4).alias("score")).orderBy(F.desc("score"), "x", "y").limit(6)
-    return n.unionByName(r)
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    s = search.knn(v, v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")), 1 << 30).select("query_id", F.col("vec_id").alias("node"), F.col("score").alias("sim"))
+    s = materialise(s, "similarities")
+    best = lambda df: df.withColumn("k", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "x", "y"))).where("k <= 6").drop("k")
+    n = s.join(g.degrees(e), "node").select("query_id", F.lit("entity").alias("kind"), F.col("node").alias("x"), F.lit(0).cast("long").alias("y"), F.round(F.col("sim") * F.col("degree"), 4).alias("score"))
+    r = e.join(s.withColumnRenamed("node", "b"), "b").select("query_id", F.lit("relation").alias("kind"), F.col("a").alias("x"), F.col("b").alias("y"), F.round(F.col("w") * F.col("sim"), 4).alias("score"))
+    return best(n).unionByName(best(r))
 
 
 @query("query_report", BENCH + POSTED + """, t as (select query_id, doc_id, pos, row_number() over (partition by query_id order by round(score,4) desc, doc_id, pos) rank from scored)

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import search
 from .base import chunks, lines, table
-from .registry import query
+from .chunking import html_sections
+from .registry import SQL, query
 from .retrieval import BENCH, CHUNKS, POSTED, _parts
 
 
@@ -19,20 +20,21 @@ def json_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", v.try_cast("long").alias("k"), v.isNull().alias("rejected"))
 
 
-@query("heading_qa", r"""with l as (select doc_id, unnest(string_split(coalesce(text,''), chr(10))) t, generate_subscripts(string_split(coalesce(text,''), chr(10)),1)-1 i from documents),
-h as (select doc_id, i, case when i%3=0 then (1+(i//3)%2)::int else 0 end lv, t from l),
-g as (select *, sum(case when lv=1 then 1 else 0 end) over w g1, sum(case when lv>0 then 1 else 0 end) over w g2 from h window w as (partition by doc_id order by i)),
-q as (select *, max(case when lv=1 then t end) over (partition by doc_id, g1) h1, max(case when lv=2 then t end) over (partition by doc_id, g2) h2 from g)
-select doc_id, g2::bigint section, concat_ws(' / ', any_value(h1), any_value(h2)) question, string_agg(t, chr(10) order by i) answer from q where lv=0 group by 1,2""")
+@query("heading_qa", "with sec as (" + SQL["html_sections"] + r"""), g as (select *, regexp_matches(text,'^#{1,6} ') h, sum(case when regexp_matches(text,'^#{1,6} ') then 1 else 0 end) over (partition by page_id order by pos) k from sec)
+select page_id, k::bigint section, max(case when h then regexp_replace(text,'^#+ ','') end) question, string_agg(case when not h then text end, chr(10) order by pos) answer from g where k>0 group by 1,2 having count(case when not h then 1 end)>0""")
 def heading_qa(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Question: the headings above a body; answer: the body up to the next heading. Every third line is a heading here."""
-    level = F.when(F.col("pos") % 3 == 0, 1 + F.floor(F.col("pos") / 3) % 2).otherwise(0)
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    g = lines(spark, sf_dir).withColumn("level", level).withColumn("g1", F.sum(F.when(F.col("level") == 1, 1).otherwise(0)).over(w)).withColumn("g2", F.sum(F.when(F.col("level") > 0, 1).otherwise(0)).over(w))
-    h = lambda k, g: F.max(F.when(F.col("level") == k, F.col("text"))).over(Window.partitionBy("doc_id", g))
-    q = g.withColumn("h1", h(1, "g1")).withColumn("h2", h(2, "g2")).where("level = 0")
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), "\n")
-    return q.groupBy("doc_id", F.col("g2").alias("section")).agg(F.concat_ws(" / ", F.first("h1"), F.first("h2")).alias("question"), body.alias("answer"))
+    """Question: the headings above a body (of pages, which have one level); answer: the body up to the next heading."""
+    s = html_sections(spark, sf_dir)
+    level = F.length(F.regexp_extract("text", "^(#{1,6}) ", 1))
+    w = Window.partitionBy("page_id").orderBy("pos")
+    s = s.withColumn("level", level).withColumn("section", F.sum(F.when(F.col("level") > 0, 1).otherwise(0)).over(w)).where("section > 0")
+    last = {k: F.last(F.when(F.col("level") == k, F.struct("pos", F.regexp_replace("text", "^#+ ", "").alias("t"))), True).over(w) for k in range(1, 7)}
+    s = s.withColumns({f"h{k}": c for k, c in last.items()})
+    # A heading counts only if none of a lesser level came after it.
+    shown = [F.when(~F.coalesce(F.greatest(F.lit(-1), *[F.col(f"h{j}.pos") for j in range(1, k)]) > F.col(f"h{k}.pos"), F.lit(False)), F.col(f"h{k}.t")) if k > 1 else F.col("h1.t") for k in range(1, 7)]
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("level") == 0, F.struct("pos", "text")))), lambda x: x["text"]), "\n")
+    out = s.withColumn("q", F.concat_ws(" / ", *shown)).groupBy("page_id", "section").agg(F.max("q").alias("question"), body.alias("answer"), F.count(F.when(F.col("level") == 0, 1)).alias("n"))
+    return out.where("n > 0").drop("n")
 
 
 @query("table_row_groups", "select p_brand, k::bigint as grp, 'name|size;'||string_agg(p_name||'|'||p_size, ';' order by p_partkey) as content from (select *, (row_number() over (partition by p_brand order by p_partkey)-1)//12 k from part) group by 1,2")
@@ -52,13 +54,14 @@ def benchmark_reader(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nested.select("query_id", F.explode(F.arrays_zip("keys", "sel")).alias("z")).select("query_id", F.col("z.keys").alias("passage"), F.col("z.sel").alias("rel"))
 
 
-@query("position_unpack", r"""with t as (select l_orderkey, l_linenumber, 'a@@'||l_linenumber||chr(9)||l_partkey||chr(9)||l_suppkey||'##b' x from lineitem where l_orderkey<500)
-select l_orderkey, l_linenumber, regexp_extract(x,'@@([0-9]+)\t([0-9]+)\t([0-9]+)##',1)::bigint page, regexp_extract(x,'@@([0-9]+)\t([0-9]+)\t([0-9]+)##',2)::bigint top, regexp_replace(x,'@@[0-9\t]+##','','g') as text from t""")
+@query("position_unpack", r"""with t as (select l_orderkey, l_linenumber, l_partkey, 'a@@'||l_linenumber||chr(9)||l_partkey||chr(9)||l_suppkey||chr(9)||l_quantity::int||chr(9)||(l_quantity::int+9)||'##b' x from lineitem)
+select l_orderkey, l_linenumber, l_partkey, split_part(regexp_extract(x,'@@([0-9\t]+)##',1),chr(9),1)::bigint page, split_part(regexp_extract(x,'@@([0-9\t]+)##',1),chr(9),2)::bigint "left", split_part(regexp_extract(x,'@@([0-9\t]+)##',1),chr(9),3)::bigint "right", split_part(regexp_extract(x,'@@([0-9\t]+)##',1),chr(9),4)::bigint top, split_part(regexp_extract(x,'@@([0-9\t]+)##',1),chr(9),5)::bigint bottom, regexp_replace(x,'@@[0-9\t]+##','','g') as text from t""")
 def position_unpack(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Place tags to numbers, and the text without them."""
-    x = F.concat(F.lit("a@@"), F.concat_ws("\t", "l_linenumber", "l_partkey", "l_suppkey"), F.lit("##b"))
-    at = lambda k: F.regexp_extract("x", r"@@([0-9]+)\t([0-9]+)\t([0-9]+)##", k).try_cast("long")
-    return table(spark, sf_dir, "lineitem").where("l_orderkey < 500").withColumn("x", x).select("l_orderkey", "l_linenumber", at(1).alias("page"), at(2).alias("top"), F.regexp_replace("x", r"@@[0-9\t]+##", "").alias("text"))
+    x = F.concat(F.lit("a@@"), F.concat_ws("\t", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_quantity").cast("int"), F.col("l_quantity").cast("int") + 9), F.lit("##b"))
+    numbers = F.split(F.regexp_extract("x", r"@@([0-9\t]+)##", 1), "\t")
+    five = [F.get(numbers, F.lit(k)).try_cast("long").alias(n) for k, n in enumerate(("page", "left", "right", "top", "bottom"))]
+    return table(spark, sf_dir, "lineitem").withColumn("x", x).select("l_orderkey", "l_linenumber", "l_partkey", *five, F.regexp_replace("x", r"@@[0-9\t]+##", "").alias("text"))
 
 
 @query("citation_repair", r"""with t as (select o_orderkey, 'x (ID: '||o_orderkey%40||') y [ID:'||o_custkey%40||'] ref'||o_orderkey%7 x from orders),
@@ -84,21 +87,22 @@ def float_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", tx.to_float(raw).alias("value"))
 
 
-@query("section_ids", r"""with l as (select doc_id, unnest(string_split(coalesce(text,''), chr(10))) t, generate_subscripts(string_split(coalesce(text,''), chr(10)),1)-1 pos from documents), v as (select *, 1+pos%4 lv from l),
-f as (select *, case when lv<=2 and lv is distinct from lag(lv) over (partition by doc_id order by pos) then 1 else 0 end f from v)
-select doc_id, pos::int pos, sum(f) over (partition by doc_id order by pos)::bigint section from f""")
+@query("section_ids", "with sec as (" + SQL["html_sections"] + r"""), v as (select page_id, pos, case when regexp_matches(text,'^#{1,6} ') then length(regexp_extract(text,'^(#{1,6}) ',1)) else 9 end lv from sec),
+f as (select *, case when lv<=2 and lv is distinct from lag(lv) over (partition by page_id order by pos) then 1 else 0 end f from v)
+select page_id, pos, sum(f) over (partition by page_id order by pos)::bigint section from f""")
 def section_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A section begins where the level is at most the pivot and differs from the line's before."""
-    w = Window.partitionBy("doc_id").orderBy("pos")
-    v = lines(spark, sf_dir).withColumn("level", 1 + F.col("pos") % 4)
+    """A section begins where the level is at most the pivot and differs from the block's before."""
+    w = Window.partitionBy("page_id").orderBy("pos")
+    v = html_sections(spark, sf_dir).withColumn("level", F.when(F.col("text").rlike("^#{1,6} "), F.length(F.regexp_extract("text", "^(#{1,6}) ", 1))).otherwise(9))
     f = F.when((F.col("level") <= 2) & ~F.col("level").eqNullSafe(F.lag("level").over(w)), 1).otherwise(0)
-    return v.withColumn("f", f).select("doc_id", "pos", F.sum("f").over(w).alias("section"))
+    return v.withColumn("f", f).select("page_id", "pos", F.sum("f").over(w).alias("section"))
 
 
-@query("title_levels", "with l as (select source, 1+n_chars%3 as level, count(*) n from documents group by 1,2) select source, level from (select *, row_number() over (partition by source order by n desc, level) r from l) where r=1")
+@query("title_levels", "with sec as (" + SQL["html_sections"] + r"""), l as (select page_id, length(regexp_extract(text,'^(#{1,6}) ',1)) as level, count(*) n from sec where regexp_matches(text,'^#{1,6} ') group by 1,2) select page_id, level::int as level from (select *, row_number() over (partition by page_id order by n desc, level) r from l) where r=1""")
 def title_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "documents").groupBy("source", (1 + F.col("n_chars") % 3).alias("level")).agg(F.count("*").alias("n"))
-    return g.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "level"))).where("r = 1").select("source", "level")
+    """The heading level that a page has most often."""
+    g = html_sections(spark, sf_dir).where(F.col("text").rlike("^#{1,6} ")).groupBy("page_id", F.length(F.regexp_extract("text", "^(#{1,6}) ", 1)).alias("level")).agg(F.count("*").alias("n"))
+    return g.withColumn("r", F.row_number().over(Window.partitionBy("page_id").orderBy(F.desc("n"), "level"))).where("r = 1").select("page_id", "level")
 
 
 @query("bullet_vote", r"""with l as (select doc_id, unnest(string_split(coalesce(text,''), chr(10))) t from documents), v as (select doc_id, sum(regexp_matches(t,'^\s*[0-9]+[.)]')::int) a, sum(regexp_matches(t,'^\s*[-*•]')::int) b, sum(regexp_matches(t,'^[A-Z]{2,}')::int) c from l group by 1)
@@ -192,6 +196,4 @@ def hit_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("text_sql", "with recursive " + CHUNKS.lstrip() + r" select kb_id, count(*) n from chunks where len(list_intersect(list_distinct(list_filter(string_split(regexp_replace(lower(content),'[^\p{L}\p{N}_]+',' ','g'),' '), lambda x: x<>'')), ['the','and','heed']))>=2 group by 1")
 def text_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
     """SQL over a chunk table with a text predicate: at least a share of the asked words."""
-    chunks(spark, sf_dir).createOrReplaceTempView("sql_chunks")
-    spark.sql("create or replace temporary function match_tokens(t array<string>, asked string, share double) returns boolean return size(array_intersect(t, split(asked, ' '))) >= greatest(1, ceil(share * size(split(asked, ' '))))")
-    return spark.sql("select kb_id, count(*) n from sql_chunks where match_tokens(tokens, :asked, 0.5) group by kb_id", args={"asked": "the and heed"})
+    return spark.sql("select kb_id, count(*) n from {c} where size(array_intersect(tokens, split({asked}, ' '))) >= greatest(1, ceil({share} * size(split({asked}, ' ')))) group by kb_id", c=chunks(spark, sf_dir), asked="the and heed", share=0.5)

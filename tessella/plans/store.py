@@ -104,13 +104,13 @@ def chunk_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunks(spark, sf_dir).withColumn("r", F.row_number().over(w)).where("r <= 1024").select("doc_id", "pos", F.length("content").cast("long").alias("size"))
 
 
-@query("child_to_parent", """with h as (select l_orderkey q, l_partkey child, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_partkey, l_linenumber) rank from lineitem where l_orderkey<500),
+@query("child_to_parent", """with h as (select l_orderkey q, l_partkey child, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_partkey, l_linenumber) rank from lineitem),
 m as (select *, case when child%4=0 then null else child//10 end parent from h), r as (select *, row_number() over (partition by q, parent order by rank) k from m)
 select q, rank::int rank, child, case when parent is not null and k=1 then 'parent'||parent else 'child'||child end as shown from r""")
 def child_to_parent(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A parent stands in for its first hit; later siblings and children without parent stay."""
     w = Window.partitionBy("q").orderBy(F.desc("l_extendedprice"), "child", "l_linenumber")
-    h = table(spark, sf_dir, "lineitem").where("l_orderkey < 500").select(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("child"), "l_extendedprice", "l_linenumber").withColumn("rank", F.row_number().over(w))
+    h = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("q"), F.col("l_partkey").alias("child"), "l_extendedprice", "l_linenumber").withColumn("rank", F.row_number().over(w))
     m = h.withColumn("parent", F.when(F.col("child") % 4 != 0, F.floor(F.col("child") / 10)))
     k = F.row_number().over(Window.partitionBy("q", "parent").orderBy("rank"))
     return m.withColumn("k", k).select("q", "rank", "child", F.when(F.col("parent").isNotNull() & (F.col("k") == 1), F.concat(F.lit("parent"), "parent")).otherwise(F.concat(F.lit("child"), "child")).alias("shown"))
