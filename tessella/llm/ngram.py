@@ -37,27 +37,49 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WordHash, batches, materialise, scratch_path
+from .common import WordHash, batches, scratch_path
 
 END, BEGIN = np.uint64(1), np.uint64(0)  # hashes kept for the end of a text and what stands before it
 STEP = 4096.0  # codes are -log10 p in steps of 1/4096
 KAPPA = 4.0
 
 
-_POP = np.array([bin(x).count("1") for x in range(256)], np.int64)
-_SELECT = np.array([[([k for k in range(8) if x >> k & 1] + [0] * 8)[r] for r in range(8)] for x in range(256)], np.int64)
+_SELECT = np.array([([k for k in range(8) if x >> k & 1] + [0] * 8)[r] for x in range(256) for r in range(8)], np.int64)
+_U = np.uint64
+_ONES, _TOPS = _U(0x0101010101010101), _U(0x8080808080808080)
 
 
-def _select(words: np.ndarray, ranks: np.ndarray, i: np.ndarray, ones: bool) -> np.ndarray:
-    """Place of the i-th set bit (or unset one); ranks: set (unset) bits before each word."""
-    w = np.searchsorted(ranks, i, "right") - 1
-    rest, at = i - ranks[w], words[w]
-    by = (at if ones else ~at).view(np.uint8).reshape(-1, 8)
-    sums = np.cumsum(_POP[by], 1)
-    b = (sums <= rest[:, None]).sum(1)
-    row = np.arange(len(b))
-    before = np.where(b > 0, sums[row, b - 1], 0)
-    return w * 64 + b * 8 + _SELECT[by[row, b], rest - before]
+def _in_word(x: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """Place of the r-th set bit of each word: running counts of its bytes side by side in one word, then a table for the byte."""
+    s = x - ((x >> _U(1)) & _U(0x5555555555555555))
+    s = (s & _U(0x3333333333333333)) + ((s >> _U(2)) & _U(0x3333333333333333))
+    s = ((s + (s >> _U(4))) & _U(0x0F0F0F0F0F0F0F0F)) * _ONES
+    r = r.astype(np.uint64)
+    b = np.bitwise_count(((r * _ONES | _TOPS) - s) & _TOPS).astype(np.uint64) << _U(3)  # bits in bytes that end before it
+    before = ((s << _U(8)) >> b) & _U(255)
+    byte = (x >> b) & _U(255)
+    return b.astype(np.int64) + _SELECT[(byte << _U(3) | (r - before)).astype(np.int64)]
+
+
+def _select(words: np.ndarray, ranks: np.ndarray, hints: np.ndarray | None, i: np.ndarray, ones: bool) -> np.ndarray:
+    """Place of the i-th set bit (or unset one); ranks: set (unset) bits before each word, hints: word of each 16th of them."""
+    if hints is None:
+        w = np.searchsorted(ranks, i, "right") - 1
+    else:
+        w = hints[i >> 4]
+        ahead = np.flatnonzero(ranks[w + 1] <= i)
+        while len(ahead):
+            w[ahead] += 1
+            ahead = ahead[ranks[w[ahead] + 1] <= i[ahead]]
+    at = words[w]
+    return (w << 6) + _in_word(at if ones else ~at, i - ranks[w])
+
+
+def _hints(ranks: np.ndarray) -> np.ndarray | None:
+    """Word of each 16th bit; none where bits are so sparse, or lie so unevenly, that a search is quicker than the way from a hint."""
+    at = np.searchsorted(ranks, np.arange(0, int(ranks[-1]) + 16, 16), "right") - 1
+    steps = np.diff(at)
+    return at if len(steps) and steps.mean() <= 3 and steps.max() <= 100 else None
 
 
 class EliasFano:
@@ -82,6 +104,7 @@ class EliasFano:
         self.low, self.n, self.top = (int(x) for x in parts["low"])
         self.lows = parts["lows"].reshape(self.n, self.low // 8) if self.low else None
         self.gaps = np.arange(len(self.ranks)) * 64 - self.ranks
+        self.hints, self.gap_hints = _hints(self.ranks), _hints(self.gaps)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.uint64)
@@ -93,7 +116,7 @@ class EliasFano:
         """The i-th values: select on the high bits, then the low bytes."""
         if not len(i):
             return np.zeros(0, np.uint64)
-        high = (_select(self.words, self.ranks, i, True) - i).astype(np.uint64)
+        high = (_select(self.words, self.ranks, self.hints, i, True) - i).astype(np.uint64)
         return (high << np.uint64(self.low) | self._low(i)) if self.low else high
 
     def find(self, target: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
@@ -105,8 +128,8 @@ class EliasFano:
             return out
         h = h[at].astype(np.int64)
         # Entries with this high part stand between two unset bits.
-        begin = np.where(h > 0, _select(self.words, self.gaps, np.maximum(h - 1, 0), False) + 1 - h, 0)
-        end = _select(self.words, self.gaps, h, False) - h
+        begin = np.where(h > 0, _select(self.words, self.gaps, self.gap_hints, np.maximum(h - 1, 0), False) + 1 - h, 0)
+        end = _select(self.words, self.gaps, self.gap_hints, h, False) - h
         if low is not None:
             begin, end = np.maximum(begin, low[at]), np.minimum(end, high[at])
         want = target[at] & ((np.uint64(1) << np.uint64(self.low)) - np.uint64(1))
@@ -148,7 +171,7 @@ def save(folder: str, name: str, arrays: dict[str, np.ndarray]) -> None:
 def mapped(folder: str, name: str) -> dict[str, np.ndarray]:
     with open(f"{folder}/{name}.json") as f:
         index = json.load(f)
-    raw = np.memmap(f"{folder}/{name}.bin", np.uint8, "r") if os.path.getsize(f"{folder}/{name}.bin") else np.zeros(0, np.uint8)
+    raw = np.asarray(np.memmap(f"{folder}/{name}.bin", np.uint8, "r")) if os.path.getsize(f"{folder}/{name}.bin") else np.zeros(0, np.uint8)
     return {k: raw[at : at + n * np.dtype(t).itemsize].view(t) for k, (at, n, t) in index.items()}
 
 
@@ -298,7 +321,7 @@ def _code(p: np.ndarray) -> np.ndarray:
     return np.minimum(65535, np.round(-np.log10(p) * STEP)).astype(np.uint16)
 
 
-def train(docs: DataFrame, chosen, text: str = "text", mass: int = 4_000_000) -> dict:
+def train(docs: DataFrame, chosen, text: str = "text", mass: int = 2_000_000) -> dict:
     """Builds the trie from the rows where the column `chosen` holds; returns what a task needs to open it.
 
     mass: training tokens to a part.
@@ -309,33 +332,30 @@ def train(docs: DataFrame, chosen, text: str = "text", mass: int = 4_000_000) ->
         raise ValueError(f"the trie is mapped into memory: spark.checkpoint.dir must be a mounted folder, not {folder}")
     folder = "/" + folder.split(":", 1)[-1].lstrip("/")
     rows = docs.where(chosen).select(text)
+    # Words are dealt to parts by the leading bits of their hash, so no part is hot: 20 million letters of text to a part.
+    letters = rows.agg(F.coalesce(F.sum(F.length(text)), F.lit(0))).first()[0]
+    split = min(16, max(0, int(letters // 20_000_000).bit_length()))
+    word_parts, bits = 1 << split, np.uint64(64 - split)
 
     def count_words(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, held = WordHash(), Gathered()
 
         def give():
             h, c = held.drain()
-            return _dealt(h >> np.uint64(52), h, c)
+            return _dealt(h >> bits if split else np.zeros(len(h), np.int64), h, c)
 
         for _, texts in batches(frames, text):
             if held.add(hashed_tokens(words, texts)[0]):
                 yield give()
         yield give()
 
-    counted = materialise(rows.mapInArrow(count_words, "part int, data binary, n int"), "words")
-    sent = int(counted.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    # At most 4096 word parts; hash-even, so no hot part.
-    word_parts = min(4096, 1 << max(0, sent // 250_000).bit_length())
-    bits = np.uint64(64 - (word_parts - 1).bit_length()) if word_parts > 1 else np.uint64(64)
-
     def write_words(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         part = int(key[0])
         h, c = _whole(pdf)
         save(folder, f"words-{part}", sequences(hash=(tail(h, bits), 1 << int(bits)), below=(np.concatenate(([0], np.cumsum(c))), int(c.sum()) + 1)))
         return pd.DataFrame({"part": [part], "v": [len(h)], "n": [int(c.sum())]})
 
-    shift = 12 - (word_parts - 1).bit_length() if word_parts > 1 else 12
-    sizes = counted.withColumn("part", F.shiftright("part", shift)).groupBy("part").applyInPandas(write_words, "part int, v long, n long")
+    sizes = rows.mapInArrow(count_words, "part int, data binary, n int").groupBy("part").applyInPandas(write_words, "part int, v long, n long")
     found = {r["part"]: (r["v"], r["n"]) for r in sizes.collect()}  # a row for each part
     for k in set(range(word_parts)) - set(found):
         save(folder, f"words-{k}", sequences(hash=(np.zeros(0, np.uint64), 1), below=(np.zeros(1, np.int64), 1)))
@@ -495,8 +515,8 @@ class Trie:
             low, high = level["range"].tolist()
             at = at[(u[at] >= low) & (u[at] <= high)]
             place = u[at] - np.uint64(low)
-            contexts, back = np.unique(place, return_inverse=True)
-            contexts = contexts.astype(np.int64)
+            fresh = np.concatenate((np.ones(min(1, len(place)), bool), place[1:] != place[:-1]))  # the pairs of a context stand together
+            contexts, back = place[fresh].astype(np.int64), np.cumsum(fresh) - 1
             lo, hi = (level["pointers"].get(contexts + d).astype(np.int64)[back] for d in (0, 1))
             i = level["successors"].find(place * self.size + w[at], lo, hi)
             at, i = at[i >= 0], i[i >= 0]
@@ -508,7 +528,11 @@ class Trie:
         return np.log10(KAPPA * (cw + 1) / (self.n + self.v + 1) / (cu + KAPPA))
 
     def look_up_pairs(self, t: Tokens) -> None:
-        _, first, back = np.unique(t.u * self.size + t.w, return_index=True, return_inverse=True)
+        keys = t.u * self.size + t.w
+        order = np.argsort(keys)
+        fresh = np.concatenate((np.ones(min(1, len(keys)), bool), np.diff(keys[order]) != 0))
+        first, back = order[fresh], np.empty(len(keys), np.int64)
+        back[order] = np.cumsum(fresh) - 1
         index, log10, often = self.find_pairs(t.u[first], t.w[first], t.part[first], self._absent(t.cu[first], t.cw[first]))
         t.index, t.log10, t.often = index[back], log10[back], often[back]
 
@@ -525,10 +549,10 @@ class Trie:
         out = t.log10.copy()
         at = np.flatnonzero(t.often[:-1] & ~t.begins[1:])  # places of contexts; the token stands behind
         for level, k in self._by_part("triples", t.part, at):
-            context = t.index[k]
+            some = np.flatnonzero(level["backoff"][t.index[k]] > 0)  # contexts with entries
+            k = k[some]
+            context, k = t.index[k], k + 1
             lo, hi = (level["pointers"].get(context + d).astype(np.int64) for d in (0, 1))
-            some = np.flatnonzero(lo < hi)
-            k, context, lo, hi = k[some] + 1, context[some], lo[some], hi[some]
             i = level["successors"].find(context.astype(np.uint64) * self.size + t.w[k], lo, hi)
             out[k] = np.where(i >= 0, level["codes"][np.maximum(i, 0)] / -STEP, out[k] - level["backoff"][context] / STEP)
         return out
