@@ -56,9 +56,13 @@ def progress_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _tasks(spark, sf_dir).groupBy("o_custkey").agg(F.round(F.avg(F.greatest(p, F.lit(0.0))), 4).alias("progress"), status.alias("status"), F.min("o_orderpriority").alias("priority"), F.array_join(F.transform(F.array_sort(F.collect_list("o_orderkey")), lambda x: x.cast("string")), ",").alias("messages"))
 
 
-@query("counters", "select l_suppkey kb, l_partkey%10 doc, count(distinct l_orderkey) n_chunks, sum(l_quantity)::bigint tokens from lineitem group by 1,2")
+@query("counters", """with d as (select l_suppkey kb, l_partkey%10 doc, case l_returnflag when 'R' then -1 else 1 end n, case l_returnflag when 'R' then -l_quantity else l_quantity end q, case when l_linestatus='O' then 1 else 0 end live from lineitem)
+select kb, doc, greatest(sum(n*live),0)::bigint n_chunks, greatest(sum(q*live),0)::bigint tokens from d group by 1,2""")
 def counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("kb"), (F.col("l_partkey") % 10).alias("doc")).agg(F.countDistinct("l_orderkey").alias("n_chunks"), F.sum("l_quantity").cast("long").alias("tokens"))
+    """Counters after additions, removals (returns) and clearing (closed lines count no more); never below zero."""
+    sign, live = F.when(F.col("l_returnflag") == "R", -1).otherwise(1), F.when(F.col("l_linestatus") == "O", 1).otherwise(0)
+    total = lambda c: F.greatest(F.sum(sign * c * live), F.lit(0)).cast("long")
+    return table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("kb"), (F.col("l_partkey") % 10).alias("doc")).agg(total(F.lit(1)).alias("n_chunks"), total(F.col("l_quantity")).alias("tokens"))
 
 
 _KIND = "case when regexp_matches(v,'^[+-]?[0-9]+$') then 'int' when regexp_matches(v,'^[+-]?[0-9]*\\.[0-9]+$') then 'float' when regexp_matches(v,'^[0-9]{4}-[0-9]{2}-[0-9]{2}') then 'datetime' else 'text' end"
@@ -81,28 +85,35 @@ def most_frequent_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy(F.desc("n"), "lang"))).where("r = 1").select("source", "lang")
 
 
-@query("terms_aggregation", "select term, count(*) n from (select trim(unnest(string_split(p_name,' '))) term from part) where term<>'' group by 1")
+@query("terms_aggregation", "select term, count(*) n from (select trim(unnest(string_split_regex(p_type||'###'||replace(p_name,' ',',')||', '||p_brand,'###|,'))) term from part) where term<>'' group by 1")
 def terms_aggregation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("term")).select(F.trim("term").alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
+    """Values of a field that holds several, between ### or commas."""
+    whole = F.concat("p_type", F.lit("###"), F.replace("p_name", F.lit(" "), F.lit(",")), F.lit(", "), "p_brand")
+    return table(spark, sf_dir, "part").select(F.explode(F.split(whole, "###|,")).alias("term")).select(F.trim("term").alias("term")).where("term <> ''").groupBy("term").agg(F.count("*").alias("n"))
 
 
-@query("doc_list", "select doc_id, source, n_chars from documents where lang in ('en','fr') and lower(source) like '%src1%' order by n_chars desc, doc_id limit 30 offset 30")
+@query("doc_list", "with f as (select doc_id, source, n_chars from documents where lang in ('en','fr') and lower(source) like '%src1%') select *, (select count(*) from f) total from f order by n_chars desc, doc_id limit 30 offset 30")
 def doc_list(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "fr") & F.lower("source").contains("src1"))
-    return d.select("doc_id", "source", "n_chars").orderBy(F.desc("n_chars"), "doc_id").offset(30).limit(30)
+    """The second page of thirty of a filtered list, with the size of the whole list."""
+    d = table(spark, sf_dir, "documents").where(F.col("lang").isin("en", "fr") & F.lower("source").contains("src1")).select("doc_id", "source", "n_chars")
+    return d.orderBy(F.desc("n_chars"), "doc_id").offset(30).limit(30).crossJoin(F.broadcast(d.agg(F.count("*").alias("total"))))
 
 
-@query("session_list", "select conv_id, count(*) rows, max(turn) last from conversations where conv_id in (select conv_id from conversations where contains(lower(text),'the')) group by 1")
+@query("session_list", "select conv_id, rows, last, total from (select *, count(*) over () total, row_number() over (order by last desc, conv_id) r from (select conv_id, count(*) rows, max(turn) last from conversations where conv_id in (select conv_id from conversations where contains(lower(text),'the') and role='user') group by 1 having max(turn) between 1 and 20)) where r between 11 and 30")
 def session_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Second page of the conversations in which the user said a word, by their last turn within a range, with the total."""
     c = table(spark, sf_dir, "conversations")
-    hit = c.where(F.lower("text").contains("the")).select("conv_id").distinct()
-    return c.join(hit, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("rows"), F.max("turn").alias("last"))
+    hit = c.where(F.lower("text").contains("the") & (F.col("role") == "user")).select("conv_id").distinct()
+    s = c.join(hit, "conv_id", "left_semi").groupBy("conv_id").agg(F.count("*").alias("rows"), F.max("turn").alias("last")).where("last between 1 and 20")
+    return s.orderBy(F.desc("last"), "conv_id").offset(10).limit(20).crossJoin(F.broadcast(s.agg(F.count("*").alias("total"))))
 
 
-@query("meta_index", "select k as key, v as value, list_aggr(list_sort(list(doc_id)),'string_agg',',') docs from (select doc_id, 'lang' k, lang v from documents union all select doc_id, 'source', source from documents) where v is not null group by 1,2")
+@query("meta_index", "select k as key, v as value, doc_id//1000 part, list_aggr(list_sort(list(doc_id)),'string_agg',',') docs from (select doc_id, 'lang' k, lang v from documents union all select doc_id, 'source', source from documents) where v is not null group by 1,2,3")
 def meta_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents of each metadata value, in parts of a thousand numbers, so no cell grows with the table."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.create_map(F.lit("lang"), "lang", F.lit("source"), "source")).alias("key", "value")).where("value is not null")
-    return d.groupBy("key", "value").agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("docs"))
+    part = F.floor(F.col("doc_id") / 1000)
+    return d.groupBy("key", "value", part.alias("part")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("doc_id")), lambda x: x.cast("string")), ",").alias("docs"))
 
 
 def meta_condition(value, op: str, asked: str):
@@ -134,17 +145,39 @@ def meta_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.where(reduce(lambda a, b: a & b, [meta_condition(F.col(c), op, v) for c, op, v in tests])).select("doc_id")
 
 
+_TWELVE = [("contains", "source", "1"), ("not contains", "source", "1"), ("start with", "source", "src1"), ("end with", "source", "1"), ("empty", "lang", ""), ("not empty", "lang", ""), ("=", "lang", "en"), ("≠", "lang", "en"), (">", "n_chars", "500"), ("<", "n_chars", "500"), ("≥", "n_chars", "abc"), ("≤", "source", "src15")]
+_TWELVE_SQL = ["contains(source,'1')", "not contains(source,'1')", "starts_with(source,'src1')", "ends_with(source,'1')", "lang is null or lang=''", "lang is not null and lang<>''", "lang='en'", "lang<>'en'", "n_chars>500", "n_chars<500", "n_chars::varchar>='abc'", "source<='src15'"]
+
+
+@query("meta_operators", " union all ".join(f"select '{op}' op, doc_id from documents where {sql}" for (op, _, _), sql in zip(_TWELVE, _TWELVE_SQL, strict=True)))
+def meta_operators(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each of the twelve comparisons lets through: numbers as numbers where both sides are, else as texts."""
+    m = table(spark, sf_dir, "documents").select("doc_id", F.col("n_chars").cast("string").alias("n_chars"), "source", "lang")
+    passed = F.array(*(F.when(meta_condition(F.col(c), op, v), F.lit(op)) for op, c, v in _TWELVE))
+    return m.select(F.explode(F.filter(passed, lambda x: x.isNotNull())).alias("op"), "doc_id")
+
+
 @query("condition_filter", "select doc_id, lang, source from documents where lang in ('en','es') and source='src3'")
 def condition_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return where_condition(table(spark, sf_dir, "documents").select("doc_id", "lang", "source"), {"lang": ["en", "es"], "source": "src3", "n_chars": None})
 
 
+def route(df: DataFrame, rules: list[dict], default: str):
+    """Column of routes: rules [{"to", "all" or "any": [(column, comparison, value)]}] in order, the first that holds decides."""
+    out = None
+    for r in rules:
+        tests = [meta_condition(F.col(c).cast("string"), op, v) for c, op, v in r.get("all") or r["any"]]
+        holds = reduce((lambda a, b: a & b) if "all" in r else (lambda a, b: a | b), tests)
+        out = F.when(holds, r["to"]) if out is None else out.when(holds, r["to"])
+    return F.lit(default) if out is None else out.otherwise(default)
+
+
 @query("rule_routing", "select o_orderkey, case when o_totalprice>200000 and o_orderpriority like '1%' then 'urgent' when o_orderstatus='P' or o_totalprice<5000 then 'later' else 'default' end route from orders")
 def rule_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first true rule gives the route."""
-    urgent = (F.col("o_totalprice") > 200000) & F.col("o_orderpriority").startswith("1")
-    later = (F.col("o_orderstatus") == "P") | (F.col("o_totalprice") < 5000)
-    return table(spark, sf_dir, "orders").select("o_orderkey", F.when(urgent, "urgent").when(later, "later").otherwise("default").alias("route"))
+    """The first true rule of a list gives the route."""
+    rules = [{"to": "urgent", "all": [("o_totalprice", ">", "200000"), ("o_orderpriority", "start with", "1")]}, {"to": "later", "any": [("o_orderstatus", "=", "P"), ("o_totalprice", "<", "5000")]}]
+    o = table(spark, sf_dir, "orders")
+    return o.select("o_orderkey", route(o, rules, "default").alias("route"))
 
 
 @query("field_selection", "select doc_id::varchar id, source dataset, n_chars::varchar size from documents where lang is not null")
@@ -175,17 +208,40 @@ GRANTS = f"""g as (select c_custkey "user", c_custkey%20 resource, {LEVELS} as l
  select c_custkey, (c_nationkey%20)::bigint, case when n_regionkey=0 then 2 else 1 end, 'team' from customer join nation on c_nationkey=n_nationkey)"""
 
 
-@query("effective_permissions", "with " + GRANTS + ' select "user", resource, max(level)::int level, string_agg(distinct via, \',\' order by via) via from g group by 1,2')
+def effective(grants: DataFrame, resources: DataFrame, owners: DataFrame, admins: DataFrame) -> DataFrame:
+    """(user, resource, level, via): the highest level of grants(user, resource, level, via), a null resource for all;
+    an owner has 3 on what is theirs, and an administrator 4 on everything."""
+    every = lambda df: df.crossJoin(F.broadcast(resources))  # noqa: E731  (resources: a catalogue table)
+    wide = every(grants.where("resource is null").drop("resource")).select("user", "resource", "level", "via")
+    own = owners.select("user", "resource", F.lit(3).alias("level"), F.lit("owner").alias("via"))
+    boss = every(admins.select("user")).select("user", "resource", F.lit(4).alias("level"), F.lit("admin").alias("via"))
+    all_ = grants.where("resource is not null").select("user", "resource", "level", "via").unionByName(wide).unionByName(own).unionByName(boss)
+    return all_.groupBy("user", "resource").agg(F.max("level").alias("level"), F.array_join(F.array_sort(F.collect_set("via")), ",").alias("via"))
+
+
+EFFECTIVE = "with " + GRANTS + """, w as (select "user", case when "user"%97=5 and via='team' then null else resource end resource, level, via from g), rs as (select unnest(range(0,20)) resource),
+al as (select * from w where resource is not null union all select w."user", rs.resource, w.level, w.via from w, rs where w.resource is null union all select c_custkey, c_custkey%20, 3, 'owner' from customer where c_acctbal>9000 union all select c_custkey, rs.resource, 4, 'admin' from customer, rs where c_custkey%500=7),
+ep as (select "user", resource, max(level)::int as level, string_agg(distinct via, ',' order by via) via from al group by 1,2)"""
+
+
+def _effective(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    g = _grants(spark, sf_dir).withColumn("resource", F.when((F.col("user") % 97 != 5) | (F.col("via") != "team"), F.col("resource")))
+    return effective(g, spark.range(20).withColumnRenamed("id", "resource"), c.where("c_acctbal > 9000").select(F.col("c_custkey").alias("user"), (F.col("c_custkey") % 20).alias("resource")), c.where("c_custkey % 500 = 7").select(F.col("c_custkey").alias("user")))
+
+
+@query("effective_permissions", EFFECTIVE + " select * from ep")
 def effective_permissions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grants(spark, sf_dir).groupBy("user", "resource").agg(F.max("level").alias("level"), F.array_join(F.array_sort(F.collect_set("via")), ",").alias("via"))
+    return _effective(spark, sf_dir)
 
 
-@query("permission_diff", "with " + GRANTS + """, e as (select "user" % 2 side, resource, max(level) as level from g group by 1,2), a as (select * from e where side=0), b as (select * from e where side=1)
-select coalesce(a.resource,b.resource) resource, coalesce(a.level,0)::int one, coalesce(b.level,0)::int two from a full join b on a.resource=b.resource""")
+@query("permission_diff", EFFECTIVE + """, a as (select "user"//2 pair, * from ep where "user"%2=0), b as (select "user"//2 pair, * from ep where "user"%2=1)
+select coalesce(a.pair,b.pair) pair, coalesce(a.resource,b.resource) resource, coalesce(a.level,0)::int one, coalesce(b.level,0)::int two from a full join b on a.pair=b.pair and a.resource=b.resource""")
 def permission_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _grants(spark, sf_dir).groupBy((F.col("user") % 2).alias("side"), "resource").agg(F.max("level").alias("level"))
-    a, b = (e.where(f"side = {k}").select("resource", F.col("level").alias(n)) for k, n in ((0, "one"), (1, "two")))
-    return a.join(b, "resource", "full_outer").select("resource", F.coalesce("one", F.lit(0)).alias("one"), F.coalesce("two", F.lit(0)).alias("two"))
+    """Who of two users has what: each user set beside the next one."""
+    e = _effective(spark, sf_dir).withColumn("pair", F.floor(F.col("user") / 2))
+    a, b = (e.where(f"user % 2 = {k}").select("pair", "resource", F.col("level").alias(n)) for k, n in ((0, "one"), (1, "two")))
+    return a.join(b, ["pair", "resource"], "full_outer").select("pair", "resource", F.coalesce("one", F.lit(0)).alias("one"), F.coalesce("two", F.lit(0)).alias("two"))
 
 
 @query("grant_counts", "with " + GRANTS + """ select resource, count(distinct case when via='direct' then "user" end) users, count(distinct case when via='team' then "user" end) members from g where level>=2 group by 1""")
@@ -210,9 +266,12 @@ def team_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.join(members, "n_nationkey", "left").select(F.col("n_name").alias("team"), F.col("r_name").alias("owner"), F.coalesce("members", F.lit(0)).alias("members"))
 
 
-@query("preferred_group", "select c_nationkey, coalesce(max(case when c_mktsegment='BUILDING' then c_custkey end), max(c_custkey)) preferred from customer group by 1")
+@query("preferred_group", "with p as (select c_nationkey, coalesce(max(case when c_mktsegment='BUILDING' then c_custkey end), max(c_custkey)) preferred from customer group by 1) select c_custkey, preferred, c.c_custkey=preferred mine from customer c join p using (c_nationkey)")
 def preferred_group(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.coalesce(F.max(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_custkey"))), F.max("c_custkey")).alias("preferred"))
+    """One row for each user with the group they start in."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    p = c.groupBy("c_nationkey").agg(F.coalesce(F.max(F.when(F.col("c_mktsegment") == "BUILDING", F.col("c_custkey"))), F.max("c_custkey")).alias("preferred"))
+    return c.join(p, "c_nationkey").select("c_custkey", "preferred", (F.col("c_custkey") == F.col("preferred")).alias("mine"))
 
 
 @query("role_flags", "select s_nationkey, count(case when s_acctbal>5000 then 1 end) super_admins, count(case when s_acctbal between 0 and 5000 then 1 end) admins from supplier group by 1")

@@ -158,10 +158,18 @@ def qa_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("g", "qid").agg(F.max(F.when(F.col("start"), part[0])).alias("question"), answers.alias("answer"))
 
 
-@query("tag_rows", "select p_partkey, p_name as content, replace(trim(p_brand),'.','_')||'|'||replace(trim(p_type),'.','_') tags from part where p_partkey%5<>0")
+@query("tag_rows", """with l as (select p_partkey k, p_partkey//50 g, case when p_partkey%5=0 then p_name else p_name||chr(9)||p_brand||', '||p_type end t from part),
+f as (select *, coalesce(sum(case when contains(t, chr(9)) then 1 else 0 end) over (partition by g order by k rows between unbounded preceding and 1 preceding),0) rid from l)
+select g, rid::bigint rid, string_agg(string_split(t, chr(9))[1], chr(10) order by k) as content, max(case when contains(t,chr(9)) then replace(replace(string_split(t, chr(9))[2],'.','_'),', ','|') end) tags from f group by 1,2 having count(case when contains(t,chr(9)) then 1 end)>0""")
 def tag_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "part").where("p_partkey % 5 <> 0").select("p_partkey", F.col("p_name").alias("content"), F.split(F.concat_ws(",", "p_brand", "p_type"), ",").alias("t"))
-    return rows.select("p_partkey", "content", F.array_join(F.filter(F.transform("t", lambda x: F.replace(F.trim(x), F.lit("."), F.lit("_"))), lambda x: x != ""), "|").alias("tags"))
+    """Lines of content and tags; lines without tags stand before the content of the next one, and such at the end are left out."""
+    p = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("k"), F.floor(F.col("p_partkey") / 50).alias("g"), F.when(F.col("p_partkey") % 5 == 0, F.col("p_name")).otherwise(F.concat("p_name", F.lit("\t"), "p_brand", F.lit(", "), "p_type")).alias("t"))
+    part = F.split("t", "\t")
+    before = Window.partitionBy("g").orderBy("k").rowsBetween(Window.unboundedPreceding, -1)
+    f = p.withColumn("pair", F.size(part) == 2).withColumn("rid", F.coalesce(F.sum(F.when(F.col("pair"), 1).otherwise(0)).over(before), F.lit(0)))
+    content = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", part[0].alias("c")))), lambda x: x["c"]), "\n")
+    tags = F.array_join(F.filter(F.transform(F.split(F.max(F.when(F.col("pair"), part[1])), ","), lambda x: F.replace(F.trim(x), F.lit("."), F.lit("_"))), lambda x: x != ""), "|")
+    return f.groupBy("g", "rid").agg(content.alias("content"), tags.alias("tags"), F.max("pair").alias("pair")).where("pair").drop("pair")
 
 
 @query("row_text", "select p_partkey, 'name：'||p_name||'; brand：'||p_brand||'; size：'||p_size::varchar as text from part")
@@ -179,13 +187,18 @@ def delimited_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.select("p_partkey", F.when(F.size(cells) == 3, cells[0]).alias("name"), (F.size(cells) != 3).alias("rejected"))
 
 
-@query("history_budget", r"""with t as (select conv_id, turn, role, len(string_split(text,' ')) n from conversations), s as (select *, sum(n) over (partition by conv_id) total, row_number() over (partition by conv_id order by turn desc, role, n) last from t)
-select conv_id, turn, role, n::int n from s where total<100 or role='system' or last=1""")
+@query("history_budget", r"""with t as (select conv_id, turn, role, text, len(string_split(text,' ')) n from conversations), s as (select *, sum(n) over (partition by conv_id) total, row_number() over (partition by conv_id order by turn desc, role, text) last from t),
+k as (select *, sum(n) over (partition by conv_id) kept, row_number() over (partition by conv_id order by n desc, turn, role, text) longest from s where total<100 or role='system' or last=1)
+select conv_id, turn, role, case when kept>100 and longest=1 then array_to_string(string_split(text,' ')[1:greatest(100-(kept-n),0)::int],' ') else text end as text from k""")
 def history_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whole conversations under the budget; of others the system rows and the last row."""
-    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.size(F.split("text", " ", -1)).alias("n"))
-    s = c.withColumn("total", F.sum("n").over(Window.partitionBy("conv_id"))).withColumn("last", F.row_number().over(Window.partitionBy("conv_id").orderBy(F.desc("turn"), "role", "n")))
-    return s.where("total < 100 or role = 'system' or last = 1").select("conv_id", "turn", "role", "n")
+    """Whole conversations under the budget; of others the system rows and the last row, the longest cut to fit."""
+    w = Window.partitionBy("conv_id")
+    c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text", F.size(F.split("text", " ", -1)).alias("n"))
+    s = c.withColumn("total", F.sum("n").over(w)).withColumn("last", F.row_number().over(w.orderBy(F.desc("turn"), "role", "text")))
+    k = s.where("total < 100 or role = 'system' or last = 1").withColumn("kept", F.sum("n").over(w)).withColumn("longest", F.row_number().over(w.orderBy(F.desc("n"), "turn", "role", "text")))
+    room = F.greatest(100 - (F.col("kept") - F.col("n")), F.lit(0)).cast("int")
+    cut = F.array_join(F.slice(F.split("text", " ", -1), F.lit(1), room), " ")
+    return k.select("conv_id", "turn", "role", F.when((F.col("kept") > 100) & (F.col("longest") == 1), cut).otherwise(F.col("text")).alias("text"))
 
 
 @query("last_turns", "select conv_id, turn, text from (select *, row_number() over (partition by conv_id order by turn desc, text) r from conversations where role='user') where r<=3")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .base import chunks, table
@@ -25,18 +27,50 @@ def chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(store, new, "doc_id", "v")
 
 
-@query("chunk_update", """select doc_id, case when lang='fr' then 'edited' else source end source, array_to_string(case when lang='fr' then list_append(list_filter([lang, source], lambda x: x<>'fr'), 'checked') else [lang, source] end, ',') tags from documents""")
+def where(df: DataFrame, condition: dict) -> Column:
+    """{column: value, list of values, {"exists": bool}}; what is empty is passed over, an array column fits if any element does."""
+    tests = [F.lit(True)]
+    for c, v in condition.items():
+        if isinstance(v, dict):
+            tests.append(F.col(c).isNotNull() if v["exists"] else F.col(c).isNull())
+        elif v not in (None, "", []):
+            values = v if isinstance(v, list) else [v]
+            tests.append(F.arrays_overlap(c, F.array(*map(F.lit, values))) if df.schema[c].dataType.typeName() == "array" else F.col(c).isin(*values))
+    return F.coalesce(reduce(lambda a, b: a & b, tests), F.lit(False))
+
+
+def update(df: DataFrame, condition: dict, set: dict | None = None, remove: dict | None = None, add: dict | None = None, drop: tuple[str, ...] = ()) -> DataFrame:
+    """Rows that fit the condition get scalars, lose the first such element of an array, gain one at its end, or lose a field."""
+    hit, new = where(df, condition), {c: F.lit(v) for c, v in (set or {}).items()} | {c: F.lit(None).cast(df.schema[c].dataType) for c in drop}
+    for c, v in (remove or {}).items():
+        at = F.array_position(c, v).cast("int")
+        new[c] = F.when(at > 0, F.concat(F.slice(c, 1, at - 1), F.slice(c, at + 1, F.size(c)))).otherwise(F.col(c))
+    for c, v in (add or {}).items():
+        new[c] = F.array_append(new.get(c, F.col(c)), F.lit(v))
+    return df.select(*(F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in df.columns))
+
+
+def delete(df: DataFrame, condition: dict | None = None, key: str | None = None, keys: DataFrame | None = None) -> DataFrame:
+    """What is left without the rows that fit; with keys (one column), without those rows."""
+    out = df.where(~where(df, condition)) if condition else df
+    return out.join(keys, key, "left_anti") if keys is not None else out
+
+
+@query("chunk_update", """select doc_id, case when lang='fr' then 'edited' else source end source, case when lang='fr' then null else n_chars end n_chars, array_to_string(case when lang='fr' then ['fr', source, 'checked'] else [lang, lang, source] end, ',') tags from documents""")
 def chunk_update(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rows that fit get a new scalar, lose an element of an array and gain another."""
-    hit, tags = F.col("lang") == "fr", F.array("lang", "source")
-    new = F.array_append(F.array_remove(tags, "fr"), F.lit("checked"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(hit, "edited").otherwise(F.col("source")).alias("source"), F.array_join(F.when(hit, new).otherwise(tags), ",").alias("tags"))
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "n_chars", F.array("lang", "lang", "source").alias("tags"))
+    out = update(d, {"lang": "fr", "tags": ["fr"], "source": ""}, set={"source": "edited"}, remove={"tags": "fr"}, add={"tags": "checked"}, drop=("n_chars",))
+    return out.select("doc_id", "source", "n_chars", F.array_join("tags", ",").alias("tags"))
 
 
-@query("chunk_delete", "select doc_id, lang from documents where not (lang='de' and n_chars<500) and doc_id not in (select doc_id from labels where quality=0)")
+@query("chunk_delete", """with k as (select doc_id, lang from documents where not (lang in ('de') and text is not null) and doc_id not in (select doc_id from labels where quality=0))
+select doc_id, lang, (select count(*) from documents)-(select count(*) from k) deleted from k""")
 def chunk_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where(~((F.col("lang") == "de") & (F.col("n_chars") < 500)))
-    return d.join(table(spark, sf_dir, "labels").where("quality = 0"), "doc_id", "left_anti").select("doc_id", "lang")
+    """What is left, and how many rows went."""
+    d = table(spark, sf_dir, "documents")
+    left = delete(d, {"lang": ["de"], "text": {"exists": True}}, "doc_id", table(spark, sf_dir, "labels").where("quality = 0").select("doc_id")).select("doc_id", "lang")
+    gone = d.agg(F.count("*").alias("n")).crossJoin(F.broadcast(left.agg(F.count("*").alias("m")))).select((F.col("n") - F.col("m")).alias("deleted"))
+    return left.crossJoin(F.broadcast(gone))
 
 
 @query("get_by_key", "select doc_id, source, 'documents' as origin from documents where doc_id=17 union all select conv_id, role, 'conversations' from conversations where conv_id=17")
@@ -45,18 +79,29 @@ def get_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.unionByName(table(spark, sf_dir, "conversations").where("conv_id = 17").select(F.col("conv_id").alias("doc_id"), F.col("role").alias("source"), F.lit("conversations").alias("origin")))
 
 
-@query("batch_append", """select doc_id, case when trim(coalesce(text,''))='' then 'blank' when n_chars<20 then 'short' when lang not in ('en','fr','de','es') then 'language' end reason,
- case when trim(coalesce(text,''))<>'' and n_chars>=20 then md5(text||doc_id::varchar) end id from documents""")
+@query("batch_append", """with r as (select doc_id, text, [[doc_id%9, 1, 2, 3, 4], case when doc_id%6=0 then [1, 2] else [1, 2, 3, 4, 5] end] pos, case when doc_id%8=0 then null else string_split(source,'c') end kw from documents)
+select doc_id, case when trim(coalesce(text,''))='' then 'blank' when kw is null then 'keywords' when doc_id%6=0 then 'positions' end reason, case when trim(coalesce(text,''))<>'' and kw is not null and doc_id%6<>0 then md5(text||doc_id::varchar||':'||(doc_id%100)) end id from r""")
 def batch_append(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each row has a reason to be rejected or an id."""
-    reason = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "blank").when(F.col("n_chars") < 20, "short").when(~F.col("lang").isin("en", "fr", "de", "es"), "language")
-    return table(spark, sf_dir, "documents").select("doc_id", reason.alias("reason"), F.when(reason.isNull(), F.md5(F.concat("text", F.col("doc_id").cast("string")))).alias("id"))
+    """Each row has a reason to be rejected (blank text, keywords that are no list, positions that are not five numbers) or an id of text, document and order."""
+    five = F.when(F.col("doc_id") % 6 == 0, F.array(F.lit(1), F.lit(2))).otherwise(F.array(*map(F.lit, (1, 2, 3, 4, 5))))
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", (F.col("doc_id") % 100).alias("order"), F.array(F.array((F.col("doc_id") % 9).cast("int"), *map(F.lit, (1, 2, 3, 4))), five).alias("positions"), F.when(F.col("doc_id") % 8 != 0, F.split("source", "c")).alias("keywords"))
+    reason = F.when(F.trim(F.coalesce("text", F.lit(""))) == "", "blank").when(F.col("keywords").isNull(), "keywords").when(~F.forall("positions", lambda p: F.size(p) == 5), "positions")
+    return d.select("doc_id", reason.alias("reason"), F.when(reason.isNull(), F.md5(F.concat("text", F.col("doc_id").cast("string"), F.lit(":"), "order"))).alias("id"))
+
+
+def as_markdown(df: DataFrame, key: str, order: str, columns: dict[str, str]) -> DataFrame:
+    """(key, table): the rows of each key as a Markdown table with aliases for a header; blank rows go, times lose their zone part."""
+    cell = lambda c: F.coalesce(F.regexp_replace(F.col(c).cast("string"), r"(T00:00:00| 00:00:00)(\.\d+)?Z?$", ""), F.lit(""))
+    line = F.concat(F.lit("|"), F.array_join(F.array(*map(cell, columns)), "|"), F.lit("|"))
+    some = reduce(lambda a, b: a | b, [F.trim(cell(c)) != "" for c in columns])
+    head = "|" + "|".join(columns.values()) + "|\n|" + "|".join("------" for _ in columns) + "|\n"
+    rows = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("l")))), lambda x: x["l"]), "\n")
+    return df.where(some).groupBy(key).agg(F.concat(F.lit(head), rows).alias("table"))
 
 
-@query("markdown_export", "select n_regionkey, '|'||string_agg(n_nationkey::varchar||'|'||n_name, '|' order by n_nationkey)||'|' as row from nation group by 1")
+@query("markdown_export", "select n_regionkey, '|Key|Name|'||chr(10)||'|------|------|'||chr(10)||string_agg('|'||n_nationkey::varchar||'|'||n_name||'|', chr(10) order by n_nationkey) as \"table\" from nation group by 1")
 def markdown_export(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cells = F.array_sort(F.collect_list(F.struct("n_nationkey", F.concat_ws("|", "n_nationkey", "n_name").alias("c"))))
-    return table(spark, sf_dir, "nation").groupBy("n_regionkey").agg(F.concat(F.lit("|"), F.array_join(F.transform(cells, lambda x: x["c"]), "|"), F.lit("|")).alias("row"))
+    return as_markdown(table(spark, sf_dir, "nation"), "n_regionkey", "n_nationkey", {"n_nationkey": "Key", "n_name": "Name"})
 
 
 @query("reuse_by_digest", """with t as (select o_orderkey, md5(o_custkey::varchar||o_orderpriority) digest, o_orderstatus from orders)
