@@ -182,3 +182,13 @@ def merged_trees(paths: DataFrame, path: str, root: str = "root") -> DataFrame:
     whole = F.concat(F.array(F.lit(root)), F.col(path))
     up = F.transform(F.sequence(F.lit(0), F.size(whole) - 1), lambda k: F.struct(F.array_join(F.slice(whole, 1, k + 1), "/").alias("path"), k.alias("depth")))
     return paths.select(F.explode(up).alias("x")).groupBy("x.path", "x.depth").agg(F.count("*").alias("leaves"))
+
+
+def walk_vectors(walked: DataFrame, size: int = 64, window: int = 2, rounds: int = 2, seed: int = 1) -> DataFrame:
+    """(node, vector) learned from walks(origin, walk, step, node): nodes that stand near each other get like vectors."""
+    from pyspark.ml.feature import Word2Vec
+
+    words = walked.groupBy("origin", "walk").agg(F.array_sort(F.collect_list(F.struct("step", F.col("node").cast("string").alias("node")))).alias("w"))
+    sentences = words.select(F.concat(F.array(F.col("origin").cast("string")), F.transform("w", lambda x: x["node"])).alias("s"))
+    found = Word2Vec(vectorSize=size, windowSize=window, minCount=0, maxIter=rounds, seed=seed, inputCol="s", outputCol="v").fit(sentences).getVectors()
+    return found.select(F.col("word").cast("long").alias("node"), "vector")

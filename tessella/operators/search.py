@@ -113,3 +113,26 @@ def evaluate(run: DataFrame, qrels: DataFrame, cut: int = 10) -> DataFrame:
         F.min(F.when((F.col("rel") > 0) & (F.col("rank") <= cut), F.col("rank"))).alias("first"),
     )
     return got.join(ideal, "query_id", "left").select("query_id", (F.col("dcg") / F.col("ideal")).alias("ndcg"), (F.col("prec") / F.when(F.col("hits") > 0, F.col("hits"))).alias("map"), (1 / F.col("first")).alias("mrr"))
+
+
+#: Thresholds that an answer's sentences are held against, from strict to loose.
+LADDER = tuple(0.63 * 0.8**n for n in range(4))
+
+
+def cite(sentences: DataFrame, hits: DataFrame, keys: list[str], most: int = 4) -> DataFrame:
+    """(keys, sentence, hit): which hits an answer's sentences lean on.
+
+    sentences(keys, sentence, tokens) and hits(keys, hit, tokens) share the keys of an answer. A sentence's
+    similarity to a hit is the share of its words that the hit has. The strictest threshold of the ladder that
+    some sentence passes holds for the answer; a sentence that passes cites hits with over 0.99 of its best
+    similarity, four at most, and each hit is cited once, where it stands first.
+    """
+    shared = F.size(F.array_intersect("tokens", "words"))
+    sim = F.round(shared / F.size("tokens"), 6)
+    both = sentences.join(hits.withColumnRenamed("tokens", "words"), keys).where(F.size("tokens") > 0).withColumn("sim", sim).select(*keys, "sentence", "hit", "sim")
+    of = lambda *c: Window.partitionBy(*keys, *c)
+    best = both.withColumn("best", F.max("sim").over(of("sentence"))).withColumn("top", F.max("sim").over(of()))
+    limit = F.coalesce(*(F.when(F.col("top") >= t, F.lit(t)) for t in LADDER))
+    passed = best.where((F.col("best") >= limit) & (F.col("sim") > 0.99 * F.col("best")))
+    few = passed.withColumn("r", F.row_number().over(of("sentence").orderBy(F.desc("sim"), "hit"))).where(F.col("r") <= most)
+    return few.withColumn("k", F.row_number().over(of("hit").orderBy("sentence"))).where("k = 1").select(*keys, "sentence", "hit")

@@ -125,11 +125,15 @@ select page_id, id::int pos, max(case when p=m then title end) as heading, strin
 def pack_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Structure-aware chunks of pages: a heading closes a chunk of 32 words or more, 256 words close any; each chunk
     has the heading that holds where it begins."""
+    return sections_packed(spark, sf_dir, 256)
+
+
+def sections_packed(spark: SparkSession, sf_dir: str, most: int) -> DataFrame:
     s = html_sections(spark, sf_dir)
     page = s.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("rows")).select("page_id", F.transform("rows", lambda r: r["text"]).alias("pieces"))
     # A heading is a piece of its own size; its sign in the size tells it apart: sizes of headings are negative.
     size = F.transform("pieces", lambda x: F.when(x.rlike("^#{1,6} "), -pack.word_count(x)).otherwise(pack.word_count(x)))
-    at = pack.starts_signed(size, least=32, most=256)
+    at = pack.starts_signed(size, least=32, most=most)
     page = page.withColumn("at", at)
     title = lambda s: F.element_at(F.filter(F.slice("pieces", 1, s), lambda x: x.rlike("^#{1,6} ")), -1)
     headings = F.transform("at", lambda s: F.when(F.exists(F.slice("pieces", 1, s), lambda x: x.rlike("^#{1,6} ")), F.regexp_replace(title(s), "^#+ ", "")))
@@ -221,3 +225,51 @@ def numeral_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "documents").select(F.explode(tx.tokenize(F.col("text"))).alias("token"))
     p = table(spark, sf_dir, "orders").select(F.explode(F.array("o_orderpriority", F.split_part("o_orderpriority", F.lit("-"), F.lit(1)))).alias("token"))
     return words.unionByName(p).distinct().select("token", tx.numeral(F.col("token")).alias("number"))
+
+
+@query("hierarchy_merge", "with " + SECTIONS + r"""g as (select *, regexp_matches(text,'^#{1,6} ') h, sum(case when regexp_matches(text,'^#{1,6} ') then 1 else 0 end) over (partition by page_id order by pos) k from sec),
+p as (select *, max(case when h then text end) over (partition by page_id, k) head, len(list_filter(string_split(text,' '), lambda x: x<>'')) c from g),
+b as (select *, sum(c) over (partition by page_id, k order by pos) s from p where not h)
+select page_id, k::bigint section, ((s-1)//218)::bigint part, coalesce(any_value(head)||chr(10),'')||string_agg(text, chr(10) order by pos) content from b group by 1,2,3""")
+def hierarchy_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The blocks below a heading in packs of some 218 words, each pack with the heading line before it."""
+    w = Window.partitionBy("page_id").orderBy("pos")
+    h = F.col("text").rlike("^#{1,6} ")
+    s = html_sections(spark, sf_dir).withColumn("head", F.last(F.when(h, F.col("text")), True).over(w)).withColumn("section", F.sum(F.when(h, 1).otherwise(0)).over(w)).where(~F.col("text").rlike("^#{1,6} "))
+    run = F.sum(pack.word_count(F.col("text"))).over(Window.partitionBy("page_id", "section").orderBy("pos"))
+    s = s.withColumn("part", F.floor((run - 1) / 218))
+    out = s.groupBy("page_id", "section", "part").agg(F.first("head").alias("head"), joined("pos").alias("body"))
+    return out.select("page_id", "section", "part", F.concat(F.coalesce(F.concat("head", F.lit("\n")), F.lit("")), "body").alias("content"))
+
+
+@query("pack_manual", SQL["pack_sections"].replace("f.n+b.c>256", "f.n+b.c>1024"))
+def pack_manual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As `pack_sections`, up to 1024 words: sections of under 32 words join the next one."""
+    return sections_packed(spark, sf_dir, 1024)
+
+
+@query("image_context", "with " + SECTIONS + r"""g as (select *, regexp_matches(text,'^#{1,6} ') h, last_value(case when regexp_matches(text,'^#{1,6} ') then regexp_replace(text,'^#+ ','') end ignore nulls) over (partition by page_id order by pos) title from sec),
+p as (select *, row_number() over (partition by page_id order by pos) r, lag(text,1) over (partition by page_id order by pos) b1, lag(text,2) over (partition by page_id order by pos) b2 from g where not h)
+select page_id, pos, title, coalesce(b2||chr(10),'')||coalesce(b1,'') as before from p where r%5=0""")
+def image_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands around a picture (here at every fifth block of a page): the heading above and the two blocks before."""
+    w = Window.partitionBy("page_id").orderBy("pos")
+    h = F.col("text").rlike("^#{1,6} ")
+    s = html_sections(spark, sf_dir).withColumn("title", F.last(F.when(h, F.regexp_replace("text", "^#+ ", "")), True).over(w)).where(~h)
+    s = s.withColumn("r", F.row_number().over(w)).withColumn("b1", F.lag("text", 1).over(w)).withColumn("b2", F.lag("text", 2).over(w))
+    return s.where("r % 5 = 0").select("page_id", "pos", "title", F.concat(F.coalesce(F.concat("b2", F.lit("\n")), F.lit("")), F.coalesce("b1", F.lit(""))).alias("before"))
+
+
+@query("json_split", """with recursive r as (select user_id, event_type||'.'||event_id path, length(event_type||'.'||event_id)+length(props)+4 c, row_number() over (partition by user_id order by event_type, event_id) p from events where props is not null),
+fold as (select user_id, p, c n, 0 id from r where p=1 union all select f.user_id, f.p+1, case when f.n+r.c>256 then r.c else f.n+r.c end, case when f.n+r.c>256 then f.id+1 else f.id end from fold f join r on r.user_id=f.user_id and r.p=f.p+1)
+select r.user_id, id::int pos, string_agg(path, ',' order by r.p) paths, sum(c)::bigint size from r join fold f on f.user_id=r.user_id and f.p=r.p group by 1,2""")
+def json_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested JSON of each user (kind of event, event, properties) cut into pieces of at most 256 characters that keep their paths."""
+    e = table(spark, sf_dir, "events").where("props is not null")
+    leaf = F.concat_ws(".", "event_type", "event_id")
+    rows = e.groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("event_type", "event_id", leaf.alias("path"), (F.length(leaf) + F.length("props") + 4).alias("c")))).alias("rows"))
+    at = rows.withColumn("at", pack.starts(F.transform("rows", lambda x: x["c"]), lambda n, c: n + c > 256))
+    end = lambda k: F.coalesce(F.get("at", k + 1), F.size("rows") + 1)
+    pieces = F.transform("at", lambda s, k: F.slice("rows", s, end(k) - s))
+    p = at.select("user_id", F.posexplode(pieces).alias("pos", "p"))
+    return p.select("user_id", "pos", F.array_join(F.transform("p", lambda x: x["path"]), ",").alias("paths"), F.aggregate("p", F.lit(0).cast("long"), lambda s, x: s + x["c"]).alias("size"))

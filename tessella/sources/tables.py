@@ -21,7 +21,7 @@ def route(kind: Column) -> Column:
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(name, suffix, route, text) of whole text files below a path of any store Spark reads."""
-    d = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").text(path).select(F.element_at(F.split("_metadata.file_name", "/"), -1).alias("name"), F.col("value").alias("text"))
+    d = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select(F.element_at(F.split("_metadata.file_name", "/"), -1).alias("name"), F.col("value").alias("text"))
     return d.withColumn("suffix", suffix(F.col("name"))).withColumn("route", route(F.col("suffix")))
 
 
@@ -46,9 +46,10 @@ def read_delimited(spark: SparkSession, path: str, separator: str = ",", first:
     """(rows, rejects) of files with a header line. rejects: (file, line, text) of lines whose field count differs.
 
     Columns named id, _id, index or idx are left out; a name that occurs twice is an error. Lines are counted in
-    each file; `first` and `last` cut out a range of them, the header not counted.
+    each file, so a file is one row until it is split (2 GB at most); `first` and `last` cut out a range of them,
+    the header not counted.
     """
-    raw = spark.read.option("wholetext", "true").text(path).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line", "text"))
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_name").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n$", ""), r"\r?\n")).alias("line", "text"))
     raw = raw.withColumn("cells", F.split("text", f"\\Q{separator}\\E", -1))
     header = [c.strip() for c in raw.where("line = 0").select("cells").first()["cells"]]
     if len(set(header)) < len(header):

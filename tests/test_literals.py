@@ -2,11 +2,15 @@
 
 import math
 
+import pytest
 from pyspark.sql import functions as F
 
+from tessella.functions import hooks
 from tessella.functions import text as tx
 from tessella.operators import graph, pack, search
+from tessella.plans import composed
 from tessella.plans.catalog import meta_condition, where_condition
+from tessella.sources import tables
 
 
 def test_greedy_overshoots(spark):
@@ -69,3 +73,86 @@ def test_text_functions(spark):
     assert df.select(tx.tokenize(F.col("t"))).first()[0] == ["ab", "c", "d", "e"]
     assert df.select(tx.drop_question_words(F.lit("What is the best of it"))).first()[0] == "best it"
     assert df.select(tx.drop_question_words(F.lit("what is"))).first()[0] == "what is"
+
+
+def test_delimited_files_with_rejects(spark, tmp_path):
+    (tmp_path / "t.csv").write_text("id,name,size\n1,a,10\n2,b\n3,c,30\n4,d,40\n")
+    good, bad = tables.read_delimited(spark, str(tmp_path / "t.csv"))
+    assert [(r["line"], r["name"], r["size"]) for r in good.orderBy("line").collect()] == [(1, "a", "10"), (3, "c", "30"), (4, "d", "40")]
+    assert good.columns == ["file", "line", "name", "size"] and [(r["line"], r["text"]) for r in bad.collect()] == [(2, "2,b")]
+    assert tables.read_delimited(spark, str(tmp_path / "t.csv"), first=1, last=3)[0].count() == 1
+    (tmp_path / "u.csv").write_text("a,a\n1,2\n")
+    with pytest.raises(ValueError):
+        tables.read_delimited(spark, str(tmp_path / "u.csv"))
+
+
+def test_documents_by_suffix(spark, tmp_path):
+    (tmp_path / "a.MD").write_text("# x\ny")
+    (tmp_path / "b.txt").write_text("z")
+    got = {(r["name"], r["suffix"], r["route"], r["text"]) for r in tables.read_documents(spark, str(tmp_path)).collect()}
+    assert got == {("a.MD", "md", "markdown", "# x\ny"), ("b.txt", "txt", "text", "z")}
+
+
+def test_json_and_json_lines(spark):
+    texts = [(1, '{"k": 1}'), (2, '{"k": 1}\nbad\n{"k": 2}\n{"k": 3}\n{"k": 4}\n{"k": 5}'), (3, "no\nno\n{}"), (4, None), (5, '{\n"k": 7\n}')]
+    df = spark.createDataFrame(texts, "id int, t string")
+    got = tables.json_rows(df, "id", "t").select("id", F.try_variant_get("row", "$.k", "int").alias("k")).collect()
+    assert sorted((r["id"], r["k"]) for r in got) == [(1, 1), (2, 1), (2, 2), (2, 3), (2, 4), (2, 5), (5, 7)]
+
+
+def test_database_query(spark):
+    url, driver = "jdbc:derby:memory:tessella;create=true", "org.apache.derby.iapi.jdbc.AutoloadedDriver"
+    rows = spark.sql("select 1 a, date'2024-02-03' d, cast(1.5 as decimal(6,2)) x union all select 2, null, 2.25")
+    rows.write.format("jdbc").option("url", url).option("driver", driver).option("dbtable", "T").mode("overwrite").save()
+    got = tables.read_database(spark, url, 'select "a" as A, "d" as D, "x" as X from t where "a" > 0', driver=driver)
+    assert sorted((r["A"], r["D"] or "", r["X"]) for r in got.collect()) == [(1, "2024-02-03", 1.5), (2, "", 2.25)]
+
+
+def test_overlap_prefixes_and_character_windows(spark):
+    df = spark.createDataFrame([(1, "a b c\nd e f\ng h i")], "doc_id int, text string")
+    got = [r["content"] for r in pack.greedy(df, limit=2, overlap=20).orderBy("pos").collect()]
+    assert got == ["a b c", "cd e f", " fg h i"]
+    text = "x" * 700 + "." + "y" * 900
+    got = [r["content"] for r in pack.char_windows(spark.createDataFrame([(1, text)], "doc_id int, text string")).orderBy("win").collect()]
+    assert got[0] == text[:701] and got[1] == text[501:1501] and text.endswith(got[-1])
+
+
+def test_named_models_and_steps(spark):
+    df = spark.createDataFrame([(1, "one two two")], "doc_id int, text string")
+    v = hooks.with_model(df, "hashed_words", "text", "v", places=8).first()["v"]
+    assert sum(v) == 3 and len(v) == 8
+    with pytest.raises(ValueError):
+        hooks.with_model(df, "none", "text", "v")
+    with pytest.raises(ValueError):
+        hooks.run_steps(df, '[{"step": "clean"}, {"step": "nothing"}]')
+
+
+def test_citations(spark):
+    s = spark.createDataFrame([(1, 0, ["a", "b"]), (1, 1, ["c", "d", "e"]), (1, 2, ["z"])], "q int, sentence int, tokens array<string>")
+    h = spark.createDataFrame([(1, 7, ["a", "b", "x"]), (1, 8, ["c", "d"]), (1, 9, ["q"])], "q int, hit int, tokens array<string>")
+    assert {(r["sentence"], r["hit"]) for r in search.cite(s, h, ["q"]).collect()} == {(0, 7), (1, 8)}
+
+
+def test_highlight_of_a_retrieval(spark):
+    hits = spark.createDataFrame([(1, 5, 0, 1.0, 0.5, 2), (1, 6, 0, 0.1, 0.0, 1)], "query_id int, doc_id int, pos int, score double, cosine double, hits int")
+    terms = spark.createDataFrame([(1, "red", 0.6), (1, "fox", 0.4)], "query_id int, term string, w double")
+    content = spark.createDataFrame([(5, 0, "No sign. A Red fox. End"), (6, 0, "fox")], "doc_id int, pos int, content string")
+    r = composed.retrieve(hits, terms, content).collect()
+    assert [(x["doc_id"], x["rank"], x["total"], x["in_document"], x["highlight"]) for x in r] == [(5, 1, 1, 1, "A <em>Red</em> <em>fox</em>")]
+
+
+def test_walk_vectors(spark):
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0)], "a long, b long, w double")
+    w = graph.walks(e, 2, 3)
+    assert w.count() == 18 and {r["node"] for r in graph.walk_vectors(w, size=4).collect()} == {1, 2, 3}
+
+
+def test_pagerank_stops_at_the_tolerance(spark):
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 4, 2.0), (4, 1, 1.0)], "a int, b int, w double")
+    p = {r["node"]: r["p"] for r in graph.pagerank(e, tolerance=1e-6).collect()}
+    assert math.isclose(sum(p.values()), 1, rel_tol=1e-9) and p[3] > p[1]
+
+
+def test_mail_has_headers_and_text_parts(spark):
+    df = spark.sql("select 1 id, map('To','b','From','a') headers, array(named_struct('type','text/html','text','<p>x  y</p>'), named_struct('type','image/png','text','??')) parts")
+    assert [(r["kind"], r["text"]) for r in tables.mail_sections(df, "id").orderBy("pos").collect()] == [("headers", "From: a\nTo: b"), ("text/html", "x y")]
