@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches
+from .common import batches, materialise
 
 WINDOW = 13
 #: A-Z to lower case, other letters and digits of ASCII stay, the rest of ASCII is a blank; above ASCII all stay.
@@ -154,21 +154,22 @@ def blocks(bench: DataFrame, text: str = "text", ident: str = "item_id", most: i
     yield block
 
 
-def hits(docs: DataFrame, bench: DataFrame, text: str = "text", window: int = WINDOW) -> DataFrame:
+def hits(docs: DataFrame, bench: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = 4_000_000) -> DataFrame:
     """row struct<all columns>, spans array<struct<start,end>> (words, merged) and items array<string>."""
     spark = docs.sparkSession
     out = docs.select(F.struct("*").alias("row"), F.col(text).alias("body"))
     empty = F.array().cast("array<struct<start:int,end:int>>")
     out = out.select("row", "body", empty.alias("spans"), F.array().cast("array<string>").alias("items"))
-    for block in blocks(bench):
+    shared = None
+    for block in blocks(bench, most=block_bytes):
+        if shared is not None:  # the next block's pass reads what this one wrote, so a task holds one automaton at a time
+            out = materialise(out, "pass")
+            shared.destroy()
         shared = spark.sparkContext.broadcast(pickle.dumps(Automaton(block, window)))
         out = _pass(out, shared)
     return out
 
 
-_OPEN: dict[int, Automaton] = {}
-
-
 def _pass(rows: DataFrame, shared) -> DataFrame:
     schema = rows.schema
 
@@ -186,9 +187,9 @@ def _pass(rows: DataFrame, shared) -> DataFrame:
     return rows.mapInArrow(run, schema)
 
 
-def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW) -> DataFrame:
+def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = 4_000_000) -> DataFrame:
     """row, body, spans, items and the counts; a document is contaminated if a word is hit and hits are 5 % or more."""
-    found = hits(docs, bench, window=window)
+    found = hits(docs, bench, window=window, block_bytes=block_bytes)
     ordered = F.array_sort("spans")
     # Spans of several blocks may overlap: length of the union by a fold over the ordered spans.
     union = F.aggregate(
@@ -241,7 +242,7 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), batch.column(3)], names=["row", "body", "contaminated"])
 
     cut = found.select("row", "body", "spans", "contaminated").mapInArrow(run, found.select("row", "body", "contaminated").schema)
-    kept = cut.where(~F.col("contaminated") | (F.trim("body") != ""))
+    kept = cut.where(~F.col("contaminated") | F.col("body").rlike(r"[^\x20\x09-\x0D]"))
     n = F.length("body").cast("long")
     return kept.select(*[F.col("body").alias(c) if c == "text" else F.when(F.col("contaminated"), n).otherwise(F.col(f"row.{c}")).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 

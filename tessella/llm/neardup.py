@@ -258,9 +258,10 @@ def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest doc_id. Rows that are
-    repeated in full stay once; texts without words and rows without doc_id are linked with nothing and stay."""
-    found = materialise(near_duplicates(docs).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("kept").alias("kept")), "found")
+    """One document of each group of near duplicates (five-word shingles, 0.8): the one with the smallest doc_id.
+    Rows that are repeated in full stay once; texts without words and rows without doc_id are linked with nothing
+    and stay."""
+    found = materialise(near_duplicates(docs, percent=80, width=5).where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("rows"), F.min("kept").alias("kept")), "found")
     gone = materialise(found.where("not kept or rows > 1").select("doc_id"), "gone")
     twice = materialise(found.where("kept and rows > 1").select("doc_id"), "twice")
     # Texts are shuffled only where one doc_id has several rows.

@@ -280,6 +280,12 @@ def test_decontamination_edges(spark, edge, empty):
     assert decontam.cut_words("Aa, bb! cc", [(1, 2)]) == "Aa, ! cc"
 
 
+def test_decontamination_in_several_passes(spark):
+    docs, bench = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{SF}/benchmark.parquet")
+    rows = lambda n: sorted((r["row"]["doc_id"], r["n_words"], r["n_hit"], tuple(r["items"])) for r in decontam.report(docs, bench, block_bytes=n).collect())
+    assert rows(2_500) == rows(4_000_000) and any(h for _, _, h, _ in rows(4_000_000))
+
+
 # -- byte-level BPE
 
 
@@ -426,6 +432,27 @@ def test_toxicity_edges(spark, edge, empty):
     assert toxicity.score(empty, toxicity.train(empty, labels.limit(0))).count() == 0
 
 
+def test_labels_do_not_force_targets():
+    """Two kinds of rows by their votes; the model's posterior follows the votes, whatever single rows are labelled."""
+    rng = np.random.default_rng(9)
+    n, v = 4000, toxicity.VOTERS
+    y = rng.random(n) < 0.1
+    bits = rng.random((n, v)) < np.where(y[:, None], 0.6, 0.02)
+    bits[:, 1] = bits[:, 0]  # a voter that repeats another
+    masks = (bits * (1 << np.arange(v))).sum(1)
+    counts = np.bincount(masks, minlength=1 << v).astype(float)
+    label = y.copy()
+    label[:40] = ~label[:40]
+    known = np.stack([np.bincount(masks[:800][label[:800] == k], minlength=1 << v) for k in (0, 1)]).astype(float)
+    fires = np.clip((known @ toxicity.BITS + 1) / (known.sum(1, keepdims=True) + 2), 1e-4, 1 - 1e-4)
+    model = toxicity.fit_label_model(counts, float(known[1].sum() / known.sum()), fires, known)
+    target = toxicity.targets(model, masks)
+    assert ((target > 0.5) == y).mean() > 0.98 and ((target[:40] > 0.5) == y[:40]).mean() > 0.9
+    pair = toxicity.VOTERS + next(k for k, (a, b) in enumerate(zip(toxicity.FIRST, toxicity.SECOND, strict=True)) if (a, b) == (0, 1))
+    assert model.weights[1][pair] > 1  # the correlation is in the model
+    assert abs(np.exp(model.log_patterns()).sum(1) - 1).max() < 1e-9
+
+
 # -- language model
 
 
