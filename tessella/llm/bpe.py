@@ -43,9 +43,10 @@ def byte_letters() -> dict[int, str]:
 
 
 class ByteBpe:
-    """One vocabulary with its merges; keeps the ids of short chunks and pieces it has met, up to `limit` of each."""
+    """One vocabulary with its merges; keeps the ids of short chunks it has met, up to `limit`, and of half as many pieces
+    (some 100 MB in all)."""
 
-    def __init__(self, spec: str | bytes, limit: int = 100_000, longest: int = 40):
+    def __init__(self, spec: str | bytes, limit: int = 300_000, longest: int = 40):
         data = json.loads(spec)
         vocab, merges = data["model"]["vocab"], data["model"]["merges"]
         letters = byte_letters()
@@ -103,7 +104,7 @@ class ByteBpe:
     def _piece(self, piece: str) -> bytes:
         packed = struct.pack(f"<{len(ids)}I", *ids) if (ids := self.merge(piece.encode())) else b""
         if len(piece) <= self.longest:
-            if len(self.pieces) >= self.limit:
+            if len(self.pieces) >= self.limit // 2:
                 self.pieces.clear()
             self.pieces[piece] = packed
         return packed

@@ -479,9 +479,9 @@ def verified(pairs: DataFrame, docs: DataFrame, text: str, ident: str, least: in
     """Spans of the pairs (a, b) that the alignment of their shingles confirms.
 
     Each b's shingles travel once for each of its pairs, to the task of a; an a of many pairs has a copy in
-    each part of 500 of them.
+    each part of 100 of them.
     """
-    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / 500).cast("int").alias("parts"))
+    sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / 100).cast("int").alias("parts"))
     dealt = pairs.join(sizes, "a").select("b", "a", F.pmod(F.xxhash64("b"), "parts").cast("int").alias("part"))
     asked = dealt.groupBy(F.col("b").alias("doc_id")).agg(F.collect_list(F.struct("a", "part")).alias("asked"))
     lists = materialise(asked.join(sizes.withColumnRenamed("a", "doc_id"), "doc_id", "full_outer").select("doc_id", F.coalesce("asked", F.array().cast("array<struct<a:bigint,part:int>>")).alias("asked"), F.coalesce("parts", F.lit(0)).alias("parts")), "lists")
