@@ -226,7 +226,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", ident: str = "
             yield pa.RecordBatch.from_arrays([pa.array([buckets(w).astype("<i4").tobytes() for w in words], pa.binary()), pa.array([voters.mask(w) for w in words], pa.int64())], names=["at", "votes"])
 
     at, votes = [], []
-    for r in drawn.select("text").mapInArrow(features, "at binary, votes long").toLocalIterator():  # the bounded sample
+    for r in materialise(drawn.select("text").mapInArrow(features, "at binary, votes long"), "features").toLocalIterator():  # the bounded sample
         at.append(np.frombuffer(r["at"], "<i4"))
         votes.append(r["votes"])
     weights, bias = fit_linear(at, targets(model, np.array(votes, np.int64)))

@@ -121,6 +121,20 @@ def test_deal_is_longest_processing_time():
     assert loads.sum() == sizes.sum() and loads.max() - loads.min() <= 2
 
 
+def test_deal_against_the_plain_rule():
+    """Longest first to the least-loaded shard, a group at a time: the fullest shard is as full."""
+    rng = np.random.default_rng(5)
+    for _ in range(20):
+        sizes = rng.integers(1, 4000, rng.integers(5, 120)).tolist()
+        plain = [0] * 6
+        for x in sorted(sizes, reverse=True):
+            plain[plain.index(min(plain))] += x
+        loads = np.zeros(6)
+        for cls, a, b, shard in sharding.deal([(s, n, s * n) for s, n in collections.Counter(sizes).items()], 6):
+            loads[shard] += cls * (b - a)
+        assert loads.sum() == sum(sizes) and loads.max() <= max(plain) * 1.01 + 1
+
+
 def test_sharding_laws(spark, edge, empty):
     got = sharding.op3_sharding(spark, SF).toPandas()
     texts = docs_of(spark)
@@ -391,6 +405,34 @@ def test_segmentation_finds_concatenated_words(spark):
     assert {r["piece"]: r["words"] for r in urls.segmented(names, words).collect()} == {"casinowin": ["casino", "win"], "freebetszz": ["free", "bets", "zz"]}
 
 
+def best_split(text, counts, total):
+    """All splits, one by one."""
+    if not text:
+        return 0.0, ()
+    price = lambda w: math.log10(counts[w] / total) if w in counts else -math.log10(total) - len(w)
+    return max((price(text[:k]) + (rest := best_split(text[k:], counts, total))[0], (text[:k], *rest[1])) for k in range(1, len(text) + 1))
+
+
+def test_segmentation_against_brute_force(spark):
+    rng = np.random.default_rng(12)
+    counts = {"".join(rng.choice(list("abc"), rng.integers(1, 5))): int(rng.integers(1, 60)) for _ in range(25)}
+    total = sum(counts.values())
+    names = ["".join(rng.choice(list("abcd"), rng.integers(1, 11))) for _ in range(40)]
+    words, df = spark.createDataFrame(list(counts.items()), "word string, n long"), spark.createDataFrame([(n,) for n in set(names)], "piece string")
+    price = lambda ws: sum(math.log10(counts[w] / total) if w in counts else -math.log10(total) - len(w) for w in ws)
+    for r in urls.segmented(df, words).collect():
+        assert "".join(r["words"]) == r["piece"] and math.isclose(price(r["words"]), best_split(r["piece"], counts, total)[0], rel_tol=1e-9)
+
+
+def test_url_edges(spark):
+    form = "page_id long, url string, html string, verdict string"
+    df = spark.createDataFrame([(1, None, None, "x"), (1, None, None, "x"), (None, "", "", "x"), (2, "http://" + "casinowin" * 3000 + ".org/" + "a/" * 5000, "<title>", "x"), (3, "http://casino.org/", "", "x")], form)
+    got = urls.judge(df).collect()
+    assert len(got) == 5 and all(r["verdict"] in ("allow", "block") for r in got)
+    assert {r["verdict"] for r in got if r["page_id"] == 1} == {"allow"} and next(r for r in got if r["page_id"] == 2)["path"].startswith("/a/")
+    assert urls.judge(df.limit(0)).count() == 0
+
+
 # -- quality
 
 
