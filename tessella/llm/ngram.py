@@ -61,35 +61,24 @@ def _in_word(x: np.ndarray, r: np.ndarray) -> np.ndarray:
     return b.astype(np.int64) + _SELECT[(byte << _U(3) | (r - before)).astype(np.int64)]
 
 
-def _select(words: np.ndarray, ranks: np.ndarray, hints: np.ndarray | None, i: np.ndarray, ones: bool) -> np.ndarray:
-    """Place of the i-th set bit (or unset one); ranks: set (unset) bits before each word, hints: word of each 16th of them."""
-    if hints is None:
-        w = np.searchsorted(ranks, i, "right") - 1
-    else:
-        w = hints[i >> 4]
-        ahead = np.flatnonzero(ranks[w + 1] <= i)
-        while len(ahead):
-            w[ahead] += 1
-            ahead = ahead[ranks[w[ahead] + 1] <= i[ahead]]
-    at = words[w]
-    return (w << 6) + _in_word(at if ones else ~at, i - ranks[w])
-
-
-def _hints(ranks: np.ndarray) -> np.ndarray | None:
-    """Word of each 16th bit; none where bits are so sparse, or lie so unevenly, that a search is quicker than the way from a hint."""
-    at = np.searchsorted(ranks, np.arange(0, int(ranks[-1]) + 16, 16), "right") - 1
-    steps = np.diff(at)
-    return at if len(steps) and steps.mean() <= 3 and steps.max() <= 100 else None
+def _sampled(ranks: np.ndarray) -> tuple[np.ndarray, int]:
+    """Words of each 2**shift-th bit, as many samples as there are words about, and the shift."""
+    shift = min(6, max(0, (int(ranks[-1]) // max(1, len(ranks) - 1)).bit_length() - 1))
+    at = np.searchsorted(ranks, np.arange(0, int(ranks[-1]) + (2 << shift), 1 << shift), "right") - 1
+    return np.minimum(at, max(0, len(ranks) - 2)).astype(np.int32), shift
 
 
 class EliasFano:
-    """A monotone sequence of integers: low bits packed in whole bytes, high bits in unary with counts per word."""
+    """A monotone sequence of integers: low bits packed in whole bytes, high bits in unary with counts per word.
+
+    Low parts are rounded to the next number of bytes, so an entry has at most 17 high bits and at most 16 entries
+    share a high part on the average. Samples of set and unset bits lead to their words.
+    """
 
     @staticmethod
     def encode(values: np.ndarray, universe: int) -> dict[str, np.ndarray]:
         n = len(values)
-        low = min(63, max(0, (max(1, universe) // max(1, n)).bit_length() - 1))
-        low -= low % 8  # whole bytes: a low part is read without shifting
+        low = min(56, (max(0, (max(1, universe) // max(1, n)).bit_length() - 1) + 4) // 8 * 8)
         v = values.astype(np.uint64)
         high = (v >> np.uint64(low)).astype(np.int64) + np.arange(n)
         bits = np.zeros(((int(high[-1]) + 1 if n else 0) // 64 + 1) * 64, np.uint8)
@@ -97,14 +86,30 @@ class EliasFano:
         words = np.packbits(bits, bitorder="little").view(np.uint64)
         ranks = np.concatenate(([0], np.cumsum(bits.reshape(-1, 64).sum(1, dtype=np.int64))))
         lows = v.view(np.uint8).reshape(n, 8)[:, : low // 8] if n else np.zeros((0, low // 8), np.uint8)
-        return {"words": words, "ranks": ranks, "lows": np.ascontiguousarray(lows).ravel(), "low": np.array([low, n, int(high[-1]) - n + 1 if n else -1])}
+        (ones, one), (gaps, gap) = _sampled(ranks), _sampled(np.arange(len(ranks)) * 64 - ranks)
+        form = np.array([low, n, int(high[-1]) - n + 1 if n else -1, one, gap])
+        return {"words": words, "ranks": ranks, "lows": np.ascontiguousarray(lows).ravel(), "ones": ones, "gaps": gaps, "form": form}
 
     def __init__(self, parts: dict[str, np.ndarray]):
-        self.words, self.ranks = parts["words"], parts["ranks"]
-        self.low, self.n, self.top = (int(x) for x in parts["low"])
+        self.words, self.ranks, self.ones, self.gaps = (parts[k] for k in ("words", "ranks", "ones", "gaps"))
+        self.low, self.n, self.top, self.one, self.gap = (int(x) for x in parts["form"])
         self.lows = parts["lows"].reshape(self.n, self.low // 8) if self.low else None
-        self.gaps = np.arange(len(self.ranks)) * 64 - self.ranks
-        self.hints, self.gap_hints = _hints(self.ranks), _hints(self.gaps)
+
+    def _select(self, i: np.ndarray, ones: bool) -> np.ndarray:
+        """Place of the i-th set bit, or unset one: between two samples, a search over the counts of the words there."""
+        samples, shift = (self.ones, self.one) if ones else (self.gaps, self.gap)
+        before = (lambda w: self.ranks[w]) if ones else (lambda w: (w << 6) - self.ranks[w])
+        k = i >> shift
+        lo, hi = samples[k].astype(np.int64), samples[k + 1].astype(np.int64)
+        todo = np.flatnonzero(lo < hi)
+        while len(todo):
+            mid = (lo[todo] + hi[todo] + 1) >> 1
+            ok = before(mid) <= i[todo]
+            lo[todo] = np.where(ok, mid, lo[todo])
+            hi[todo] = np.where(ok, hi[todo], mid - 1)
+            todo = todo[lo[todo] < hi[todo]]
+        at = self.words[lo]
+        return (lo << 6) + _in_word(at if ones else ~at, i - before(lo))
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         out = np.zeros(len(i), np.uint64)
@@ -116,7 +121,7 @@ class EliasFano:
         """The i-th values: select on the high bits, then the low bytes."""
         if not len(i):
             return np.zeros(0, np.uint64)
-        high = (_select(self.words, self.ranks, self.hints, i, True) - i).astype(np.uint64)
+        high = (self._select(i, True) - i).astype(np.uint64)
         return (high << np.uint64(self.low) | self._low(i)) if self.low else high
 
     def find(self, target: np.ndarray, low: np.ndarray | None = None, high: np.ndarray | None = None) -> np.ndarray:
@@ -128,8 +133,8 @@ class EliasFano:
             return out
         h = h[at].astype(np.int64)
         # Entries with this high part stand between two unset bits.
-        begin = np.where(h > 0, _select(self.words, self.gaps, self.gap_hints, np.maximum(h - 1, 0), False) + 1 - h, 0)
-        end = _select(self.words, self.gaps, self.gap_hints, h, False) - h
+        begin = np.where(h > 0, self._select(np.maximum(h - 1, 0), False) + 1 - h, 0)
+        end = self._select(h, False) - h
         if low is not None:
             begin, end = np.maximum(begin, low[at]), np.minimum(end, high[at])
         want = target[at] & ((np.uint64(1) << np.uint64(self.low)) - np.uint64(1))
@@ -181,7 +186,7 @@ def sequences(**named: tuple[np.ndarray, int]) -> dict[str, np.ndarray]:
 
 
 def opened(raw: dict[str, np.ndarray], name: str) -> EliasFano:
-    return EliasFano({k: raw[f"{name}.{k}"] for k in ("words", "ranks", "lows", "low")})
+    return EliasFano({k: raw[f"{name}.{k}"] for k in ("words", "ranks", "lows", "ones", "gaps", "form")})
 
 
 class Words:

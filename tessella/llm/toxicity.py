@@ -146,25 +146,30 @@ def fit_label_model(counts: np.ndarray, prior: float, fires: np.ndarray, known:
     return model
 
 
-def fit_linear(rows: list[np.ndarray], target: np.ndarray, rounds: int = 60, rate: float = 0.3, penalty: float = 1e-3, toxic_weight: float = 3.0) -> tuple[np.ndarray, float]:
-    """Logistic regression on hashed counts by proximal AdaGrad; the L1 penalty leaves most weights at zero.
+def fit_linear(rows: list[np.ndarray], target: np.ndarray, epochs: int = 15, parts: int = 16, rate: float = 0.15, penalty: float = 3e-4, toxic_weight: float = 3.0) -> tuple[np.ndarray, float]:
+    """Logistic regression on hashed counts by proximal AdaGrad, a step for each of `parts` parts of the rows; the L1
+    penalty leaves most weights at zero.
 
     Rows that are likely toxic weigh `toxic_weight` times, as they are few.
     """
-    at = np.concatenate(rows) if rows else np.zeros(0, np.int64)
-    of = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     w, b, g2, gb = np.zeros(BUCKETS), -2.0, np.full(BUCKETS, 1e-4), 1e-8
-    scale = np.where(target > 0.5, toxic_weight, 1.0) / max(1, len(rows))
-    for _ in range(rounds if len(rows) else 0):
-        z = b + np.bincount(of, w[at], len(rows))
-        d = scale * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target)
-        grad = np.bincount(at, d[of], BUCKETS)
-        g2 += grad * grad
-        step = rate / np.sqrt(g2)
-        w = w - step * grad
-        w = np.sign(w) * np.maximum(0, np.abs(w) - step * penalty)
-        gb += d.sum() ** 2
-        b -= rate * d.sum() / np.sqrt(gb)
+    cut = []
+    for k in range(parts):
+        own = rows[k::parts]
+        if own:
+            at, of = np.concatenate(own), np.repeat(np.arange(len(own)), [len(r) for r in own])
+            cut.append((at, of, target[k::parts], np.where(target[k::parts] > 0.5, toxic_weight, 1.0) / len(own)))
+    for _ in range(epochs):
+        for at, of, goal, scale in cut:
+            z = b + np.bincount(of, w[at], len(goal))
+            d = scale * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - goal)
+            grad = np.bincount(at, d[of], BUCKETS)
+            g2 += grad * grad
+            step = rate / np.sqrt(g2)
+            w = w - step * grad
+            w = np.sign(w) * np.maximum(0, np.abs(w) - step * penalty)
+            gb += d.sum() ** 2
+            b -= rate * d.sum() / np.sqrt(gb)
     return w, float(b)
 
 
