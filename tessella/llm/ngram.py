@@ -349,7 +349,7 @@ def train(docs: DataFrame, chosen, text: str = "text", mass: int = 2_000_000) ->
             h, c = held.drain()
             return _dealt(h >> bits if split else np.zeros(len(h), np.int64), h, c)
 
-        for _, texts in batches(frames, text):
+        for _, texts in batches(frames, text, rows=1024):
             if held.add(hashed_tokens(words, texts)[0]):
                 yield give()
         yield give()
@@ -376,7 +376,7 @@ def train(docs: DataFrame, chosen, text: str = "text", mass: int = 2_000_000) ->
             keys, c = held.drain()
             return _dealt(lm.parts_of(keys // lm.size, keys % lm.size), keys, c)
 
-        for _, texts in batches(frames, text):
+        for _, texts in batches(frames, text, rows=1024):
             t = lm.tokens(*hashed_tokens(words, texts))
             if held.add(t.u * lm.size + t.w):
                 yield give()
@@ -408,7 +408,7 @@ def train(docs: DataFrame, chosen, text: str = "text", mass: int = 2_000_000) ->
             first = np.flatnonzero(np.concatenate(([True], (keys[1:] != keys[:-1]) | (part[1:] != part[:-1])))) if len(keys) else np.zeros(0, np.int64)
             return _dealt(part[first], keys[first], np.diff(np.append(first, len(keys))))
 
-        for _, texts in batches(frames, text):
+        for _, texts in batches(frames, text, rows=1024):
             t = lm.tokens(*hashed_tokens(words, texts))
             lm.look_up_pairs(t)
             at = np.flatnonzero(t.often[1:] & t.often[:-1] & ~t.begins[1:]) + 1
@@ -453,6 +453,7 @@ class Tokens:
     index: np.ndarray | None = None
     log10: np.ndarray | None = None
     often: np.ndarray | None = None
+    rank: np.ndarray | None = None  # among the distinct pairs of the batch
 
 
 class Trie:
@@ -539,7 +540,7 @@ class Trie:
         first, back = order[fresh], np.empty(len(keys), np.int64)
         back[order] = np.cumsum(fresh) - 1
         index, log10, often = self.find_pairs(t.u[first], t.w[first], t.part[first], self._absent(t.cu[first], t.cw[first]))
-        t.index, t.log10, t.often = index[back], log10[back], often[back]
+        t.index, t.log10, t.often, t.rank = index[back], log10[back], often[back], back
 
     def pair_log10(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
         """log10 P(w | u) of word numbers."""
@@ -553,6 +554,7 @@ class Trie:
         self.look_up_pairs(t)
         out = t.log10.copy()
         at = np.flatnonzero(t.often[:-1] & ~t.begins[1:])  # places of contexts; the token stands behind
+        at = at[np.argsort(t.rank[at])]  # in the trie's order, so the levels are read from front to back
         for level, k in self._by_part("triples", t.part, at):
             some = np.flatnonzero(level["backoff"][t.index[k]] > 0)  # contexts with entries
             k = k[some]
@@ -575,7 +577,7 @@ def score(docs: DataFrame, model: dict, text: str = "text", ident: str = "doc_id
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lm, words = Trie(model), WordHash()
-        for batch, texts in batches(frames, text):
+        for batch, texts in batches(frames, text, rows=1024):
             n, known, base, own = lm.scores(*hashed_tokens(words, texts))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()), pa.array(own, pa.float64())], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
