@@ -11,7 +11,8 @@ WORD_BREAK = r"[^\p{L}\p{N}_]+"
 def half_width(col: Column) -> Column:
     """Full-width ASCII forms and the ideographic blank to their half-width twins."""
     full = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + "　"
-    return F.translate(col, full, "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " ")
+    half = "".join(chr(c - 0xFEE0) for c in range(0xFF01, 0xFF5F)) + " "
+    return F.when(col.rlike(r"[\x{FF01}-\x{FF5E}\x{3000}]"), F.translate(col, full, half)).otherwise(col)  # texts without such forms are not gone through letter by letter
 
 
 def tokenize(col: Column) -> Column:
