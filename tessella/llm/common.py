@@ -100,10 +100,6 @@ class WordHash:
 _PLACE = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
 
 
-#: Odd factors of the places in a shingle.
-_PLACE = mix(np.arange(1, 17, dtype=np.uint64)) | np.uint64(1)
-
-
 def shingles(hashes: np.ndarray, width: int) -> np.ndarray:
     """Hashes of all windows of `width` words; with fewer words, of the whole sequence (none: none)."""
     n = len(hashes)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontam, neardup, ngram, pages, passages, quality, sharding, toxicity, urls
+from . import bpe, decontam, merkle, multiindex, neardup, ngram, pages, passages, quality, sharding, toxicity, urls, whiten
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_url_filter": urls.op8_url_filter,
         "op9_quality_rules": quality.op9_quality_rules,
         "op10_lm_score": ngram.op10_lm_score,
+        "op11_embedding_duplicates": multiindex.op11_embedding_duplicates,
+        "op12_merkle_manifest": merkle.op12_merkle_manifest,
+        "op13_embedding_whitening": whiten.op13_embedding_whitening,
     }
 
 
@@ -29,4 +32,6 @@ def oracle_sql() -> dict[str, str]:
         "op2_near_duplicates": neardup.ORACLE_OP2,
         "op6_decontamination": decontam.ORACLE_OP6,
         "op9_quality_rules": quality.oracle_op9(),
+        "op11_embedding_duplicates": multiindex.ORACLE_OP11,
+        "op12_merkle_manifest": merkle.ORACLE_OP12,
     }
