@@ -215,14 +215,20 @@ def article(sizes: list[int], width: int = 3, surge: int = 60, dive: int = 1, sh
 
 
 def main_text(page: str | None, width: int = 3, surge: int = 60, dive: int = 1) -> str:
-    """Lines between the surge and the dive, joined by line ends."""
+    """Lines between the surge and the dive, joined by line ends.
+
+    A line counts with its letters outside links, a marked-off one with none. In a page with an article element
+    its lines count half a surge more and all others half a surge less, so short lines of an article hold
+    together, but no line reaches the level by its place alone and long text elsewhere is kept.
+    """
     if not page:
         return ""
     found = lines(page)
     bounded = any(w and not away for _, _, away, w in found)
-    sizes = [0 if away or (bounded and not w) else len(t) + surge if bounded else max(0, len(t) - 2 * linked) for t, linked, away, w in found]
-    begin, end = article(sizes, width, surge, dive, 0.0 if bounded else 0.2)
-    return "\n".join(t for t, _, away, w in found[begin:end] if not away and (w or not bounded))
+    plain = [max(0, len(t) - 2 * linked) for t, linked, _, _ in found]
+    sizes = [0 if away else p + surge // 2 if w else max(0, p - surge // 2) if bounded else p for p, (_, _, away, w) in zip(plain, found, strict=True)]
+    begin, end = article(sizes, width, surge, dive)
+    return "\n".join(t for t, _, away, _ in found[begin:end] if not away)
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

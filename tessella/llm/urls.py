@@ -28,7 +28,6 @@ from .common import ascii_lower, materialise
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: Words that mark a host by themselves (fixed values).
 SEEDS = ("casino", "casinos", "bet", "bets", "betting", "poker", "slots", "jackpot", "pills", "viagra", "cialis", "pharma", "porn", "xxx", "sex", "nude", "escort", "webcam", "ads", "adserver", "malware", "warez", "torrent", "crack", "payday", "lottery", "spam", "scam", "phishing")
-LONGEST = 16
 
 
 def host_and_path(url: str = "url") -> tuple[Column, Column]:
@@ -56,7 +55,7 @@ def unigrams(pages: DataFrame, folded: DataFrame) -> DataFrame:
     titles = pages.select(F.explode(pieces(F.regexp_extract(F.coalesce("html", F.lit("")), r"(?is)<title[^>]*>(.*?)</title", 1))).alias("word"), F.lit(1).alias("n"))
     paths = folded.select(F.explode(pieces(F.col("path"))).alias("word"), F.col("pages").alias("n"))
     seeds = pages.sparkSession.createDataFrame([(w, 100) for w in (*SEEDS, *COMMON)], "word string, n long")
-    return titles.unionByName(paths).unionByName(seeds).where(F.length("word") <= LONGEST).groupBy("word").agg(F.sum("n").cast("long").alias("n"))
+    return titles.unionByName(paths).unionByName(seeds).groupBy("word").agg(F.sum("n").cast("long").alias("n"))
 
 
 #: Frequent words of names, so that small tables can be split too (fixed values).
@@ -66,12 +65,14 @@ COMMON = ("free", "win", "cheap", "best", "online", "shop", "news", "blog", "hom
 def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
     """names(piece) -> (piece, words): the most likely split of each piece.
 
-    Substrings of up to 16 letters meet the word counts in a join; one row for each piece then holds the
-    words found in it, at most 16 for each letter.
+    Substrings of all lengths that words have meet the word counts in a join; one row for each piece then
+    holds the words found in it, for each letter at most one of each length.
     """
     total = words.agg(F.coalesce(F.sum("n"), F.lit(1))).first()[0]
+    reach = names.agg(F.coalesce(F.max(F.length("piece")), F.lit(0))).first()[0]
+    lengths = sorted(r[0] for r in words.select(F.length("word").alias("size")).where(F.col("size") <= reach).distinct().collect())  # numbers up to the longest piece
     starts = names.where("length(piece) > 0").select("piece", F.explode(F.sequence(F.lit(1), F.length("piece"))).alias("start"))
-    spans = starts.select("piece", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST), F.length("piece") - F.col("start") + 1))).alias("size"))
+    spans = starts.select("piece", "start", F.explode(F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("piece") - F.col("start") + 1)).alias("size"))
     found = spans.withColumn("word", F.expr("substring(piece, start, size)")).join(words, "word")
     held = found.groupBy("piece").agg(F.collect_list(F.struct("start", "size", F.log10(F.col("n") / total).alias("p"))).alias("found"))
 
@@ -82,11 +83,15 @@ def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
             known = {(s["start"] - 1, s["size"]): s["p"] for s in (spots if spots is not None else ())}
             n = len(text)
             best, back = [0.0] + [-math.inf] * n, [0] * (n + 1)
+            start = 0  # where the best unknown word that ends here begins: it costs a digit, and one more for each letter
             for end in range(1, n + 1):
-                for size in range(1, min(LONGEST, end) + 1):
-                    p = best[end - size] + known.get((end - size, size), -math.log10(total) - size)  # an unknown word costs a digit a letter
+                best[end], back[end] = best[start] - math.log10(total) - (end - start), end - start
+                for size in lengths:
+                    p = best[end - size] + known[end - size, size] if (end - size, size) in known else -math.inf
                     if p > best[end]:
                         best[end], back[end] = p, size
+                if best[end] + end > best[start] + start:
+                    start = end
             split, end = [], n
             while end > 0:
                 split.append(text[end - back[end] : end])

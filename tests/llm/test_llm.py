@@ -348,6 +348,16 @@ def test_page_text_by_the_curve():
     assert pages.main_text(inside) == "one\ntwo long link text here\nthree"
 
 
+def test_the_curve_decides_in_pages_with_an_article():
+    body = "<p>" + "a sentence of the main text goes on " * 5 + "</p>"
+    teasers = "<article><p>teaser</p></article>" + "<nav>menu</nav>" * 6 + f"<div>{body * 4}</div>"
+    assert pages.main_text(teasers).count("main text") == 20
+    apart = f"<article>{body * 5}<form><p>q</p><p>r</p><p>s</p><p>t</p></form><p>by x</p></article>"
+    text = pages.main_text(apart)
+    assert text.count("main text") == 25 and "by x" not in text  # no surge at a line that stands alone
+    assert pages.main_text(f"<article><p>Title</p>{body}<p>End.</p></article><p>ad</p>").split("\n")[0] == "Title"
+
+
 def brute_article(sizes, width, surge, dive, share):
     """Straight from the definition, a window at a time."""
     window = lambda i: sum(sizes[i : i + width])
@@ -405,6 +415,12 @@ def test_segmentation_finds_concatenated_words(spark):
     assert {r["piece"]: r["words"] for r in urls.segmented(names, words).collect()} == {"casinowin": ["casino", "win"], "freebetszz": ["free", "bets", "zz"]}
 
 
+def test_segmentation_knows_words_of_any_length(spark):
+    long = "ultralongcompoundnamewithoutend"
+    words, names = spark.createDataFrame([(long, 5), ("win", 5)], "word string, n long"), spark.createDataFrame([(f"win{long}win",)], "piece string")
+    assert urls.segmented(names, words).first()["words"] == ["win", long, "win"]
+
+
 def best_split(text, counts, total):
     """All splits, one by one."""
     if not text:
