@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .plans import blocks, catalog, chunking, composed, graph, hybrid, knowledge, readers, retrieval, scalars, store  # noqa: F401  (each registers its queries)
+from .plans import blocks, catalog, chunking, composed, graph, hybrid, knowledge, language, readers, retrieval, scalars, store  # noqa: F401  (each registers its queries)
 from .plans.registry import QUERIES, SQL
 from .streaming import queries as streams  # noqa: F401
 
