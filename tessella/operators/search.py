@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,9 +38,50 @@ def weighted(terms: DataFrame, stats: DataFrame, n: DataFrame) -> DataFrame:
     return terms.join(stats, "term").crossJoin(F.broadcast(n)).select("query_id", "term", idf_share(F.col("df"), F.col("n")).alias("w"))
 
 
-def match(terms: DataFrame, posted: DataFrame, keys: list[str]) -> DataFrame:
-    """(query_id, keys, score, hits): sum of the weights of the query's terms that a chunk holds."""
-    return posted.select("term", *keys).join(terms, "term").groupBy("query_id", *keys).agg(F.sum("w").alias("score"), F.count("*").alias("hits"))
+def match(terms: DataFrame, posted: DataFrame, keys: list[str], best: int | None = None, near: float = 1e-4, sent_rows: int = 200_000) -> DataFrame:
+    """(query_id, keys, score, hits): sum of the weights of the query's terms that a chunk holds.
+
+    Postings are brought together by chunk and scored there against the terms of all queries, which go to every
+    task if they are at most `sent_rows` rows; so one row for each posting is shuffled, not one for each posting
+    and query. More terms meet the postings in a join. With `best`, chunks that can't be among that many best
+    ones of a query (by scores rounded to `near`) are left out where they are scored.
+    """
+    rows = terms.select("query_id", "term", "w").limit(sent_rows + 1).collect()
+    if len(rows) > sent_rows:
+        return posted.select("term", *keys).join(terms, "term").groupBy("query_id", *keys).agg(F.sum("w").alias("score"), F.count("*").alias("hits"))
+    rows.sort(key=lambda r: r["term"])
+    asked = sorted({r["query_id"] for r in rows})
+    number, words = {q: k for k, q in enumerate(asked)}, sorted({r["term"] for r in rows})
+    first = np.searchsorted(np.array([r["term"] for r in rows], object), np.array([*words], object)) if words else np.zeros(0, int)
+    begins = np.append(first, len(rows))
+    of, weight = np.array([number[r["query_id"]] for r in rows], np.int64), np.array([r["w"] for r in rows], float)
+    many, ids, known = len(asked), pa.array(asked), pa.array(words, pa.string())
+    kinds = dict(posted.dtypes)
+    schema = f"query_id {dict(terms.dtypes)['query_id']}, " + ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", score double, hits long"
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, step := max(1, 4_000_000 // max(1, many))):
+                piece = batch.slice(at, step)
+                held = piece.column(len(keys))
+                term = pc.index_in(held.flatten(), known)
+                row = np.repeat(np.arange(piece.num_rows), held.value_lengths().to_numpy())[term.is_valid().to_numpy(zero_copy_only=False)]
+                term = term.drop_null().to_numpy()
+                each = begins[term + 1] - begins[term]
+                flat = np.repeat(begins[term] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+                cell = np.repeat(row, each) * many + of[flat]
+                hits = np.bincount(cell, minlength=piece.num_rows * many)
+                total = np.bincount(cell, weight[flat], minlength=piece.num_rows * many)
+                there = hits > 0
+                if best and piece.num_rows > best:
+                    least = np.partition(total.reshape(-1, many), -best, axis=0)[-best]
+                    there &= total >= np.tile(least - near, piece.num_rows)
+                found = np.flatnonzero(there)
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(found % many)), *(piece.column(c).take(pa.array(found // many)) for c in range(len(keys))), pa.array(total[found]), pa.array(hits[found])], schema=pa.schema([("query_id", ids.type), *((k, piece.schema.field(c).type) for c, k in enumerate(keys)), ("score", pa.float64()), ("hits", pa.int64())]))
+
+    if not rows:
+        return terms.sparkSession.createDataFrame([], schema)
+    return posted.groupBy(*keys).agg(F.collect_list("term").alias("_held")).select(*keys, "_held").mapInArrow(score, schema)
 
 
 def top_k(scored: DataFrame, keys: list[str], k: int, score: str = "score") -> DataFrame:

@@ -12,7 +12,7 @@ from ..scratch import materialise
 from .base import table
 from .graph import E, _edges
 from .registry import query
-from .retrieval import BENCH, POSTED, TOK, _parts
+from .retrieval import BENCH, POSTED, TOK, _parts, with_chunks
 
 #: A chunk has the vector of its document, a query that of its own number; documents without a vector are no candidates.
 VEC = """, v as (select vec_id, embedding::double[64] v from embeddings),
@@ -103,5 +103,5 @@ select query_id, rank::int rank, substring(content,1,40) as head, contains(conte
 def query_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best ten texts of each query with their judgement."""
     c, posted, terms, queries = _parts(spark, sf_dir)
-    hits = search.top_k(search.match(terms, posted, ["doc_id", "pos"]).withColumn("score", F.round("score", 4)), ["doc_id", "pos"], 10)
-    return hits.join(c, ["doc_id", "pos"]).join(queries, "query_id").select("query_id", "rank", F.substring("content", 1, 40).alias("head"), F.col("content").contains(F.col("text")).alias("judged"))
+    hits = search.top_k(search.match(terms, posted, ["doc_id", "pos"], best=10).withColumn("score", F.round("score", 4)), ["doc_id", "pos"], 10)
+    return with_chunks(hits, c, "content").join(search.sent(queries), "query_id").select("query_id", "rank", F.substring("content", 1, 40).alias("head"), F.col("content").contains(F.col("text")).alias("judged"))

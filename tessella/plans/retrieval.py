@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import search
+from ..operators import index, search
 from ..scratch import materialise
-from .base import chunks, table
+from .base import chunks, kept_index, table
 from .registry import query
 
 TOK = r"list_filter(string_split(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'), ' '), lambda x: x<>'')"
@@ -30,34 +30,48 @@ BENCH = "with recursive queries as (select item_id query_id, text from benchmark
 
 
 def _parts(spark: SparkSession, sf_dir: str):
-    """Chunks, which of the queries' terms each holds (written, as it is read for frequencies and for matches), weighted terms, queries."""
-    c = chunks(spark, sf_dir)
+    """Chunks, postings of the queries' terms, weighted terms, queries; all but the queries from the kept index."""
+    kept = kept_index(spark, sf_dir)
     queries = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     asked = search.query_terms(queries)
-    held = c.select("doc_id", "pos", F.explode(F.array_distinct("tokens")).alias("term"))
-    posted = materialise(held.join(search.sent(asked.select("term").distinct()), "term", "left_semi"), "posted")
-    n = c.agg(F.count("*").alias("n"))
-    return c, posted, search.weighted(asked, search.term_stats(posted), n), queries
+    posted = kept.postings(asked).select("term", "doc_id", "pos")
+    terms = search.sent(asked).join(kept.terms(), "term").select("query_id", "term", search.idf_share(F.col("df"), F.lit(kept.n)).alias("w"))
+    return kept.store, posted, search.sent(materialise(terms, "terms")), queries
+
+
+def with_chunks(hits: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
+    """Hits with columns of their chunks; few hits go to the scan of the chunks, so that no texts are shuffled."""
+    return search.sent(materialise(hits, "hits")).join(chunks.select("doc_id", "pos", *columns), ["doc_id", "pos"])
 
 
 @query("passage_retrieval", BENCH + POSTED + """
 select query_id, doc_id, pos, rank::int rank, score from (select query_id, doc_id, pos, round(score,4) score, row_number() over (partition by query_id order by round(score,4) desc, doc_id, pos) rank from scored) where rank<=10""")
 def passage_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, posted, terms, _ = _parts(spark, sf_dir)
-    scored = search.match(terms, posted, ["doc_id", "pos"]).withColumn("score", F.round("score", 4))
+    scored = search.match(terms, posted, ["doc_id", "pos"], best=10).withColumn("score", F.round("score", 4))
     return search.top_k(scored, ["doc_id", "pos"], 10).select("query_id", "doc_id", "pos", "rank", "score")
 
 
+@query("bm25_retrieval", BENCH + POSTED + """,
+dl as (select doc_id, pos, len(""" + TOK.format("content") + """) dl from chunks), av as (select avg(dl) al from dl),
+bm as (select query_id, doc_id, pos, round(sum(ln(1+(n-df+0.5)/(df+0.5))*tf*2.2/(tf+1.2*(0.25+0.75*dl/al))),4) score from qt join posted using (term) join stats using (term) join dl using (doc_id, pos), nn, av group by all)
+select query_id, doc_id, pos, rank::int rank, score from (select *, row_number() over (partition by query_id order by score desc, doc_id, pos) rank from bm) where rank<=10""")
+def bm25_retrieval(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best chunks by BM25; blocks of chunks that can't hold one of them are not scored."""
+    asked = search.query_terms(table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    found, _ = index.block_max(asked, kept_index(spark, sf_dir), k=10)
+    return found.select("query_id", "doc_id", "pos", "rank", "score")
+
+
 @query("term_statistics", "with recursive queries as (select 0 query_id, '' as text)," + POSTED + " select term, df, round(ln(1+(n-df+0.5)/(df+0.5))/ln(1+(n-0.5)/1.5), 4) idf from stats, nn")
 def term_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = chunks(spark, sf_dir)
-    stats = search.term_stats(search.postings(c, ["doc_id", "pos"]))
-    return stats.crossJoin(F.broadcast(c.agg(F.count("*").alias("n")))).select("term", "df", F.round(search.idf_share(F.col("df"), F.col("n")), 4).alias("idf"))
+    kept = kept_index(spark, sf_dir)
+    return kept.terms().select("term", "df", F.round(search.idf_share(F.col("df"), F.lit(kept.n)), 4).alias("idf"))
 
 
 @query("inverted_index", "with recursive queries as (select 0 query_id, '' as text)," + POSTED + " select term, doc_id, pos, tf from posted where tf>=3")
 def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return search.postings(chunks(spark, sf_dir), ["doc_id", "pos"]).where("tf >= 3").select("term", "doc_id", "pos", "tf")
+    return kept_index(spark, sf_dir).every_posting().where("tf >= 3").select("term", "doc_id", "pos", "tf")
 
 
 @query("token_similarity", BENCH + POSTED + """,
@@ -99,7 +113,7 @@ t as (select *, row_number() over (partition by query_id order by round(score,4)
 select query_id, doc_id, count(*) hits from t where rank<=50 group by all""")
 def hits_per_document(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, posted, terms, _ = _parts(spark, sf_dir)
-    scored = search.match(terms, posted, ["doc_id", "pos"]).withColumn("score", F.round("score", 4)).drop("hits")
+    scored = search.match(terms, posted, ["doc_id", "pos"], best=50).withColumn("score", F.round("score", 4)).drop("hits")
     return search.top_k(scored, ["doc_id", "pos"], 50).groupBy("query_id", "doc_id").agg(F.count("*").alias("hits"))
 
 
@@ -114,10 +128,10 @@ select s.query_id, round(sum(rel/log2(rank+1))/any_value(ideal),4) ndcg, round(s
 def retrieval_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, posted, terms, queries = _parts(spark, sf_dir)
     key = F.concat_ws(":", "doc_id", "pos")
-    run = search.top_k(search.match(terms, posted, ["doc_id", "pos"]).withColumn("score", F.round("score", 4)), ["doc_id", "pos"], 10).select("query_id", key.alias("key"), "rank")
+    run = search.top_k(search.match(terms, posted, ["doc_id", "pos"], best=10).withColumn("score", F.round("score", 4)), ["doc_id", "pos"], 10).select("query_id", key.alias("key"), "rank")
     # A chunk with the query's text in it holds all its words, but for the first and the last, which may be parts of words there.
     some = search.match(terms, posted, ["doc_id", "pos"]).join(terms.groupBy("query_id").agg(F.count("*").alias("n")), "query_id").where("hits >= n - 2").select("query_id", "doc_id", "pos")
-    rels = c.join(some, ["doc_id", "pos"]).join(queries, "query_id").where(F.col("content").contains(F.col("text"))).select("query_id", key.alias("key"), F.lit(1).alias("rel"))
+    rels = with_chunks(some, c, "content").join(search.sent(queries), "query_id").where(F.col("content").contains(F.col("text"))).select("query_id", key.alias("key"), F.lit(1).alias("rel"))
     out = search.evaluate(run.join(rels.select("query_id").distinct(), "query_id", "left_semi"), rels)
     return out.select("query_id", *(F.round(m, 4).alias(m) for m in ("ndcg", "map", "mrr")))
 
@@ -181,8 +195,8 @@ select query_id, tag, lift from (select query_id, tag, lift, row_number() over (
 def auto_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags that are more frequent among the hits of a text than in the whole tag set."""
     c, posted, terms, _ = _parts(spark, sf_dir)
-    scored = search.match(terms, posted, ["doc_id", "pos"]).withColumn("score", F.round("score", 4)).drop("hits")
-    hit = search.top_k(scored, ["doc_id", "pos"], 100).join(c.select("doc_id", "pos", F.col("kb_id").alias("tag")), ["doc_id", "pos"])
+    scored = search.match(terms, posted, ["doc_id", "pos"], best=100).withColumn("score", F.round("score", 4)).drop("hits")
+    hit = with_chunks(search.top_k(scored, ["doc_id", "pos"], 100), c, "kb_id").withColumnRenamed("kb_id", "tag")
     tags = hit.groupBy("query_id", "tag").agg(F.count("*").alias("c"))
     tags = tags.withColumn("cnt", F.sum("c").over(Window.partitionBy("query_id")))
     prior = c.groupBy(F.col("kb_id").alias("tag")).agg(F.count("*").alias("n")).crossJoin(F.broadcast(c.agg(F.count("*").alias("total")))).select("tag", ((F.col("n") + 1) / (F.col("total") + 1000)).alias("prior"))
@@ -198,8 +212,8 @@ select query_id, doc_id, pos, rank::int rank, used::bigint used from b where use
 def context_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits in rank order while their running size stays within 0.97 of 500 words."""
     c, posted, terms, _ = _parts(spark, sf_dir)
-    hits = search.top_k(search.match(terms, posted, ["doc_id", "pos"]).withColumn("score", F.round("score", 4)).drop("hits"), ["doc_id", "pos"], 10)
-    sized = hits.join(c.select("doc_id", "pos", F.size("tokens").alias("size")), ["doc_id", "pos"])
+    hits = search.top_k(search.match(terms, posted, ["doc_id", "pos"], best=10).withColumn("score", F.round("score", 4)).drop("hits"), ["doc_id", "pos"], 10)
+    sized = with_chunks(hits, c, "content").withColumn("size", F.size(tx.tokenize(F.col("content"))))
     used = F.sum("size").over(Window.partitionBy("query_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, 0))
     return sized.withColumn("used", used).where("used <= 0.97 * 500").select("query_id", "doc_id", "pos", "rank", "used")
 
@@ -215,4 +229,4 @@ def question_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("availability_filter", "with recursive " + CHUNKS.lstrip() + " select doc_id, pos, available from chunks where coalesce(available,1)>=1")
 def availability_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null counts as available."""
-    return chunks(spark, sf_dir).where(F.coalesce("available", F.lit(1)) >= 1).select("doc_id", "pos", "available")
+    return kept_index(spark, sf_dir).store.where(F.coalesce("available", F.lit(1)) >= 1).select("doc_id", "pos", "available")

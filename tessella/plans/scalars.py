@@ -188,7 +188,7 @@ def id_remapping(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hit_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits with the columns of their documents, as context blocks."""
     _, posted, terms, _ = _parts(spark, sf_dir)
-    hits = search.top_k(search.match(terms, posted, ["doc_id", "pos"]).withColumn("score", F.round("score", 4)), ["doc_id", "pos"], 5)
+    hits = search.top_k(search.match(terms, posted, ["doc_id", "pos"], best=5).withColumn("score", F.round("score", 4)), ["doc_id", "pos"], 5)
     d = table(spark, sf_dir, "documents").select("doc_id", "source", "lang")
     return hits.join(d, "doc_id").select("query_id", "rank", F.concat(F.lit("ID:"), F.col("rank") - 1, F.lit(" "), "source", F.lit(" "), "lang").alias("block"))
 
