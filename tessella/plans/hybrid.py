@@ -14,9 +14,9 @@ from .graph import E, _edges
 from .registry import query
 from .retrieval import BENCH, POSTED, TOK, _parts, with_chunks
 
-#: A chunk has the vector of its document, a query that of its own number; documents without a vector are no candidates.
+#: A chunk has the vector of its document, a query that of its own number; where one is missing the cosine is zero.
 VEC = """, v as (select vec_id, embedding::double[64] v from embeddings),
-cand as (select s.query_id, s.doc_id, s.pos, round(s.score,4) score, round(array_cosine_similarity(q.v, c.v),4) cosine from scored s join v q on q.vec_id=s.query_id join v c on c.vec_id=s.doc_id)"""
+cand as (select s.query_id, s.doc_id, s.pos, round(s.score,4) score, coalesce(round(array_cosine_similarity(q.v, c.v),4),0) cosine from scored s left join v q on q.vec_id=s.query_id left join v c on c.vec_id=s.doc_id)"""
 
 
 def _candidates(spark: SparkSession, sf_dir: str):
@@ -24,9 +24,19 @@ def _candidates(spark: SparkSession, sf_dir: str):
     _, posted, terms, queries = _parts(spark, sf_dir)
     e = table(spark, sf_dir, "embeddings").select("vec_id", search.unit(F.col("embedding")).alias("v"))
     hits = search.match(terms, posted, ["doc_id", "pos"]).drop("hits").withColumn("score", F.round("score", 4))
-    asked = e.join(queries.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
-    both = hits.join(asked, "query_id").withColumn("vec_id", F.col("doc_id")).join(e, "vec_id")
-    return both.select("query_id", "doc_id", "pos", "score", F.round(search.dot(F.col("q"), F.col("v")), 4).alias("cosine")), terms
+    return with_cosine(hits, e, queries), terms
+
+
+def with_cosine(hits: DataFrame, vectors: DataFrame, queries: DataFrame) -> DataFrame:
+    """Hits with the cosine of vectors(vec_id, v): a query's by its own number, a chunk's by its document; zero where one is missing.
+
+    A query and a document meet once however many chunks they share, and only their numbers and cosine are
+    kept, so vectors don't travel with the chunks.
+    """
+    asked = vectors.join(queries.select(F.col("query_id").alias("vec_id")), "vec_id", "left_semi").select(F.col("vec_id").alias("query_id"), F.col("v").alias("q"))
+    pairs = hits.select("query_id", "doc_id").distinct().join(search.sent(asked), "query_id").join(vectors.withColumnRenamed("vec_id", "doc_id"), "doc_id")
+    cosine = pairs.select("query_id", "doc_id", F.round(search.dot(F.col("q"), F.col("v")), 4).alias("cosine"))
+    return hits.join(cosine, ["query_id", "doc_id"], "left").withColumn("cosine", F.coalesce("cosine", F.lit(0.0)))
 
 
 @query("weighted_fusion", BENCH + POSTED + VEC + """

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.store import ChunkStore
+from ..scratch import scratch_path
 from .base import chunks, table
 from .registry import query
 from .retrieval import CHUNKS
@@ -27,6 +29,23 @@ def chunk_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return upsert(store, new, "doc_id", "v")
 
 
+@query("store_changes", """with a as (select doc_id, source kb, 1 v from documents), b as (select doc_id, 'moved' kb, 2 v from documents where doc_id%50=0 union all select doc_id+1000000, 'new', 2 from documents where doc_id%100=0),
+m as (select doc_id, arg_max(kb, v) kb from (select * from a union all select * from b) group by 1)
+select doc_id, case when kb='moved' and doc_id%150=0 then 'checked' else kb end kb from m where not (kb='new' and doc_id%200=0)""")
+def store_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store on files after a load, an upsert that is sent twice, an update and a delete."""
+    d = table(spark, sf_dir, "documents")
+    store = ChunkStore(spark, scratch_path(spark, "chunks"), ["doc_id"])
+    store.upsert(d.select("doc_id", F.col("source").alias("kb")), 1)
+    moved = d.where("doc_id % 50 = 0").select("doc_id", F.lit("moved").alias("kb"))
+    new = moved.unionByName(d.where("doc_id % 100 = 0").select((F.col("doc_id") + 1000000).alias("doc_id"), F.lit("new").alias("kb")))
+    for _ in range(2):
+        store.upsert(new, 2)
+    store.change((F.col("kb") == "moved") & (F.col("doc_id") % 150 == 0), 3, {"kb": F.lit("checked")})
+    store.change((F.col("kb") == "new") & (F.col("doc_id") % 200 == 0), 4)
+    return store.read().select("doc_id", "kb")
+
+
 def where(df: DataFrame, condition: dict) -> Column:
     """{column: value, list of values, {"exists": bool}}; what is empty is passed over, an array column fits if any element does."""
     tests = [F.lit(True)]

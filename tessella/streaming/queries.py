@@ -5,8 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import pack
+from ..operators.store import ChunkStore
 from ..plans.registry import query
+from ..plans.retrieval import CHUNKS
 from ..scratch import scratch_path
+from . import state
+from .ingest import Queue
 
 
 def source(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,3 +80,37 @@ def stream_liveness(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = drained(e.select("user_id", F.col("w.start").alias("first"), "beats"), "complete")
     last = rows.agg(F.max("_epoch").alias("_epoch"))
     return rows.join(F.broadcast(last), "_epoch").select("user_id", "first", "beats")
+
+
+@query("stream_cache", """with recursive req as materialized (select event_id, ts, user_id||':'||event_type k, case when event_type='view' then interval 600 seconds else interval 86400 seconds end ttl from events),
+nxt as materialized (select a.k, a.ts, b.ts n from (select k, ts, ts+ttl e from req) a asof left join req b on a.k=b.k and a.e <= b.ts),
+miss as (select k, min(ts) s from req group by k union select nxt.k, nxt.n from miss join nxt on nxt.k=miss.k and nxt.ts=miss.s where nxt.n is not null)
+select event_id, s <> req.ts hit, s stored from req asof join miss on miss.k=req.k and req.ts >= miss.s""")
+def stream_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results kept for 24 hours, those of one kind (tags) for 10 minutes: which requests find one, and when it was stored."""
+    ttl = F.when(F.col("event_type") == "view", 600).otherwise(86_400)
+    requests = source(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "ts", ttl.alias("ttl"))
+    return drained(state.cached(requests, ["user_id", "event_type"], "event_id")).select("event_id", "hit", "stored")
+
+
+@query("worker_departures", """with b as (select user_id%10 worker, ts from events), x as (select *, case when ts-lag(ts) over (partition by worker order by ts) <= interval 120 seconds then 0 else 1 end f from b),
+y as (select *, sum(f) over (partition by worker order by ts rows unbounded preceding) s from x), z as (select *, max(ts) over (partition by worker, s) last from y),
+g as (select worker, s, min(ts) joined, max(last) + interval 120 seconds as left_at, count(case when ts > last - interval 1800 seconds then 1 end) beats, max(s) over (partition by worker) top from z group by worker, s)
+select worker, joined, left_at as "left", beats from g where s < top or left_at < (select max(ts) - interval 10 minutes from events)""")
+def worker_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Workers (users by their last digit) that fell silent for 120 seconds, with their beats of the half hour before."""
+    beats = source(spark, sf_dir, "events").select((F.col("user_id") % 10).alias("worker"), "ts")
+    return drained(state.departures(beats, "worker")).select("worker", "joined", "left", "beats")
+
+
+@query("stream_queue", "with recursive " + CHUNKS.lstrip() + """, t as (select doc_id, (row_number() over (order by case when doc_id%4=0 then 1 else 0 end desc, doc_id) - 1) // greatest(1, (select count(*) from documents)//4) done_in from documents)
+select doc_id, done_in::int done_in, count(pos) n from t left join chunks using (doc_id) group by 1, 2 having count(pos) > 0""")
+def stream_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as tasks of two priorities, a quarter of them in a batch: in which batch each was chunked, and its chunks."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    tasks = source(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.when(F.col("doc_id") % 4 == 0, 1).otherwise(0).alias("priority"))
+    path = scratch_path(spark, "queue")
+    store = ChunkStore(spark, f"{path}/chunks", ["doc_id", "pos"])
+    work = lambda taken: pack.greedy(docs.join(taken.select(F.col("id").alias("doc_id")), "doc_id", "left_semi"), limit=128)
+    Queue(spark, path, store, work, capacity=max(1, docs.count() // 4)).run(tasks)
+    return store.read().groupBy("doc_id", "done_in").agg(F.count("*").alias("n"))
