@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -110,11 +109,12 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, block: int = 4096, part: int = 20_000) -> DataFrame:
+def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, block: int = 256, part: int = 8192) -> DataFrame:
     """(query_id, vec_id, score, rank): exact cosine search of queries(query_id, q) among vectors(vec_id, v).
 
     Queries are dealt to blocks and vectors to parts; each pair of a block and a part is one task's matrix
-    product, of which the k best of each query go on. A vector is never its own hit.
+    product (16 MB), of which the k best of each query go on, with those that are as good as the last of them. A
+    vector is never its own hit.
     """
     many = lambda df, n: max(1, -(-df.count() // n))
     blocks, parts = many(queries, block), many(vectors, part)
@@ -123,20 +123,23 @@ def knn(vectors: DataFrame, queries: DataFrame, k: int, least: float = -1.0, blo
     q = queries.select(at("query_id", blocks).alias("block"), copies(parts).alias("part"), F.lit(True).alias("asks"), F.col("query_id").alias("id"), F.col("q").alias("v"))
     v = vectors.select(copies(blocks).alias("block"), at("vec_id", parts).alias("part"), F.lit(False).alias("asks"), F.col("vec_id").alias("id"), "v")
 
-    def best(pdf: pd.DataFrame) -> pd.DataFrame:
-        unit = lambda rows: (m := np.array(rows.tolist(), float)) / np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
-        a, b = pdf[pdf.asks], pdf[~pdf.asks]
-        if not len(a) or not len(b):
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        asked, ids = a.id.to_numpy(), b.id.to_numpy()
-        score = np.round(unit(a.v) @ unit(b.v).T, 6)
-        score[asked[:, None] == ids] = -2
-        n = min(k, len(ids))
-        order = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :n]
-        out = pd.DataFrame({"query_id": np.repeat(asked, n), "vec_id": ids[order].ravel(), "score": np.take_along_axis(score, order, 1).ravel()})
-        return out[out.score >= max(least, -1.5)]
-
-    found = q.unionByName(v).groupBy("block", "part").applyInPandas(best, "query_id long, vec_id long, score double")
+    def best(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        asks, ids, rows = t.column("asks").to_numpy(), t.column("id").to_numpy(), t.column("v").combine_chunks()
+        a, b = np.flatnonzero(asks), np.flatnonzero(~asks)
+        out = {"query_id": np.zeros(0, np.int64), "vec_id": np.zeros(0, np.int64), "score": np.zeros(0)}
+        if len(a) and len(b):
+            m = rows.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(asks), -1)
+            m /= np.maximum(np.sqrt((m * m).sum(1, keepdims=True)), 1e-300)
+            score = np.round(m[a] @ m[b].T, 6)
+            score[ids[a][:, None] == ids[b]] = -2
+            n = min(k, len(b))
+            last = np.partition(score, len(b) - n, axis=1)[:, len(b) - n]
+            r, c = np.nonzero((score >= last[:, None]) & (score >= max(least, -1.5)))
+            out = {"query_id": ids[a][r], "vec_id": ids[b][c], "score": score[r, c]}
+        return pa.table(out)
+
+    found = q.unionByName(v).groupBy("block", "part").applyInArrow(best, "query_id long, vec_id long, score double")
     return top_k(found, ["vec_id"], k)
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from ..operators import index, search
+from ..operators import ann, index, search
 from ..scratch import materialise
 from .base import chunks, kept_index, table
 from .registry import query
@@ -152,6 +152,17 @@ def knn_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.knn(v, q, 10).select("query_id", "vec_id", "score")
 
 
+@query("knn_lists")
+def knn_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest by inverted lists and codes; of vectors with an even label where the query's number is odd by fifties,
+    as a filter is applied before the candidates are drawn."""
+    e, q, _ = _vectors(spark, sf_dir)
+    lists = ann.Lists(e.select("vec_id", "label", F.col("embedding").alias("v")))
+    even = F.col("query_id") % 100 == 0
+    every = lists.search(q.where(even), 10)
+    return every.unionByName(lists.search(q.where(~even), 10, where=F.col("label") % 2 == 0)).select("query_id", "vec_id", "score")
+
+
 @query("knn_eval", "with " + COS + """, t as (select *, row_number() over (partition by query_id order by score desc, vec_id) r from cs)
 select query_id, round(avg(case when label=ql then 1.0 else 0.0 end),4) precision_at_10 from t where r<=10 group by 1""")
 def knn_eval(spark: SparkSession, sf_dir: str) -> DataFrame:
