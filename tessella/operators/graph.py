@@ -164,31 +164,8 @@ def chunk_rows(nodes: DataFrame, edges: DataFrame, source: str) -> DataFrame:
     return entity.unionByName(relation).withColumn("n_tokens", F.size(tx.tokenize(F.col("name"))))
 
 
-def walks(edges: DataFrame, walks: int, steps: int) -> DataFrame:
-    """(origin, walk, step, node): from each node, each step to the neighbour with the smallest hash of walk, step and neighbour."""
-    u = materialise(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    at = u.select(F.col("a").alias("origin")).distinct().select("origin", F.explode(F.sequence(F.lit(1), F.lit(walks))).alias("walk"), F.col("origin").alias("node"))
-    found = None
-    for s in range(steps):
-        mark = F.md5(F.concat_ws(":", "origin", "walk", F.lit(s), "b"))
-        at = materialise(at.join(u, at.node == u.a).groupBy("origin", "walk").agg(F.min(F.struct(mark.alias("m"), "b")).alias("t")).select("origin", "walk", F.col("t.b").alias("node")))
-        level = at.select("origin", "walk", F.lit(s + 1).alias("step"), "node")
-        found = level if found is None else found.unionByName(level)
-    return found
-
-
 def merged_trees(paths: DataFrame, path: str, root: str = "root") -> DataFrame:
     """(path, depth, leaves) of trees given as arrays of labels from below the root to a leaf."""
     whole = F.concat(F.array(F.lit(root)), F.col(path))
     up = F.transform(F.sequence(F.lit(0), F.size(whole) - 1), lambda k: F.struct(F.array_join(F.slice(whole, 1, k + 1), "/").alias("path"), k.alias("depth")))
     return paths.select(F.explode(up).alias("x")).groupBy("x.path", "x.depth").agg(F.count("*").alias("leaves"))
-
-
-def walk_vectors(walked: DataFrame, size: int = 64, window: int = 2, rounds: int = 2, seed: int = 1) -> DataFrame:
-    """(node, vector) learned from walks(origin, walk, step, node): nodes that stand near each other get like vectors."""
-    from pyspark.ml.feature import Word2Vec
-
-    words = walked.groupBy("origin", "walk").agg(F.array_sort(F.collect_list(F.struct("step", F.col("node").cast("string").alias("node")))).alias("w"))
-    sentences = words.select(F.concat(F.array(F.col("origin").cast("string")), F.transform("w", lambda x: x["node"])).alias("s"))
-    found = Word2Vec(vectorSize=size, windowSize=window, minCount=0, maxIter=rounds, seed=seed, inputCol="s", outputCol="v").fit(sentences).getVectors()
-    return found.select(F.col("word").cast("long").alias("node"), "vector")

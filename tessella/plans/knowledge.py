@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..operators import walks
 from ..scratch import materialise
 from .base import table
 from .graph import BASE, E, _communities_sql, _edges, _records
@@ -78,13 +79,13 @@ def graph_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return g.chunk_rows(nodes, edges, "doc")
 
 
-@query("random_walks", "with " + E + """, u as materialized (select distinct a, b from (select a, b from e union all select b, a from e)), n as (select distinct a node from u),
+@query("random_walks", "with " + E + """, u as materialized (select distinct a, b from (select a, b from e union all select b, a from e)), k as materialized (select a, b, row_number() over (partition by a order by b) - 1 i, count(*) over (partition by a) d from u), n as (select distinct a node from u),
 w0 as (select node origin, k::int walk, node from n, (select unnest([1,2]) k)),
-""" + ",\n".join(f"w{s + 1} as materialized (select origin, walk, b node from (select origin, walk, u.b, row_number() over (partition by origin, walk order by md5(origin||':'||walk||':{s}:'||u.b), u.b) r from w{s} join u on u.a=w{s}.node) where r=1)" for s in range(3)) + """
+""" + ",\n".join(f"w{s + 1} as materialized (select origin, walk, k.b node from w{s} join k on k.a=w{s}.node and k.i=('0x'||substring(md5(origin||':'||walk||':{s}'),1,8))::bigint % k.d)" for s in range(3)) + """
 select origin, walk, 1 step, node from w1 union all select origin, walk, 2, node from w2 union all select origin, walk, 3, node from w3""")
 def random_walks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two walks of three steps from each node; the choice of the next node is by a hash, so a repeated task takes the same way."""
-    return g.walks(_edges(spark, sf_dir), walks=2, steps=3)
+    return walks.walks(_edges(spark, sf_dir), walks=2, steps=3)
 
 
 @query("topic_tree", """with p as (select 'root' l0, c_nationkey::varchar l1, c_mktsegment l2, (c_custkey%7)::varchar l3 from customer),

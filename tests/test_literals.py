@@ -2,12 +2,13 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tessella.functions import hooks
 from tessella.functions import text as tx
-from tessella.operators import graph, pack, search
+from tessella.operators import graph, pack, search, walks
 from tessella.plans import composed
 from tessella.plans.catalog import meta_condition, where_condition
 from tessella.sources import tables
@@ -142,9 +143,30 @@ def test_highlight_of_a_retrieval(spark):
 
 
 def test_walk_vectors(spark):
-    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0)], "a long, b long, w double")
-    w = graph.walks(e, 2, 3)
-    assert w.count() == 18 and {r["node"] for r in graph.walk_vectors(w, size=4).collect()} == {1, 2, 3}
+    e = spark.createDataFrame([(1, 2, 1.0), (2, 3, 1.0), (3, 1, 1.0), (3, 3, 1.0)], "a long, b long, w double")
+    w = walks.walks(e, 2, 3)
+    assert w.count() == 18 and {r["node"] for r in walks.walk_vectors(w, size=4).collect()} == {1, 2, 3}
+
+
+def test_walks_take_edges_and_vectors_tell_groups_apart(spark):
+    """Four groups with a few edges between them, and a hub with an edge to every node; in one block and in three."""
+    rng = np.random.default_rng(2)
+    edges = {(i, j) for i in range(80) for j in range(i) if rng.random() < (0.5 if i // 20 == j // 20 else 0.004)} | {(999, i) for i in range(80)}
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(edges)], "a long, b long, w double")
+    near = walks.adjacency(df, rows_per_part=100).orderBy("at").collect()
+    assert [r["at"] for r in near] == list(range(2 * len(edges))) and {(r["node"], r["next"]) for r in near} == edges | {(b, a) for a, b in edges}
+    walked = walks.walks(df, 10, 12)
+    steps = {(r["origin"], r["walk"], r["step"]): r["node"] for r in walked.collect()}
+    both = edges | {(b, a) for a, b in edges}
+    assert len(steps) == 81 * 120 and all((steps.get((o, w, s - 1), o), n) in both for (o, w, s), n in steps.items())
+    for blocks in (1, 3):
+        got = {r["node"]: np.array(r["vector"]) for r in walks.walk_vectors(walked, size=16, blocks=blocks).collect()}
+        assert len(got) == 81
+        x = np.stack([got[k] / np.linalg.norm(got[k]) for k in range(80)])
+        same = np.arange(80)[:, None] // 20 == np.arange(80) // 20
+        sims = x @ x.T
+        assert sims[same & ~np.eye(80, dtype=bool)].mean() > sims[~same].mean() + 0.2
+
 
 
 def test_pagerank_stops_at_the_tolerance(spark):
