@@ -72,7 +72,7 @@ def squeeze_spaces(col: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(col, r"([^\x00-\x7F]) +", "$1"), r" +([^\x00-\x7F])", "$1")
 
 
-#: Signs with a meaning in a full-text query.
+#: Signs with a meaning in a full-text query (fixed values).
 QUERY_SIGNS = ':{}/[]-*"()|+~^'
 
 
@@ -85,7 +85,11 @@ def strip_marks(col: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(col, r"[^\p{L}\p{N}_\s]", " "), r"\s+", " "))
 
 
-def strip_tags(col: Column, names: tuple[str, ...] = ("table", "caption", "tr", "th", "td")) -> Column:
+#: Elements of a table whose tags are taken out (fixed values).
+TABLE_ELEMENTS = ("table", "caption", "tr", "th", "td")
+
+
+def strip_tags(col: Column, names: tuple[str, ...] = TABLE_ELEMENTS) -> Column:
     """Start and end tags of the named elements become a blank, their attributes with them."""
     return F.regexp_replace(col, rf"</?({'|'.join(names)})(\s[^<>]*)?>", " ")
 

@@ -163,7 +163,7 @@ def evaluate(run: DataFrame, qrels: DataFrame, cut: int = 10) -> DataFrame:
     return got.join(ideal, "query_id", "left").select("query_id", (F.col("dcg") / F.col("ideal")).alias("ndcg"), (F.col("prec") / F.when(F.col("hits") > 0, F.col("hits"))).alias("map"), (1 / F.col("first")).alias("mrr"))
 
 
-#: Thresholds that an answer's sentences are held against, from strict to loose.
+#: Thresholds that an answer's sentences are held against, from strict to loose (fixed values).
 LADDER = tuple(0.63 * 0.8**n for n in range(4))
 
 

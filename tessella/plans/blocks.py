@@ -72,7 +72,7 @@ def without_contents(sections: DataFrame, key: str = "doc_id", reach: int = 128)
     """Lines without a table of contents: behind a line that says "contents", all up to where the beginning of the first
     entry stands again within `reach` lines; without such a line nothing goes."""
     w = Window.partitionBy(key).orderBy("pos")
-    head = F.lower(F.trim("text")).rlike(r"^(contents|table of contents|目录|目次|acknowledge)$")
+    head = F.lower(F.trim("text")).isin(*CONTENTS_HEADINGS)
     d = sections.withColumn("at", F.min(F.when(head, F.col("pos"))).over(Window.partitionBy(key))).withColumn("following", F.lead(F.trim("text")).over(w))
     first = F.substring(F.max(F.when(F.col("pos") == F.col("at"), F.col("following"))).over(Window.partitionBy(key)), 1, 3)
     d = d.withColumn("first", first)
@@ -82,6 +82,10 @@ def without_contents(sections: DataFrame, key: str = "doc_id", reach: int = 128)
     return d.where(~gone).select(key, "pos", "text")
 
 
+#: What stands over a list of contents, in some languages of reports and books.
+CONTENTS_HEADINGS = ("contents", "table of contents", "list of contents", "inhalt", "inhaltsverzeichnis", "sommaire", "table des matières", "índice", "目录", "目次")
+
+
 @query("contents_removal", "select doc_id, (generate_subscripts(string_split(coalesce(text,''), chr(10)),1)-1)::int pos, unnest(string_split(coalesce(text,''), chr(10))) as text from documents")
 def contents_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of which every third has its first line as a table of contents before it: the table goes."""

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import graph as g
+from ..operators.index import spread
 from .base import table
 from .registry import query
 
 
 def _records(spark, sf_dir) -> DataFrame:
     """(doc, text): extraction records of each order line, as a model would write them."""
-    li = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
+    li = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity")).join(table(spark, sf_dir, "part"), F.col("l_partkey") == F.col("p_partkey"))
     li = li.join(table(spark, sf_dir, "supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return li.select((F.col("l_orderkey") % 50).alias("doc"), F.concat(
         F.lit('("entity"<|>'), "s_name", F.lit("<|>SUPPLIER<|>nation "), "s_nationkey", F.lit(')##("entity"<|>'), "p_name", F.lit("<|>PART<|>"), "p_type",
@@ -40,7 +41,8 @@ def node_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("edge_merge", "with " + BASE + " select a, b, sum(w)::double weight, count(distinct doc) docs from rel group by 1,2")
 def edge_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, edges = g.parse_records(_records(spark, sf_dir), "doc", "text")
-    return g.merge_edges(edges, "doc").select("a", "b", "weight", F.size("sources").cast("long").alias("docs"))
+    one = edges.groupBy("a", "b", "doc").agg(F.sum("weight").alias("weight"))  # folded before sources are counted, so no list of them is made
+    return one.groupBy("a", "b").agg(F.sum("weight").alias("weight"), F.count("*").alias("docs"))
 
 
 def _edges(spark, sf_dir) -> DataFrame:

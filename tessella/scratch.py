@@ -20,8 +20,19 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_OWNED: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark)}/tessella-{uuid.uuid4().hex[:12]}/{name}"
+    """A new place for a table in this application's folder, which goes when the application ends."""
+    own = f"{scratch_root(spark)}/tessella-{spark.sparkContext.applicationId}"
+    if own not in _OWNED:
+        where = spark._jvm.org.apache.hadoop.fs.Path(own)
+        fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        fs.mkdirs(where)
+        fs.deleteOnExit(where)  # asks for a folder that is there
+        _OWNED.add(own)
+    return f"{own}/{uuid.uuid4().hex[:12]}/{name}"
 
 
 def materialise(df: DataFrame, name: str = "step") -> DataFrame:
