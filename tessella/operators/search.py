@@ -95,6 +95,21 @@ def token_similarity(terms: DataFrame, posted: DataFrame, keys: list[str]) -> Da
     return match(terms, posted, keys).join(total, "query_id").withColumn("similarity", (F.col("score") + 1e-9) / (F.col("total") + 1e-9))
 
 
+def rank_feature(hits: DataFrame, asked: DataFrame, tags: DataFrame, rank: Column) -> DataFrame:
+    """hits with `feature`: ten times the cosine of the query's tags(query_id, tag, value) and the chunk's tags(doc_id, pos,
+    tag, value), plus the chunk's rank; without tags on either side the rank alone.
+
+    Only hits are looked at: their chunks' tags are joined to them, so a frequent tag brings no chunk to a query
+    that has no hit there.
+    """
+    long = lambda df, keys, name: df.withColumn(name, F.sqrt(F.sum(F.col("value") * F.col("value")).over(Window.partitionBy(*keys))))
+    mine = long(asked, ["query_id"], "qn").withColumnRenamed("value", "qv")
+    theirs = long(hits.select("doc_id", "pos").distinct().join(tags, ["doc_id", "pos"]), ["doc_id", "pos"], "tn")
+    both = hits.select("query_id", "doc_id", "pos").join(theirs, ["doc_id", "pos"]).join(sent(mine), ["query_id", "tag"])
+    cosine = both.groupBy("query_id", "doc_id", "pos").agg(F.sum(F.col("value") * F.col("qv") / F.col("tn") / F.col("qn")).alias("cos"))
+    return hits.join(cosine, ["query_id", "doc_id", "pos"], "left").withColumn("feature", 10 * F.coalesce("cos", F.lit(0.0)) + rank).drop("cos")
+
+
 def unit(vec: Column) -> Column:
     size = F.sqrt(F.aggregate(vec, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
     return F.transform(vec, lambda x: x.cast("double") / F.when(size > 0, size).otherwise(F.lit(1.0)))

@@ -38,9 +38,10 @@ def _questions(content):
 
 
 def field_tokens() -> dict:
-    """Fields of the kept index: the words of a chunk's title, keywords (its data set), questions and content, plain and fine."""
+    """Fields of the kept index: the words of a chunk's title, keywords (its data set), questions and content, plain and fine; `rerank` has the words of all but the fine ones."""
     return {
         "title": tx.tokenize(F.col("title")), "title_fine": tx.fine_tokens(tx.tokenize(F.col("title"))), "keyword": F.array_compact(F.array("kb_id")), "keyword_words": tx.tokenize(F.coalesce("kb_id", F.lit(""))),
+        "rerank": F.array_distinct(F.concat(tx.tokenize(F.col("content")), tx.tokenize(F.col("title")), tx.tokenize(F.coalesce("kb_id", F.lit(""))), tx.tokenize(_questions(F.col("content"))))),
         "question": tx.tokenize(_questions(F.col("content"))), "content": tx.tokenize(F.col("content")), "content_fine": tx.fine_tokens(tx.tokenize(F.col("content"))),
     }
 
