@@ -361,30 +361,40 @@ def align(a: np.ndarray, b: np.ndarray, wide: int, similar: float = SIMILAR, gap
     d = q - p
     by = np.lexsort((p, d))
     parts: list[np.ndarray] = []
-    for band in np.split(by, np.flatnonzero(np.diff(d[by]) > drift) + 1):
+    ends = [0, *(np.flatnonzero(np.diff(d[by]) > drift) + 1).tolist(), len(by)]
+    for lo, hi in zip(ends, ends[1:], strict=False):
+        if hi - lo < WIDTH:
+            continue
+        band = by[lo:hi]
         band = band[np.argsort(p[band], kind="stable")]
-        parts += [x for x in np.split(band, np.flatnonzero(np.diff(p[band]) > gap) + 1) if len(x) >= WIDTH]
+        at = [0, *(np.flatnonzero(np.diff(p[band]) > gap) + 1).tolist(), len(band)]
+        parts += [band[x:y] for x, y in zip(at, at[1:], strict=False) if y - x >= WIDTH]
     out: list[tuple[int, int, int, int, float]] = []
     work = [x for x in (_chains(parts, p, q, gap) if len(parts) > 1 else parts) if len(x) >= wide * similar]
     while work:
         run = work.pop()
         if not len(run):
             continue
-        b0, b1, a0, a1 = int(p[run].min()), int(p[run].max()) + 1, int(q[run].min()), int(q[run].max()) + 1
-        if b1 - b0 < wide or a1 - a0 < wide * similar:
+        in_b, in_a = p[run], q[run]
+        b0, b1 = int(in_b.min()), int(in_b.max()) + 1
+        if b1 - b0 < wide:
+            continue
+        a0, a1 = int(in_a.min()), int(in_a.max()) + 1
+        if a1 - a0 < wide * similar:
             continue
-        one, two = np.zeros(kinds, bool), np.zeros(kinds, bool)
-        one[a[a0:a1]], two[b[b0:b1]] = True, True
-        j = np.count_nonzero(one & two) / np.count_nonzero(one | two)
+        seen = np.zeros(kinds, np.int8)
+        seen[a[a0:a1]] = 1
+        seen[b[b0:b1]] |= 2
+        j = np.count_nonzero(seen == 3) / np.count_nonzero(seen)
         if j >= similar:
             out.append((b0, b1, a0, a1, j))
             continue
-        steps = np.maximum(np.diff(p[run]), np.abs(np.diff(q[run])))
+        steps = np.maximum(in_b[1:] - in_b[:-1], np.abs(in_a[1:] - in_a[:-1]))
         if len(steps) and steps.max() > 1:
             k = int(steps.argmax()) + 1
             work += [run[:k], run[k:]]
-        elif len(np.unique(d[run])) > 1:
-            work += [run[d[run] == x] for x in np.unique(d[run])]
+        elif (across := np.unique(d[run])).size > 1:
+            work += [run[d[run] == x] for x in across]
     return out
 
 
