@@ -143,13 +143,18 @@ _KEPT: dict[tuple, Index] = {}
 
 
 def kept(spark: SparkSession, key: tuple, make) -> Index:
-    """The index of this application under a key, built when first asked for."""
+    """The index of this application under a key, built when first asked for, and again if its files have gone."""
     key = (spark.sparkContext.applicationId, *key)
-    if key not in _KEPT:
+    if key not in _KEPT or not _there(spark, _KEPT[key]):
         _KEPT[key] = make()
     return _KEPT[key]
 
 
+def _there(spark: SparkSession, index: Index) -> bool:
+    where = spark._jvm.org.apache.hadoop.fs.Path(index.store.scratch)
+    return where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+
+
 def fingerprint(spark: SparkSession, path: str) -> tuple:
     """Path, bytes and time of change of a table's files: another state of the table is another key."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import search
+from ..scratch import materialise
 from .base import chunks, lines, table
 from .chunking import html_sections
 from .registry import SQL, query
@@ -131,17 +132,20 @@ def chunk_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.array_join(F.transform(rows, lambda x: (-x["k"]).cast("string")), ",").alias("ordered"))
 
 
-@query("rank_features", """with c as (select doc_id, lang, source, 1.0+doc_id%3 wl, doc_id%4 pr from documents), q as (select item_id query_id, 'en' lang, 2.0 ql, 'src'||item_id%20 source, 1.0 qs from benchmark)
-select query_id, doc_id, round(10*((case when c.lang=q.lang then wl*ql else 0 end)+(case when c.source=q.source then qs else 0 end))/sqrt(wl*wl+1)/sqrt(ql*ql+qs*qs)+pr,4) score from c, q where c.lang=q.lang or c.source=q.source""")
+@query("rank_features", BENCH + POSTED + """, hit as (select query_id, doc_id, pos from (select *, row_number() over (partition by query_id order by round(score,4) desc, doc_id, pos) r from scored) where r<=50),
+q as (select item_id query_id, 'en' lang, 2.0 ql, 'src'||item_id%20 source, 1.0 qs from benchmark where item_id%3<>0)
+select hit.query_id, hit.doc_id, pos, round(coalesce(10*((case when d.lang=q.lang then (1.0+d.doc_id%3)*ql else 0 end)+(case when d.source=q.source then qs else 0 end))/sqrt((1.0+d.doc_id%3)*(1.0+d.doc_id%3)+1)/sqrt(ql*ql+qs*qs),0)+d.doc_id%4,4) score
+from hit join documents d using (doc_id) left join q on q.query_id=hit.query_id""")
 def rank_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ten times the cosine of query tags and chunk tags, plus the dataset's rank."""
-    d = table(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 4).alias("rank"), F.create_map("lang", 1.0 + F.col("doc_id") % 3, "source", F.lit(1.0).cast("double")).alias("tags"))
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.create_map(F.lit("en"), F.lit(2.0), F.concat(F.lit("src"), F.col("item_id") % 20), F.lit(1.0)).alias("asked"))
-    size = lambda m: F.sqrt(F.aggregate(F.map_values(m), F.lit(0.0), lambda s, x: s + x * x))
-    chunk = d.select("doc_id", "rank", size("tags").alias("dn"), F.explode("tags").alias("tag", "dw"))
-    asked = q.select("query_id", size("asked").alias("qn"), F.explode("asked").alias("tag", "qw"))
-    both = chunk.join(asked, "tag").groupBy("query_id", "doc_id", "rank", "dn", "qn").agg(F.sum(F.col("dw") * F.col("qw")).alias("s"))
-    return both.select("query_id", "doc_id", F.round(10 * F.col("s") / F.col("dn") / F.col("qn") + F.col("rank"), 4).alias("score"))
+    """Of the best 50 hits of each query ten times the cosine of the query's tags and the chunk's, plus the rank of its document;
+    a third of the queries have no tags, and their hits the rank alone."""
+    c, posted, terms, queries = _parts(spark, sf_dir)
+    hits = search.top_k(search.match(terms, posted, ["doc_id", "pos"], best=50).withColumn("score", F.round("score", 4)), ["doc_id", "pos"], 50).select("query_id", "doc_id", "pos")
+    d = table(spark, sf_dir, "documents").select("doc_id", F.create_map("lang", 1.0 + F.col("doc_id") % 3, "source", F.lit(1.0).cast("double")).alias("tags"))
+    tags = c.select("doc_id", "pos").join(d, "doc_id").select("doc_id", "pos", F.explode("tags").alias("tag", "value"))
+    asked = queries.where("query_id % 3 <> 0").select("query_id", F.explode(F.create_map(F.lit("en"), F.lit(2.0), F.concat(F.lit("src"), F.col("query_id") % 20), F.lit(1.0))).alias("tag", "value"))
+    out = search.rank_feature(materialise(hits, "hits"), asked, tags, F.col("doc_id") % 4)
+    return out.select("query_id", "doc_id", "pos", F.round("feature", 4).alias("score"))
 
 
 @query("term_weights", BENCH + POSTED + " select query_id, term, round(w/sum(w) over (partition by query_id),6) weight from terms")
