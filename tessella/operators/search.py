@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import text as tx
 
@@ -54,7 +55,7 @@ def match(terms: DataFrame, posted: DataFrame, keys: list[str], best: int | None
     first = np.searchsorted(np.array([r["term"] for r in rows], object), np.array([*words], object)) if words else np.zeros(0, int)
     begins = np.append(first, len(rows))
     of, weight = np.array([number[r["query_id"]] for r in rows], np.int64), np.array([r["w"] for r in rows], float)
-    many, ids, known = len(asked), pa.array(asked), pa.array(words, pa.string())
+    many, ids, known = len(asked), pa.array(asked, to_arrow_type(terms.schema["query_id"].dataType)), pa.array(words, pa.string())
     kinds = dict(posted.dtypes)
     schema = f"query_id {dict(terms.dtypes)['query_id']}, " + ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", score double, hits long"
 
