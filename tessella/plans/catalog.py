@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..operators.search import sent
+from ..scratch import materialise
 from .base import table
 from .registry import query
 
@@ -282,18 +284,30 @@ def role_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("folder_rollup", """with recursive t as (select 'r'||r_regionkey id, 'root' parent, 0.0::double size from region union all select 'n'||n_nationkey, 'r'||n_regionkey, 0.0::double from nation union all select 'c'||c_custkey, 'n'||c_nationkey, c_acctbal from customer),
 up as (select id, id root, size from t union all select up.id, t.parent, up.size from up join t on t.id=up.root) select root folder, round(sum(size),2) size, count(*) files from up where root not like 'c%' group by 1""")
 def folder_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Size of everything below each folder: the tree's paths by a recursive query."""
-    for name in ("region", "nation", "customer"):
-        table(spark, sf_dir, name).createOrReplaceTempView(f"folder_{name}")
-    return spark.sql("""
-        with recursive tree as (
-          select concat('r', r_regionkey) id, 'root' parent, cast(0 as double) size from folder_region
-          union all select concat('n', n_nationkey), concat('r', n_regionkey), cast(0 as double) from folder_nation
-          union all select concat('c', c_custkey), concat('n', c_nationkey), c_acctbal from folder_customer),
-        up(id, root, size) as (
-          select id, id, size from tree
-          union all select up.id, tree.parent, up.size from up join tree on tree.id = up.root)
-        select root folder, round(sum(size), 2) size, count(*) files from up where root not like 'c%' group by 1""")
+    """Size of everything below each folder, itself included: contents are folded into their folder, then folder by folder upwards."""
+    none = F.lit(0.0)
+    node = lambda name, ident, parent, size: table(spark, sf_dir, name).select(F.concat(*ident).alias("id"), F.concat(*parent).alias("parent"), size.alias("size"))
+    tree = node("region", (F.lit("r"), "r_regionkey"), (F.lit("root"),), none).unionByName(node("nation", (F.lit("n"), "n_nationkey"), (F.lit("r"), "n_regionkey"), none))
+    tree = tree.unionByName(node("customer", (F.lit("c"), "c_custkey"), (F.lit("n"), "c_nationkey"), F.col("c_acctbal")))
+    return rolled_up(tree).where("not folder like 'c%'").select("folder", F.round("size", 2).alias("size"), "files")
+
+
+def rolled_up(tree: DataFrame, most: int = 1000) -> DataFrame:
+    """(folder, size, files) of tree(id, parent, size): sums over everything below a folder, itself included.
+
+    Each round folds the sums by parent before they go one folder up, so a round has a row for each folder of its
+    height and not one for each file and folder above it.
+    """
+    fold = lambda df: df.groupBy(F.col("parent").alias("folder")).agg(F.sum("size").alias("size"), F.sum("files").alias("files"))
+    levels = [tree.select(F.col("id").alias("folder"), "size", F.lit(1).cast("long").alias("files"))]
+    above = materialise(fold(tree.withColumn("files", F.lit(1))), "folders")
+    parents = tree.select(F.col("id").alias("folder"), "parent")
+    while above.limit(1).count():
+        if len(levels) > most:
+            raise ValueError(f"folders lie more than {most} deep, or within themselves")
+        levels.append(above)
+        above = materialise(fold(sent(above).join(parents, "folder")), "folders")
+    return reduce(DataFrame.unionByName, levels).groupBy("folder").agg(F.sum("size").alias("size"), F.sum("files").alias("files"))
 
 
 @query("latest_task", "select c_custkey, c_name, o_orderkey, o_orderstatus from (select *, row_number() over (partition by o_custkey order by o_orderkey desc) r from orders) o right join customer on o_custkey=c_custkey and r=1")

@@ -30,3 +30,15 @@ def test_data_sets_are_paged_by_nation_not_by_user(spark, tmp_path):
     assert same(found.toPandas(), twin(tmp_path, "dataset_list", ["customer", "supplier"]))
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert not any("c_custkey" in line for line in plan.splitlines() if "Window" in line)
+
+
+def test_folders_have_no_limit_of_rows(spark, tmp_path):
+    tables = ["region", "nation", "customer"]
+    for t in tables:
+        spark.read.parquet(f"{DIR}/{t}.parquet").write.parquet(str(tmp_path / f"{t}.parquet"))
+    limit = "spark.sql.cteRecursionRowLimit"
+    spark.conf.set(limit, 100)  # the 0.001 tables have more rows than that, as tables of 1 GB have more than the default
+    try:
+        assert same(catalogue.queries()["folder_rollup"](spark, str(tmp_path)).toPandas(), twin(tmp_path, "folder_rollup", tables))
+    finally:
+        spark.conf.unset(limit)
