@@ -42,3 +42,8 @@ def test_folders_have_no_limit_of_rows(spark, tmp_path):
         assert same(catalogue.queries()["folder_rollup"](spark, str(tmp_path)).toPandas(), twin(tmp_path, "folder_rollup", tables))
     finally:
         spark.conf.unset(limit)
+
+
+def test_queue_of_many_files_takes_the_first_by_priority(spark, tmp_path):
+    spark.read.parquet(f"{DIR}/documents.parquet").repartition(9).write.parquet(str(tmp_path / "documents.parquet"))
+    assert same(catalogue.queries()["stream_queue"](spark, str(tmp_path)).toPandas(), twin(tmp_path, "stream_queue", ["documents"]))
