@@ -1,6 +1,7 @@
 """Queries at sizes and shapes of tables that the smallest ones don't have, against their SQL and by their plans."""
 
 import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from tessella import catalogue
@@ -47,3 +48,11 @@ def test_folders_have_no_limit_of_rows(spark, tmp_path):
 def test_queue_of_many_files_takes_the_first_by_priority(spark, tmp_path):
     spark.read.parquet(f"{DIR}/documents.parquet").repartition(9).write.parquet(str(tmp_path / "documents.parquet"))
     assert same(catalogue.queries()["stream_queue"](spark, str(tmp_path)).toPandas(), twin(tmp_path, "stream_queue", ["documents"]))
+
+
+@pytest.mark.parametrize("name", ["weighted_fusion", "hybrid_rerank"])
+def test_documents_without_a_vector_have_a_cosine_of_zero(spark, tmp_path, name):
+    for t in ("documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert same(catalogue.queries()[name](spark, str(tmp_path)).toPandas(), twin(tmp_path, name, ["documents", "benchmark", "embeddings"]))
