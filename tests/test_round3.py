@@ -1,5 +1,7 @@
 """Queries at sizes and shapes of tables that the smallest ones don't have, against their SQL and by their plans."""
 
+import math
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -22,6 +24,14 @@ def same(ours, twin):
     return cols == sorted(twin.columns) and rows(ours) == rows(twin)
 
 
+@pytest.mark.parametrize("name", ["weighted_fusion", "hybrid_rerank"])
+def test_documents_without_a_vector_have_a_cosine_of_zero(spark, tmp_path, name):
+    for t in ("documents", "benchmark"):
+        spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
+    spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    assert same(catalogue.queries()[name](spark, str(tmp_path)).toPandas(), twin(tmp_path, name, ["documents", "benchmark", "embeddings"]))
+
+
 def test_data_sets_are_paged_by_nation_not_by_user(spark, tmp_path):
     for t in ("customer", "supplier"):
         df = spark.read.parquet(f"{DIR}/{t}.parquet")
@@ -50,9 +60,13 @@ def test_queue_of_many_files_takes_the_first_by_priority(spark, tmp_path):
     assert same(catalogue.queries()["stream_queue"](spark, str(tmp_path)).toPandas(), twin(tmp_path, "stream_queue", ["documents"]))
 
 
-@pytest.mark.parametrize("name", ["weighted_fusion", "hybrid_rerank"])
-def test_documents_without_a_vector_have_a_cosine_of_zero(spark, tmp_path, name):
-    for t in ("documents", "benchmark"):
-        spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet").coalesce(1).write.parquet(str(tmp_path / f"{t}.parquet"))
-    spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
-    assert same(catalogue.queries()[name](spark, str(tmp_path)).toPandas(), twin(tmp_path, name, ["documents", "benchmark", "embeddings"]))
+def test_a_similarity_on_a_half_is_rounded_upwards(spark, tmp_path):
+    """Both words of a query stand in chunk 1, so its token share is 1, and its rank is 0.01: 0.31 + 0.7 * 0.0365 is a half of the fourth digit."""
+    spark.createDataFrame([(1, "alpha beta"), (2, "alpha gamma"), (3, "delta")], "doc_id long, text string").selectExpr("*", "'en' lang", "'web' source", "10L n_chars").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    cosines = {n: (2 * n + 1) / 10000 for n in range(100, 700)}
+    spark.createDataFrame([(n, "alpha beta") for n in cosines], "item_id long, text string").coalesce(1).write.parquet(str(tmp_path / "benchmark.parquet"))
+    vectors = [(1, [1.0, *[0.0] * 63], 0)] + [(n, [c, math.sqrt(1 - c * c), *[0.0] * 62], 0) for n, c in cosines.items()]
+    spark.createDataFrame(vectors, "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    ours = catalogue.queries()["retrieve"](spark, str(tmp_path)).toPandas()
+    assert same(ours, twin(tmp_path, "retrieve", ["documents", "benchmark", "embeddings"]))
+    assert {r.query_id: r.sim for r in ours[ours.doc_id == 1].itertuples()} == {n: math.floor((31000 + 7 * (2 * n + 1)) / 10 + 0.5) / 10000 for n in cosines}
