@@ -154,57 +154,72 @@ def blocks(bench: DataFrame, text: str = "text", ident: str = "item_id", most: i
     yield block
 
 
-def hits(docs: DataFrame, bench: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = 4_000_000) -> DataFrame:
-    """row struct<all columns>, spans array<struct<start,end>> (words, merged) and items array<string>."""
+def hits(docs: DataFrame, bench: DataFrame, text: str = "text", window: int = WINDOW, block_bytes: int = 4_000_000, body: str = "whole") -> DataFrame:
+    """row struct<all columns but the text>, body, n_words, spans array<struct<start,end>> (words) and items array<string>.
+
+    body: the `whole` text, `cut` (without the hit words where the document is contaminated) or `none`. Texts go to
+    Python once in a pass, and come back from the last one only where they are asked for; they are cut in
+    that pass, as a second one behind it would be a second Python process for each task.
+    """
     spark = docs.sparkSession
-    out = docs.select(F.struct("*").alias("row"), F.col(text).alias("body"))
+    rest, words = [c for c in docs.columns if c != text], F.split(F.coalesce(text, F.lit("")), r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    out = out.select("row", "body", empty.alias("spans"), F.array().cast("array<string>").alias("items"))
-    shared = None
-    for block in blocks(bench, most=block_bytes):
+    out = docs.select(F.struct(*(F.col(f"`{c}`") for c in rest)).alias("row"), F.col(text).alias("body"), F.size(F.array_remove(words, "")).cast("long").alias("n_words"), empty.alias("spans"), F.array().cast("array<string>").alias("items"))
+    shared, every = None, blocks(bench, most=block_bytes)
+    block = next(every)
+    while block is not None:
+        following = next(every, None)
         if shared is not None:  # the next block's pass reads what this one wrote, so a task holds one automaton at a time
             out = materialise(out, "pass")
             shared.destroy()
         shared = spark.sparkContext.broadcast(pickle.dumps(Automaton(block, window)))
-        out = _pass(out, shared)
+        out = _pass(out, shared, "whole" if following is not None else body)
+        block = following
     return out
 
 
-def _pass(rows: DataFrame, shared) -> DataFrame:
+def contaminated(n_hit, n_words):
+    """A word is hit, and hits are 5 % or more (numbers or columns)."""
+    return (n_hit > 0) & (20 * n_hit >= n_words)
+
+
+def _pass(rows: DataFrame, shared, body: str) -> DataFrame:
     schema = rows.schema
 
     def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = pickle.loads(shared.value)
         kind_s, kind_i = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())])), pa.list_(pa.string())
-        for batch, texts, spans, items in batches(frames, "body", "spans", "items"):
-            new_s, new_i = [], []
-            for t, s, i in zip(texts, spans, items, strict=True):
+        for batch, texts, n_words, spans, items in batches(frames, "body", "n_words", "spans", "items"):
+            new_s, new_i, new_t = [], [], []
+            for t, n, s, i in zip(texts, n_words, spans, items, strict=True):
                 found, own = automaton.spans(normal_words(t))
                 new_s.append(s + [{"start": a, "end": b} for a, b in found])
                 new_i.append(sorted({*i, *own}))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(new_s, kind_s), pa.array(new_i, kind_i)], names=batch.schema.names)
+                if body == "cut":
+                    whole = merged([(x["start"], x["end"]) for x in new_s[-1]])
+                    new_t.append(cut_words(t, whole) if contaminated(sum(b - a for a, b in whole), n) else t)
+            text = {"whole": lambda: [batch.column(1)], "cut": lambda: [pa.array(new_t, pa.string())], "none": list}[body]()  # noqa: B023
+            names = ["row", *(["body"] if text else []), "n_words", "spans", "items"]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *text, batch.column(2), pa.array(new_s, kind_s), pa.array(new_i, kind_i)], names=names)
 
-    return rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, rows.drop("body").schema if body == "none" else schema)
 
 
-def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = 4_000_000) -> DataFrame:
-    """row, body, spans, items and the counts; a document is contaminated if a word is hit and hits are 5 % or more."""
-    found = hits(docs, bench, window=window, block_bytes=block_bytes)
+def report(docs: DataFrame, bench: DataFrame, window: int = WINDOW, block_bytes: int = 4_000_000, body: str = "whole") -> DataFrame:
+    """row, body (see `hits`), spans, items and the counts; a document is contaminated if a word is hit and hits are 5 % or more."""
+    found = hits(docs, bench, window=window, block_bytes=block_bytes, body=body)
     ordered = F.array_sort("spans")
     # Spans of several blocks may overlap: length of the union by a fold over the ordered spans.
     union = F.aggregate(
         ordered, F.struct(F.lit(0).alias("n"), F.lit(0).alias("e")),
         lambda s, x: F.struct((s.n + F.greatest(F.lit(0), x.end - F.greatest(x.start, s.e))).alias("n"), F.greatest(s.e, x.end).alias("e")),
     )
-    body = F.coalesce("body", F.lit(""))
-    n_words = F.size(F.array_remove(F.split(body, r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), ""))
-    out = found.withColumn("n_words", n_words.cast("long")).withColumn("n_hit", union.n.cast("long"))
-    return out.withColumn("contaminated", (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words")))
+    return found.withColumn("n_hit", union.n.cast("long")).withColumn("contaminated", contaminated(F.col("n_hit"), F.col("n_words")))
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    found = report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), body="none")
     return found.select(
         "row.doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join(F.array_sort("items"), ","), 256).alias("items_sha256"), "contaminated",
@@ -234,14 +249,7 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents; contaminated ones lose the hit words. A document with nothing else left goes."""
-    found = report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-
-    def run(frames: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts, spans, bad in batches(frames, "body", "spans", "contaminated"):
-            new = [cut_words(t, merged([(x["start"], x["end"]) for x in s])) if b else t for t, s, b in zip(texts, spans, bad, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), batch.column(3)], names=["row", "body", "contaminated"])
-
-    cut = found.select("row", "body", "spans", "contaminated").mapInArrow(run, found.select("row", "body", "contaminated").schema)
+    cut = report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), body="cut")
     kept = cut.where(~F.col("contaminated") | F.col("body").rlike(r"[^\x20\x09-\x0D]"))
     n = F.length("body").cast("long")
     return kept.select(*[F.col("body").alias(c) if c == "text" else F.when(F.col("contaminated"), n).otherwise(F.col(f"row.{c}")).alias(c) if c == "n_chars" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import catalogue
+from tessella.llm import decontam
 
 DIR = "/root/testdata/sf0.001"
 
@@ -70,3 +71,16 @@ def test_a_similarity_on_a_half_is_rounded_upwards(spark, tmp_path):
     ours = catalogue.queries()["retrieve"](spark, str(tmp_path)).toPandas()
     assert same(ours, twin(tmp_path, "retrieve", ["documents", "benchmark", "embeddings"]))
     assert {r.query_id: r.sim for r in ours[ours.doc_id == 1].itertuples()} == {n: math.floor((31000 + 7 * (2 * n + 1)) / 10 + 0.5) / 10000 for n in cosines}
+
+
+def test_texts_go_to_python_once_to_be_decontaminated(spark):
+    docs = spark.read.parquet(f"{DIR}/documents.parquet")
+    cut = decontam.stage(spark, docs, DIR)
+    for plan, most in ((cut, 1), (decontam.op6_decontamination(spark, DIR), 1)):
+        lines = [x for x in plan._jdf.queryExecution().optimizedPlan().toString().splitlines() if "MapInArrow" in x]
+        assert len(lines) <= most
+    assert "body" not in decontam.report(docs, spark.read.parquet(f"{DIR}/benchmark.parquet"), body="none").columns
+    bad = {r["doc_id"]: r for r in decontam.report(docs.select("doc_id", "text"), spark.read.parquet(f"{DIR}/benchmark.parquet")).select("row.doc_id", "body", "spans", "contaminated").collect()}
+    want = {k: decontam.cut_words(r["body"], decontam.merged([(x["start"], x["end"]) for x in r["spans"]])) if r["contaminated"] else r["body"] for k, r in bad.items()}
+    got = {r["doc_id"]: r["text"] for r in cut.collect()}
+    assert any(r["contaminated"] for r in bad.values()) and got == {k: t for k, t in want.items() if not bad[k]["contaminated"] or t.strip()}
