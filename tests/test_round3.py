@@ -3,6 +3,7 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -84,3 +85,26 @@ def test_texts_go_to_python_once_to_be_decontaminated(spark):
     want = {k: decontam.cut_words(r["body"], decontam.merged([(x["start"], x["end"]) for x in r["spans"]])) if r["contaminated"] else r["body"] for k, r in bad.items()}
     got = {r["doc_id"]: r["text"] for r in cut.collect()}
     assert any(r["contaminated"] for r in bad.values()) and got == {k: t for k, t in want.items() if not bad[k]["contaminated"] or t.strip()}
+
+
+def test_graph_retrieval_writes_no_similarity_of_each_query_and_node(spark, tmp_path, monkeypatch):
+    """Edges of both signs and equal products; what is written between its jobs stays far below queries times nodes."""
+    from tessella import scratch
+    from tessella.operators import search
+    from tessella.plans import hybrid
+
+    rng = np.random.default_rng(3)
+    spark.createDataFrame([(int(a), int(b), float(w)) for a, b, w in zip(rng.integers(0, 40, 4000), rng.integers(0, 900, 4000), rng.integers(1, 4, 4000), strict=True)], "l_suppkey long, l_partkey long, l_quantity double").coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(k, [float(x) for x in rng.standard_normal(64)]) for k in range(1000)], "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    written = []
+
+    def counted(df, name="step"):
+        out = scratch.materialise(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(hybrid, "materialise", counted)
+    monkeypatch.setattr(search, "materialise", counted, raising=False)
+    ours = catalogue.queries()["graph_retrieval"](spark, str(tmp_path)).toPandas()
+    assert same(ours, twin(tmp_path, "graph_retrieval", ["lineitem", "embeddings"]))
+    assert max(n for name, n in written if name != "edges") < 20 * 900 / 4
