@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tessella import catalogue
+from tessella.functions import segment
 from tessella.llm import decontam
 
 DIR = "/root/testdata/sf0.001"
@@ -108,3 +109,18 @@ def test_graph_retrieval_writes_no_similarity_of_each_query_and_node(spark, tmp_
     ours = catalogue.queries()["graph_retrieval"](spark, str(tmp_path)).toPandas()
     assert same(ours, twin(tmp_path, "graph_retrieval", ["lineitem", "embeddings"]))
     assert max(n for name, n in written if name != "edges") < 20 * 900 / 4
+
+
+def test_a_dictionary_of_many_words_is_cut_into_mapped_tries(spark):
+    """More words than `most` were an error; the cuts are those of one trie, with words of one letter and without the last letters."""
+    rng = np.random.default_rng(5)
+    letters = list("abcdé東𝒳")
+    words = {"".join(rng.choice(letters, rng.integers(1, 6))): int(rng.integers(1, 500)) for _ in range(400)}
+    table = spark.createDataFrame([*words.items(), ("zzz", 0)], "word string, n long")
+    one = segment.Trie(sorted(words.items()))
+    many = segment.trie_of(table, most=100)
+    few = segment.written(table, per_part=20)
+    texts = ["".join(rng.choice([*letters, "q"], rng.integers(0, 80))) for _ in range(200)]
+    want = [one.starts(t) for t in texts]
+    assert many.starts_of(texts) == want and few.starts_of(texts) == want
+    assert few.parts > 10 and list(segment.cuts_of(texts, few, letters=300)) == [segment.cut(t, one) for t in texts]
