@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella import catalogue
 from tessella.functions import segment
 from tessella.llm import decontam
+from tessella.operators import walks
 
 DIR = "/root/testdata/sf0.001"
 
@@ -124,3 +125,27 @@ def test_a_dictionary_of_many_words_is_cut_into_mapped_tries(spark):
     want = [one.starts(t) for t in texts]
     assert many.starts_of(texts) == want and few.starts_of(texts) == want
     assert few.parts > 10 and list(segment.cuts_of(texts, few, letters=300)) == [segment.cut(t, one) for t in texts]
+
+
+def test_blocks_of_node_vectors_are_tasks_of_their_own_and_as_many_as_pairs_ask_for(spark, monkeypatch):
+    """Four small blocks were put into one task, and a number of blocks that was given stood however many pairs there were."""
+    seen = []
+
+    def counted(df, name="step"):
+        from tessella import scratch
+
+        out = scratch.materialise(df, name)
+        if name == "vectors":
+            seen.append(out.inputFiles())
+        return out
+
+    monkeypatch.setattr(walks, "materialise", counted)
+    monkeypatch.setattr(walks, "PAIRS", 10)
+    walked = walks.walks(spark.createDataFrame([(i, (i * 7 + j) % 60, 1.0) for i in range(60) for j in (1, 2, 3)], "a long, b long, w double"), walks=2, steps=3)
+    assert walks.walk_vectors(walked, size=4, epochs=1, blocks=2).count() == 60
+    assert len(seen) > 3 and len([f for f in seen[1] if "part-" in f]) > 2
+    m, at, steps = np.zeros((5, 2)), np.array([3, 1, 3, 3, 0]), np.arange(10.0).reshape(5, 2)
+    walks._add(m, at, steps)
+    want = np.zeros((5, 2))
+    np.add.at(want, at, steps)
+    assert np.allclose(m, want)
