@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella import catalogue
 from tessella.functions import segment
 from tessella.llm import decontam
-from tessella.operators import walks
+from tessella.operators import leiden, walks
 
 DIR = "/root/testdata/sf0.001"
 
@@ -149,3 +149,30 @@ def test_blocks_of_node_vectors_are_tasks_of_their_own_and_as_many_as_pairs_ask_
     want = np.zeros((5, 2))
     np.add.at(want, at, steps)
     assert np.allclose(m, want)
+
+
+@pytest.mark.parametrize("small", [1_000_000, 60])
+def test_levels_of_small_scopes_are_made_in_tasks(spark, monkeypatch, small):
+    """Each level of each scope was a series of jobs. Groups of groups, in tasks from the start and after rounds on Spark."""
+    monkeypatch.setattr(leiden, "SMALL", small)
+    rng = np.random.default_rng(4)
+    prob = lambda i, j: 0.9 if i // 5 == j // 5 else 0.3 if i // 20 == j // 20 else 0.01
+    edges = [(i, j, 1.0) for i in range(80) for j in range(i) if rng.random() < prob(i, j)] + [(3, 3, 1.0)]
+    df = spark.createDataFrame(edges, "a long, b long, w double")
+    before = len(spark.sparkContext.statusTracker().getJobIdsForGroup())
+    rows = leiden.hierarchy(df, most=6, whole=True).collect()
+    jobs = len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - before
+    assert small == 60 or jobs < 60
+    label = spark.createDataFrame([(r["node"], r["community"]) for r in rows if r["level"] == 0], "node long, c long")
+    assert leiden.modularity(leiden.both_ways(df), label).first()["modularity"] > 0.55
+    by = {}
+    for r in rows:
+        by.setdefault(r["level"], {})[r["node"]] = r
+    assert set(by[0]) == set(range(80)) and all(r["parent"] is None for r in by[0].values()) and len(by) > 1
+    for level, nodes in by.items():
+        for n, r in nodes.items():
+            assert r["final"] == (r["size"] <= 6) or (r["final"] and level > 0)
+            assert (n in by.get(level + 1, {})) == (not r["final"])
+            assert r["size"] == sum(x["community"] == r["community"] for x in nodes.values()) and r["community"] == min(m for m, x in nodes.items() if x["community"] == r["community"])
+            assert not level or r["parent"] == by[level - 1][n]["community"]
+        assert max(r["weight"] for r in nodes.values()) == 1.0
