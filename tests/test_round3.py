@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tessella import catalogue
 from tessella.functions import segment
 from tessella.llm import decontam
-from tessella.operators import leiden, walks
+from tessella.operators import index, leiden, walks
 
 DIR = "/root/testdata/sf0.001"
 
@@ -176,3 +176,14 @@ def test_levels_of_small_scopes_are_made_in_tasks(spark, monkeypatch, small):
             assert r["size"] == sum(x["community"] == r["community"] for x in nodes.values()) and r["community"] == min(m for m, x in nodes.items() if x["community"] == r["community"])
             assert not level or r["parent"] == by[level - 1][n]["community"]
         assert max(r["weight"] for r in nodes.values()) == 1.0
+
+
+def test_postings_are_counted_in_their_rows(spark):
+    """Words of a chunk were grouped after the shuffle, in two maps of all rows of a task."""
+    texts = [["b", "a", "b", "é", "b"], [], ["x"], None, ["a", "a"]]
+    chunks = spark.createDataFrame([(k, 0, t) for k, t in enumerate(texts)], "doc_id long, pos int, w array<string>")
+    kept = index.Index.build(chunks, {"content": F.col("w")})
+    rows = {(r["doc_id"], r["term"], r["tf"], r["dl"]) for r in kept.every_posting().collect()}
+    assert rows == {(0, "a", 1, 5), (0, "b", 3, 5), (0, "é", 1, 5), (2, "x", 1, 1), (4, "a", 2, 2)}
+    plan = chunks.select(F.explode(index.counted(F.col("w"))))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" not in plan
