@@ -54,3 +54,50 @@ def test_words_with_strokes_long_titles_and_ties(spark, tmp_path, name):
     spark.createDataFrame([(d, d % 2, 0) for d in range(0, 60, 2)], "doc_id long, quality int, toxic int").coalesce(1).write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(d, [1.0] * 64, 0) for d in range(3)], "vec_id long, embedding array<double>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
     assert same(catalogue.queries()[name](spark, str(tmp_path)).toPandas(), twin(tmp_path, name, ["documents", "benchmark", "labels", "embeddings"]))
+
+
+def test_partitions_grow_with_the_rows(spark):
+    from tessella import scratch
+    from tessella.operators import graph
+
+    e = spark.range(2000).selectExpr("id % 50 a", "1000 + id % 97 b", "1.0D w")
+    assert scratch.dealt(e, 2000, "a", each=100).rdd.getNumPartitions() == 20 and scratch.dealt(e, 2000, "a").rdd.getNumPartitions() == e.rdd.getNumPartitions()
+    spark.conf.set("spark.sql.shuffle.partitions", 1)
+    try:
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(graph, "dealt", lambda df, rows, *keys, each=500_000: scratch.dealt(df, rows, *keys, each=500))
+            assert graph.links(e).rdd.getNumPartitions() >= 1
+            few = sorted(map(tuple, graph.label_propagation(e, 3).collect())), sorted(map(tuple, graph.components(e).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+    assert few == (sorted(map(tuple, graph.label_propagation(e, 3).collect())), sorted(map(tuple, graph.components(e).collect())))
+
+
+def test_ends_that_share_a_node(spark):
+    from tessella.operators import graph
+
+    rng = np.random.default_rng(2)
+    edges = {(int(a), int(b)) for a, b in zip(rng.integers(0, 40, 300), rng.integers(100, 112, 300), strict=True)}
+    want = {(x, z): sum((z, b) in edges for a, b in edges if a == x) for x, _ in edges for z, _ in edges if x != z}
+    df = spark.createDataFrame([*edges, *list(edges)[:50]], "a long, b long")
+    found = graph.shared_ends(df, block=4, each=100).collect()
+    assert {(r["x"], r["z"]): r["paths"] for r in found} == {k: n for k, n in want.items() if n} and len(found) == len({(r["x"], r["z"]) for r in found})
+
+
+def test_a_long_line_gives_its_last_clause_in_one_pass(spark, tmp_path):
+    """A pattern that is tried from each place of this line takes minutes."""
+    texts = ["a" * 400_000, "b " * 200_000 + ". a title that is long enough here:", "x. y: another title of some length：", ":", "no: colon at the end"]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    found = catalogue.queries()["colon_titles"](spark, str(tmp_path))
+    assert {(r["doc_id"], r["text"]) for r in found.where("part = 0").collect()} == {(1, "a title that is long enough here"), (2, "y: another title of some length")}
+    assert found.where("part = 1").count() == 5
+
+
+def test_markdown_rows_leave_python_a_few_texts_at_a_time(spark):
+    from tessella.functions import markdown
+
+    docs = spark.createDataFrame([(k, f"# h{k}\n\ntext {k}" if k % 3 else None) for k in range(100)], "doc_id long, text string").coalesce(1)
+    rows = markdown.block_rows(docs, "doc_id", "text").collect()
+    assert sorted((r["doc_id"], r["pos"], r["content"]) for r in rows) == sorted(x for k in range(100) if k % 3 for x in ((k, 0, f"# h{k}"), (k, 1, f"text {k}")))
+    plan = catalogue.queries()["markdown_chunks"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
