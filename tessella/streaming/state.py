@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -37,10 +38,14 @@ def cached(requests: DataFrame, key: list[str], ident: str, ttl: str = "ttl", ti
         if state.hasTimedOut:
             state.remove()
             return
-        rows = pd.concat(list(frames)).sort_values([time, ident], kind="stable")
+        # A key has few rows in a batch, so plain arrays are used: the frames' own sorting and times cost more than the rows.
+        parts = list(frames)
+        rows = parts[0] if len(parts) == 1 else pd.concat(parts)
+        ids, ages, times = rows[ident].to_numpy(), rows[ttl].tolist(), rows[time].to_numpy("datetime64[us]").astype("int64").tolist()
+        order = sorted(range(len(times)), key=lambda i: (times[i], ids[i]))
         stored, ends = state.get if state.exists else (None, None)
         hits, when = [], []
-        for at, live in zip(_micros(rows[time]), rows[ttl].tolist(), strict=True):
+        for at, live in ((times[i], ages[i]) for i in order):
             hit = stored is not None and at < ends
             if not hit:
                 stored, ends = at, at + int(live * 1_000_000)
@@ -48,7 +53,7 @@ def cached(requests: DataFrame, key: list[str], ident: str, ttl: str = "ttl", ti
             when.append(stored)
         state.update((stored, ends))
         state.setTimeoutTimestamp(max(ends // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        yield pd.DataFrame({ident: rows[ident].to_numpy(), "hit": hits, "stored": _times(when)})
+        yield pd.DataFrame({ident: ids[order], "hit": hits, "stored": np.array(when, "datetime64[us]").astype("datetime64[ns]")})
 
     grouped = requests.withWatermark(time, delay).groupBy(*key)
     return grouped.applyInPandasWithState(look, schema, "stored long, ends long", "append", GroupStateTimeout.EventTimeTimeout)
