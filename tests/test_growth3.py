@@ -101,3 +101,26 @@ def test_markdown_rows_leave_python_a_few_texts_at_a_time(spark):
     assert sorted((r["doc_id"], r["pos"], r["content"]) for r in rows) == sorted(x for k in range(100) if k % 3 for x in ((k, 0, f"# h{k}"), (k, 1, f"text {k}")))
     plan = catalogue.queries()["markdown_chunks"](spark, DIR)._jdf.queryExecution().optimizedPlan().toString()
     assert "MapInArrow" in plan and "ArrowEvalPython" not in plan
+
+
+def test_tasks_of_the_index_hold_so_many_letters_however_many_chunks(spark, monkeypatch):
+    """Few long chunks in one split are dealt to tasks and files by their letters; what is posted stays the same."""
+    rng = np.random.default_rng(7)
+    texts = {d: [f"w{k}" for k in rng.integers(0, 900, 500)] for d in range(200)}
+    rows = [(d, p, " ".join(w[p * 250 : (p + 1) * 250]), " ".join(w[:3])) for d, w in texts.items() for p in (0, 1)]
+    monkeypatch.setattr(index, "PER_TASK", 20_000)
+    monkeypatch.setattr(index, "PER_SLICE", 120_000)
+    monkeypatch.setattr(index, "PER_BLOCK", 4)
+    store = spark.createDataFrame(rows, "doc_id long, pos int, content string, title string").coalesce(1)
+    kept = index.Index.build(store, {f: tx.tokenize(F.col(f)) for f in ("content", "title")}, whole=("title",))
+    letters = sum(len(t) for _, _, t, _ in rows)
+    assert (kept.n, kept.letters) == (len(rows), letters) and kept.fullest > 20_000
+    held = kept._dealt(kept.store).groupBy(F.spark_partition_id()).agg(F.sum(F.length("content")).alias("n")).agg(F.max("n")).first()[0]
+    assert held < 3 * 20_000 < letters / 5
+    posted = kept.every_posting().withColumn("file", F.input_file_name())
+    files = posted.groupBy("bucket", "file").agg(F.count_distinct(F.pmod("block", F.lit(-(-letters // 120_000)))).alias("slices")).collect()
+    assert {r["slices"] for r in files} == {1} and len(files) > 3 * len({r["bucket"] for r in files})
+    want = sorted((w, d, p, t.split().count(w)) for d, p, t, _ in rows for w in set(t.split()))
+    assert sorted(map(tuple, posted.select("term", "doc_id", "pos", "tf").collect())) == want
+    titles = sorted((w, d, 0, 2) for d, p, _, t in rows if p == 0 for w in set(t.split()))
+    assert sorted(map(tuple, kept.every_posting("title").select("term", "doc_id", "pos", "copies").collect())) == titles
