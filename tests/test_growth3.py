@@ -122,5 +122,20 @@ def test_tasks_of_the_index_hold_so_many_letters_however_many_chunks(spark, monk
     assert {r["slices"] for r in files} == {1} and len(files) > 3 * len({r["bucket"] for r in files})
     want = sorted((w, d, p, t.split().count(w)) for d, p, t, _ in rows for w in set(t.split()))
     assert sorted(map(tuple, posted.select("term", "doc_id", "pos", "tf").collect())) == want
+    for name, asks in (("content", ["w1", "w5", "none"]), ("title", ["w1", "w5"])):
+        every = dict(map(tuple, kept.terms(name).collect()))
+        asked, fresh = spark.createDataFrame([(t,) for t in asks * 2], "term string"), index.Index(kept.store, kept.tokens, kept.n, kept.whole)
+        for most in (1_000_000, 1):
+            assert dict(map(tuple, fresh.counts(asked, name, most).collect())) == {t: every[t] for t in asks if t in every} == dict(map(tuple, kept.counts(asked, name).collect()))
     titles = sorted((w, d, 0, 2) for d, p, _, t in rows if p == 0 for w in set(t.split()))
     assert sorted(map(tuple, kept.every_posting("title").select("term", "doc_id", "pos", "copies").collect())) == titles
+
+
+def test_weighted_questions_write_no_postings(spark, monkeypatch):
+    """Only the asked words are counted in the chunks; the same rows come from an index that has its postings."""
+    monkeypatch.setattr(index, "_KEPT", {})
+    ask = lambda: sorted(map(tuple, catalogue.queries()["weighted_query"](spark, DIR).collect()))
+    plain, kept = ask(), base.kept_index(spark, DIR)
+    assert plain and not kept.fields
+    kept.every_posting()
+    assert ask() == plain
